@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import bpe, mixing, sharding
 
 QUERIES = {
     "op3_shuffle_shards": sharding.query,
     "op4_mix_sources": mixing.query,
+    "op5_byte_bpe": bpe.query,
 }
 
 ORACLE_SQL = {
