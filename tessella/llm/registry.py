@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding
+from . import bpe, mixing, sharding, token_files
 
 QUERIES = {
     "op3_shuffle_shards": sharding.query,
     "op4_mix_sources": mixing.query,
     "op5_byte_bpe": bpe.query,
+    "op9_token_files": token_files.query,
 }
 
 ORACLE_SQL = {
