@@ -16,7 +16,7 @@ def open_output(folder: str, name: str, suffix: str):
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     file = f"{name}-{uuid.uuid4().hex[:12]}{suffix}"
-    return f"{folder}/{file}", fs.open_output_stream(f"{base}/{file}")
+    return f"{folder}/{file}", fs.open_output_stream(f"{base}/{file}", compression=None)
 
 
 def open_input(path: str):

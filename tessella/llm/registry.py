@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding, token_files
+from . import bpe, mixing, sharding, token_files, warc
 
 QUERIES = {
+    "op1_warc_archives": warc.query,
     "op3_shuffle_shards": sharding.query,
     "op4_mix_sources": mixing.query,
     "op5_byte_bpe": bpe.query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc_archives": warc.ORACLE_SQL,
     "op4_mix_sources": mixing.ORACLE_SQL,
 }
