@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding, token_files, warc
+from . import bpe, language, mixing, sharding, token_files, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
+    "op2_language_id": language.query,
     "op3_shuffle_shards": sharding.query,
     "op4_mix_sources": mixing.query,
     "op5_byte_bpe": bpe.query,
