@@ -55,8 +55,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """Learns from rows that are not held out and have both a text and a language."""
     labelled = docs.where(~is_held_out(F.col(doc_id)) & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(3), F.col(text)).alias("h"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # the rank limit is applied in the map tasks first: each sends at most SAMPLE_DOCS rows of a language
-    least = labelled.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= SAMPLE_DOCS)
+    # of a common language only a hash range goes on, which holds about three times SAMPLE_DOCS rows
+    names, shares = list(counts), [min(1.0, 3 * SAMPLE_DOCS / n) for n in counts.values()]
+    last = F.element_at(F.array(*[F.lit(min(2**63 - 1, -(2**63) + int(2**64 * s))) for s in shares]), F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int")) if counts else F.lit(0)
+    few = labelled.where(F.col("h") <= last).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    least = few.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= SAMPLE_DOCS)
     parts: dict[str, list[bytes]] = {}
     for r in least.orderBy("lang", "i").toLocalIterator():
         share = normalize(r["text"])[:SHARE_BYTES]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import running_totals, save_table, scratch_path
+from .common import hash_sample, running_totals, save_table, scratch_path
 from .files import open_input, open_output
 from .tokens import PieceCache, chunks_of
 
@@ -90,7 +90,7 @@ def encode_texts(texts: list[str], path: str, drops_white_space: bool = True) ->
 def train_dictionary(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, size: int = DICT_BYTES) -> bytes:
     """A dictionary from at most ``sample_docs`` documents; raw content where there is too little to train on."""
     order = F.xxhash64(F.lit(17), F.col(doc_id), F.col(text))
-    sample = docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, sample_chars).alias("t"), order.alias("h")).orderBy("h", "t").limit(sample_docs).collect()
+    sample = hash_sample(docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, sample_chars).alias("t"), order.alias("h")), sample_docs)
     arrays = [serialize(ids) for ids in encode_texts([r["t"] for r in sample], path)] if sample else []
     try:
         return zstandard.train_dictionary(size, arrays, level=LEVEL).as_bytes()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import save_table, scratch_path
+from .common import hash_sample, save_table, scratch_path
 from .files import open_input, open_output
 
 #: Fixed by the format: the magic number of the frame with the dictionary, and the profile of identical payloads.
@@ -89,7 +89,8 @@ def parse_record(raw: bytes) -> dict:
 def train_dictionary(pages: DataFrame, html: str = "html", sample: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES, size: int = DICT_BYTES) -> bytes:
     """From at most ``sample`` records; raw content where there is too little to train on."""
     h = F.xxhash64(F.lit(29), F.col(html))
-    rows = pages.where(F.length(html) > 0).select("page_id", "url", F.substring(html, 1, sample_bytes).alias("t"), h.alias("h")).orderBy("h", "page_id", "url").limit(sample).collect()
+    rows = pages.where(F.length(html) > 0).select("page_id", "url", F.substring(html, 1, sample_bytes).alias("t"), h.alias("h"))
+    rows = hash_sample(rows, sample)
     records = [build_record(r["page_id"], r["url"], p := r["t"].encode(), hashlib.sha1(p).hexdigest(), None) for r in rows]
     try:
         return zstandard.train_dictionary(size, records, level=LEVEL).as_bytes()
