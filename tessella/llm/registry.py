@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, mixing, near_duplicates, sharding, token_files, warc
+from . import ann, bpe, exact_search, language, mixing, near_duplicates, sharding, token_files, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
@@ -10,11 +10,14 @@ QUERIES = {
     "op3_shuffle_shards": sharding.query,
     "op4_mix_sources": mixing.query,
     "op5_byte_bpe": bpe.query,
+    "op7_collision_counting": ann.query,
     "op8_near_duplicates": near_duplicates.query,
     "op9_token_files": token_files.query,
+    "op10_exact_top_k": exact_search.query,
 }
 
 ORACLE_SQL = {
+    "op10_exact_top_k": exact_search.ORACLE_SQL,
     "op1_warc_archives": warc.ORACLE_SQL,
     "op4_mix_sources": mixing.ORACLE_SQL,
 }
