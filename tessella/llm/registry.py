@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_search, language, mixing, near_duplicates, sharding, token_files, warc
+from . import ann, bpe, exact_search, language, mixing, near_duplicates, privacy, sharding, token_files, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_shuffle_shards": sharding.query,
     "op4_mix_sources": mixing.query,
     "op5_byte_bpe": bpe.query,
+    "op6_disclosure": privacy.query,
     "op7_collision_counting": ann.query,
     "op8_near_duplicates": near_duplicates.query,
     "op9_token_files": token_files.query,
