@@ -30,7 +30,7 @@ def source_targets(sizes: DataFrame, source: str = "source", most: int = MOST_CO
     Targets share the sum of all sizes by weight. A target stops at ``most`` times its source's size; the excess is
     shared again by weight among the others, until none is above. In closed form: a source stops at its
     limit if limit / weight is below the level, and sorted by limit / weight the level is the first one,
-    (total - limits before) / (weights from here on), that does not exceed the own ratio.
+    (total - limits before) / (weights from here on), that does not exceed the own ratio; from there on the levels fall, so it is the largest.
     One row per source goes through the windows, documents never do.
     """
     by_name = Window.orderBy(F.col(source).asc_nulls_last())
@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, source: str = "source", most: int = MOST_CO
         .withColumn("weights_left", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(Window.partitionBy()))
         .withColumn("level_", (F.col("total") - F.col("limits_before")).cast("double") / F.col("weights_left"))
-        .withColumn("level", F.min(F.when(F.col("level_") <= F.col("ratio"), F.col("level_"))).over(Window.partitionBy()))
+        .withColumn("level", F.max(F.when(F.col("level_") <= F.col("ratio"), F.col("level_"))).over(Window.partitionBy()))
     )
     target = F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("limit_").cast("double")).otherwise(F.col("level") * F.col("weight"))
     return (
@@ -102,7 +102,7 @@ WITH d AS (
 ), v AS (
   SELECT *, CAST(total - limits_before AS DOUBLE) / CAST(weights_left AS DOUBLE) AS level_ FROM l
 ), t AS (
-  SELECT *, min(level_) FILTER (WHERE level_ <= ratio) OVER () AS level FROM v
+  SELECT *, max(level_) FILTER (WHERE level_ <= ratio) OVER () AS level FROM v
 ), g AS (
   SELECT source, source_size, CASE WHEN level IS NULL OR ratio <= level THEN CAST(limit_ AS DOUBLE) ELSE level * weight END AS target FROM t
 ), p AS (
