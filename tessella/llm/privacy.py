@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import fresh, save_table, small
+from .common import BROADCAST_ROWS, fresh, save_table, small
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -128,9 +129,27 @@ def mentions(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
 
 
 def term_rows(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """``term`` and ``n_term``: rows of all of ``docs`` that hold it, for the terms of the written table ``terms``."""
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
-    return words.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    """``term`` and ``n_term``: rows of all of ``docs`` that hold it, for the terms of the written table ``terms``.
+
+    Up to BROADCAST_ROWS terms are sent to the tasks, each of which counts its rows and returns one row per term; for
+    more, all terms of the corpus are counted by a shuffle.
+    """
+    own = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
+    known = terms.select("term").limit(BROADCAST_ROWS + 1).collect()
+    if len(known) > BROADCAST_ROWS:
+        words = own.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+        return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for t in batch.column("t"):
+                counts.update(shared.value.intersection(_WORD.findall(t.as_py().lower())))
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
+    return own.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", window: int = WINDOW, generalise: float = GENERALISE, min_texts: int = MIN_TEXTS) -> DataFrame:
