@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 RECORD_END = "__CASE_END__"
 # Diagnosis categories and levels, and judge labels with their gains.
 CATEGORIES = ("LOCATOR_NOT_FOUND", "ASSERTION_FAILED", "TIMEOUT", "NETWORK_ERROR", "APPLICATION_BUG", "TEST_DATA", "ENVIRONMENT", "UNKNOWN")
@@ -23,19 +25,19 @@ def first_json(text: Column) -> Column:
 
 
 def fenced_json(text: Column) -> Column:
-    return F.trim(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    return strip(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1))
 
 
 def salvage_json(text: Column) -> Column:
     """A bare object; else the object around ``cases``, ``caseList`` or ``data``; else a fenced block; else empty."""
-    bare = F.trim(strip_thinking(text))
+    bare = strip(strip_thinking(text))
     around = F.regexp_extract(bare, r'(?s)(\{\s*"(?:cases|caseList|data)"\s*:.*\})', 1)
     return F.when(bare.rlike(r"(?s)^\{.*\}$"), bare).when(around != "", around).otherwise(fenced_json(bare))
 
 
 def delimited_records(text: Column) -> Column:
     """Records between end marks that are objects, without a trailing comma."""
-    parts = F.transform(F.split(text, RECORD_END), lambda x: F.trim(F.regexp_replace(F.trim(x), r",\s*$", "")))
+    parts = F.transform(F.split(text, RECORD_END), lambda x: strip(F.regexp_replace(strip(x), r",\s*$", "")))
     return F.filter(parts, lambda x: F.startswith(x, F.lit("{")))
 
 
@@ -46,12 +48,12 @@ def sse_frame(event: str, text: Column) -> Column:
 
 def clean_query(text: Column) -> Column:
     """Without a leading number; null if nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(F.trim(text), r"^\d+\.\s*", "")), F.lit(""))
+    return F.nullif(strip(F.regexp_replace(strip(text), r"^\d+\.\s*", "")), F.lit(""))
 
 
 def query_variants(response: Column, most: int = 5) -> Column:
     """Lines of a response as queries: numbers stripped, longer than three characters, different, at most five."""
-    lines = F.transform(F.split(response, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[\d]+[.、)]\s*|^[-*]\s*", "")))
+    lines = F.transform(F.split(response, "\n"), lambda x: strip(F.regexp_replace(strip(x), r"^[\d]+[.、)]\s*|^[-*]\s*", "")))
     return F.slice(F.array_distinct(F.filter(lines, lambda x: F.char_length(x) > 3)), 1, most)
 
 

@@ -14,8 +14,13 @@ PARSER_SENTENCE = r"(?<=[。！？.?!])\s*"
 CJK = r"[㐀-䶿一-鿿豈-﫿]"
 
 
+def strip(text: Column) -> Column:
+    """Without blanks, tabs and line ends at both ends."""
+    return F.btrim(text, F.lit(" \t\r\n"))
+
+
 def _pieces(text: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, pattern), strip), lambda x: x != "")
 
 
 def paragraphs(text: Column) -> Column:
@@ -31,7 +36,7 @@ def clauses(text: Column) -> Column:
 
 
 def etl_pieces(text: Column) -> Column:
-    return F.filter(F.split(text, PIECE), lambda x: F.trim(x) != "")
+    return F.filter(F.split(text, PIECE), lambda x: strip(x) != "")
 
 
 def parser_sentences(text: Column) -> Column:
@@ -51,7 +56,7 @@ def normalize_newlines(text: Column) -> Column:
 def content_lines(text: Column) -> Column:
     """Lines but blank ones, page numbers (digits only) and lines with a replacement character."""
     lines = F.split(normalize_newlines(text), "\n")
-    keep = lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^\d+$") & ~F.contains(x, F.lit("�"))
+    keep = lambda x: (strip(x) != "") & ~strip(x).rlike(r"^\d+$") & ~F.contains(x, F.lit("�"))
     return F.filter(lines, keep)
 
 
@@ -63,14 +68,14 @@ def split_level(text: Column, most: int) -> Column:
 
 def short_text_parts(text: Column, least: int = 5) -> Column:
     """Parts between full stops, line ends and semicolons that are longer than ``least`` characters."""
-    return F.filter(F.transform(F.split(text, r"[。\n;]"), F.trim), lambda x: F.char_length(x) > least)
+    return F.filter(F.transform(F.split(text, r"[。\n;]"), strip), lambda x: F.char_length(x) > least)
 
 
 def scenario_lines(text: Column) -> Column:
     """Lines of the form ``name: step → result``, without bullets and repeats; else any line with an arrow."""
     # Openings of lines that only talk.
     chatter = ("好的", "以下是", "根据", "Here", "Sure")
-    trimmed = F.transform(F.split(text, "\n"), F.trim)
+    trimmed = F.transform(F.split(text, "\n"), strip)
     bare = F.transform(trimmed, lambda x: F.regexp_replace(x, r"^[-*•\d.、)\s]+", ""))
     is_chatter = lambda x: F.array_contains(F.transform(F.array(*map(F.lit, chatter)), lambda p: F.startswith(x, p)), True)
     strict = F.array_distinct(F.filter(bare, lambda x: ~is_chatter(x) & x.rlike(r"^\S+[：:][^→]+→[^→]+$") & (F.char_length(x) >= 10)))
@@ -130,11 +135,11 @@ def markdown_table(header: Column, rows: Column) -> Column:
 
 
 def is_table_row(line: Column) -> Column:
-    t = F.trim(line)
+    t = strip(line)
     return (F.startswith(t, F.lit("|")) | F.endswith(t, F.lit("|"))) & ~t.rlike(r"^\|+$") & (t != "")
 
 
 def is_table_block(block: Column) -> Column:
     """At least two lines, all of them rows, one of them a rule."""
-    lines = F.split(F.trim(block), "\n")
+    lines = F.split(strip(block), "\n")
     return (F.size(lines) >= 2) & F.forall(lines, is_table_row) & F.exists(lines, lambda x: x.rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$"))

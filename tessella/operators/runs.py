@@ -13,9 +13,9 @@ MAX_ARTIFACT = 50 << 20
 
 
 def latest(attempts: DataFrame, *more: str) -> DataFrame:
-    """The last attempt of each case of each run, by number: an aggregate with partial maxima, no sort."""
+    """The last attempt of each case of each run, by number and then outcome: an aggregate with partial maxima, no sort."""
     cols = ["attempt_number", "outcome", *more]
-    return attempts.groupBy(*KEYS).agg(F.max_by(F.struct(*cols), "attempt_number").alias("a"), F.count(F.lit(1)).alias("n_attempts")).select(*KEYS, "a.*", "n_attempts")
+    return attempts.groupBy(*KEYS).agg(F.max_by(F.struct(*cols), F.struct("attempt_number", "outcome")).alias("a"), F.count(F.lit(1)).alias("n_attempts")).select(*KEYS, "a.*", "n_attempts")
 
 
 def number_attempts(new: DataFrame, existing: DataFrame, order: list[Column]) -> DataFrame:
