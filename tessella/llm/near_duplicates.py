@@ -27,9 +27,6 @@ from .common import fresh, save_table, small
 
 K, L, M = 5, 3, 24
 SIMILARITY = 0.8
-#: Candidates share at least so many of the M numbers: at a Jaccard index of 0.8 twelve are expected, and fewer than five
-#: come with probability 0.0005.
-AGREE = 5
 #: Buckets are divided by so many numbers in a row at most.
 LEVELS = 6
 
@@ -63,10 +60,8 @@ def kmer_hashes(words: np.ndarray, k: int = K) -> np.ndarray:
     return h
 
 
-def sketch(words: np.ndarray, k: int = K, least: int = L) -> np.ndarray | None:
-    """M numbers, or None if the text has fewer than ``k`` words."""
-    if len(words) < k:
-        return None
+def labelled_runs(words: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each run's hash, its occurrence number among equal runs, and a hash of both."""
     with np.errstate(over="ignore"):
         h = kmer_hashes(words, k)
         order = np.argsort(h, kind="stable")
@@ -75,7 +70,16 @@ def sketch(words: np.ndarray, k: int = K, least: int = L) -> np.ndarray | None:
         place = np.arange(len(s))
         occurrence = np.empty(len(s), dtype=np.uint64)
         occurrence[order] = (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
-        label = _mix(h + occurrence * _ODD)
+        return h, occurrence, _mix(h + occurrence * _ODD)
+
+
+def sketch(words: np.ndarray, k: int = K, least: int = L) -> np.ndarray | None:
+    """M numbers, or None if the text has fewer than ``k`` words."""
+    return None if len(words) < k else sketch_of(*labelled_runs(words, k), least)
+
+
+def sketch_of(h: np.ndarray, occurrence: np.ndarray, label: np.ndarray, least: int = L) -> np.ndarray:
+    with np.errstate(over="ignore"):
         take = min(least, len(h))
         step = max(1, 2_000_000 // len(h))
         out = np.zeros(M, dtype=np.uint64)
@@ -160,26 +164,36 @@ def are_near(left: list[str], right: list[str], similarity: float = SIMILARITY,
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, ``key`` (MD5 of the text), ``words`` (their number) and ``sketch`` (null below K words)."""
-    schema = StructType([StructField("id", LongType()), StructField("key", BinaryType()), StructField("words", IntegerType()), StructField("sketch", ArrayType(LongType()))])
+    """Per row: id, ``key`` (MD5 of the text), ``words`` (their number), ``runs`` (that of different runs) and ``sketch`` (null below K words)."""
+    schema = StructType([StructField("id", LongType()), StructField("key", BinaryType()), StructField("words", IntegerType()), StructField("runs", IntegerType()), StructField("sketch", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 batch = whole.slice(at, 1_000)
-                counts, found = [], []
+                counts, different, found = [], [], []
                 for t in batch.column("t"):
                     words = words_of(t.as_py())
                     counts.append(len(words))
-                    s = sketch(word_hashes(words))
-                    found.append(None if s is None else s.view(np.int64))
-                cols = [batch.column("id"), batch.column("key"), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+                    runs = labelled_runs(word_hashes(words)) if len(words) >= K else None
+                    different.append(0 if runs is None else int((runs[1] == 0).sum()))
+                    found.append(None if runs is None else sketch_of(*runs).view(np.int64))
+                cols = [batch.column("id"), batch.column("key"), pa.array(counts, pa.int32()), pa.array(different, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.md5(text)).alias("key"), F.col(text).alias("t"))
     return rows.mapInArrow(run, schema)
 
 
+def sizes_allow(similarity: float, a: str = "", b: str = "l."):
+    """Whether two texts can be near by their numbers of different runs (as sets) or of all runs (by edits)."""
+    both = lambda f, c: f(f"{a}{c}", f"{b}{c}")
+    by_sets = both(F.least, "runs") >= F.lit(similarity) * both(F.greatest, "runs") - F.lit(1e-6)
+    longest = both(F.greatest, "words") - F.lit(K - 1)
+    by_edits = both(F.greatest, "words") - both(F.least, "words") <= F.floor(longest * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-9))
+    return by_sets | by_edits
+
+
 def texts_of(keys: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """One text for each of ``keys``: the only texts that are moved."""
     texts = docs.where(F.col(text).isNotNull()).select(F.unhex(F.md5(text)).alias("key"), F.col(text).alias("t"))
@@ -239,40 +253,37 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     """
     rows = save_table(sketches(docs, doc_id, text), "near-sketches")
     # copies become one node; the partial sums leave one row of a hot text per task
-    per_id = rows.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"), F.first("words").alias("words"), F.first("sketch").alias("sketch"))
+    per_id = rows.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"), F.first("words").alias("words"), F.first("runs").alias("runs"), F.first("sketch").alias("sketch"))
     rep = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("n").alias("same"))
-    texts = save_table(per_id.groupBy("key").agg(F.min(rep).alias("rep"), F.sum("n").alias("n"), F.first("words").alias("words"), F.first("sketch").alias("sketch")), "near-distinct")
-    nodes = texts.where("sketch IS NOT NULL").select("key", "words", "sketch")
+    texts = save_table(per_id.groupBy("key").agg(F.min(rep).alias("rep"), F.sum("n").alias("n"), F.first("words").alias("words"), F.first("runs").alias("runs"), F.first("sketch").alias("sketch")), "near-distinct")
+    nodes = texts.where("sketch IS NOT NULL").select("key", "words", "runs", "sketch")
     # until the first links are known each text is a component of its own
-    members = nodes.select("key", "words", F.col("key").alias("label"), F.posexplode("sketch").alias("j", "c"))
+    members = nodes.select("key", "words", "runs", F.col("key").alias("label"), F.posexplode("sketch").alias("j", "c"))
     labels, bodies, checked = None, None, None
     for level in range(1, LEVELS + 1):
         # by component first: the two leaders of a divided bucket are of different ones
-        one = F.struct("label", "key", "words")
+        one = F.struct("label", "key", "words", "runs")
         groups = members.groupBy("j", "c").agg(F.array(F.min(one), F.max(one)).alias("leaders"), F.count(F.lit(1)).alias("members")).where("members > 1")
         members = save_table(members.join(groups, ["j", "c"]), "near-buckets")
         if bodies is None:
             bodies = texts_of(save_table(members.select("key").distinct(), "near-keys"), docs, text)
-        star = members.select("key", "words", "label", F.explode("leaders").alias("l")).where(F.col("label") != F.col("l.label"))
-        star = star.where(F.least("words", "l.words") >= F.lit(similarity) * F.greatest("words", "l.words") - F.lit(K))
-        star = star.select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
+        star = members.select("key", "words", "runs", "label", F.explode("leaders").alias("l")).where(F.col("label") != F.col("l.label"))
+        star = star.where(sizes_allow(similarity)).select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
         if checked is not None:
             star = star.join(checked, ["a", "b"], "left_anti")
-        side = lambda x: nodes.select(F.col("key").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-        agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda p, q: p == q), lambda e: e))
-        star = save_table(star.join(side("a"), "a").join(side("b"), "b").where(agree >= AGREE).select("a", "b"), "near-star")
+        star = save_table(star, "near-star")
         checked = star if checked is None else checked.union(star)
         found = save_table(verified(star, bodies, similarity), "near-links")
         labels = components(found) if labels is None else joined_up(labels, found)
         # a bucket of more than three texts that are not all linked is divided by the next number
-        marked = members.where("members > 3").select("j", "c", "key", "words").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        marked = members.where("members > 3").select("j", "c", "key", "words", "runs").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         still = marked.groupBy("j", "c").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("j", "c")
         members = save_table(marked.join(still, ["j", "c"]), "near-open")
         if level == LEVELS or not members.limit(1).count():
             break
         following = F.element_at("sketch", ((F.col("j") + level) % M + 1).cast("int"))
         # written, as it is read twice: for the groups and for their members
-        members = save_table(members.join(nodes.select("key", "sketch"), "key").select("key", "words", "label", "j", F.xxhash64("c", following).alias("c")), "near-members")
+        members = save_table(members.join(nodes.select("key", "sketch"), "key").select("key", "words", "runs", "label", "j", F.xxhash64("c", following).alias("c")), "near-members")
     named = texts.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", "n", F.coalesce("label", "key").alias("label"))
     least = F.min(F.struct("rep.none", "rep.id", "key", "rep.same"))
     groups = named.groupBy("label").agg(least.alias("r"), F.sum("n").alias("class_size")).where("class_size > 1")

@@ -92,3 +92,20 @@ def test_odd_rows(spark):
     left = nd.deduplicate(docs)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 4, 6, 7, 8, 9]
     assert nd.mark(docs.limit(0)).collect() == []
+
+
+def assert_brute(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in nd.mark(docs).collect()} == dict(enumerate(brute(texts, nd.SIMILARITY)))
+
+
+def test_moved_and_repeated_passages(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(200)]
+        texts += [" ".join(base), " ".join(base[100:] + base[:100])]
+        base = [word() for _ in range(200)]
+        texts += [" ".join(base), " ".join(base + base[40:100])]
+    assert_brute(spark, texts)
