@@ -7,8 +7,10 @@ a banded alignment of their words decides.
 
 Equal texts are one node from the start. In each bucket every text is aligned with two leaders: all pairs of up to three
 texts, and edges in proportion to the members of any larger group. A larger bucket that is not linked throughout is divided
-by the next number of its members' sketches and treated again, so texts that are alike meet in ever smaller company. The
-classes are the connected components.
+by the next number of its members' sketches and treated again, so texts that are alike meet in ever smaller company.
+That joins most texts at little cost but parts some pairs unseen. So the members of all first buckets that are still not
+linked throughout are joined exactly, on the rarest runs of each: near texts have one of them in common. The classes are
+the connected components.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 from xxhash import xxh3_64_intdigest
@@ -29,6 +31,9 @@ K, L, M = 5, 3, 24
 SIMILARITY = 0.8
 #: Buckets are divided by so many numbers in a row at most.
 LEVELS = 6
+#: Of the buckets that stay open: runs in more texts than HOT are joined apart; groups of at most PAIRS texts are paired,
+#: larger ones compared in blocks of BLOCK texts, after at most ROUNDS rounds with one leader each.
+HOT, PAIRS, BLOCK, ROUNDS = 256, 32, 256, 3
 
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20_240_517)
@@ -245,6 +250,141 @@ def joined_up(labels: DataFrame, found: DataFrame) -> DataFrame:
     return save_table(labels.union(alone).join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "near-labels")
 
 
+def run_sets(texts: DataFrame) -> DataFrame:
+    """Per text (key, t): its labelled runs' hashes, those of different runs first, ``n`` (all) and ``p`` (different)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                runs, different = [], []
+                for t in batch.column("t"):
+                    _, occurrence, label = labelled_runs(word_hashes(words_of(t.as_py())))
+                    runs.append(label[np.argsort(occurrence, kind="stable")].view(np.int64))
+                    different.append(int((occurrence == 0).sum()))
+                cols = [batch.column("key"), pa.array(runs, pa.list_(pa.int64())), pa.array(list(map(len, runs)), pa.int32()), pa.array(different, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "runs", "n", "p"])
+
+    return texts.select("key", "t").mapInArrow(run, "key binary, runs array<bigint>, n int, p int")
+
+
+def rarest_runs(sets: DataFrame, similarity: float) -> DataFrame:
+    """``token``, ``key`` and ``common`` (how many texts a run of it is in, on average): each text's rarest runs.
+
+    Runs are ordered by the number of texts that hold them. Two texts that are near by sets, or by edits, have one in common
+    among so many of the first that the rest of either is too small for the similarity. Runs of one text only are left out.
+    """
+    tokens = sets.select("key", "n", "p", F.posexplode("runs").alias("i", "token")).select("key", "n", "p", (F.col("i") < F.col("p")).cast("int").alias("first"), "token")
+    counts = save_table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-run-counts")
+    held = tokens.join(counts.where(F.col("df") <= HOT), "token").unionByName(tokens.join(small(counts.where(F.col("df") > HOT)), "token"))
+    own = Window.partitionBy("key")
+    by = own.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = held.select("token", "key", "n", "p", "first", F.count(F.lit(1)).over(by).alias("at"), F.sum("first").over(by).alias("at_set"), F.count(F.lit(1)).over(own).alias("n_held"), F.sum("first").over(own).alias("p_held"), (F.sum("df").over(own) / F.col("n")).alias("common"))
+    by_sets = (F.col("first") == 1) & (F.col("at_set") + F.col("p") - F.col("p_held") <= F.col("p") - F.ceil(F.col("p") * F.lit(similarity) - F.lit(1e-9)) + 1)
+    by_edits = F.col("at") + F.col("n") - F.col("n_held") <= F.floor(F.col("n") * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-9)) + 1
+    return ranked.where(by_sets | by_edits).select("token", "key", "common")
+
+
+def block_links(rows: pa.Table, similarity: float, low: int, high: int) -> list[tuple[bytes, bytes]]:
+    """Pairs of one block with another (or itself) that may be near by the numbers of runs in common.
+
+    Those near as sets join their components here, so a dense group gives a spanning forest and not all its pairs.
+    """
+    keys, blocks = rows.column("key").to_pylist(), np.array(rows.column("b").to_pylist())
+    names: dict = {}
+    root = [names.setdefault(x, len(names)) for x in rows.column("label").to_pylist()]
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    n, p = np.array(rows.column("n").to_pylist()), np.array(rows.column("p").to_pylist())
+    lists = rows.column("runs").combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    is_first = np.concatenate([np.arange(x) < y for x, y in zip(n, p, strict=True)])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    numbers = np.cumsum(times > 1) - 1
+    row, column, is_first = row[shared], numbers[column[shared]], is_first[shared]
+    order = np.argsort(column, kind="stable")
+    row, column, is_first = row[order], column[order], is_first[order]
+    sets, all_runs, step = np.zeros((len(n), len(n)), dtype=np.float64), np.zeros((len(n), len(n)), dtype=np.float64), 4_096
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        i, j = np.searchsorted(column, [a, a + step])
+        for out, keep in ((sets, is_first[i:j]), (all_runs, slice(None))):
+            m = np.zeros((len(n), step), dtype=np.float32)
+            m[row[i:j][keep], column[i:j][keep] - a] = 1
+            out += m @ m.T
+    near = sets >= similarity * (p[:, None] + p[None, :] - sets) - 1e-9
+    longest = np.maximum(n[:, None], n[None, :])
+    maybe = all_runs >= longest - np.floor(longest * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    meet = (blocks[:, None] == low) & (blocks[None, :] == high)
+    out = []
+    for sure, some in ((True, near & meet), (False, maybe & ~near & meet)):
+        for x, y in zip(*np.nonzero(some), strict=True):
+            r, q = find(root[x]), find(root[y])
+            if r != q:
+                out.append((keys[x], keys[y]) if keys[x] < keys[y] else (keys[y], keys[x]))
+                if sure:
+                    parent[r] = q
+    return out
+
+
+def block_pairs(hot: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) among the texts of each large group: a task compares two blocks of it, and no row is a mere pair."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = hot.select("token", "key", "label", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("b"), blocks.alias("blocks"))
+    dealt = dealt.select("token", "key", "label", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("token", "key", "label", "b", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high")).join(sets, "key")
+
+    def run(group: tuple, rows: pa.Table) -> pa.Table:
+        found = block_links(rows, similarity, group[1].as_py(), group[2].as_py())
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    return dealt.groupBy("token", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def closed(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
+    """``labels`` after all links between members of ``buckets`` (j, c, key) that are not linked throughout yet."""
+    own = labels.withColumnRenamed("node", "key")
+    now = buckets.join(own, "key", "left").groupBy("j", "c").agg(F.min(F.coalesce("label", "key")).alias("least"), F.max(F.coalesce("label", "key")).alias("most"))
+    left = save_table(buckets.join(now.where("least <> most").select("j", "c"), ["j", "c"]).select("key").distinct(), "near-left")
+    if not left.limit(1).count():
+        return labels
+    sets = save_table(run_sets(bodies.join(small(left), "key", "left_semi").repartition(max(1, left.count() // 1_000))), "near-run-sets")
+    rare = save_table(rarest_runs(sets, similarity), "near-rare-runs")
+    for turn in range(ROUNDS + 1):
+        at = rare.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        # the leader is the text whose runs most others have, such as the original of many copies
+        leader = F.max(F.struct("common", "key", "label")).alias("l")
+        groups = save_table(at.groupBy("token").agg(leader, F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members")).where("least <> most").drop("least", "most"), "near-rare-groups")
+        if not groups.limit(1).count():
+            return labels
+        last = turn == ROUNDS
+        rare = save_table(at.drop("label").join(small(groups.select("token")), "token", "left_semi"), "near-rare-open")
+        met = at.select("token", "key", "label").join(small(groups), "token")
+        if not last:
+            pairs = met.where(F.col("label") != F.col("l.label")).select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
+        else:
+            met = save_table(met.drop("l"), "near-rare-members")
+            few = met.where(F.col("members") <= PAIRS)
+            side = lambda x: few.select("token", F.col("key").alias(x), F.col("label").alias(f"label_{x}"))
+            pairs = side("a").join(side("b"), "token").where("a < b AND label_a <> label_b").select("a", "b").distinct()
+            many = met.where(F.col("members") > PAIRS)
+            if many.limit(1).count():
+                pairs = pairs.union(block_pairs(many, sets, similarity)).distinct()
+        pairs = save_table(pairs.join(checked, ["a", "b"], "left_anti"), "near-rare-pairs")
+        if not pairs.limit(1).count():
+            continue
+        checked = checked.union(pairs)
+        labels = joined_up(labels, save_table(verified(pairs, bodies, similarity), "near-links"))
+    return labels
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row per distinct text that is in a class with another row: key, class_id, class_size, rep_key, rep_id and same.
 
@@ -259,13 +399,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     nodes = texts.where("sketch IS NOT NULL").select("key", "words", "runs", "sketch")
     # until the first links are known each text is a component of its own
     members = nodes.select("key", "words", "runs", F.col("key").alias("label"), F.posexplode("sketch").alias("j", "c"))
-    labels, bodies, checked = None, None, None
+    labels, bodies, checked, first = None, None, None, None
     for level in range(1, LEVELS + 1):
         # by component first: the two leaders of a divided bucket are of different ones
         one = F.struct("label", "key", "words", "runs")
         groups = members.groupBy("j", "c").agg(F.array(F.min(one), F.max(one)).alias("leaders"), F.count(F.lit(1)).alias("members")).where("members > 1")
         members = save_table(members.join(groups, ["j", "c"]), "near-buckets")
         if bodies is None:
+            first = members.where("members > 3").select("j", "c", "key")
             bodies = texts_of(save_table(members.select("key").distinct(), "near-keys"), docs, text)
         star = members.select("key", "words", "runs", "label", F.explode("leaders").alias("l")).where(F.col("label") != F.col("l.label"))
         star = star.where(sizes_allow(similarity)).select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
@@ -284,6 +425,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
         following = F.element_at("sketch", ((F.col("j") + level) % M + 1).cast("int"))
         # written, as it is read twice: for the groups and for their members
         members = save_table(members.join(nodes.select("key", "sketch"), "key").select("key", "words", "runs", "label", "j", F.xxhash64("c", following).alias("c")), "near-members")
+    labels = closed(first, labels, bodies, checked, similarity)
     named = texts.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", "n", F.coalesce("label", "key").alias("label"))
     least = F.min(F.struct("rep.none", "rep.id", "key", "rep.same"))
     groups = named.groupBy("label").agg(least.alias("r"), F.sum("n").alias("class_size")).where("class_size > 1")

@@ -109,3 +109,16 @@ def test_moved_and_repeated_passages(spark):
         base = [word() for _ in range(200)]
         texts += [" ".join(base), " ".join(base + base[40:100])]
     assert_brute(spark, texts)
+
+
+def test_copies_that_are_near_their_original_only(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(200)]
+    texts = [" ".join(base)]
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(2, 198), 4):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    assert_brute(spark, texts)
