@@ -122,3 +122,30 @@ def test_copies_that_are_near_their_original_only(spark):
             copy[at] = word()
         texts.append(" ".join(copy))
     assert_brute(spark, texts)
+
+
+def template_texts(pairs):
+    """Different texts on one long template, in pairs that share a little more: all of a pair's numbers can be the template's."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    template = [word() for _ in range(168)]
+    texts = []
+    for _ in range(pairs):
+        common = [word() for _ in range(11)]
+        texts += [" ".join(template + common + [word() for _ in range(21)]) for _ in range(2)]
+    return texts
+
+
+def test_hundreds_of_different_texts_in_a_bucket(spark):
+    assert_brute(spark, template_texts(120))
+
+
+def test_blocks_give_the_pairs_of_all_runs():
+    import pyarrow as pa
+
+    texts = template_texts(10)
+    sets = [nd.labelled_runs(nd.word_hashes(nd.words_of(t)))[2].view(np.int64) for t in texts]
+    names = [b"%02d" % i for i in range(len(texts))]
+    rows = pa.table({"key": names, "label": names, "b": [i % 2 for i in range(len(texts))], "n": list(map(len, sets)), "p": list(map(len, sets)), "runs": sets})
+    found = [p for low, high in ((0, 0), (0, 1), (1, 1)) for p in nd.block_links(rows.filter(pa.array([i % 2 in (low, high) for i in range(len(texts))])), nd.SIMILARITY, low, high)]
+    assert sorted(found) == [(names[i], names[i + 1]) for i in range(0, len(texts), 2)]
