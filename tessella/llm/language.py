@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 
-#: The dictionaries are built from so many labelled documents of each language, the least by a hash, so many
-#: characters of each, and have so many bytes. This bounds the model; predictions read whole texts.
-SAMPLE_DOCS, SAMPLE_CHARS, SHARE_BYTES, DICT_BYTES = 400, 4_000, 1_000, 131_072
+#: The dictionaries are built from so many different labelled texts of each language, the least by a hash, so many
+#: characters of each, and hold so many bytes of each. This bounds the model; predictions read whole texts.
+SAMPLE_DOCS, SAMPLE_CHARS, SHARE_BYTES = 400, 4_000, 1_000
+DICT_BYTES = SAMPLE_DOCS * (SHARE_BYTES + 1)
 #: A text is compressed in blocks, so that the dictionary and not the text's own beginning predicts all of it.
 BLOCK_BYTES = 4_096
 #: Short texts give few bytes to tell by and are compressed harder.
@@ -55,10 +56,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """Learns from rows that are not held out and have both a text and a language."""
     labelled = docs.where(~is_held_out(F.col(doc_id)) & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(3), F.col(text)).alias("h"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # of a common language only a hash range goes on, which holds about three times SAMPLE_DOCS rows
-    names, shares = list(counts), [min(1.0, 3 * SAMPLE_DOCS / n) for n in counts.values()]
+    # copies are one text, by language and hash with partial sums; of a common language only a hash range of different
+    # texts goes on, which holds about three times SAMPLE_DOCS of them
+    distinct = {r["lang"]: r["n"] for r in labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names, shares = list(distinct), [min(1.0, 3 * SAMPLE_DOCS / n) for n in distinct.values()]
     last = F.element_at(F.array(*[F.lit(min(2**63 - 1, -(2**63) + int(2**64 * s))) for s in shares]), F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int")) if counts else F.lit(0)
-    few = labelled.where(F.col("h") <= last).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    few = labelled.where(F.col("h") <= last).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     least = few.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= SAMPLE_DOCS)
     parts: dict[str, list[bytes]] = {}
     for r in least.orderBy("lang", "i").toLocalIterator():

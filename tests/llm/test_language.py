@@ -20,3 +20,16 @@ def test_odd_rows(spark):
     assert language.identify(odd.limit(0), model).count() == 0
     nothing = language.fit(docs.limit(0))
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    # letters only, so that texts stay different after normalize(); 600 texts, and one text as often as half of them
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i * 7919 % 100_000:05d}")
+    texts = [" ".join(word(150 * i + k) for k in range(150)) for i in range(600)]
+    first = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "xxhash64(3, text) AS h").orderBy("h").first().text
+    rows = [(t, "en") for t in texts] + [(first, "en")] * 500
+    docs = spark.createDataFrame([(i * 5 + 1, t, l) for i, (t, l) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.dictionaries[0].count(language.normalize(first)[: language.SHARE_BYTES]) == 1
+    used = docs.distinct().where(~language.is_held_out(docs.doc_id)).select("text").distinct().count()
+    assert len(model.dictionaries[0]) > 0.8 * min(used, language.SAMPLE_DOCS) * 800
