@@ -137,7 +137,14 @@ def term_rows(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFram
     own = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
     known = terms.select("term").limit(BROADCAST_ROWS + 1).collect()
     if len(known) > BROADCAST_ROWS:
-        words = own.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1_000):
+                    found = [w for t in whole.column("t").slice(at, 1_000) for w in {w.lower() for w in _WORD.findall(t.as_py())}]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["term"])
+
+        words = own.mapInArrow(split, "term string")
         return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in known))
 
@@ -145,7 +152,7 @@ def term_rows(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFram
         counts: Counter[str] = Counter()
         for batch in batches:
             for t in batch.column("t"):
-                counts.update(shared.value.intersection(_WORD.findall(t.as_py().lower())))
+                counts.update(shared.value.intersection({w.lower() for w in _WORD.findall(t.as_py())}))
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 

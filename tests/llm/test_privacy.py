@@ -68,3 +68,11 @@ def test_query_columns(spark):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.spans.startswith(said)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in privacy.KINDS]
     assert any(r.spans for r in got)
+
+
+def test_terms_are_counted_as_they_are_found(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"İstanbul office{i} jo.x@mail.example.com") for i in range(4)], "doc_id long, text string")
+    terms = spark.createDataFrame([("İstanbul".lower(),)], "term string")
+    for most in (privacy.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(privacy, "BROADCAST_ROWS", most)
+        assert [tuple(r) for r in privacy.term_rows(docs, terms).collect()] == [("İstanbul".lower(), 4)]
