@@ -51,20 +51,20 @@ def deserialize(raw: bytes) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(path: str, special: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = not special
     return t
 
 
-def _encode_words(path: str, words: list[str]) -> list[bytes]:
+def _encode_words(path: str, special: bool, words: list[str]) -> list[bytes]:
     out: list[bytes] = []
     for k in range(0, len(words), 20_000):
         part = words[k : k + 20_000]
-        e = _tokenizer(path).encode(part, is_pretokenized=True, add_special_tokens=False)
+        e = _tokenizer(path, special).encode(part, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(e.ids, dtype="<u4")
         at = np.array(e.word_ids, dtype=np.int64)
         ends = (np.searchsorted(at, np.arange(len(part)), side="right") * 4).tolist()
@@ -74,16 +74,20 @@ def _encode_words(path: str, words: list[str]) -> list[bytes]:
 
 
 @functools.lru_cache(maxsize=2)
-def _cache(path: str) -> PieceCache:
-    return PieceCache(functools.partial(_encode_words, path))
+def _cache(path: str, special: bool) -> PieceCache:
+    return PieceCache(functools.partial(_encode_words, path, special))
 
 
-def encode_texts(texts: list[str], path: str, drops_white_space: bool = True) -> list[np.ndarray]:
-    """The library's ids of each text. A tokenizer that splits at white space and drops it is asked once per word."""
+def encode_texts(texts: list[str], path: str, drops_white_space: bool = True, special: bool = False) -> list[np.ndarray]:
+    """The library's ids of each text. A tokenizer that splits at white space and drops it is asked once per word.
+
+    With ``special``, the library's default, the strings of special tokens in a text give their ids; else they are
+    ordinary text.
+    """
     if not drops_white_space:
-        return [np.array(e.ids, dtype="<u4") for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4") for e in _tokenizer(path, special).encode_batch(texts, add_special_tokens=False)]
     words = [t.replace("\n", " ").split(" ") for t in texts]
-    known = _cache(path).load(w for ws in words for w in ws)
+    known = _cache(path, special).load(w for ws in words for w in ws)
     return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in words]
 
 
@@ -91,7 +95,7 @@ def train_dictionary(docs: DataFrame, path: str, text: str = "text", doc_id: str
     """A dictionary from at most ``sample_docs`` documents; raw content where there is too little to train on."""
     order = F.xxhash64(F.lit(17), F.col(doc_id), F.col(text))
     sample = hash_sample(docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, sample_chars).alias("t"), order.alias("h")), sample_docs)
-    arrays = [serialize(ids) for ids in encode_texts([r["t"] for r in sample], path)] if sample else []
+    arrays = [serialize(ids) for ids in encode_texts([r["t"] for r in sample], path, special=True)] if sample else []
     try:
         return zstandard.train_dictionary(size, arrays, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -127,7 +131,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, text: str = "text
                     head = MAGIC + bytes.fromhex(sha) + struct.pack("<I", len(shared.value)) + shared.value
                     out.write(head)
                     size = len(head)
-                encoded = encode_texts(texts, path)
+                encoded = encode_texts(texts, path, special=True)
                 frames = [compress(serialize(np.concatenate([ids, end]))) for ids in encoded]
                 out.write(b"".join(frames))
                 for ids, frame in zip(encoded, frames, strict=True):

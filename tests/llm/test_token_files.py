@@ -46,3 +46,13 @@ def test_files(spark, library):
     f = tf.TokenFile(manifest.first().path)
     assert f.document(f.n - 1)[-1] == 2
     assert tf.read_token_files(tf.write_token_files(docs.limit(0), scratch_path(spark, "t"), PATH)).collect() == []
+
+
+def test_special_tokens_as_in_a_plain_call(spark):
+    plain = tokenizers.Tokenizer.from_file(PATH)
+    texts = [*ODD, "<|endoftext|>", "a<|endoftext|>b <|startoftext|>c", "x <|endoftext|> y", "<|endoftext|><|endoftext|>\n\n<|startoftext|> it's", "<|ENDOFTEXT|> <|endoftext", "İ<|endoftext|>'s"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tf.encode_texts(texts, PATH, special=True)] == want and 49407 in want[-2] + want[-5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = tf.read_token_files(tf.write_token_files(docs, scratch_path(spark, "t"), PATH)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in got} == {i: zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes()) for i, ids in enumerate(want)}
