@@ -517,9 +517,15 @@ SET = "list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^\\p{{
 SELECT a, b, round(CASE WHEN same THEN 1.0::DOUBLE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 9) AS jaccard FROM s""")
 def jaccard_pairs(spark, d):
     """Each document against the next one of its source."""
-    docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("a"), "source", F.col("text").alias("ta"))
-    w = Window.partitionBy("source").orderBy("a")
-    nxt = docs.withColumn("b", F.lead("a").over(w)).withColumn("tb", F.lead("ta").over(w)).where("b IS NOT NULL")
+    docs = v.table(spark, d, "documents")
+    # ids alone are sorted, in ranges of them; the last of a range is followed by the first of the source's next range
+    ids = docs.select(F.col("doc_id").alias("a"), "source", F.floor(F.col("doc_id") / 10_000).alias("part")).where("source IS NOT NULL")
+    heads = ids.groupBy("source", "part").agg(F.min("a").alias("head"))
+    heads = heads.select("source", "part", F.lead("head").over(Window.partitionBy("source").orderBy("part")).alias("then"))
+    own = ids.withColumn("b", F.lead("a").over(Window.partitionBy("source", "part").orderBy("a")))
+    nxt = own.join(heads, ["source", "part"]).select("a", F.coalesce("b", "then").alias("b")).where("b IS NOT NULL")
+    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    nxt = nxt.join(text("a"), "a").join(text("b"), "b")
     return nxt.select("a", "b", F.round(t.char_jaccard(F.col("ta"), F.col("tb")), 9).alias("jaccard"))
 
 
