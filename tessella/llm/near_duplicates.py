@@ -2,20 +2,22 @@
 
 A document's k-mers are runs of five words, labelled with their occurrence number. For each of M hash functions the L
 least labelled k-mers are taken and kept in text order; one 64-bit number stands for them. This is sensitive to edit
-similarity: moved text changes the order, repeated text the labels. Documents that share such a number are candidates, and
-a banded alignment of their words decides.
-
-Equal texts are one node from the start. In each bucket every text is aligned with two leaders: all pairs of up to three
-texts, and edges in proportion to the members of any larger group. A larger bucket that is not linked throughout is divided
-by the next number of its members' sketches and treated again, so texts that are alike meet in ever smaller company.
-That joins most texts at little cost but parts some pairs unseen. So the members of all first buckets that are still not
-linked throughout are joined exactly, on the rarest runs of each: near texts have one of them in common. The classes are
-the connected components.
+similarity: moved text changes the order, repeated text the labels. Documents that share such a number are in a bucket,
+are candidates of each other, and a banded alignment of their words decides: two texts are near if the word edits between
+them are at most a fifth of the longer one's words.
+
+Equal texts are one node from the start. First each text is aligned with one leader per bucket. Components of what was linked
+then leave open those buckets whose texts are in several components. In these all pairs of different components are compared:
+a task takes the texts of a bucket, finds by the numbers of common words which pairs can be near at all, and aligns them.
+Buckets of more than BLOCK texts go through an exact join on the rarest two-word runs of each text first, of which near
+texts have one in common, and what is still large is compared block against block. No pair that shares a number is left out,
+and no pairs are emitted but the linked ones. The classes are the connected components.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +29,12 @@ from xxhash import xxh3_64_intdigest
 
 from .common import fresh, save_table, small
 
-K, L, M = 5, 3, 24
+K, L, M = 5, 2, 24
 SIMILARITY = 0.8
-#: Buckets are divided by so many numbers in a row at most.
-LEVELS = 6
-#: Of the buckets that stay open: runs in more texts than HOT are joined apart; groups of at most PAIRS texts are paired,
-#: larger ones compared in blocks of BLOCK texts, after at most ROUNDS rounds with one leader each.
-HOT, PAIRS, BLOCK, ROUNDS = 256, 32, 256, 3
+#: Buckets of more texts, or of more words in all, are divided by rare runs of RUN words and then into blocks.
+BLOCK, BLOCK_WORDS, RUN = 256, 400_000, 2
+#: Runs in more texts than this are joined apart, against a list that is broadcast if it is small.
+HOT = 256
 
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20_240_517)
@@ -65,25 +66,28 @@ def kmer_hashes(words: np.ndarray, k: int = K) -> np.ndarray:
     return h
 
 
-def labelled_runs(words: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each run's hash, its occurrence number among equal runs, and a hash of both."""
-    with np.errstate(over="ignore"):
-        h = kmer_hashes(words, k)
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        place = np.arange(len(s))
-        occurrence = np.empty(len(s), dtype=np.uint64)
-        occurrence[order] = (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
-        return h, occurrence, _mix(h + occurrence * _ODD)
+def occurrences(h: np.ndarray) -> np.ndarray:
+    """The number of equal values before each value."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    place = np.arange(len(s))
+    out = np.empty(len(s), dtype=np.uint64)
+    out[order] = (place - np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), place, 0))).astype(np.uint64)
+    return out
 
 
-def sketch(words: np.ndarray, k: int = K, least: int = L) -> np.ndarray | None:
-    """M numbers, or None if the text has fewer than ``k`` words."""
-    return None if len(words) < k else sketch_of(*labelled_runs(words, k), least)
+def labelled_runs(words: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Each run's hash, and a hash of it and its occurrence number among equal runs. A shorter text is one run."""
+    with np.errstate(over="ignore"):
+        h = kmer_hashes(words.astype(np.uint64), min(k, len(words)))
+        return h, _mix(h + occurrences(h) * _ODD)
 
 
-def sketch_of(h: np.ndarray, occurrence: np.ndarray, label: np.ndarray, least: int = L) -> np.ndarray:
+def sketch(words: np.ndarray, k: int = K, least: int = L) -> np.ndarray:
+    """M numbers; none for a text without words."""
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    h, label = labelled_runs(words, k)
     with np.errstate(over="ignore"):
         take = min(least, len(h))
         step = max(1, 2_000_000 // len(h))
@@ -141,83 +145,71 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return distance if distance <= most else None
 
 
-def are_near(left: list[str], right: list[str], similarity: float = SIMILARITY, k: int = K) -> bool:
-    """Whether two texts' sequences of k-word runs are similar enough.
+def most_edits(words: int, similarity: float = SIMILARITY) -> int:
+    """How many word edits may part two near texts, the longer of which has so many words."""
+    return int(words * (1 - similarity) + 1e-9)
 
-    By the alignment, with d edits and the longer length n, n - d runs agree and n + d are there in all: their ratio. Where
-    that falls short, the Jaccard index of the sets of runs counts, which moved or repeated passages don't lower.
-    """
-    if len(left) < k or len(right) < k:
-        return left == right
-    ids: dict = {}
-    words = lambda s: [ids.setdefault(w, len(ids)) for w in s]
-    runs = lambda s: [ids.setdefault(r, len(ids)) for r in zip(*(s[i:] for i in range(k)), strict=False)]
-    a, b = runs(words(left)), runs(words(right))
-    p, q = set(a), set(b)
-    common = len(p & q)
-    near_by_sets = common >= similarity * (len(p) + len(q) - common)
-    most = int(max(len(a), len(b)) * (1 - similarity) / (1 + similarity) + 1e-9)
-    if not near_by_sets and max(len(p), len(q)) - common > most:
-        return False  # each run that the other text lacks takes an edit
-    x, y = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+def are_near(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sequences of words are at most ``most_edits`` apart; only their alignment says so."""
+    longer = max(len(a), len(b))
+    most = most_edits(longer, similarity)
+    if abs(len(a) - len(b)) > most:
+        return False
     for _ in range(2):  # without the common beginning and end
-        n = min(len(x), len(y))
-        diff = np.flatnonzero(x[:n] != y[:n])
+        n = min(len(a), len(b))
+        diff = np.flatnonzero(a[:n] != b[:n])
         cut = int(diff[0]) if len(diff) else n
-        x, y = x[cut:][::-1], y[cut:][::-1]
-    return banded_distance(x, y, most) is not None or near_by_sets
+        a, b = a[cut:][::-1], b[cut:][::-1]
+    longer = max(len(a), len(b))
+    if longer <= most:
+        return True
+    # a word that the other text lacks takes an edit
+    if longer - sum((Counter(a.tolist()) & Counter(b.tolist())).values()) > most:
+        return False
+    return banded_distance(a, b, most) is not None
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, ``key`` (MD5 of the text), ``words`` (their number), ``runs`` (that of different runs) and ``sketch`` (null below K words)."""
-    schema = StructType([StructField("id", LongType()), StructField("key", BinaryType()), StructField("words", IntegerType()), StructField("runs", IntegerType()), StructField("sketch", ArrayType(LongType()))])
+    """Per row: id, ``key`` (MD5 of the text), ``n`` (words), ``sketch`` (its different numbers) and ``words`` (32-bit hashes)."""
+    schema = StructType([StructField("id", LongType()), StructField("key", BinaryType()), StructField("n", IntegerType()), StructField("sketch", ArrayType(LongType())), StructField("words", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 batch = whole.slice(at, 1_000)
-                counts, different, found = [], [], []
+                counts, found, words = [], [], []
                 for t in batch.column("t"):
-                    words = words_of(t.as_py())
-                    counts.append(len(words))
-                    runs = labelled_runs(word_hashes(words)) if len(words) >= K else None
-                    different.append(0 if runs is None else int((runs[1] == 0).sum()))
-                    found.append(None if runs is None else sketch_of(*runs).view(np.int64))
-                cols = [batch.column("id"), batch.column("key"), pa.array(counts, pa.int32()), pa.array(different, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+                    hashes = word_hashes(words_of(t.as_py()))
+                    counts.append(len(hashes))
+                    found.append(np.unique(sketch(hashes)).view(np.int64))
+                    words.append(hashes.astype("<u4").tobytes())
+                cols = [batch.column("id"), batch.column("key"), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.md5(text)).alias("key"), F.col(text).alias("t"))
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.unhex(F.md5(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("t"))
     return rows.mapInArrow(run, schema)
 
 
-def sizes_allow(similarity: float, a: str = "", b: str = "l."):
-    """Whether two texts can be near by their numbers of different runs (as sets) or of all runs (by edits)."""
-    both = lambda f, c: f(f"{a}{c}", f"{b}{c}")
-    by_sets = both(F.least, "runs") >= F.lit(similarity) * both(F.greatest, "runs") - F.lit(1e-6)
-    longest = both(F.greatest, "words") - F.lit(K - 1)
-    by_edits = both(F.greatest, "words") - both(F.least, "words") <= F.floor(longest * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-9))
-    return by_sets | by_edits
+def sizes_allow(similarity: float, a: str, b: str):
+    """Whether two texts can be near by their numbers of words."""
+    return F.greatest(a, b) - F.least(a, b) <= F.floor(F.greatest(a, b) * F.lit(1 - similarity) + F.lit(1e-9))
 
 
-def texts_of(keys: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """One text for each of ``keys``: the only texts that are moved."""
-    texts = docs.where(F.col(text).isNotNull()).select(F.unhex(F.md5(text)).alias("key"), F.col(text).alias("t"))
-    return save_table(texts.join(small(keys), "key", "left_semi").groupBy("key").agg(F.first("t").alias("t")), "near-texts")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: keys) whose texts are near."""
-    spread = pairs.repartition(max(1, min(20_000, pairs.count() // 200)))
-    both = spread.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
+def verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: keys) whose texts are near. Spark can split both joins where a text has many pairs."""
+    side = lambda x: bodies.select(F.col("key").alias(x), F.col("words").alias(f"words_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keep = [are_near(words_of(x.as_py()), words_of(y.as_py()), similarity) for x, y in zip(part.column("ta"), part.column("tb"), strict=True)]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                part = whole.slice(at, 500)
+                left, right = ([np.frombuffer(x.as_buffer(), "<u4") for x in part.column(c)] for c in ("words_a", "words_b"))
+                keep = [are_near(x, y, similarity) for x, y in zip(left, right, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,46 +242,32 @@ def joined_up(labels: DataFrame, found: DataFrame) -> DataFrame:
     return save_table(labels.union(alone).join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "near-labels")
 
 
-def run_sets(texts: DataFrame) -> DataFrame:
-    """Per text (key, t): its labelled runs' hashes, those of different runs first, ``n`` (all) and ``p`` (different)."""
+def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` (key, ...) with the label of each text's component; a text without links is its own."""
+    own = labels.select(F.col("node").alias("key"), F.col("label").alias("known"))
+    return members.join(small(own), "key", "left").withColumn("label", F.coalesce("known", "key")).drop("known")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                runs, different = [], []
-                for t in batch.column("t"):
-                    _, occurrence, label = labelled_runs(word_hashes(words_of(t.as_py())))
-                    runs.append(label[np.argsort(occurrence, kind="stable")].view(np.int64))
-                    different.append(int((occurrence == 0).sum()))
-                cols = [batch.column("key"), pa.array(runs, pa.list_(pa.int64())), pa.array(list(map(len, runs)), pa.int32()), pa.array(different, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "runs", "n", "p"])
 
-    return texts.select("key", "t").mapInArrow(run, "key binary, runs array<bigint>, n int, p int")
+def met(members: DataFrame) -> DataFrame:
+    """``members`` (g, key, n) of groups of two texts and more, with the group's ``leader``, ``size`` and ``total`` words.
 
+    The leader is the text with the least key, so a text leads nearly all groups of its near texts.
+    """
+    groups = members.groupBy("g").agg(F.min(F.struct("key", "n")).alias("leader"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    # written before the join: Spark can then split the members of a large group
+    groups = save_table(groups.where("size > 1"), "near-groups")
+    return save_table(members.join(small(groups), "g"), "near-members")
 
-def rarest_runs(sets: DataFrame, similarity: float) -> DataFrame:
-    """``token``, ``key`` and ``common`` (how many texts a run of it is in, on average): each text's rarest runs.
 
-    Runs are ordered by the number of texts that hold them. Two texts that are near by sets, or by edits, have one in common
-    among so many of the first that the rest of either is too small for the similarity. Runs of one text only are left out.
-    """
-    tokens = sets.select("key", "n", "p", F.posexplode("runs").alias("i", "token")).select("key", "n", "p", (F.col("i") < F.col("p")).cast("int").alias("first"), "token")
-    counts = save_table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-run-counts")
-    held = tokens.join(counts.where(F.col("df") <= HOT), "token").unionByName(tokens.join(small(counts.where(F.col("df") > HOT)), "token"))
-    own = Window.partitionBy("key")
-    by = own.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = held.select("token", "key", "n", "p", "first", F.count(F.lit(1)).over(by).alias("at"), F.sum("first").over(by).alias("at_set"), F.count(F.lit(1)).over(own).alias("n_held"), F.sum("first").over(own).alias("p_held"), (F.sum("df").over(own) / F.col("n")).alias("common"))
-    by_sets = (F.col("first") == 1) & (F.col("at_set") + F.col("p") - F.col("p_held") <= F.col("p") - F.ceil(F.col("p") * F.lit(similarity) - F.lit(1e-9)) + 1)
-    by_edits = F.col("at") + F.col("n") - F.col("n_held") <= F.floor(F.col("n") * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-9)) + 1
-    return ranked.where(by_sets | by_edits).select("token", "key", "common")
+def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with labels, of the groups of three texts and more that are in several components."""
+    marked = with_labels(members.where("size > 2").select("g", "key", "n", "size", "total"), labels)
+    still = marked.groupBy("g").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("g")
+    return save_table(marked.join(small(save_table(still, "near-still")), "g"), "near-open")
 
 
 def block_links(rows: pa.Table, similarity: float, low: int, high: int) -> list[tuple[bytes, bytes]]:
-    """Pairs of one block with another (or itself) that may be near by the numbers of runs in common.
-
-    Those near as sets join their components here, so a dense group gives a spanning forest and not all its pairs.
-    """
+    """Links between texts of one block and another (or itself) that join different components, as a spanning forest."""
     keys, blocks = rows.column("key").to_pylist(), np.array(rows.column("b").to_pylist())
     names: dict = {}
     root = [names.setdefault(x, len(names)) for x in rows.column("label").to_pylist()]
@@ -301,164 +279,145 @@ def block_links(rows: pa.Table, similarity: float, low: int, high: int) -> list[
             x = parent[x]
         return x
 
-    n, p = np.array(rows.column("n").to_pylist()), np.array(rows.column("p").to_pylist())
-    lists = rows.column("runs").combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    words = [np.frombuffer(x, "<u4") for x in rows.column("words").to_pylist()]
+    n = np.array(list(map(len, words)))
+    labelled = np.concatenate([w + (occurrences(w) << np.uint64(32)) if len(w) else w.astype(np.uint64) for w in words])
+    _, column, times = np.unique(labelled, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(n)), n)
-    is_first = np.concatenate([np.arange(x) < y for x, y in zip(n, p, strict=True)])
-    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
     shared = times[column] > 1
-    numbers = np.cumsum(times > 1) - 1
-    row, column, is_first = row[shared], numbers[column[shared]], is_first[shared]
+    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
     order = np.argsort(column, kind="stable")
-    row, column, is_first = row[order], column[order], is_first[order]
-    sets, all_runs, step = np.zeros((len(n), len(n)), dtype=np.float64), np.zeros((len(n), len(n)), dtype=np.float64), 4_096
+    row, column = row[order], column[order]
+    common, step = np.zeros((len(n), len(n)), dtype=np.float64), 4_096
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         i, j = np.searchsorted(column, [a, a + step])
-        for out, keep in ((sets, is_first[i:j]), (all_runs, slice(None))):
-            m = np.zeros((len(n), step), dtype=np.float32)
-            m[row[i:j][keep], column[i:j][keep] - a] = 1
-            out += m @ m.T
-    near = sets >= similarity * (p[:, None] + p[None, :] - sets) - 1e-9
+        m = np.zeros((len(n), min(step, int(column[-1]) + 1 - a)), dtype=np.float32)
+        m[row[i:j], column[i:j] - a] = 1
+        common += m @ m.T
     longest = np.maximum(n[:, None], n[None, :])
-    maybe = all_runs >= longest - np.floor(longest * ((1 - similarity) / (1 + similarity)) + 1e-9)
-    meet = (blocks[:, None] == low) & (blocks[None, :] == high)
+    maybe = longest - common <= np.floor(longest * (1 - similarity) + 1e-9)
+    maybe &= (blocks[:, None] == low) & (blocks[None, :] == high)
+    if low == high:
+        maybe = np.triu(maybe, 1)
+    left, right = np.nonzero(maybe)
     out = []
-    for sure, some in ((True, near & meet), (False, maybe & ~near & meet)):
-        for x, y in zip(*np.nonzero(some), strict=True):
-            r, q = find(root[x]), find(root[y])
-            if r != q:
-                out.append((keys[x], keys[y]) if keys[x] < keys[y] else (keys[y], keys[x]))
-                if sure:
-                    parent[r] = q
+    for i in np.argsort(-(common[left, right] / longest[left, right]), kind="stable").tolist():
+        x, y = int(left[i]), int(right[i])
+        r, q = find(root[x]), find(root[y])
+        if r != q and are_near(words[x], words[y], similarity):
+            out.append((keys[x], keys[y]))
+            parent[r] = q
     return out
 
 
-def block_pairs(hot: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b) among the texts of each large group: a task compares two blocks of it, and no row is a mere pair."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = hot.select("token", "key", "label", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("b"), blocks.alias("blocks"))
-    dealt = dealt.select("token", "key", "label", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    dealt = dealt.select("token", "key", "label", "b", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high")).join(sets, "key")
+def compared(rows: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among the texts of each open group (g, key, label, size, total): a task has a group, or two blocks of it."""
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_WORDS)).cast("int")
+    dealt = rows.select("g", "key", "label", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    dealt = dealt.select("g", "key", "label", "b", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high")).join(bodies.select("key", "words"), "key")
 
-    def run(group: tuple, rows: pa.Table) -> pa.Table:
-        found = block_links(rows, similarity, group[1].as_py(), group[2].as_py())
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        found = block_links(table, similarity, group[1].as_py(), group[2].as_py())
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
-    return dealt.groupBy("token", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
+    return dealt.groupBy("g", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def closed(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
-    """``labels`` after all links between members of ``buckets`` (j, c, key) that are not linked throughout yet."""
-    own = labels.withColumnRenamed("node", "key")
-    now = buckets.join(own, "key", "left").groupBy("j", "c").agg(F.min(F.coalesce("label", "key")).alias("least"), F.max(F.coalesce("label", "key")).alias("most"))
-    left = save_table(buckets.join(now.where("least <> most").select("j", "c"), ["j", "c"]).select("key").distinct(), "near-left")
-    if not left.limit(1).count():
-        return labels
-    sets = save_table(run_sets(bodies.join(small(left), "key", "left_semi").repartition(max(1, left.count() // 1_000))), "near-run-sets")
-    rare = save_table(rarest_runs(sets, similarity), "near-rare-runs")
-    for turn in range(ROUNDS + 1):
-        at = rare.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        # the leader is the text whose runs most others have, such as the original of many copies
-        leader = F.max(F.struct("common", "key", "label")).alias("l")
-        groups = save_table(at.groupBy("token").agg(leader, F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members")).where("least <> most").drop("least", "most"), "near-rare-groups")
-        if not groups.limit(1).count():
-            return labels
-        last = turn == ROUNDS
-        rare = save_table(at.drop("label").join(small(groups.select("token")), "token", "left_semi"), "near-rare-open")
-        met = at.select("token", "key", "label").join(small(groups), "token")
-        if not last:
-            pairs = met.where(F.col("label") != F.col("l.label")).select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
-        else:
-            met = save_table(met.drop("l"), "near-rare-members")
-            few = met.where(F.col("members") <= PAIRS)
-            side = lambda x: few.select("token", F.col("key").alias(x), F.col("label").alias(f"label_{x}"))
-            pairs = side("a").join(side("b"), "token").where("a < b AND label_a <> label_b").select("a", "b").distinct()
-            many = met.where(F.col("members") > PAIRS)
-            if many.limit(1).count():
-                pairs = pairs.union(block_pairs(many, sets, similarity)).distinct()
-        pairs = save_table(pairs.join(checked, ["a", "b"], "left_anti"), "near-rare-pairs")
-        if not pairs.limit(1).count():
-            continue
-        checked = checked.union(pairs)
-        labels = joined_up(labels, save_table(verified(pairs, bodies, similarity), "near-links"))
-    return labels
+def rarest_runs(bodies: DataFrame, similarity: float) -> DataFrame:
+    """``g`` (a run), ``key`` and ``n``: of each text of ``bodies`` (key, n, words) the rarest labelled runs of RUN words.
+
+    An edit takes RUN runs at most. So near texts of which the longer has n words have at least n - RUN + 1 - RUN * edits runs in
+    common, which grows with n. Ordered by the number of texts that hold them, one of these is among so many of the
+    first that the rest of either text is too small. Runs of one text only are left out, but count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                runs = [labelled_runs(np.frombuffer(x.as_buffer(), "<u4"), RUN)[1].view(np.int64) for x in batch.column("words")]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(runs, pa.list_(pa.int64()))], names=["key", "n", "runs"])
+
+    sets = save_table(bodies.select("key", "n", "words").mapInArrow(run, "key binary, n int, runs array<bigint>"), "near-run-sets")
+    tokens = sets.select("key", "n", F.size("runs").alias("r"), F.explode("runs").alias("g"))
+    counts = save_table(tokens.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-run-counts")
+    held = tokens.join(counts.where(F.col("df") <= HOT), "g").unionByName(tokens.join(small(counts.where(F.col("df") > HOT)), "g"))
+    own = Window.partitionBy("key")
+    ranked = held.select("g", "key", "n", "r", F.row_number().over(own.orderBy("df", "g")).alias("at"), F.count(F.lit(1)).over(own).alias("held"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(1 - RUN * (1 - similarity)) - F.lit(1e-9)) - (RUN - 1))
+    return ranked.where(F.col("at") + F.col("r") - F.col("held") <= F.col("r") - need + 1).select("g", "key", "n")
+
+
+def links_of(members: DataFrame, bodies: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
+    """``labels`` after each of ``members`` (g, key, n, leader) met its group's leader."""
+    pairs = members.where((F.col("key") != F.col("leader.key")) & sizes_allow(similarity, "n", "leader.n")).select(F.col("leader.key").alias("a"), F.col("key").alias("b")).distinct()
+    if labels is not None:
+        pairs = with_labels(with_labels(pairs.withColumnRenamed("a", "key"), labels).withColumnRenamed("key", "a").withColumnRenamed("label", "label_a").withColumnRenamed("b", "key"), labels).where("label <> label_a").select("a", F.col("key").alias("b"))
+    found = save_table(verified(save_table(pairs, "near-pairs"), bodies, similarity), "near-links")
+    return components(found) if labels is None else joined_up(labels, found)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row per distinct text that is in a class with another row: key, class_id, class_size, rep_key, rep_id and same.
+    """A row per distinct text that is in a class with another row: key, class_id, class_size and rep_key.
 
-    ``rep_id``/``rep_key`` name the document that stays (the least id, nulls last, then the least key), ``same`` the rows
-    that repeat it exactly.
+    ``class_id`` and ``rep_key`` name the document that stays: the least id, nulls last, then the least key.
     """
-    rows = save_table(sketches(docs, doc_id, text), "near-sketches")
+    if not 1 - 1 / RUN < similarity <= 1:
+        raise ValueError(f"similarity must be above {1 - 1 / RUN} and at most 1")
+    rep = F.struct(F.col("id").isNull().alias("none"), "id")
     # copies become one node; the partial sums leave one row of a hot text per task
-    per_id = rows.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"), F.first("words").alias("words"), F.first("runs").alias("runs"), F.first("sketch").alias("sketch"))
-    rep = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("n").alias("same"))
-    texts = save_table(per_id.groupBy("key").agg(F.min(rep).alias("rep"), F.sum("n").alias("n"), F.first("words").alias("words"), F.first("runs").alias("runs"), F.first("sketch").alias("sketch")), "near-distinct")
-    nodes = texts.where("sketch IS NOT NULL").select("key", "words", "runs", "sketch")
-    # until the first links are known each text is a component of its own
-    members = nodes.select("key", "words", "runs", F.col("key").alias("label"), F.posexplode("sketch").alias("j", "c"))
-    labels, bodies, checked, first = None, None, None, None
-    for level in range(1, LEVELS + 1):
-        # by component first: the two leaders of a divided bucket are of different ones
-        one = F.struct("label", "key", "words", "runs")
-        groups = members.groupBy("j", "c").agg(F.array(F.min(one), F.max(one)).alias("leaders"), F.count(F.lit(1)).alias("members")).where("members > 1")
-        members = save_table(members.join(groups, ["j", "c"]), "near-buckets")
-        if bodies is None:
-            first = members.where("members > 3").select("j", "c", "key")
-            bodies = texts_of(save_table(members.select("key").distinct(), "near-keys"), docs, text)
-        star = members.select("key", "words", "runs", "label", F.explode("leaders").alias("l")).where(F.col("label") != F.col("l.label"))
-        star = star.where(sizes_allow(similarity)).select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
-        if checked is not None:
-            star = star.join(checked, ["a", "b"], "left_anti")
-        star = save_table(star, "near-star")
-        checked = star if checked is None else checked.union(star)
-        found = save_table(verified(star, bodies, similarity), "near-links")
-        labels = components(found) if labels is None else joined_up(labels, found)
-        # a bucket of more than three texts that are not all linked is divided by the next number
-        marked = members.where("members > 3").select("j", "c", "key", "words", "runs").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        still = marked.groupBy("j", "c").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("j", "c")
-        members = save_table(marked.join(still, ["j", "c"]), "near-open")
-        if level == LEVELS or not members.limit(1).count():
-            break
-        following = F.element_at("sketch", ((F.col("j") + level) % M + 1).cast("int"))
-        # written, as it is read twice: for the groups and for their members
-        members = save_table(members.join(nodes.select("key", "sketch"), "key").select("key", "words", "runs", "label", "j", F.xxhash64("c", following).alias("c")), "near-members")
-    labels = closed(first, labels, bodies, checked, similarity)
-    named = texts.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", "n", F.coalesce("label", "key").alias("label"))
-    least = F.min(F.struct("rep.none", "rep.id", "key", "rep.same"))
-    groups = named.groupBy("label").agg(least.alias("r"), F.sum("n").alias("class_size")).where("class_size > 1")
-    found = named.join(groups, "label").select("key", F.col("r.id").alias("class_id"), "class_size", F.col("r.key").alias("rep_key"), F.col("r.id").alias("rep_id"), F.col("r.same").alias("same"))
-    return save_table(found, "near-classes")
+    texts = sketches(docs, doc_id, text).groupBy("key").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("same"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("words").alias("words"))
+    texts = save_table(texts, "near-texts")
+    members = met(texts.select("key", "n", F.explode("sketch").alias("g")))
+    keys = save_table(members.select("key").distinct(), "near-keys")
+    bodies = save_table(texts.join(small(keys), "key", "left_semi").select("key", "n", "words"), "near-bodies")
+    labels = links_of(members, bodies, None, similarity)
+    still = open_groups(members, labels)
+    large = (F.col("size") > BLOCK) | (F.col("total") > BLOCK_WORDS)
+    labels = joined_up(labels, save_table(compared(still.where(~large), bodies, similarity), "near-links"))
+    crowd = save_table(still.where(large).select("key").distinct(), "near-crowd")
+    if crowd.limit(1).count():
+        parts = met(rarest_runs(bodies.join(small(crowd), "key", "left_semi"), similarity))
+        labels = links_of(parts, bodies, labels, similarity)
+        labels = joined_up(labels, save_table(compared(open_groups(parts, labels), bodies, similarity), "near-links"))
+    named = with_labels(texts.select("key", "rep", "same"), labels)
+    groups = named.groupBy("label").agg(F.min(F.struct("rep.none", "rep.id", "key")).alias("r"), F.sum("same").alias("class_size")).where("class_size > 1")
+    return save_table(named.join(groups, "label").select("key", F.col("r.id").alias("class_id"), "class_size", F.col("r.key").alias("rep_key")), "near-classes")
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str, similarity: float) -> tuple[DataFrame, list[str]]:
+    key, key2, rep_key, class_id, class_size, kept = names = fresh(docs, "near_key", "near_key2", "rep_key", "class_id", "class_size", "kept")
+    found = classes(docs, doc_id, text, similarity).select(F.col("key").alias(key2), F.col("class_id").alias(class_id), F.col("class_size").alias(class_size), F.col("rep_key").alias(rep_key))
+    joined = docs.withColumn(key, F.unhex(F.md5(f"`{text}`"))).join(small(found), F.col(key) == F.col(key2), "left")
+    alone, own = F.col(rep_key).isNull(), F.col(f"`{doc_id}`").cast("long")
+    stays = alone | ((F.col(key) == F.col(rep_key)) & own.eqNullSafe(F.col(class_id)))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(alone, own).otherwise(F.col(class_id)).alias(class_id), F.coalesce(class_size, F.lit(1)).cast("long").alias(class_size), stays.alias(kept)), names[3:]
 
 
 def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with ``class_id`` (the least id of its class), ``class_size`` and ``kept``.
 
-    One id of each class is kept. A row alone in its class has its own id. Null texts stand alone; empty texts are equal
-    to each other; texts under K words are only grouped with equal texts. Ids may be null (last) or repeat; rows that
-    repeat the kept row in id and text are all marked ``kept``, and ``deduplicate`` drops all but one. Columns of ``docs``
-    with these names are replaced.
+    One id of each class is kept. A row alone in its class has its own id. Null texts stand alone; texts without words are
+    only grouped with equal texts; texts under K words are one run. Ids may be null (last) or repeat; rows that
+    repeat the kept row in id and text are all marked ``kept``, and ``deduplicate`` drops all but one. An empty table
+    gives an empty one. Columns of ``docs`` stay; if one has a new column's name, the new one gets an underscore before it.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("class_id", "class_size", "kept")])
-    key, rep_key, rep_id, same = fresh(docs, "near_key", "rep_key", "rep_id", "same")
-    found = classes(docs, doc_id, text, similarity)
-    found = found.select(F.col("key").alias(key), "class_id", "class_size", F.col("rep_key").alias(rep_key), F.col("rep_id").alias(rep_id), F.col("same").alias(same))
-    own = docs.withColumn(key, F.unhex(F.md5(text)))
-    joined = own.join(small(found).withColumnRenamed(key, f"{key}_"), F.col(key) == F.col(f"{key}_"), "left")
-    alone = F.col(rep_key).isNull()
-    kept = alone | ((F.col(key) == F.col(rep_key)) & F.col(doc_id).cast("long").eqNullSafe(F.col(rep_id)))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(alone, F.col(doc_id).cast("long")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), kept.alias("kept"), F.coalesce(same, F.lit(1)).alias(same))
+    return _marked(docs, doc_id, text, similarity)[0]
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows and columns of ``docs`` that stay: one row of each class."""
-    marked = mark(docs, doc_id, text, similarity).where("kept")
-    same = marked.columns[-1]
+    """The rows and columns of ``docs`` that stay: one row of each class. See ``mark``."""
+    marked, (class_id, _, kept) = _marked(docs, doc_id, text, similarity)
+    left = marked.where(F.col(kept))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    once = marked.where(F.col(same) == 1).select(*cols)
-    repeated = marked.where(F.col(same) > 1).dropDuplicates(["class_id", text]).select(*cols)
+    # the only rows of which one can be too many repeat another in id and text: they are counted without their texts
+    (i, key, key2) = fresh(marked, "near_id", "near_key", "near_key2")
+    id_and_key = [F.col(f"`{doc_id}`").cast("long").alias(i), F.md5(f"`{text}`").alias(key)]
+    twice = save_table(docs.where(F.col(f"`{text}`").isNotNull()).select(*id_and_key).groupBy(i, key).count().where("count > 1").select(F.col(i), F.col(key).alias(key2)), "near-repeats")
+    keyed = left.withColumn(key, F.md5(f"`{text}`"))
+    same = (F.col(key) == F.col(key2)) & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(i))
+    once = keyed.join(small(twice), same, "left_anti").select(*cols)
+    repeated = keyed.join(small(twice), same, "left_semi").dropDuplicates([class_id, key]).select(*cols)
     return once.union(repeated)
 
 

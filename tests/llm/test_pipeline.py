@@ -5,6 +5,8 @@ import corpus_pipeline as cp
 from tessella.llm import language, near_duplicates as nd, privacy
 from tessella.llm.mixing import source_targets
 
+from .test_near_duplicates import brute
+
 
 def test_stages_against_plain_versions(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -19,13 +21,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert Counter(told.collect()) == Counter(kept) and len(kept) > 0.95 * len(rows)
 
     one = stage["near_dedup"](spark, told, sf_dir)
-    words = [nd.words_of(r.text) for r in kept]
-    label = list(range(len(kept)))
-    for i in range(len(kept)):
-        for j in range(i):
-            if label[i] != label[j] and (kept[i].text == kept[j].text or nd.are_near(words[i], words[j])):
-                a, b = label[i], label[j]
-                label = [b if x == a else x for x in label]
+    label = brute([r.text for r in kept])
     want = sorted(min((kept[i] for i in range(len(kept)) if label[i] == x), key=lambda r: r.doc_id).doc_id for x in set(label))
     got = sorted(r.doc_id for r in one.collect())
     assert got == want and one.columns == docs.columns
