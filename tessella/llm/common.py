@@ -20,12 +20,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary folder is taken.
+    It is ``spark.checkpoint.dir``; only where that is unset and the master is local (tests) a temporary folder is taken.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
             base = spark.sparkContext.getCheckpointDir()
     return base if ":" in base.split("/")[0] else f"file://{base}"
@@ -71,14 +73,26 @@ def running_totals(df: DataFrame, by: list[Column], value: str, start: str) -> D
 
 
 def hash_sample(df: DataFrame, rows: int, h: str = "h") -> list:
-    """At most ``rows`` rows, the least by the hash in column ``h``, on the driver.
+    """At most ``rows`` rows that differ in column ``h``, a hash, the least by it, on the driver.
 
-    A hash range that holds about twice as many is filtered first, so tasks do not each send ``rows`` rows.
+    A hash range that holds about twice as many different ones is filtered first, so tasks do not each send ``rows`` rows,
+    and however often a row is repeated it counts once.
     """
-    n = df.count()
+    n = df.select(h).distinct().count()
     if n > 4 * rows:
         df = df.where(F.col(h) < F.lit(-(2**63) + int(2**64 * (2 * rows / n))))
-    return df.orderBy(h, *[c for c in df.columns if c != h]).limit(rows).collect()
+    first = [F.min(F.struct(*[c for c in df.columns if c != h])).alias("_")]
+    return df.groupBy(h).agg(*first).select(h, "_.*").orderBy(h).limit(rows).collect()
+
+
+def memory_share(spark: SparkSession, part: int, least: int, most: int) -> int:
+    """Bytes: one of ``part`` parts of the heap that a task slot has, within limits."""
+    def size(value: str) -> int:
+        unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(value.strip().lower().rstrip("b")[-1], 0)
+        return int(float(value.lower().strip().rstrip("bkmgt"))) << unit
+
+    conf = spark.sparkContext.getConf()
+    return min(most, max(least, size(conf.get("spark.executor.memory", "1g")) // int(conf.get("spark.executor.cores", "2")) // part))
 
 
 def batches_of(table: pa.Table, rows: int) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import hash_sample, save_table, scratch_path
+from .common import hash_sample, save_table, scratch_path, small
 from .files import open_input, open_output
 
 #: Fixed by the format: the magic number of the frame with the dictionary, and the profile of identical payloads.
@@ -30,8 +30,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: Smaller payloads are always kept in full.
 MIN_REVISIT = 1_000
-#: The dictionary is trained on so many records, the least by a hash, and so many bytes of each.
-SAMPLE_RECORDS, SAMPLE_BYTES = 500, 16_384
+#: The dictionary is trained on so many records with different payloads, the least by a hash, and so many characters of each.
+SAMPLE_RECORDS, SAMPLE_CHARS = 500, 16_384
 DICT_BYTES = 112_640
 LEVEL = 3
 #: An archive is closed after so many compressed bytes.
@@ -86,10 +86,10 @@ def parse_record(raw: bytes) -> dict:
     return {"fields": fields, "payload": payload, "payload_bytes": length, "payload_digest": digest}
 
 
-def train_dictionary(pages: DataFrame, html: str = "html", sample: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES, size: int = DICT_BYTES) -> bytes:
+def train_dictionary(pages: DataFrame, html: str = "html", sample: int = SAMPLE_RECORDS, sample_chars: int = SAMPLE_CHARS, size: int = DICT_BYTES) -> bytes:
     """From at most ``sample`` records; raw content where there is too little to train on."""
     h = F.xxhash64(F.lit(29), F.col(html))
-    rows = pages.where(F.length(html) > 0).select("page_id", "url", F.substring(html, 1, sample_bytes).alias("t"), h.alias("h"))
+    rows = pages.where(F.length(html) > 0).select("page_id", "url", F.substring(html, 1, sample_chars).alias("t"), h.alias("h"))
     rows = hash_sample(rows, sample)
     records = [build_record(r["page_id"], r["url"], p := r["t"].encode(), hashlib.sha1(p).hexdigest(), None) for r in rows]
     try:
@@ -105,14 +105,17 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
 def mark_revisits(pages: DataFrame, html: str = "html", least: int = MIN_REVISIT) -> DataFrame:
     """``page_id``, ``url``, ``payload`` (binary), ``sha1`` and ``refers_to`` (null for responses).
 
-    Only digests are grouped; payloads meet the groups in a left join, whose hot digests Spark can split.
+    Only digests are grouped. Payloads of ``least`` bytes and more meet the digests that occur more than once; the others,
+    the empty ones among them, meet none.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     groups = own.where(F.octet_length("payload") >= least).groupBy(F.col("sha1").alias("digest")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     groups = save_table(groups.where("n > 1").drop("n"), "warc-groups")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper")), F.col("keeper"))
-    return own.join(groups, F.col("sha1") == F.col("digest"), "left").select("page_id", "url", "payload", "sha1", refers.alias("refers_to"))
+    large = F.octet_length("payload") >= least
+    met = own.where(large).join(small(groups), F.col("sha1") == F.col("digest"), "left").select("page_id", "url", "payload", "sha1", refers.alias("refers_to"))
+    return met.union(own.where(~large).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, folder: str, html: str = "html", archive_bytes: int = ARCHIVE_BYTES, least: int = MIN_REVISIT) -> DataFrame:
