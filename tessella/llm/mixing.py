@@ -65,26 +65,32 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
     Nulls: a null text has size 0; a null source is a source of its own, the last; a null id draws as the empty
     string, the text still tells such documents apart. Repeated rows draw alike. An empty table gives an empty one.
-    Columns of ``docs`` that clash with a new name are replaced.
+    Columns of ``docs`` stay; a new column whose name is taken gets an underscore before it.
     """
-    new = {"size", "source_size", "target", "rate", "copies", "taken"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    key, weight = fresh(docs, "mix_source", "mix_weight")
-    sized = docs.withColumn("size", word_count(F.col(text)))
+    return _planned(docs, doc_id, text, source, seed, most)[0]
+
+
+def _planned(docs: DataFrame, doc_id: str, text: str, source: str, seed: int, most: int) -> tuple[DataFrame, str]:
+    """The plan, and the name of its column of copies."""
+    names = ("size", "source_size", "target", "rate", "copies", "taken")
+    size, source_size, target, rate, copies, taken, key = fresh(docs, *names, "mix_source")
+    words = word_count(F.col(f"`{text}`"))
     # partial sums in the map tasks: a source with a third of all rows sends one row per task
-    sums = docs.select(F.col(source).alias(key), word_count(F.col(text)).alias("size")).groupBy(key).agg(F.sum("size").alias("source_size"))
-    targets = save_table(source_targets(save_table(sums, "mix-sizes"), key, most), "mix-targets").withColumnRenamed("weight", weight)
-    planned = sized.join(small(targets), F.col(source).eqNullSafe(F.col(key)), "left").drop(key, weight)
-    whole = F.floor("rate")
-    copies = whole + F.when(draw(F.col(doc_id), F.col(text), seed) < F.col("rate") - whole, 1).otherwise(0)
-    return planned.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
+    sums = docs.select(F.col(f"`{source}`").alias("source"), words.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = save_table(source_targets(save_table(sums, "mix-sizes"), "source", most), "mix-targets")
+    targets = targets.select(F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate))
+    planned = docs.withColumn(size, words).join(small(targets), F.col(f"`{source}`").eqNullSafe(F.col(key)), "left").drop(key)
+    whole = F.floor(rate)
+    n = whole + F.when(draw(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), seed) < F.col(rate) - whole, 1).otherwise(0)
+    planned = planned.withColumn(copies, n.cast("int"))
+    return planned.withColumn(taken, F.col(copies) * F.col(size)), copies
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, most: int = MOST_COPIES) -> DataFrame:
     """The mixture itself: the rows and columns of ``docs``, each as often as ``mix_plan`` says."""
-    (n,) = fresh(docs, "mix_copy")
-    plan = mix_plan(docs, doc_id, text, source, seed, most)
-    return plan.where("copies > 0").withColumn(n, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    plan, copies = _planned(docs, doc_id, text, source, seed, most)
+    (n,) = fresh(plan, "mix_copy")
+    return plan.where(F.col(copies) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE_SQL = f"""
@@ -117,5 +123,5 @@ FROM p
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix_plan(docs).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))

@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import batches_of, fresh, running_totals, save_table, small
+from .common import batches_of, fresh, memory_share, running_totals, save_table, small
 
 SEED = 7_919
-#: Bytes of text in a bucket, on average; a bucket is one task's memory in the second pass.
-BUCKET_BYTES = 32 << 20
+#: A bucket is one task's memory in the second pass: it takes a SHARE-th of the heap of a task slot on average, within limits.
+SHARE, LEAST_BYTES, MOST_BYTES = 24, 16 << 20, 512 << 20
+#: Rows that are the same in id and text are numbered where there are more of them than this, and so scatter as others do.
+REPEATS = 100
 #: Rows count as so many bytes each besides their text.
 ROW_BYTES = 64
 
@@ -56,22 +58,28 @@ def _shuffle_bucket(hash_column: str, bucket_column: str, place_column: str, see
     return run
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, bucket_bytes: int | None = None) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard), written in shuffled order.
 
     Law ``rows``: the shards' row counts are at most one apart. Row p of the n rows in shuffled order goes to shard
-    floor(p * shards / n). The hash is over id and text, so copies with different ids scatter; rows that are the same
-    in both (nulls included) share a bucket, in any order. An empty table gives an empty one. Columns of ``docs``
-    named ``shard`` or ``slot`` are replaced.
+    floor(p * shards / n). The hash is over id and text, so copies with different ids scatter; up to REPEATS rows that are the
+    same in both (nulls included) share a bucket, in any order, more of them are hashed with a number of their own. A text of
+    any length is in one bucket. An empty table gives an empty one. Columns of ``docs`` stay; if one is
+    named ``shard`` or ``slot``, the new one gets an underscore before it.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "slot")])
-    h, b, b2, place, begin = fresh(docs, "scatter", "bucket", "bucket_key", "place", "bucket_start")
+    h, b, b2, place, begin, shard, slot = fresh(docs, "scatter", "bucket", "bucket_key", "place", "bucket_start", "shard", "slot")
+    bucket_bytes = bucket_bytes or memory_share(spark, SHARE, LEAST_BYTES, MOST_BYTES)
     total = docs.agg(F.coalesce(F.sum(text_bytes(F.col(text)) + ROW_BYTES), F.lit(0)).alias("b")).first()["b"]
     buckets = max(1, -(-total // bucket_bytes))
     # pass 1: the exchange spills to the executors' disks; each partition is one bucket
-    scatter = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    scattered = docs.withColumn(h, scatter).withColumn(b, F.pmod(F.col(h), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col(b))
+    hashed = docs.withColumn(h, F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
+    often = save_table(hashed.groupBy(h).count().where(F.col("count") > REPEATS).select(h), "shard-repeats")
+    if often.limit(1).count():
+        # written first, so that a task that runs again gives each row the number it had
+        same = save_table(hashed.join(small(often), h, "left_semi"), "shard-same").withColumn(h, F.xxhash64(F.lit(seed), F.col(h), F.monotonically_increasing_id()))
+        hashed = hashed.join(small(often), h, "left_anti").unionByName(same.select(hashed.columns))
+    scattered = hashed.withColumn(b, F.pmod(F.col(h), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col(b))
     schema = StructType([*docs.schema.fields, StructField(b, IntegerType()), StructField(place, LongType())])
     # pass 2: one bucket in memory per task
     shuffled = save_table(scattered.mapInArrow(_shuffle_bucket(h, b, place, seed, 2_000), schema), "shards")
@@ -81,9 +89,9 @@ def shuffle_into_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", te
     starts = save_table(running_totals(counts, [F.col(b)], "in_bucket", begin), "shard-starts").select(F.col(b).alias(b2), begin)
     joined = shuffled.join(small(starts), F.col(b) == F.col(b2))
     p = f"(`{begin}` + `{place}`)"
-    joined = joined.withColumn("shard", F.expr(f"CAST({p} * {shards} DIV {max(n, 1)} AS INT)"))
-    first = f"(CAST(shard AS BIGINT) * {n} + {shards - 1}) DIV {shards}"
-    return joined.withColumn("slot", F.expr(f"CAST({p} - {first} AS BIGINT)")).select(*docs.columns, "shard", "slot")
+    joined = joined.withColumn(shard, F.expr(f"CAST({p} * {shards} DIV {max(n, 1)} AS INT)"))
+    first = f"(CAST(`{shard}` AS BIGINT) * {n} + {shards - 1}) DIV {shards}"
+    return joined.withColumn(slot, F.expr(f"CAST({p} - {first} AS BIGINT)")).select(*[f"`{c}`" for c in docs.columns], shard, slot)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
