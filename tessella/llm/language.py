@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a raw-content Zstandard dictionary of words from labelled documents. A text is compressed with each
-of them; the language with the smallest result wins, and a narrow margin rejects the document.
+Each language has a raw-content Zstandard dictionary from labelled documents. The whole text, lower-cased letters and single
+spaces, is compressed with each of them; the language with the smallest result wins, and a narrow margin rejects the document.
 """
 
 from __future__ import annotations
@@ -18,15 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from .common import fresh
 
-#: The dictionaries are built from so many different labelled texts of each language, the least by a hash, so many
-#: characters of each, and hold so many bytes of each. This bounds the model; predictions read whole texts.
-SAMPLE_DOCS, SAMPLE_CHARS, SHARE_BYTES = 400, 4_000, 1_000
-DICT_BYTES = SAMPLE_DOCS * (SHARE_BYTES + 1)
+#: The dictionaries are built from so many different labelled texts of each language, the least by a hash, and the
+#: beginning of each, so many characters. This bounds the model; predictions read whole texts.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 1_000
 #: A text is compressed in blocks, so that the dictionary and not the text's own beginning predicts all of it.
 BLOCK_BYTES = 4_096
-#: Short texts give few bytes to tell by and are compressed harder.
-SHORT_BYTES, SHORT_LEVEL, LEVEL = 512, 12, 6
+LEVEL = 6
 #: A document is rejected if the best language saves less than this share against the second.
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
@@ -35,8 +34,11 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 
 def normalize(text: str) -> bytes:
-    """The text's different words in lower case, each once: repeated lines, digits and marks tell no language."""
-    return " ".join(dict.fromkeys(_words(text.lower()))).encode("utf-8", "replace")
+    """The text's letters in lower case, with one space for whatever else stands between two of them."""
+    words = _words(text.lower())
+    if not "".join(words).isalpha():  # numerals that are no digits count as word characters, but are no letters
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return " ".join(words).encode("utf-8", "replace")
 
 
 @dataclass(frozen=True)
@@ -65,25 +67,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     least = few.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= SAMPLE_DOCS)
     parts: dict[str, list[bytes]] = {}
     for r in least.orderBy("lang", "i").toLocalIterator():
-        share = normalize(r["text"])[:SHARE_BYTES]
+        share = normalize(r["text"])
         if share:
             parts.setdefault(r["lang"], []).append(share)
     names = sorted(parts, key=lambda x: (-counts[x], x))
-    return Model(tuple(names), tuple(b" ".join(parts[x])[:DICT_BYTES] for x in names))
+    return Model(tuple(names), tuple(b" ".join(parts[x]) for x in names))
 
 
 @functools.lru_cache(maxsize=4)
 def _compressors(model: Model):
-    def of(level: int):
-        out = []
-        for raw in model.dictionaries:
-            p = zstandard.ZstdCompressionParameters.from_level(level, source_size=BLOCK_BYTES, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=p)
-            out.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress)
-        return out
-
-    return of(SHORT_LEVEL), of(LEVEL)
+    out = []
+    for raw in model.dictionaries:
+        p = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK_BYTES, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=p)
+        out.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress)
+    return out
 
 
 def predict(model: Model, text: str | None) -> tuple[str, float]:
@@ -91,9 +90,8 @@ def predict(model: Model, text: str | None) -> tuple[str, float]:
     raw = normalize(text or "")
     if not raw or not model.languages:
         return UNKNOWN, 0.0
-    short, usual = _compressors(model)
     blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-    sizes = [sum(len(f(b)) for b in blocks) for f in (short if len(raw) <= SHORT_BYTES else usual)]
+    sizes = [sum(len(f(b)) for b in blocks) for f in _compressors(model)]
     if len(sizes) == 1:
         return model.languages[0], 1.0
     order = np.argsort(sizes, kind="stable")
@@ -101,17 +99,22 @@ def predict(model: Model, text: str | None) -> tuple[str, float]:
     return model.languages[order[0]], (second - best) / second
 
 
+def added(docs: DataFrame) -> list[str]:
+    """The names of the columns that ``identify`` adds."""
+    return fresh(docs, "lang_pred", "score", "rejected")
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (the margin, 0 to 1) and ``rejected``.
 
     A text that is null or has no letter is ``und`` with score 0 and rejected, as is every text if nothing was
     learned. Ties go to the language with most labelled documents. Rows are independent of each other: copies agree,
-    and an empty table gives an empty one. Columns of ``docs`` with these names are replaced.
+    and an empty table gives an empty one. Texts of any length are read whole. Columns of ``docs`` stay; a new column whose
+    name is taken gets an underscore before it (``added``).
     """
-    new = ("lang_pred", "score", "rejected")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DICT_BYTES for each language
+    new = added(docs)
+    schema = StructType([*docs.schema.fields, *[StructField(n, t) for n, t in zip(new, (StringType(), DoubleType(), BooleanType()), strict=True)]])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_DOCS * SAMPLE_CHARS for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
