@@ -16,23 +16,24 @@ from .vectors import best, best_of_blocks, usable
 
 K = 20
 SCALE = 64
-#: Rows in a block of candidates.
-BLOCK = 8_192
 #: Queries whose score arrays are filled together.
 TOGETHER = 32
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    base, query = np.floor(vectors * SCALE), np.floor(queries * SCALE)
+def search(block: dict[str, np.ndarray], q_rows: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    query = np.floor(queries * SCALE)
     # int32 where no sum can leave its range, else int64
+    base = block.setdefault("weights", np.floor(block["vectors"] * SCALE))
     most = np.abs(base).max(initial=0) * np.abs(query).max(initial=0) * base.shape[1]
     kind = np.int32 if most < 2**31 else np.int64
-    base, query = base.astype(kind), query.astype(kind)
-    postings = []
-    for t in range(base.shape[1]):
-        rows = np.flatnonzero(base[:, t])
-        # a list that names nearly every row is kept as a full column
-        postings.append((slice(None), np.ascontiguousarray(base[:, t])) if 2 * len(rows) > len(base) else (rows, base[rows, t]))
+    query, postings = query.astype(kind), block.get(kind)
+    if postings is None:  # made once for all queries that meet the block
+        postings = block[kind] = []
+        for t in range(base.shape[1]):
+            column = base[:, t].astype(kind)
+            rows = np.flatnonzero(column)
+            # a list that names nearly every row is kept as a full column
+            postings.append((slice(None), column) if 2 * len(rows) > len(base) else (rows, column[rows]))
     for start in range(0, len(query), TOGETHER):
         part = query[start : start + TOGETHER]
         scores = np.zeros((len(part), len(base)), dtype=kind)
@@ -40,10 +41,11 @@ def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.
             for i in np.flatnonzero(part[:, t]).tolist():
                 scores[i, rows] += part[i, t] * weights
         for i in range(len(part)):
-            other = ids != q_ids[start + i]
+            other = np.flatnonzero(block["rows"] != q_rows[start + i])
             own = scores[i][other].astype(np.int64)
-            at = best(ids[other], own, k)
-            yield int(q_ids[start + i]), ids[other][at], own[at]
+            at = best(block["ids"][other], own, k)
+            if len(at):
+                yield np.full(len(at), start + i), other[at], own[at]
 
 
 def top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -52,18 +54,18 @@ def top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str
     A component x counts as floor(64 * x). Queries are the ids divisible by 20. See ``usable`` for the rows that take
     part (zero rows do); fewer than k candidates give all, and an empty table none. Sums beyond 64 bits wrap.
     """
-    return best_of_blocks(usable(vectors, True, vec_id, embedding), search, k, "long", BLOCK)
+    return best_of_blocks(usable(vectors, True, vec_id, embedding), lambda block: block, search, k, "long")
 
 
 ORACLE_SQL = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, c.n AS m, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 20 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id, m) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
 """

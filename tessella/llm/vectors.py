@@ -1,7 +1,8 @@
 """Vector tables in blocks: what the two vector searches share.
 
-Rows of queries and of candidates are packed into blocks of bounded size, one row per block, and each pair of a query
-block and a candidate block is a task's unit of work. Each unit keeps its own best k; a window merges them.
+Candidates are packed into blocks of bounded memory, each with its index, which is built once. Queries are packed into
+smaller blocks and written to the shared folder. A task owns a block of candidates and reads the blocks of queries one after the
+other, so no vector is shuffled for a pair of blocks. Each block gives its own best k of a query; a window merges them.
 """
 
 from __future__ import annotations
@@ -11,85 +12,105 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save_table
+from .common import memory_share, save_table, scratch_path
 
-#: Rows in a block of queries.
-QUERIES = 4_096
+#: Rows in a block of queries, and in a block of candidates at least.
+QUERIES, LEAST = 4_096, 1_024
+#: A block of candidates takes a SHARE-th of the heap of a task slot, within limits, at ROOM times the bytes of its vectors.
+SHARE, LEAST_BYTES, MOST_BYTES, ROOM = 8, 32 << 20, 1 << 30, 3
 #: The stated query set: ids divisible by this.
 EVERY = 20
 
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], Iterator[tuple[int, np.ndarray, np.ndarray]]]
+#: From the arrays of a block (``ids``, ``rows``, ``vectors``) to all those that a search in it needs.
+Index = Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
+#: From a block's index, queries' rows and vectors and k to query numbers, places in the block, and scores, of equal length.
+Search = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, int], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def usable(vectors: DataFrame, zero_too: bool, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``id`` and ``vector`` of the rows that take part.
+    """``row`` (a number of its own), ``id`` and ``vector`` of the rows that take part.
 
-    Rows without an id, without a vector, or with a null or non-finite component are left out, and those of another
-    length than the most common one (the shorter if two are as common); zero vectors stay if ``zero_too``. Of rows with the same id the least
-    vector stands for all.
+    Rows without an id, without a vector or with an empty one, or with a null or non-finite component are left out; zero
+    vectors stay if ``zero_too``. Vectors of another length than the most common one (the shorter if two are as common) have no
+    inner product with the others and are left out too. Rows with equal ids all stay: each is a row of its own. Other
+    columns, whatever their names, are not read.
     """
     x = F.col("vector")
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, bad))
     if not zero_too:
         rows = rows.where(F.exists(x, lambda v: v != 0))
-    rows = save_table(rows.groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
+    # numbered as they are written: from then on each row has its number
+    rows = save_table(rows.select(F.monotonically_increasing_id().alias("row"), "id", "vector"), "vectors")
     common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("vector") == (common["d"] if common else 0))
 
 
-def pack(rows: DataFrame, per_block: int, name: str) -> DataFrame:
-    """One row per block: its number and its ids and vectors as bytes. Rows go to blocks by a hash of their id."""
-    n = rows.count()
-    blocks = max(1, -(-n // per_block))
+def pack(rows: DataFrame, blocks: int, index: Index, path: str) -> DataFrame:
+    """Writes one row per block: its number and its arrays as bytes. Rows go to blocks by a hash of their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            t = pa.Table.from_batches(held).sort_by("id")
+            t = pa.Table.from_batches(held).sort_by("row")
             ids = t.column("id").to_numpy()
-            values = t.column("vector").combine_chunks()
-            flat = np.asarray(values.flatten()).reshape(len(ids), -1)
+            vectors = np.asarray(t.column("vector").combine_chunks().flatten()).reshape(len(ids), -1)
             out = io.BytesIO()
-            np.savez(out, ids=ids, vectors=flat)
-            yield pa.RecordBatch.from_arrays([pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([out.getvalue()], pa.binary())], names=["block", "data"])
+            np.savez(out, **index({"ids": ids, "rows": t.column("row").to_numpy(), "vectors": vectors}))
+            yield pa.RecordBatch.from_arrays([pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([out.getvalue()], pa.large_binary()).cast(pa.binary())], names=["block", "data"])
 
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))
-    return save_table(placed.mapInArrow(run, "block int, data binary"), name)
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))
+    placed.mapInArrow(run, "block int, data binary").write.option("compression", "none").parquet(path)
+    return rows.sparkSession.read.schema("block int, data binary").parquet(path)
 
 
-def best_of_blocks(rows: DataFrame, search: Search, k: int, kind: str, per_block: int) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's k best; ties go to the smaller id."""
-    candidates = pack(rows, per_block, "candidate-blocks")
-    queries = pack(rows.where(F.col("id") % EVERY == 0), QUERIES, "query-blocks")
-    n = queries.agg(F.coalesce(F.max("block"), F.lit(-1)).alias("n")).first()["n"] + 1
-    numbers = F.sequence(F.lit(0), F.lit(max(0, n - 1)))
-    # every pair of blocks once: candidate blocks are sent to each query block's number
-    pairs = candidates.withColumnRenamed("data", "base").select("base", F.col("block").alias("base_block"), F.explode(numbers).alias("block"))
-    units = max(1, candidates.count() * max(1, n))
-    joined = pairs.join(queries, "block").select("base", "data").repartition(min(units, 10_000))
+def arrays(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(data)) as f:
+        return {name: f[name] for name in f.files}
+
+
+def blocks_at(path: str) -> Iterator[dict[str, np.ndarray]]:
+    """The blocks of a written table, one in memory at a time. Only files of committed tasks are in the folder."""
+    fs, base = pafs.FileSystem.from_uri(path)
+    for file in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")):
+        with fs.open_input_file(file) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=1, columns=["data"]):
+                for data in batch.column("data"):
+                    yield arrays(data.as_buffer())
+
+
+def best_of_blocks(rows: DataFrame, index: Index, search: Search, k: int, kind: str) -> DataFrame:
+    """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's k best; ties go to the smaller id.
+
+    Candidates of a query are all rows but its own. Query rows with equal ids have a ranking each.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d"), F.count_if(F.col("id") % EVERY == 0).alias("q")).first()
+    room = memory_share(spark, SHARE, LEAST_BYTES, MOST_BYTES) // (ROOM * 8 * max(1, size["d"]))
+    blocks = max(-(-size["n"] // max(LEAST, room)), min(2 * spark.sparkContext.defaultParallelism, size["n"] // LEAST), 1)
+    candidates = pack(rows, blocks, index, scratch_path(spark, "candidate-blocks"))
+    path = scratch_path(spark, "query-blocks")
+    pack(rows.where(F.col("id") % EVERY == 0), max(1, -(-size["q"] // QUERIES)), lambda block: block, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                base = np.load(io.BytesIO(batch.column("base")[i].as_py()))
-                query = np.load(io.BytesIO(batch.column("data")[i].as_py()))
-                q_ids, found, scores = [], [], []
-                for q, ids, s in search(base["ids"], base["vectors"], query["ids"], query["vectors"], k):
-                    q_ids.append(np.full(len(ids), q))
-                    found.append(ids)
-                    scores.append(s)
-                if q_ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (q_ids, found, scores)], names=["query_id", "vec_id", "score"])
-
-    units_best = joined.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for data in batch.column("data"):
+                base = arrays(data.as_buffer())
+                for query in blocks_at(path):
+                    for q, at, scores in search(base, query["rows"], query["vectors"], k):
+                        columns = (query["ids"][q], query["rows"][q], base["ids"][at], base["rows"][at], scores)
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["query_id", "query_row", "vec_id", "vec_row", "score"])
+
+    found = candidates.repartitionById(blocks, F.col("block")).mapInArrow(run, f"query_id long, query_row long, vec_id long, vec_row long, score {kind}")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     # the rank limit is applied before the exchange as well
-    merged = units_best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    merged = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
