@@ -13,34 +13,51 @@ from tessella.llm.common import scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others go."""
+    """Documents whose language can be told, with their own columns; the others go.
+
+    Null and empty texts and those without letters go. Copies share their fate, texts of any length are read whole, and an
+    empty table gives an empty one. Columns of any name stay as they are.
+    """
+    rejected = language.added(docs)[2]
     found = language.identify(docs, language.fit(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    return found.where(~F.col(rejected)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: that with the least doc_id (nulls last), one of it if it repeats.
+
+    Null texts are no copies of each other, empty ones are. Columns of any name stay as they are.
+    """
     return near_duplicates.deduplicate(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with entities and disclosing terms masked; ``n_chars`` follows where the text changed."""
+    """All documents, with entities and disclosing terms masked; ``n_chars`` follows where the text changed.
+
+    Null and empty texts stay as they are, equal texts stay equal, and columns of any other name are not touched.
+    """
+    clean, pii = privacy.added(docs)
     found = privacy.sanitise(docs)
-    columns = {"text": F.col("clean_text"), "n_chars": F.when(F.size("pii") > 0, F.char_length("clean_text").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    columns = {"text": F.col(clean), "n_chars": F.when(F.size(pii) > 0, F.char_length(clean).cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for."""
+    """Documents as often as their source's target asks for, 0 to 3 times.
+
+    A null source is a source of its own; documents without words are taken by the same draw. Columns of any name stay.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with counts and digests of the ids and of the bytes decoded from them."""
+    """Per document: doc_id, number of token ids, and digests of the ids and of the bytes decoded from them.
+
+    A null text has no ids. Copies that the mixture repeats are encoded as often.
+    """
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digest(bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
