@@ -9,7 +9,7 @@ from .text import strip
 
 RECORD_END = "__CASE_END__"
 # Diagnosis categories and levels, and judge labels with their gains.
-CATEGORIES = ("LOCATOR_NOT_FOUND", "ASSERTION_FAILED", "TIMEOUT", "NETWORK_ERROR", "APPLICATION_BUG", "TEST_DATA", "ENVIRONMENT", "UNKNOWN")
+CATEGORIES = ("TARGET_NOT_FOUND", "ASSERTION_FAILED", "PAGE_STATE_UNEXPECTED", "INPUT_REJECTED", "TIMEOUT", "NETWORK_ERROR", "APPLICATION_ERROR", "UNKNOWN")
 CONFIDENCES = ("HIGH", "MEDIUM", "LOW")
 GAINS = (("irrelevant", 0.0), ("tangential", 1.0), ("useful", 2.0), ("directly_answers", 3.0))
 
@@ -29,10 +29,14 @@ def fenced_json(text: Column) -> Column:
 
 
 def salvage_json(text: Column) -> Column:
-    """A bare object; else the object around ``cases``, ``caseList`` or ``data``; else a fenced block; else empty."""
-    bare = strip(strip_thinking(text))
-    around = F.regexp_extract(bare, r'(?s)(\{\s*"(?:cases|caseList|data)"\s*:.*\})', 1)
-    return F.when(bare.rlike(r"(?s)^\{.*\}$"), bare).when(around != "", around).otherwise(fenced_json(bare))
+    """What begins with a brace, without marks of thinking; else from the last brace before ``cases``, ``caseList`` or ``data``
+    on, the first of these that occurs; else a fenced object; else the text without the marks."""
+    bare = strip(F.regexp_replace(text, r"</?think>", ""))
+    key = F.coalesce(*[F.nullif(F.instr(bare, f'"{k}":'), F.lit(0)) for k in ("cases", "caseList", "data")])
+    before = F.regexp_extract(F.substr(bare, F.lit(1), key), r"(?s)^(.*)\{", 1)
+    around = F.when(F.contains(F.substr(bare, F.lit(1), key), F.lit("{")), F.substr(bare, F.char_length(before) + 1))
+    fenced = strip(F.regexp_extract(bare, r"(?s)```json(.*?)```", 1))
+    return F.when(F.startswith(bare, F.lit("{")), bare).when(around.isNotNull(), around).when(F.startswith(fenced, F.lit("{")), fenced).otherwise(bare)
 
 
 def delimited_records(text: Column) -> Column:
@@ -51,10 +55,14 @@ def clean_query(text: Column) -> Column:
     return F.nullif(strip(F.regexp_replace(strip(text), r"^\d+\.\s*", "")), F.lit(""))
 
 
-def query_variants(response: Column, most: int = 5) -> Column:
-    """Lines of a response as queries: numbers stripped, longer than three characters, different, at most five."""
-    lines = F.transform(F.split(response, "\n"), lambda x: strip(F.regexp_replace(strip(x), r"^[\d]+[.、)]\s*|^[-*]\s*", "")))
-    return F.slice(F.array_distinct(F.filter(lines, lambda x: F.char_length(x) > 3)), 1, most)
+# Fixed value: what is taken from the beginning of a line as its number or mark.
+NUMBERING = r"^[0-9a-zA-Z\[\]()。,、]+[.、]?"
+
+
+def query_variants(query: Column, response: Column, most: int = 5) -> Column:
+    """The query, then a response's lines without their numbers that are longer than three characters; different, five at most."""
+    lines = F.transform(F.split(F.coalesce(response, F.lit("")), "\n"), lambda x: F.regexp_replace(strip(x), NUMBERING, ""))
+    return F.slice(F.array_distinct(F.concat(F.array(query), F.filter(lines, lambda x: F.char_length(x) > 3))), 1, most)
 
 
 def is_requirement(text: Column) -> Column:
@@ -62,35 +70,48 @@ def is_requirement(text: Column) -> Column:
     return (F.contains(text, F.lit("作为")) | F.contains(text, F.lit("身为"))) & (F.contains(text, F.lit("我想要")) | F.contains(text, F.lit("我希望")) | F.contains(text, F.lit("我想")))
 
 
+# A requirement's parts, and what is wanted in it.
+PARTS = r"作为[\w\s,，]+[，。,]|我想要[\w\s我想要的内容]+[，。,]|以便于[\w\s]+[，。,]?"
+WANTED = r"我想要(.{2,20}?)(?:以便于|为了|$)"
+
+
 def requirement_parts(text: Column) -> Column:
-    """What is wanted, and so that what, without repeats."""
-    want = F.regexp_extract_all(text, F.lit(r"(?:我想要|我希望|我想)([^，,。\n]+)"), F.lit(1))
-    why = F.regexp_extract_all(text, F.lit(r"(?:以便|从而|这样)([^，,。\n]+)"), F.lit(1))
-    return F.array_distinct(F.concat(want, why))
+    """The parts of a requirement without their marks, longer than two characters, then what is wanted; without repeats."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(PARTS), F.lit(0)), lambda x: strip(F.regexp_replace(x, "[，,。]", "")))
+    wanted = F.transform(F.regexp_extract_all(text, F.lit(WANTED), F.lit(1)), strip)
+    return F.array_distinct(F.concat(F.filter(parts, lambda x: F.char_length(x) > 2), F.filter(wanted, lambda x: F.char_length(x) > 1)))
 
 
-# Key word families for short queries; the first that fits is taken.
+# Families of short queries by their signs; the first that fits is taken.
 FAMILIES = (
-    ("登录", ("登录功能", "登录失败", "登录验证")),
-    ("注册", ("注册流程", "注册校验", "注册失败")),
-    ("支付", ("支付流程", "支付失败", "支付回调")),
-    ("搜索", ("搜索功能", "搜索结果", "搜索为空")),
-    ("上传", ("上传文件", "上传失败", "上传限制")),
+    (("退", "退款", "退货"), ("申请退款的完整操作流程", "退款审核处理流程", "订单退款步骤")),
+    (("增", "添加", "新建"), ("新增数据的操作方法", "添加记录流程")),
+    (("删", "删除"), ("删除数据的操作流程", "数据删除注意事项")),
+    (("改", "修改", "编辑"), ("修改信息的操作方法", "数据编辑更新流程")),
+    (("查", "查询", "搜索"), ("查询数据的方法和步骤", "搜索筛选操作流程")),
 )
 
 
 def expand_short(text: Column, most: int = 10) -> Column:
     """A query under ten characters with its family's queries; null if it is longer or of no family."""
     chosen = F.lit(None).cast("array<string>")
-    for word, more in reversed(FAMILIES):
-        chosen = F.when(F.contains(text, F.lit(word)), F.array(*map(F.lit, more))).otherwise(chosen)
+    for signs, more in reversed(FAMILIES):
+        fits = F.lit(False)
+        for sign in signs:
+            fits = fits | F.contains(text, F.lit(sign))
+        chosen = F.when(fits, F.array(*map(F.lit, more))).otherwise(chosen)
     return F.when(F.char_length(text) < most, F.array_distinct(F.concat(F.array(text), chosen)))
 
 
-def rewrite(text: Column, variants: Column) -> Column:
-    """The queries to ask: a requirement's parts, else a short query's family, else the variants given, else the text."""
+def rewrite(text: Column, response: Column) -> Column:
+    """The queries to ask: a requirement's parts, else a short query's family, else the variants in a response with the query.
+
+    A blank query asks nothing.
+    """
+    query = strip(text)
     some = lambda a: F.when(F.size(a) > 0, a)
-    return F.coalesce(F.when(is_requirement(text), some(requirement_parts(text))), some(expand_short(text)), some(variants), F.array(text))
+    asked = F.coalesce(F.when(is_requirement(query), some(requirement_parts(query))), some(expand_short(query)), query_variants(query, response))
+    return F.when(F.coalesce(query, F.lit("")) == "", F.array().cast("array<string>")).otherwise(asked)
 
 
 def shortest(queries: Column) -> Column:

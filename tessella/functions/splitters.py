@@ -83,21 +83,29 @@ def markdown_chunks(text: str, c: SplitConfig = SplitConfig()) -> list[str]:
     return out
 
 
+_TOKEN = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[^\s㐀-䶿一-鿿豈-﫿]+")
+
+
+def end_of(text: str, start: int, most: int) -> int:
+    """The last place up to which ``text`` from ``start`` on has at most ``most`` tokens: one scan over what is taken."""
+    for m in _TOKEN.finditer(text, start):
+        need = 1 if _CJK.match(m.group()) else -(-(m.end() - m.start()) // 4)
+        if need > most:
+            return m.start() + 4 * most if need > 1 else m.start()
+        most -= need
+    return len(text)
+
+
 def fixed_chunks(text: str, most: int, overlap: int = 0) -> list[str]:
     """The longest pieces of at most ``most`` tokens, each starting ``2 * overlap`` characters before the last one's end."""
     out, start = [], 0
     while start < len(text):
-        lo, hi = start + 1, min(len(text), start + 4 * most + 4)
-        while hi < len(text) and count_tokens(text[start:hi]) <= most:
-            hi = min(len(text), hi + 4 * most)
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if count_tokens(text[start:mid]) <= most else (lo, mid - 1)
-        if text[start:lo].strip():
-            out.append(text[start:lo])
-        if lo >= len(text):
+        end = max(start + 1, end_of(text, start, most))
+        if text[start:end].strip():
+            out.append(text[start:end])
+        if end >= len(text):
             break
-        start = max(start + 1, lo - 2 * overlap)
+        start = max(start + 1, end - 2 * overlap)
     return out
 
 
@@ -125,23 +133,40 @@ def pack(parts: list[str], most: int, overlap: int = 0, joiner: str = "") -> lis
     return out
 
 
+_SENTENCE_END = re.compile(r"[.?!。！？\n]")
+_BLANK = re.compile(r"\s*")
+
+
 def token_chunks(text: str, c: SplitConfig = SplitConfig()) -> list[str]:
     """Whole words up to ``chunk_tokens``; a chunk ends at the last sentence's end after ``min_length`` characters if it has one."""
-    out, left = [], text.strip()
-    while left:
-        if count_tokens(left) <= c.chunk_tokens:
-            piece = left
-        else:
-            piece = fixed_chunks(left[: 8 * c.chunk_tokens + 64], c.chunk_tokens)[0]
-            ends = [m.end() for m in re.finditer(r"[.?!。！？\n]", piece) if m.end() > c.min_length]
-            cut = ends[-1] if ends else max(piece.rfind(" "), 0) or len(piece)
-            piece = piece[:cut]
-        if len(piece.strip()) >= c.min_to_embed:
-            out.append(piece.strip())
-        left = left[len(piece) :].lstrip()
+    text = text.strip()
+    out, start = [], 0
+    while start < len(text):
+        end = max(start + 1, end_of(text, start, c.chunk_tokens))
+        if end < len(text):
+            ends = [m.end() for m in _SENTENCE_END.finditer(text, start, end) if m.end() - start > c.min_length]
+            blank = text.rfind(" ", start + 1, end)
+            end = ends[-1] if ends else blank if blank > start else end
+        piece = text[start:end].strip()
+        if len(piece) >= c.min_to_embed:
+            out.append(piece)
+        start = _BLANK.match(text, end).end()
     return out
 
 
+def etl_chunks(text: str, c: SplitConfig = SplitConfig()) -> list[str]:
+    """Pieces after line ends and full stops are gathered to blocks of five times ``chunk_tokens`` characters, then cut by tokens."""
+    out, block, size = [], [], 0
+    for piece in (p.strip() for p in re.split(r"(?<=\n)|(?<=。)", text)):
+        if piece:
+            block.append(piece)
+            size += len(piece) + 2
+            if size >= 5 * c.chunk_tokens:
+                out += token_chunks("\n\n".join(block), c)
+                block, size = [], 0
+    return out + (token_chunks("\n\n".join(block), c) if block else [])
+
+
 def is_row(line: str) -> bool:
     t = line.strip()
     return bool(t) and (t.startswith("|") or t.endswith("|")) and t.strip("|") != ""

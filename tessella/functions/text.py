@@ -71,15 +71,24 @@ def short_text_parts(text: Column, least: int = 5) -> Column:
     return F.filter(F.transform(F.split(text, r"[。\n;]"), strip), lambda x: F.char_length(x) > least)
 
 
+# Openings of lines that only talk, and the form of a scenario.
+CHATTER = ("让我", "按照", "这个", "要求", "分析", "确认", "输出", "以下", "任务", "##", "# ", "**")
+SCENARIO = r"^[\S]+[：:][^→]+→[^→]+$"
+
+
 def scenario_lines(text: Column) -> Column:
-    """Lines of the form ``name: step → result``, without bullets and repeats; else any line with an arrow."""
-    # Openings of lines that only talk.
-    chatter = ("好的", "以下是", "根据", "Here", "Sure")
-    trimmed = F.transform(F.split(text, "\n"), strip)
-    bare = F.transform(trimmed, lambda x: F.regexp_replace(x, r"^[-*•\d.、)\s]+", ""))
-    is_chatter = lambda x: F.array_contains(F.transform(F.array(*map(F.lit, chatter)), lambda p: F.startswith(x, p)), True)
-    strict = F.array_distinct(F.filter(bare, lambda x: ~is_chatter(x) & x.rlike(r"^\S+[：:][^→]+→[^→]+$") & (F.char_length(x) >= 10)))
-    loose = F.array_distinct(F.filter(bare, lambda x: F.contains(x, F.lit("→")) & (F.char_length(x) >= 10)))
+    """Lines of the form ``name: step → result``, without marks of lists and repeats; else any line with an arrow."""
+    trimmed = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+
+    def is_chatter(x: Column) -> Column:
+        talk = F.startswith(x, F.lit("功能场景")) & F.contains(x, F.lit("示例"))
+        for opening in CHATTER:
+            talk = talk | F.startswith(x, F.lit(opening))
+        return talk
+
+    strict = F.transform(F.filter(trimmed, lambda x: ~is_chatter(x) & x.rlike(SCENARIO)), lambda x: F.regexp_replace(x, r"^[\-\*\d\.]+\s*", ""))
+    strict = F.array_distinct(F.filter(strict, lambda x: F.char_length(x) >= 10))
+    loose = F.filter(F.transform(trimmed, lambda x: F.regexp_replace(x, "<think>.*?</think>", "")), lambda x: F.contains(x, F.lit("→")) & (F.char_length(x) >= 10))
     return F.when(F.size(strict) > 0, strict).otherwise(loose)
 
 

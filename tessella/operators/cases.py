@@ -1,6 +1,7 @@
 """Test case documents: validation to violation rows, adoption, search, locators, page facts.
 
-A document is parsed in two steps, so that unknown keys of closed objects are seen: each case and step is also kept as text.
+A document is parsed step by step, each object once, and objects are kept as text as well, so that unknown keys are seen. All
+that is wrong with a document is one array of violations, made in one pass over it.
 """
 
 from __future__ import annotations
@@ -10,112 +11,255 @@ from pyspark.sql import functions as F
 
 # Fixed values of version 1.0.0 of the document.
 VERSION = "1.0.0"
+SCHEMAS = ("1", "1.0", "1.0.0")
 ACTIONS = ("NAVIGATE", "CLICK", "INPUT", "SELECT", "WAIT", "ASSERT", "SCREENSHOT")
 STRATEGIES = ("ROLE", "TEXT", "LABEL", "TESTID", "CSS", "XPATH")
 KINDS = ("URL_EQUALS", "URL_CONTAINS", "ELEMENT_VISIBLE", "ELEMENT_NOT_PRESENT", "TEXT_EQUALS", "TEXT_CONTAINS", "VALUE_EQUALS")
-PRIORITIES = ("P0", "P1", "P2", "P3")
-LOCATOR_FIELDS = (("ROLE", ("role", "name")), ("TEXT", ("text",)), ("LABEL", ("label",)), ("TESTID", ("testId",)), ("CSS", ("selector",)), ("XPATH", ("xpath",)))
-NEED_TARGET = ("CLICK", "INPUT", "SELECT")
+CASE_ENUMS = (
+    ("caseType", ("FUNCTIONAL", "FLOW", "EXCEPTION", "BOUNDARY", "UI", "COMPATIBILITY")),
+    ("designMethod", ("EQUIVALENCE", "BOUNDARY", "SCENARIO", "CAUSE_EFFECT", "ERROR_GUESSING", "ORTHOGONAL")),
+    ("priority", ("P0", "P1", "P2", "P3")),
+    ("risk", ("HIGH", "MEDIUM", "LOW")),
+    ("automationCandidate", ("WEB_FUNCTIONAL", "MANUAL_VISUAL", "API", "UNSUPPORTED")),
+)
+LOCATOR_FIELDS = (("ROLE", ("role", "name")), ("TEXT", ("text",)), ("TESTID", ("testId",)), ("CSS", ("selector",)), ("XPATH", ("xpath",)))
+NEED_TARGET = ("CLICK", "INPUT", "SELECT", "ASSERT")
 NEED_VALUE = ("INPUT", "SELECT")
+NEED_EXPECTED = ("URL_EQUALS", "URL_CONTAINS", "TEXT_EQUALS", "TEXT_CONTAINS", "VALUE_EQUALS")
+NEED_ASSERTION_TARGET = ("ELEMENT_VISIBLE", "ELEMENT_NOT_PRESENT", "TEXT_CONTAINS")
 TOP_KEYS = ("schemaVersion", "generatedAt", "sourceRequirementRef", "summary", "cases")
+SUMMARY_KEYS = ("app", "page", "totalCases", "testScope")
 CASE_KEYS = ("caseId", "title", "caseType", "designMethod", "priority", "risk", "automationCandidate", "precondition", "testData", "steps", "expectedOutcome", "assertions")
 STEP_KEYS = ("order", "action", "target", "url", "value", "expectedResult", "timeoutMs")
+LOCATOR_KEYS = ("strategy", "role", "name", "text", "label", "testId", "selector", "xpath", "exact")
+ASSERTION_KEYS = ("kind", "target", "expected", "negate")
 INPUT_ROLES = ("textbox", "searchbox", "combobox", "spinbutton")
+WRAPPED = '{"schemaVersion":"1.0.0","summary":{"app":"validation","page":"validation","totalCases":1},"cases":['
 
-LOCATOR = "struct<strategy: string, role: string, name: string, text: string, label: string, testId: string, selector: string, xpath: string, exact: boolean>"
-STEP = f"`order` int, action string, target {LOCATOR}, url string, value string, expectedResult string, timeoutMs int"
-ASSERTION = f"struct<kind: string, target: {LOCATOR}, expected: string, negate: boolean>"
-CASE = f"caseId string, title string, caseType string, priority string, automationCandidate string, steps array<string>, expectedOutcome string, assertions array<{ASSERTION}>"
-DOCUMENT = "schemaVersion string, summary struct<app: string, page: string, totalCases: int, testScope: string>, cases array<string>"
+DOCUMENT = "schemaVersion string, summary string, cases array<string>"
+SUMMARY = "app string, page string, totalCases int, testScope string"
+CASE = "caseId string, title string, caseType string, designMethod string, priority string, risk string, automationCandidate string, testData map<string,variant>, steps array<string>, expectedOutcome string, assertions array<string>"
+STEP = "`order` int, action string, target string, url string, value string, expectedResult string, timeoutMs int"
+LOCATOR = "strategy string, role string, name string, text string, label string, testId string, selector string, xpath string, exact boolean"
+ASSERTION = "kind string, target string, expected string, negate boolean"
+VIOLATIONS = "array<struct<path: string, code: string, message: string>>"
+
+Rule = tuple[Column, Column, str, str]
 
 
 def _blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
-def _unknown(raw: Column, known: tuple[str, ...]) -> Column:
-    return F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, known)))
+def _violation(path: Column, code: str, message: Column) -> Column:
+    return F.struct(path.alias("path"), F.lit(code).alias("code"), message.alias("message"))
+
+
+def _rows(*rules: Rule) -> Column:
+    """An array of violations from (condition, path, code, message); a condition that is null does not hold."""
+    made = [F.when(cond, _violation(path, code, F.lit(message))) for cond, path, code, message in rules]
+    return F.array_compact(F.array(*made))
+
+
+def _unknown(raw: Column, known: tuple[str, ...], path: Column) -> Column:
+    """A violation for each key of an object that is not known."""
+    keys = F.coalesce(F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, known))), F.array().cast("array<string>"))
+    return F.transform(keys, lambda k: _violation(path, "SCHEMA_additionalProperties", F.concat(k, F.lit(" is not known"))))
+
+
+def _required(obj: Column, names: tuple[str, ...], path: Column) -> list[Rule]:
+    return [(obj[n].isNull(), path, "SCHEMA_required", f"{n} is required") for n in names]
+
 
+def _enum(value: Column, known: tuple[str, ...], path: Column) -> Rule:
+    return (value.isNotNull() & ~value.isin(*known), path, "SCHEMA_enum", f"one of {', '.join(known)}")
 
-def _rows(*rules: tuple[Column, Column | str, str, str]) -> Column:
-    """An array of violations from (condition, path, code, message)."""
-    made = [F.when(F.coalesce(cond, F.lit(False)), F.struct((F.lit(path) if isinstance(path, str) else path).alias("path"), F.lit(code).alias("code"), F.lit(message).alias("message"))) for cond, path, code, message in rules]
-    return F.filter(F.array(*made), lambda x: x.isNotNull())
 
+def _sub(path: Column, name: str) -> Column:
+    return F.concat(path, F.lit(name))
 
-def _locator_rules(target: Column, path: Column) -> list[tuple]:
-    out = [(target.isNotNull() & ~F.coalesce(target["strategy"].isin(*STRATEGIES), F.lit(False)), path, "SCHEMA_ENUM", "unknown locator strategy")]
+
+def _each(items: Column, f) -> Column:
+    """The violations of all items of an array, which may be null."""
+    return F.coalesce(F.flatten(F.transform(items, f)), F.array().cast(VIOLATIONS))
+
+
+def _locator_schema(raw: Column, t: Column, path: Column) -> Column:
+    rules = _rows(*[(raw.isNotNull() & cond, p, code, m) for cond, p, code, m in [*_required(t, ("strategy",), path), _enum(t["strategy"], STRATEGIES, _sub(path, "/strategy"))]])
+    return F.concat(rules, _unknown(raw, LOCATOR_KEYS, path))
+
+
+def _locator_rules(raw: Column, t: Column, path: Column) -> list[Rule]:
+    out = [(raw.isNotNull() & t["strategy"].isNull(), _sub(path, ".strategy"), "SEM_FIELD_REQUIRED", "target.strategy is required")]
     for strategy, fields in LOCATOR_FIELDS:
-        missing = _blank(target[fields[0]])
-        for f in fields[1:]:
-            missing = missing & _blank(target[f])
-        out.append(((target["strategy"] == strategy) & missing, path, "SEM_LOCATOR_FIELD_REQUIRED", f"{strategy} needs {' or '.join(fields)}"))
-    return out
+        out += [((t["strategy"] == strategy) & _blank(t[f]), _sub(path, f".{f}"), "SEM_LOCATOR_FIELD_REQUIRED", f"target.{f} is required for strategy {strategy}") for f in fields]
+    missing = t["label"].isNull() & t["text"].isNull()
+    return [*out, ((t["strategy"] == "LABEL") & missing, _sub(path, ".label"), "SEM_LOCATOR_FIELD_REQUIRED", "target.label or target.text is required for strategy LABEL")]
 
 
 def parse(documents: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds ``doc`` (null if the text is no JSON object)."""
+    """Adds ``doc`` (null if the text is no JSON object), ``summary`` and ``cases`` with their steps and assertions."""
     ok = F.json_object_keys(raw).isNotNull()
-    return documents.withColumn("doc", F.when(ok, F.from_json(raw, DOCUMENT)))
+    out = documents.withColumn("doc", F.when(ok, F.from_json(raw, DOCUMENT)))
+    out = out.withColumn("summary", F.from_json("doc.summary", SUMMARY))
+    out = out.withColumn("cases", F.transform("doc.cases", lambda r: F.struct(r.alias("raw"), F.from_json(r, CASE).alias("c"))))
+    step = lambda r: F.struct(r.alias("raw"), F.from_json(r, STEP).alias("s"))
+    check = lambda r: F.struct(r.alias("raw"), F.from_json(r, ASSERTION).alias("a"))
+    out = out.withColumn("cases", F.transform("cases", lambda x: F.struct(x["raw"].alias("raw"), x["c"].alias("c"), F.transform(x["c"]["steps"], step).alias("steps"), F.transform(x["c"]["assertions"], check).alias("checks"))))
+    aimed = lambda kind: lambda x: F.struct(x["raw"].alias("raw"), x[kind].alias(kind), F.from_json(x[kind]["target"], LOCATOR).alias("t"))
+    return out.withColumn("cases", F.transform("cases", lambda x: F.struct(x["raw"].alias("raw"), x["c"].alias("c"), F.transform(x["steps"], aimed("s")).alias("steps"), F.transform(x["checks"], aimed("a")).alias("checks"))))
+
+
+def _schema_rules(raw: Column) -> Column:
+    """What the schema refuses; paths are $ and a JSON pointer."""
+    doc, summary, top = F.col("doc"), F.col("summary"), F.lit("$")
+    given = doc["summary"].isNotNull()
+
+    def step(path: Column):
+        def of(x: Column, j: Column) -> Column:
+            at, s = F.concat(path, F.lit("/steps/"), j.cast("string")), x["s"]
+            rules = _rows(
+                *_required(s, ("order", "action"), at),
+                (s["order"] < 1, _sub(at, "/order"), "SCHEMA_minimum", "at least 1"),
+                _enum(s["action"], ACTIONS, _sub(at, "/action")),
+                (s["timeoutMs"] < 100, _sub(at, "/timeoutMs"), "SCHEMA_minimum", "at least 100"),
+                (s["timeoutMs"] > 60_000, _sub(at, "/timeoutMs"), "SCHEMA_maximum", "at most 60000"),
+            )
+            return F.concat(rules, _unknown(x["raw"], STEP_KEYS, at), _locator_schema(s["target"], x["t"], _sub(at, "/target")))
+
+        return of
+
+    def check(path: Column):
+        def of(x: Column, j: Column) -> Column:
+            at, a = F.concat(path, F.lit("/assertions/"), j.cast("string")), x["a"]
+            rules = _rows(*_required(a, ("kind",), at), _enum(a["kind"], KINDS, _sub(at, "/kind")))
+            return F.concat(rules, _unknown(x["raw"], ASSERTION_KEYS, at), _locator_schema(a["target"], x["t"], _sub(at, "/target")))
+
+        return of
+
+    def case(x: Column, i: Column) -> Column:
+        at, c = F.concat(F.lit("$/cases/"), i.cast("string")), x["c"]
+        simple = r"^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN|ARRAY<(STRING|VOID)>)$"
+        data = F.coalesce(F.map_keys(F.map_filter(c["testData"], lambda _, v: ~F.schema_of_variant(v).rlike(simple))), F.array().cast("array<string>"))
+        rules = _rows(
+            *_required(c, ("caseId", "title", "automationCandidate", "steps", "expectedOutcome"), at),
+            (~c["caseId"].rlike(r"^TC_[A-Za-z0-9_]+$"), _sub(at, "/caseId"), "SCHEMA_pattern", "TC_ and letters, digits and underscores"),
+            (F.char_length(c["title"]) < 4, _sub(at, "/title"), "SCHEMA_minLength", "at least 4 characters"),
+            (F.char_length(c["title"]) > 200, _sub(at, "/title"), "SCHEMA_maxLength", "at most 200 characters"),
+            *[_enum(c[name], known, _sub(at, f"/{name}")) for name, known in CASE_ENUMS],
+            (F.size(c["steps"]) == 0, _sub(at, "/steps"), "SCHEMA_minItems", "at least one step"),
+            (c["expectedOutcome"] == "", _sub(at, "/expectedOutcome"), "SCHEMA_minLength", "at least 1 character"),
+        )
+        typed = F.transform(data, lambda k: _violation(F.concat(at, F.lit("/testData/"), k), "SCHEMA_anyOf", F.lit("a string, number, boolean or array of strings")))
+        return F.concat(rules, typed, _unknown(x["raw"], CASE_KEYS, at), _each(x["steps"], step(at)), _each(x["checks"], check(at)))
+
+    rules = _rows(
+        *_required(doc, ("schemaVersion", "summary", "cases"), top),
+        (doc["schemaVersion"] != VERSION, F.lit("$/schemaVersion"), "SCHEMA_const", f"must be {VERSION}"),
+        *[(given & cond, path, code, message) for cond, path, code, message in _required(summary, ("app", "page", "totalCases"), F.lit("$/summary"))],
+        *[(summary[n] == "", F.lit(f"$/summary/{n}"), "SCHEMA_minLength", "at least 1 character") for n in ("app", "page")],
+        (summary["totalCases"] < 0, F.lit("$/summary/totalCases"), "SCHEMA_minimum", "at least 0"),
+        (F.size(doc["cases"]) == 0, F.lit("$/cases"), "SCHEMA_minItems", "at least one case"),
+    )
+    return F.concat(rules, _unknown(raw, TOP_KEYS, top), _unknown(doc["summary"], SUMMARY_KEYS, F.lit("$/summary")), _each(F.col("cases"), case))
+
+
+def _meaning_rules() -> Column:
+    """What does not make sense; paths are dotted, arrays in brackets."""
+    doc, summary = F.col("doc"), F.col("summary")
+
+    def step(path: Column):
+        def of(x: Column, j: Column) -> Column:
+            at, s = F.concat(path, F.lit(".steps["), j.cast("string"), F.lit("]")), x["s"]
+            return _rows(
+                (s["order"].isNull(), _sub(at, ".order"), "SEM_FIELD_REQUIRED", "order is required"),
+                (s["order"] != j + 1, _sub(at, ".order"), "SEM_ORDER_SEQUENTIAL", "orders are 1, 2, 3 and so on"),
+                (s["action"].isNull(), _sub(at, ".action"), "SEM_FIELD_REQUIRED", "action is required"),
+                ((s["action"] == "NAVIGATE") & _blank(s["url"]), _sub(at, ".url"), "SEM_URL_REQUIRED_NAVIGATE", "url is required for action NAVIGATE"),
+                ((s["action"] == "NAVIGATE") & s["target"].isNotNull(), _sub(at, ".target"), "SEM_TARGET_FORBIDDEN_NAVIGATE", "NAVIGATE has no target"),
+                (s["action"].isin(*NEED_TARGET) & s["target"].isNull(), _sub(at, ".target"), "SEM_TARGET_REQUIRED", "the action needs a target"),
+                *_locator_rules(s["target"], x["t"], _sub(at, ".target")),
+                (s["action"].isin(*NEED_VALUE) & _blank(s["value"]), _sub(at, ".value"), "SEM_VALUE_REQUIRED", "the action needs a value"),
+            )
+
+        return of
+
+    def check(path: Column):
+        def of(x: Column, j: Column) -> Column:
+            at, a = F.concat(path, F.lit(".assertions["), j.cast("string"), F.lit("]")), x["a"]
+            return _rows(
+                (a["kind"].isNull(), _sub(at, ".kind"), "SEM_FIELD_REQUIRED", "kind is required"),
+                (a["kind"].isin(*NEED_EXPECTED) & _blank(a["expected"]), _sub(at, ".expected"), "SEM_EXPECTED_REQUIRED", "the kind needs an expected value"),
+                (a["kind"].isin(*NEED_ASSERTION_TARGET) & a["target"].isNull(), _sub(at, ".target"), "SEM_TARGET_REQUIRED_ASSERTION", "the kind needs a target"),
+            )
+
+        return of
+
+    def case(x: Column, i: Column) -> Column:
+        at, c = F.concat(F.lit("$.cases["), i.cast("string"), F.lit("]")), x["c"]
+        rules = _rows(
+            (_blank(c["title"]), _sub(at, ".title"), "SEM_FIELD_REQUIRED", "title is required"),
+            (c["automationCandidate"].isNull(), _sub(at, ".automationCandidate"), "SEM_FIELD_REQUIRED", "automationCandidate is required"),
+            (c["steps"].isNull() | (F.size(c["steps"]) == 0), _sub(at, ".steps"), "SEM_STEPS_EMPTY", "at least one step"),
+        )
+        return F.concat(rules, _each(x["steps"], step(at)), _each(x["checks"], check(at)))
+
+    rules = _rows(
+        (~doc["schemaVersion"].eqNullSafe(F.lit(VERSION)), F.lit("$.schemaVersion"), "SEM_SCHEMA_VERSION", f"schemaVersion must be {VERSION}"),
+        (doc["summary"].isNull(), F.lit("$.summary"), "SEM_SUMMARY_REQUIRED", "summary is required"),
+        (doc["summary"].isNotNull() & summary["totalCases"].isNull(), F.lit("$.summary.totalCases"), "SEM_FIELD_REQUIRED", "summary.totalCases is required"),
+        (doc["cases"].isNull() | (F.size(doc["cases"]) == 0), F.lit("$.cases"), "SEM_CASES_EMPTY", "at least one case"),
+    )
+    return F.concat(rules, _each(F.col("cases"), case))
 
 
-def cases_of(documents: DataFrame, key: str = "doc_key", raw: str = "raw") -> DataFrame:
-    """A row per case: document key, place, the case's text, fields and parsed steps."""
-    parsed = parse(documents, raw).select(key, F.posexplode("doc.cases").alias("case_no", "case_raw"))
-    parsed = parsed.withColumn("c", F.from_json("case_raw", CASE))
-    steps = F.transform(F.col("c.steps"), lambda s: F.struct(s.alias("raw"), F.from_json(s, STEP).alias("s")))
-    return parsed.withColumn("steps", steps)
+def checked(documents: DataFrame, raw: str = "raw") -> DataFrame:
+    """``documents`` parsed, with ``found``, the array of a document's violations: of the schema first, then of the meaning.
+
+    Of an unknown version nothing else is checked. A value that is not in its list can't be read, so the meaning is not
+    checked then either.
+    """
+    top = F.lit("$")
+    parsed = parse(documents, raw).withColumn("refused", _schema_rules(F.col(raw))).withColumn("odd", _meaning_rules())
+    unread = F.array(_violation(top, "SEMANTIC_PARSE", F.lit("a value is not in its list")))
+    version = F.coalesce(F.col("doc.schemaVersion"), F.lit(VERSION))
+    found = (
+        F.when(F.col("doc").isNull(), F.array(_violation(top, "PARSE_ERROR", F.lit("no JSON object"))))
+        .when(~version.isin(*SCHEMAS), F.array(_violation(F.lit("$.schemaVersion"), "UNKNOWN_VERSION", F.lit("unknown schema version"))))
+        .when(F.exists("refused", lambda x: x["code"] == "SCHEMA_enum"), F.concat("refused", unread))
+        .otherwise(F.concat("refused", "odd"))
+    )
+    return parsed.withColumn("found", found).drop("refused", "odd")
 
 
 def violations(documents: DataFrame, key: str = "doc_key", raw: str = "raw") -> DataFrame:
     """Rows (key, path, code, message) of everything that is wrong with each document; a valid one has none."""
-    parsed = parse(documents, raw)
-    doc = F.col("doc")
-    known = doc["schemaVersion"] == VERSION
-    top = _rows(
-        (doc.isNull(), "$", "PARSE_ERROR", "no JSON object"),
-        (doc.isNotNull() & ~F.coalesce(known, F.lit(False)), "$.schemaVersion", "UNKNOWN_VERSION", "unknown schema version"),
-        (known & doc["summary"].isNull(), "$.summary", "SEM_SUMMARY_REQUIRED", "summary is missing"),
-        (known & doc["summary"].isNotNull() & _blank(doc["summary"]["app"]), "$.summary.app", "SEM_FIELD_REQUIRED", "app is missing"),
-        (known & (doc["cases"].isNull() | (F.size(doc["cases"]) == 0)), "$.cases", "SEM_CASES_EMPTY", "no cases"),
-        (known & (F.size(_unknown(F.col(raw), TOP_KEYS)) > 0), "$", "SCHEMA_ADDITIONAL_PROPERTIES", "unknown key"),
-    )
-    first = parsed.select(key, F.inline(top))
-    # of an unknown version nothing else is checked
-    cases = cases_of(parsed.where(F.coalesce(known, F.lit(False))).select(key, raw), key, raw)
-    c, base = F.col("c"), F.concat(F.lit("$.cases["), F.col("case_no").cast("string"), F.lit("]"))
-    at = lambda name: F.concat(base, F.lit(f".{name}"))
-    case_rules = _rows(
-        (~c["caseId"].rlike(r"^TC_[A-Za-z0-9_]+$") | c["caseId"].isNull(), at("caseId"), "SCHEMA_PATTERN", "caseId"),
-        (c["title"].isNull() | ~F.char_length(c["title"]).between(4, 200), at("title"), "SCHEMA_LENGTH", "title has 4 to 200 characters"),
-        (c["priority"].isNotNull() & ~c["priority"].isin(*PRIORITIES), at("priority"), "SCHEMA_ENUM", "priority"),
-        (_blank(c["expectedOutcome"]), at("expectedOutcome"), "SEM_FIELD_REQUIRED", "expectedOutcome is missing"),
-        (c["steps"].isNull() | (F.size(c["steps"]) == 0), at("steps"), "SEM_STEPS_EMPTY", "no steps"),
-        (F.exists(F.transform(F.col("steps"), lambda s, i: s["s"]["order"] != i + 1), lambda bad: F.coalesce(bad, F.lit(True))), at("steps"), "SEM_ORDER_SEQUENTIAL", "orders are 1, 2, 3 and so on"),
-        (F.size(_unknown(F.col("case_raw"), CASE_KEYS)) > 0, base, "SCHEMA_ADDITIONAL_PROPERTIES", "unknown key"),
-    )
-    steps = cases.select(key, base.alias("base"), F.posexplode("steps").alias("no", "x"))
-    s, path = F.col("x.s"), F.concat(F.col("base"), F.lit(".steps["), F.col("no").cast("string"), F.lit("]"))
-    step_rules = _rows(
-        (~F.coalesce(s["action"].isin(*ACTIONS), F.lit(False)), path, "SCHEMA_ENUM", "unknown action"),
-        ((s["action"] == "NAVIGATE") & _blank(s["url"]), path, "SEM_URL_REQUIRED_NAVIGATE", "NAVIGATE needs a url"),
-        ((s["action"] == "NAVIGATE") & s["target"].isNotNull(), path, "SEM_TARGET_FORBIDDEN_NAVIGATE", "NAVIGATE has no target"),
-        (s["action"].isin(*NEED_TARGET) & s["target"].isNull(), path, "SEM_TARGET_REQUIRED", "the action needs a target"),
-        (s["action"].isin(*NEED_VALUE) & _blank(s["value"]), path, "SEM_VALUE_REQUIRED", "the action needs a value"),
-        (s["timeoutMs"].isNotNull() & ~s["timeoutMs"].between(100, 60000), path, "SCHEMA_RANGE", "timeoutMs is 100 to 60000"),
-        (F.size(_unknown(F.col("x.raw"), STEP_KEYS)) > 0, path, "SCHEMA_ADDITIONAL_PROPERTIES", "unknown key"),
-        *_locator_rules(s["target"], F.concat(path, F.lit(".target"))),
-    )
-    checks = cases.select(key, base.alias("base"), F.posexplode(F.col("c.assertions")).alias("no", "a"))
-    a, a_path = F.col("a"), F.concat(F.col("base"), F.lit(".assertions["), F.col("no").cast("string"), F.lit("]"))
-    is_element = a["kind"].startswith("ELEMENT")
-    assertion_rules = _rows(
-        (~F.coalesce(a["kind"].isin(*KINDS), F.lit(False)), a_path, "SCHEMA_ENUM", "unknown kind"),
-        (a["kind"].isin(*KINDS) & ~is_element & _blank(a["expected"]), a_path, "SEM_EXPECTED_REQUIRED", "the kind needs an expected value"),
-        ((is_element | (a["kind"] == "VALUE_EQUALS")) & a["target"].isNull(), a_path, "SEM_TARGET_REQUIRED_ASSERTION", "the kind needs a target"),
-        *_locator_rules(a["target"], F.concat(a_path, F.lit(".target"))),
-    )
-    return first.union(cases.select(key, F.inline(case_rules))).union(steps.select(key, F.inline(step_rules))).union(checks.select(key, F.inline(assertion_rules)))
+    return checked(documents, raw).select(key, F.inline("found"))
+
+
+def wrap_case(case_raw: Column) -> Column:
+    """A document around a single case."""
+    return F.concat(F.lit(WRAPPED), case_raw, F.lit("]}"))
+
+
+def auto_wrap(raw: Column) -> Column:
+    """A document without version and summary that has one case with a caseId is wrapped again; any other stays."""
+    doc = F.from_json(raw, DOCUMENT)
+    alone = doc["schemaVersion"].isNull() & doc["summary"].isNull() & (F.size(doc["cases"]) == 1)
+    named = F.get_json_object(doc["cases"][0], "$.caseId").isNotNull()
+    return F.when(alone & named, wrap_case(doc["cases"][0])).otherwise(raw)
+
+
+def check_batch(cases: DataFrame, key: str = "case_key", raw: str = "case_raw") -> DataFrame:
+    """Each case by itself: key, ``caseId``, ``valid`` and the array ``errors``."""
+    found = checked(cases.select(key, F.col(raw).alias("one"), wrap_case(F.col(raw)).alias("raw")))
+    return found.select(key, F.get_json_object("one", "$.caseId").alias("caseId"), (F.size("found") == 0).alias("valid"), F.col("found").alias("errors"))
+
+
+def saved_cases(cases: DataFrame, tag: Column, raw: str = "case_raw") -> DataFrame:
+    """Generated cases as stored: the whole text, and knowledge, type, adoptionStatus and caseId beside it."""
+    get = lambda k, other: F.coalesce(F.get_json_object(raw, f"$.{k}"), F.lit(other))
+    return cases.select("*", F.col(raw).alias("content"), tag.alias("knowledge"), F.lit("test_case").alias("type"), get("adoptionStatus", "PENDING").alias("adoptionStatus"), get("caseId", "").alias("caseId"))
 
 
 def adopt(documents: DataFrame, key: str = "doc_key", raw: str = "raw") -> DataFrame:
@@ -123,17 +267,15 @@ def adopt(documents: DataFrame, key: str = "doc_key", raw: str = "raw") -> DataF
 
     Ids follow from the content, so a retried write adopts nothing twice.
     """
-    bad = violations(documents, key, raw).select(key).distinct()
-    c = F.col("c")
-    made = cases_of(documents.join(bad, key, "left_anti"), key, raw)
-    case_id = F.concat_ws("_", F.coalesce(c["caseId"], F.lit("TC_AUTO")), F.substring(F.sha2("case_raw", 256), 1, 12))
-    return made.select(key, "case_no", case_id.alias("case_id"), c["caseId"].alias("original_case_id"), F.coalesce(c["title"], F.lit("")).alias("title"), c["caseType"].alias("case_type"), F.coalesce(c["automationCandidate"], F.lit("UNSUPPORTED")).alias("automation_candidate"), F.lit("ADOPTED").alias("status"), F.col("case_raw").alias("raw_dsl"))
+    c = F.col("x.c")
+    made = checked(documents, raw).where(F.size("found") == 0).select(key, F.posexplode("cases").alias("case_no", "x"))
+    case_id = F.concat_ws("_", F.coalesce(c["caseId"], F.lit("TC_AUTO")), F.substring(F.sha2("x.raw", 256), 1, 12))
+    return made.select(key, "case_no", case_id.alias("case_id"), c["caseId"].alias("original_case_id"), F.coalesce(c["title"], F.lit("")).alias("title"), c["caseType"].alias("case_type"), F.coalesce(c["automationCandidate"], F.lit("UNSUPPORTED")).alias("automation_candidate"), F.lit("ADOPTED").alias("status"), F.col("x.raw").alias("raw_dsl"))
 
 
 def adoption_summary(documents: DataFrame, key: str = "doc_key", raw: str = "raw") -> DataFrame:
     """One row: documents, how many are valid, and ADOPTED, PARTIAL or FAILED."""
-    bad = violations(documents, key, raw).select(key).distinct().withColumn("bad", F.lit(1))
-    counts = documents.join(bad, key, "left").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("bad").isNull()).alias("valid"))
+    counts = checked(documents, raw).agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.size("found") == 0).alias("valid"))
     return counts.withColumn("status", F.when(F.col("valid") == F.col("documents"), "ADOPTED").when(F.col("valid") > 0, "PARTIAL").otherwise("FAILED"))
 
 
@@ -148,16 +290,18 @@ def search(cases: DataFrame, word: str, columns: tuple[str, ...] = ("title", "ca
 def resolve(nodes: DataFrame, locators: DataFrame) -> DataFrame:
     """The first node (by ``preorder``) of its page that each locator names; null for CSS, XPATH and no match.
 
+    Roles and test ids are compared exactly, labels (or else texts) and names whatever their case.
+
     ``nodes``: page, preorder, ref, role, name, test_id. ``locators``: locator_id, page, strategy, role, name, text, label,
     test_id, exact.
     """
     n = nodes.select("page", "preorder", "ref", F.col("role").alias("n_role"), F.col("name").alias("n_name"), F.col("test_id").alias("n_test_id"))
-    same = lambda a, b: F.coalesce(F.lower(a) == F.lower(b), F.lit(False))
+    label = F.coalesce("label", "text")
     by_name = lambda want: F.when(F.coalesce("exact", F.lit(False)), F.col("n_name") == want).otherwise(F.contains(F.lower("n_name"), F.lower(want)))
     match = (
         F.when(F.col("strategy") == "TESTID", F.col("n_test_id") == F.col("test_id"))
-        .when(F.col("strategy") == "LABEL", same(F.col("n_name"), F.col("label")) & F.lower("n_role").isin(*INPUT_ROLES))
-        .when(F.col("strategy") == "ROLE", same(F.col("n_role"), F.col("role")) & (F.col("name").isNull() | by_name(F.col("name"))))
+        .when(F.col("strategy") == "LABEL", (F.lower("n_name") == F.lower(label)) & F.col("n_role").isin(*INPUT_ROLES))
+        .when(F.col("strategy") == "ROLE", (F.col("n_role") == F.col("role")) & (F.col("name").isNull() | by_name(F.col("name"))))
         .when(F.col("strategy") == "TEXT", by_name(F.col("text")))
         .otherwise(F.lit(False))
     )

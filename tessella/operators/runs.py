@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 KEYS = ("run_id", "case_id")
 # Fixed values.
-CONTENT_TYPES = ("image/png", "image/jpeg", "text/plain", "application/json", "application/zip")
-ARTIFACT_TYPES = ("SCREENSHOT", "VIDEO", "TRACE", "LOG", "DOM_SNAPSHOT", "NETWORK", "OTHER")
+CONTENT_TYPES = ("image/png", "image/jpeg", "image/jpg", "application/json", "text/plain")
+ARTIFACT_TYPES = ("SCREENSHOT", "DOM", "A11Y", "CONSOLE", "NETWORK", "TRACE", "OTHER")
 MAX_ARTIFACT = 50 << 20
 
 
@@ -31,9 +31,25 @@ def rollup(attempts: DataFrame) -> DataFrame:
     return latest(attempts).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_cases"), count("PASSED").alias("passed"), count("FAILED").alias("failed"), count("BLOCKED").alias("blocked"))
 
 
-def overall_outcome(total: Column) -> Column:
+def overall_outcome() -> Column:
+    """FAIL with any failure, PASS if only passed, ERROR with any blocked case, UNKNOWN without a case."""
     failed, passed, blocked = F.col("failed"), F.col("passed"), F.col("blocked")
-    return F.when(failed > 0, "FAIL").when(passed == total, "PASS").when(blocked > 0, "ERROR").otherwise("UNKNOWN")
+    return F.when(failed > 0, "FAIL").when((passed > 0) & (blocked == 0), "PASS").when(blocked > 0, "ERROR").otherwise("UNKNOWN")
+
+
+def new_run(key: Column) -> list[Column]:
+    """A run's id, from a key that is its own, and its counters."""
+    zero = [F.lit(0).alias(c) for c in ("passed", "failed", "blocked")]
+    return [F.concat(F.lit("run-"), F.substring(F.sha2(key, 256), 1, 12)).alias("run_id"), F.lit("PENDING").alias("status"), *zero]
+
+
+def run_times(updates: DataFrame, key: str = "run_id") -> DataFrame:
+    """``started_at`` and ``completed_at`` of each run from its updates (key, at, status): the first of each stays.
+
+    A run starts with its first RUNNING or COMPLETED and ends with its first COMPLETED.
+    """
+    first = lambda *states: F.min(F.when(F.col("status").isin(*states), F.col("at")))
+    return updates.groupBy(key).agg(first("RUNNING", "COMPLETED").alias("started_at"), first("COMPLETED").alias("completed_at"))
 
 
 def run_status(total: Column, variant: str = "recorded") -> Column:

@@ -249,19 +249,19 @@ def run_rollup_lines(spark, d):
 def _status_sql(bad: str) -> str:
     return f"""WITH {ROLLUP} SELECT run_id,
   CASE WHEN n_cases < 5 THEN 'RUNNING' WHEN {bad} THEN 'FAILED' ELSE 'COMPLETED' END AS status,
-  CASE WHEN failed > 0 THEN 'FAIL' WHEN passed = 5 THEN 'PASS' WHEN blocked > 0 THEN 'ERROR' ELSE 'UNKNOWN' END AS outcome FROM rolled"""
+  CASE WHEN failed > 0 THEN 'FAIL' WHEN passed > 0 AND blocked = 0 THEN 'PASS' WHEN blocked > 0 THEN 'ERROR' ELSE 'UNKNOWN' END AS outcome FROM rolled"""
 
 
 @query(_status_sql("failed + blocked = 5"))
 def run_status(spark, d):
     r = runs.rollup(v.attempts(spark, d))
-    return r.select("run_id", runs.run_status(F.lit(5)).alias("status"), runs.overall_outcome(F.lit(5)).alias("outcome"))
+    return r.select("run_id", runs.run_status(F.lit(5)).alias("status"), runs.overall_outcome().alias("outcome"))
 
 
 @query(_status_sql("FALSE"))
 def run_status_executor(spark, d):
     r = runs.rollup(v.attempts(spark, d))
-    return r.select("run_id", runs.run_status(F.lit(5), "executor").alias("status"), runs.overall_outcome(F.lit(5)).alias("outcome"))
+    return r.select("run_id", runs.run_status(F.lit(5), "executor").alias("status"), runs.overall_outcome().alias("outcome"))
 
 
 def _diagnoses(spark, d):
@@ -296,16 +296,32 @@ def case_outcome(spark, d):
     return steps.select("run_id", runs.case_outcome(F.col("steps"), none).alias("outcome"), runs.first_failure(F.col("steps")).alias("first_failed"))
 
 
-@query("""SELECT event_id, CASE WHEN value * 1000000 > 52428800 THEN 'too large' WHEN event_type <> 'view' THEN 'content type not allowed' END AS refused,
-  CASE WHEN event_type = 'view' THEN 'LOG' ELSE 'OTHER' END AS artifact_type, user_id || '/' || event_type || '/0/' || event_id AS path FROM events""")
+KINDS_SQL = "CASE event_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpg' WHEN 2 THEN 'application/zip' WHEN 3 THEN 'text/plain' WHEN 4 THEN NULL ELSE 'IMAGE/PNG' END"
+TYPES_SQL = "CASE event_id % 5 WHEN 0 THEN 'dom' WHEN 1 THEN 'A11Y' WHEN 2 THEN 'video' WHEN 3 THEN NULL ELSE 'Trace' END"
+
+
+@query(f"""WITH e AS (SELECT *, {KINDS_SQL} AS kind, {TYPES_SQL} AS said FROM events)
+SELECT event_id, CASE WHEN value * 1000000 > 52428800 THEN 'too large' WHEN kind IS NULL OR kind NOT IN ('image/png', 'image/jpeg', 'image/jpg', 'application/json', 'text/plain') THEN 'content type not allowed' END AS refused,
+  CASE WHEN upper(said) IN ('SCREENSHOT', 'DOM', 'A11Y', 'CONSOLE', 'NETWORK', 'TRACE') THEN upper(said) ELSE 'OTHER' END AS artifact_type, user_id || '/' || event_type || '/0/' || event_id AS path FROM e""")
 def artifact_validation(spark, d):
-    kind = F.when(F.col("event_type") == "view", "text/plain").otherwise("text/html")
-    return v.table(spark, d, "events").select(
-        "event_id", runs.validate_artifact(F.col("value") * 1_000_000, kind).alias("refused"), runs.artifact_type(F.when(F.col("event_type") == "view", "log").otherwise("x")).alias("artifact_type"),
+    return v.table(spark, d, "events").withColumns({"kind": F.expr(KINDS_SQL), "said": F.expr(TYPES_SQL)}).select(
+        "event_id", runs.validate_artifact(F.col("value") * 1_000_000, F.col("kind")).alias("refused"), runs.artifact_type(F.col("said")).alias("artifact_type"),
         runs.artifact_path(F.col("user_id"), F.col("event_type"), F.lit(None).cast("int"), F.col("event_id")).alias("path"),
     )
 
 
+@query("""WITH u AS (SELECT user_id AS run_id, ts, CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'RUNNING' ELSE CASE WHEN event_id % 3 = 0 THEN 'COMPLETED' ELSE 'FAILED' END END AS status FROM events)
+SELECT run_id, min(ts) FILTER (status IN ('RUNNING', 'COMPLETED')) AS started_at, min(ts) FILTER (status = 'COMPLETED') AS completed_at FROM u GROUP BY run_id""")
+def run_times(spark, d):
+    status = F.when(F.col("event_type") == "view", "PENDING").when(F.col("event_type") == "click", "RUNNING").when(F.col("event_id") % 3 == 0, "COMPLETED").otherwise("FAILED")
+    return runs.run_times(v.table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), status.alias("status")))
+
+
+@query("SELECT s_suppkey, 'run-' || substr(sha256('s' || s_suppkey), 1, 12) AS run_id, 'PENDING' AS status, 0 AS passed, 0 AS failed, 0 AS blocked FROM supplier")
+def run_create(spark, d):
+    return v.table(spark, d, "supplier").select("s_suppkey", *runs.new_run(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
+
+
 @query(f"""WITH {v.CHUNKS} SELECT d.doc_id + 1 AS case_id, CASE WHEN c.id IS NULL THEN 'missing' WHEN c.status <> 'ADOPTED' THEN 'not adopted' WHEN c.type <> 'test_case' THEN 'not a web case' END AS refused
 FROM documents d LEFT JOIN chunks c ON c.id = d.doc_id + 1""")
 def case_admission(spark, d):
@@ -480,11 +496,14 @@ def split_clause(spark, d):
     return _count_and_digest(spark, d, t.clauses)
 
 
-@query("""WITH p AS (SELECT doc_id AS id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x, i: trim(x || chr(10) || chr(10), ' ')), lambda x: x <> '' AND trim(x, ' ' || chr(10)) <> '') AS p FROM documents)
-SELECT id, CAST(len(p) AS BIGINT) AS parts FROM p""")
+BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+PARAGRAPHS = f"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x, {BLANKS})), lambda x: x <> '')"
+
+
+@query(f"""WITH p AS (SELECT doc_id AS id, {PARAGRAPHS} AS p FROM documents)
+SELECT id, CAST(len(p) AS BIGINT) AS parts, sha256(array_to_string(p, chr(1))) AS digest FROM p""")
 def split_paragraph(spark, d):
-    p = t.paragraphs(F.col("text"))
-    return _docs(spark, d).select("id", F.size(p).cast("long").alias("parts"))
+    return _count_and_digest(spark, d, t.paragraphs)
 
 
 @query("""SELECT doc_id AS id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n[ \\t]+\\n', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents""")
@@ -529,20 +548,25 @@ def jaccard_pairs(spark, d):
     return nxt.select("a", "b", F.round(t.char_jaccard(F.col("ta"), F.col("tb")), 9).alias("jaccard"))
 
 
+@query(f"""WITH p AS (SELECT doc_id AS id, {PARAGRAPHS} AS p, list_transform(regexp_extract_all(text, '(?s)[^。！？.!?]*[。！？.!?]|[^。！？.!?]+$'), lambda x: trim(x, {BLANKS})) AS s FROM documents)
+SELECT id, CASE WHEN len(list_filter(p, lambda x: length(x) > 500)) = 0 THEN 1 WHEN len(list_filter(s, lambda x: length(x) > 500)) = 0 THEN 2 ELSE 3 END AS level FROM p""")
+def split_level(spark, d):
+    return _docs(spark, d).select("id", t.split_level(F.col("text"), 500).alias("level"))
+
+
 @query("""SELECT doc_id AS id, CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 2000)) > 0 THEN 'long' ELSE 'short' END AS level FROM documents""")
 def line_level(spark, d):
-    fits = F.forall(F.split("text", "\n"), lambda x: F.char_length(x) <= 2000)
+    fits = F.forall(F.split(t.normalize_newlines(F.col("text")), "\n"), lambda x: F.char_length(x) <= 2000)
     return _docs(spark, d).select("id", F.when(fits, "short").otherwise("long").alias("level"))
 
 
-@query()
-def split_level(spark, d):
-    return _docs(spark, d).select("id", t.split_level(F.col("text"), 500).alias("level"))
+CJK_SQL = "[㐀-䶿一-鿿豈-﫿]"
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id AS id, text || '中文' || doc_id AS text FROM documents)
+SELECT id, CAST(len(regexp_extract_all(text, '{CJK_SQL}')) + coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(regexp_replace(text, '{CJK_SQL}', ' ', 'g'), '\\s+'), lambda x: x <> ''), lambda x: CAST(ceil(length(x) / 4) AS BIGINT))), 0) AS BIGINT) AS tokens FROM w""")
 def token_counts(spark, d):
-    return _docs(spark, d).select("id", t.token_count(F.col("text")).alias("tokens"))
+    return _docs(spark, d).select("id", t.token_count(F.concat("text", F.lit("中文"), F.col("id").cast("string"))).alias("tokens"))
 
 
 # --- generated text ------------------------------------------------------------------------------------------------
@@ -558,18 +582,29 @@ def think_strip(spark, d):
     return _transcripts(spark, d).select("conv_id", "turn", F.sha2(g.strip_thinking(F.col("said")), 256).alias("digest"))
 
 
-@query("""SELECT conv_id, turn, '{"k": ' || turn || '}' AS bare, '{"k": ' || turn || '}' AS fenced FROM conversations""")
+FENCED = """CASE turn % 4 WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || '{"k": {"n": ' || turn || '}}' || chr(10) || '```' || chr(10) || 'Done.'
+  WHEN 1 THEN text || ' {"k": ' || turn || '} and {"k": 0} end' WHEN 2 THEN text ELSE '```' || chr(10) || '{"k": ' || turn || '}' || '```' END"""
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, {FENCED} AS said FROM conversations)
+SELECT conv_id, turn, regexp_extract(said, '(?s)\\{{.*\\}}') AS bare, trim(regexp_extract(said, '(?s)```(?:json)?\\s*(.*?)```', 1), ' ' || chr(9) || chr(10) || chr(13)) AS fenced FROM s""")
 def fence_extract(spark, d):
-    obj = F.concat(F.lit('{"k": '), F.col("turn").cast("string"), F.lit("}"))
-    said = F.concat(F.lit("Here:\n```json\n"), obj, F.lit("\n```\nDone."))
-    return v.table(spark, d, "conversations").select("conv_id", "turn", g.first_json(said).alias("bare"), g.fenced_json(said).alias("fenced"))
+    said = v.table(spark, d, "conversations").select("conv_id", "turn", F.expr(FENCED.replace("chr(10)", "char(10)")).alias("said"))
+    return said.select("conv_id", "turn", g.first_json(F.col("said")).alias("bare"), g.fenced_json(F.col("said")).alias("fenced"))
 
 
-@query("""SELECT conv_id, turn, '{"cases": [' || turn || ']}' AS object FROM conversations""")
+SALVAGED = """CASE turn % 6 WHEN 0 THEN '{"cases": [' || turn || ']}' WHEN 1 THEN '<think>a</think> so: {"x": {"data": 1, "cases": [' || turn || ']}} end'
+  WHEN 2 THEN '```json' || chr(10) || '{"k": ' || turn || '}' || chr(10) || '```' WHEN 3 THEN '<think>' || text WHEN 4 THEN 'said {"caseList": [' || turn || '], "n": 1' ELSE ' no brace "cases": ' || turn END"""
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, trim(replace(replace({SALVAGED}, '<think>', ''), '</think>', ''), ' ' || chr(9) || chr(10) || chr(13)) AS bare FROM conversations),
+k AS (SELECT *, coalesce(nullif(instr(bare, '"cases":'), 0), nullif(instr(bare, '"caseList":'), 0), nullif(instr(bare, '"data":'), 0)) AS pos FROM s),
+b AS (SELECT *, pos - instr(reverse(bare[1:pos - 1]), '{{') AS brace, instr(bare[1:pos - 1], '{{') > 0 AS has FROM k)
+SELECT conv_id, turn, CASE WHEN starts_with(bare, '{{') THEN bare WHEN has THEN bare[brace:]
+  WHEN regexp_matches(bare, '(?s)```json\\s*\\{{.*?```') THEN trim(regexp_extract(bare, '(?s)```json(.*?)```', 1), ' ' || chr(10)) ELSE bare END AS object FROM b""")
 def json_salvage(spark, d):
-    obj = F.concat(F.lit('{"cases": ['), F.col("turn").cast("string"), F.lit("]}"))
-    said = F.when(F.col("turn") % 3 == 0, obj).when(F.col("turn") % 3 == 1, F.concat(F.lit("<think>a</think> so: "), obj)).otherwise(F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
-    return v.table(spark, d, "conversations").select("conv_id", "turn", g.salvage_json(said).alias("object"))
+    said = v.table(spark, d, "conversations").select("conv_id", "turn", F.expr(SALVAGED.replace("chr(10)", "char(10)")).alias("said"))
+    return said.select("conv_id", "turn", g.salvage_json(F.col("said")).alias("object"))
 
 
 @query("""SELECT conv_id, count(*) AS records, string_agg('{"turn": ' || turn || '}', ';' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id""")
@@ -591,30 +626,57 @@ def query_clean(spark, d):
     return v.table(spark, d, "benchmark").select("item_id", g.clean_query(said).alias("query"))
 
 
-@query("""SELECT c_custkey, c_custkey % 2 = 0 AS requirement, CASE c_custkey % 2 WHEN 0 THEN '查看订单|快速付款' ELSE '登录|登录功能|登录失败|登录验证' END AS queries FROM customer""")
+SAID = """CASE c_custkey % 5 WHEN 0 THEN '作为 ' || c_mktsegment || ', 我想要 see ' || c_custkey || ', 以便于 pay' WHEN 1 THEN '退货' || c_custkey % 10
+  WHEN 2 THEN 'where is order ' || c_custkey WHEN 3 THEN '作为用户我希望知道' ELSE ' ' END"""
+FAMILY_SQL = """CASE WHEN contains({0}, '退') THEN ['申请退款的完整操作流程', '退款审核处理流程', '订单退款步骤'] WHEN contains({0}, '增') OR contains({0}, '添加') OR contains({0}, '新建') THEN ['新增数据的操作方法', '添加记录流程']
+  WHEN contains({0}, '删') THEN ['删除数据的操作流程', '数据删除注意事项'] WHEN contains({0}, '改') OR contains({0}, '编辑') THEN ['修改信息的操作方法', '数据编辑更新流程']
+  WHEN contains({0}, '查') OR contains({0}, '搜索') THEN ['查询数据的方法和步骤', '搜索筛选操作流程'] END"""
+
+
+@query(f"""WITH s AS (SELECT c_custkey, trim({SAID}) AS said FROM customer),
+p AS (SELECT *, contains(said, '作为') AND (contains(said, '我想') OR contains(said, '我希望')) AS requirement,
+  list_concat(list_filter(list_transform(regexp_extract_all(said, '{g.PARTS}'), lambda x: trim(regexp_replace(x, '[，,。]', '', 'g'))), lambda x: length(x) > 2),
+    list_transform(regexp_extract_all(said, '{g.WANTED}', 1), lambda x: trim(x))) AS parts, {FAMILY_SQL.format('said')} AS family FROM s)
+SELECT c_custkey, requirement, CASE WHEN said = '' THEN '' WHEN requirement AND len(parts) > 0 THEN array_to_string(parts, '|') WHEN length(said) < 10 AND family IS NOT NULL THEN said || '|' || array_to_string(family, '|') ELSE said END AS queries FROM p""")
 def prd_detect(spark, d):
-    said = F.when(F.col("c_custkey") % 2 == 0, "作为用户，我想要查看订单，以便快速付款。").otherwise("登录")
-    variants = F.array().cast("array<string>")
-    return v.table(spark, d, "customer").select("c_custkey", g.is_requirement(said).alias("requirement"), F.array_join(g.rewrite(said, variants), "|").alias("queries"))
+    said = v.table(spark, d, "customer").select("c_custkey", F.expr(SAID).alias("said"))
+    return said.select("c_custkey", g.is_requirement(F.col("said")).alias("requirement"), F.array_join(g.rewrite(F.col("said"), F.lit(None).cast("string")), "|").alias("queries"))
+
+
+SHORT = "CASE c_custkey % 8 WHEN 0 THEN '退货' WHEN 1 THEN '新建单' WHEN 2 THEN '删' WHEN 3 THEN '编辑名' WHEN 4 THEN '查询' WHEN 5 THEN '登录' WHEN 6 THEN '搜索很长很长很长很长的' ELSE '改查' END || c_custkey % 10"
 
 
-@query("""SELECT c_custkey, '搜索' || (c_custkey % 7) || '|搜索功能|搜索结果|搜索为空' AS queries, '搜索' || (c_custkey % 7) AS shortest FROM customer""")
+@query(f"""WITH s AS (SELECT c_custkey, {SHORT} AS said FROM customer), f AS (SELECT *, CASE WHEN length(said) < 10 THEN {FAMILY_SQL.format('said')} END AS family FROM s)
+SELECT c_custkey, said || '|' || array_to_string(family, '|') AS queries, CASE WHEN family IS NOT NULL THEN said END AS shortest FROM f""")
 def short_query_expand(spark, d):
-    q = g.expand_short(F.concat(F.lit("搜索"), (F.col("c_custkey") % 7).cast("string")))
-    return v.table(spark, d, "customer").select("c_custkey", F.array_join(q, "|").alias("queries"), g.shortest(q).alias("shortest"))
+    said = v.table(spark, d, "customer").select("c_custkey", F.expr(SHORT).alias("said"))
+    q = g.expand_short(F.col("said"))
+    return said.select("c_custkey", F.array_join(q, "|").alias("queries"), g.shortest(q).alias("shortest"))
 
 
-@query("""SELECT s_suppkey, s_name || ' one|' || s_name || ' two' AS variants FROM supplier""")
+ANSWER = "CASE s_suppkey % 3 WHEN 0 THEN '1. 查看' || s_name || chr(10) || '2、退款的流程' || chr(10) || '(3)退款的流程' || chr(10) || '- ab' || chr(10) || chr(10) || '四五六' WHEN 1 THEN NULL ELSE s_name || chr(10) || ' 一二三四 ' || chr(10) || '二三四五' || chr(10) || '三四五六' || chr(10) || '四五六七' || chr(10) || '五六七八' END"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey, s_name, {ANSWER} AS said FROM supplier),
+l AS (SELECT *, list_concat([s_name], list_filter(list_transform(string_split(coalesce(said, ''), chr(10)), lambda x: regexp_replace(trim(x), '{g.NUMBERING}', '')), lambda x: length(x) > 3)) AS l FROM s)
+SELECT s_suppkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:5], '|') AS variants FROM l""")
 def query_variants(spark, d):
-    said = F.concat(F.lit("1. "), "s_name", F.lit(" one\n2) "), "s_name", F.lit(" two\n- ab\n3. "), "s_name", F.lit(" one"))
-    return v.table(spark, d, "supplier").select("s_suppkey", F.array_join(g.query_variants(said), "|").alias("variants"))
+    said = v.table(spark, d, "supplier").select("s_suppkey", "s_name", F.expr(ANSWER.replace("chr(10)", "char(10)")).alias("said"))
+    return said.select("s_suppkey", F.array_join(g.query_variants(F.col("s_name"), F.col("said")), "|").alias("variants"))
+
+
+SCENES = """CASE p_partkey % 4 WHEN 0 THEN '以下是：场景 → 说明说明说明' || chr(10) || '功能：open ' || p_name || ' → shown' || chr(10) || chr(10) || '功能：open ' || p_name || ' → shown' || chr(10) || '1.异常：close → gone'
+  WHEN 1 THEN '- 功能：open → ' || p_name WHEN 2 THEN '功能场景示例：a → bbbbbbbb' || chr(10) || '**功能：x → yyyyyyyy' || chr(10) || '短：a → b' ELSE 'no arrow in ' || p_name END"""
+OPENINGS = "[" + ", ".join(f"'{x}'" for x in t.CHATTER) + "]"
 
 
-@query("SELECT p_partkey, replace(p_brand, ' ', '_') || '：open → ' || p_name AS lines FROM part")
+@query(f"""WITH s AS (SELECT p_partkey, list_filter(list_transform(string_split({SCENES}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM part),
+f AS (SELECT p_partkey, l, list_filter(list_transform(list_filter(l, lambda x: len(list_filter({OPENINGS}, lambda o: starts_with(x, o))) = 0 AND NOT (starts_with(x, '功能场景') AND contains(x, '示例')) AND regexp_matches(x, '{t.SCENARIO}')),
+  lambda x: regexp_replace(x, '^[-*\\d.]+\\s*', '')), lambda x: length(x) >= 10) AS strict, list_filter(l, lambda x: contains(x, '→') AND length(x) >= 10) AS loose FROM s)
+SELECT p_partkey, array_to_string(CASE WHEN len(strict) > 0 THEN list_filter(strict, lambda x, i: list_position(strict, x) = i) ELSE loose END, '|') AS lines FROM f""")
 def scenario_filter(spark, d):
-    line = F.concat(F.replace("p_brand", F.lit(" "), F.lit("_")), F.lit("：open → "), F.col("p_name"))
-    said = F.concat(F.lit("Here are the scenarios\n- "), line, F.lit("\n* "), line, F.lit("\nno arrow"))
-    return v.table(spark, d, "part").select("p_partkey", F.array_join(t.scenario_lines(said), "|").alias("lines"))
+    said = v.table(spark, d, "part").select("p_partkey", F.expr(SCENES.replace("chr(10)", "char(10)")).alias("said"))
+    return said.select("p_partkey", F.array_join(t.scenario_lines(F.col("said")), "|").alias("lines"))
 
 
 @query("""SELECT event_id, round(x, 9) AS score_choice, round(3 * x + 2 * (1 - x), 9) AS score_expected, round((3 * x + 2 * (1 - x)) / 3, 9) AS score_normalized
@@ -632,11 +694,16 @@ def judge_parse(spark, d):
     return v.table(spark, d, "events").select("event_id", j["choice"].alias("choice"), F.try_element_at(j["probabilities"], F.lit("useful")).alias("useful"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'TIMEOUT' ELSE 'UNKNOWN' END AS category, 'LOW' AS confidence, event_type AS summary FROM events""")
+DIAGNOSED = """CASE event_id % 9 WHEN 0 THEN 'TARGET_NOT_FOUND' WHEN 1 THEN 'assertion_failed' WHEN 2 THEN 'PAGE_STATE_UNEXPECTED' WHEN 3 THEN 'Input_Rejected' WHEN 4 THEN 'TIMEOUT' WHEN 5 THEN 'NETWORK_ERROR'
+  WHEN 6 THEN 'APPLICATION_ERROR' WHEN 7 THEN 'LOCATOR_NOT_FOUND' END"""
+SURE = "CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'certain' END"
+
+
+@query(f"""WITH s AS (SELECT event_id, event_type, upper({DIAGNOSED}) AS c, upper({SURE}) AS s FROM events)
+SELECT event_id, CASE WHEN event_id % 10 = 7 OR c IS NULL OR c = 'LOCATOR_NOT_FOUND' THEN 'UNKNOWN' ELSE c END AS category, CASE WHEN event_id % 10 <> 7 AND s IN ('HIGH', 'MEDIUM', 'LOW') THEN s ELSE 'LOW' END AS confidence, CASE WHEN event_id % 10 = 7 THEN '' ELSE event_type END AS summary FROM s""")
 def diagnosis_parse(spark, d):
-    kind = F.when(F.col("event_type") == "error", "timeout").otherwise("strange")
-    raw = F.concat(F.lit('Sure:\n```json\n{"category": "'), kind, F.lit('", "summary": "'), "event_type", F.lit('", "confidence": "certain"}\n```'))
-    x = g.parse_diagnosis(raw)
+    obj = F.to_json(F.struct(F.expr(DIAGNOSED).alias("category"), F.col("event_type").alias("summary"), F.expr(SURE).alias("confidence")))
+    x = g.parse_diagnosis(F.when(F.col("event_id") % 10 == 7, "no answer").otherwise(F.concat(F.lit("Sure:\n```json\n"), obj, F.lit("\n```"))))
     return v.table(spark, d, "events").select("event_id", x["category"].alias("category"), x["confidence"].alias("confidence"), x["summary"].alias("summary"))
 
 
@@ -660,10 +727,14 @@ def table_markdown(spark, d):
     return v.table(spark, d, "part").select("p_partkey", t.markdown_table(header, rows).alias("markdown"))
 
 
-@query("""SELECT doc_id AS id, TRUE AS is_markdown, 'Part ' || doc_id AS first_header, '# Part ' || doc_id || '|## Sub' AS headers FROM documents""")
+MARKED = "CASE doc_id % 3 WHEN 0 THEN '# Part ' || doc_id || chr(10) || text || chr(10) || '###### Sub' || chr(10) || 'body' WHEN 1 THEN '####### none' || chr(10) || '#none' || chr(10) || text ELSE text || chr(10) || '##  Two ' END"
+
+
+@query(f"""WITH m AS (SELECT doc_id AS id, {MARKED} AS md FROM documents), h AS (SELECT id, regexp_extract_all(md, '(?m)^(#{{1,6}}[\t\n\f\r ]+.+)$', 1) AS h, regexp_extract(md, '(?m)^#{{1,6}}[\t\n\f\r ]+(.+)$', 1) AS f FROM m)
+SELECT id, len(h) > 0 AS is_markdown, f AS first_header, array_to_string(h, '|') AS headers FROM h""")
 def markdown_headers(spark, d):
-    md = F.concat(F.lit("# Part "), F.col("id").cast("string"), F.lit("\n"), F.regexp_replace("text", r"(?m)^#+", ""), F.lit("\n## Sub\nbody"))
-    return _docs(spark, d).select("id", t.is_markdown(md).alias("is_markdown"), t.first_header(md).alias("first_header"), F.array_join(t.header_lines(md), "|").alias("headers"))
+    md = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(MARKED.replace("chr(10)", "char(10)")).alias("md"))
+    return md.select("id", t.is_markdown(F.col("md")).alias("is_markdown"), t.first_header(F.col("md")).alias("first_header"), F.array_join(t.header_lines(F.col("md")), "|").alias("headers"))
 
 
 def _chunk_rows(spark, d, split, *args, text=None):
@@ -687,6 +758,20 @@ def token_chunks(spark, d):
     return _chunk_rows(spark, d, sp.token_chunks)
 
 
+@query()
+def etl_chunks(spark, d):
+    """Documents in blocks, cut by tokens, with their metadata copied to every chunk."""
+    docs = v.table(spark, d, "documents").where(F.trim("text") != "")
+    return docs.select("doc_id", F.lit("docs").alias("knowledge"), F.col("source").alias("sourceFile"), F.posexplode(sp.splitter(sp.etl_chunks)(F.col("text"))).alias("chunk_no", "chunk"))
+
+
+@query()
+def paragraph_ingest(spark, d):
+    """Each paragraph by itself, cut by tokens, with knowledge, sourceDoc and type."""
+    parts = v.table(spark, d, "documents").select("doc_id", F.col("source").alias("sourceDoc"), F.posexplode(t.paragraphs(F.col("text"))).alias("part_no", "part"))
+    return parts.select("doc_id", "part_no", F.lit("docs").alias("knowledge"), "sourceDoc", F.lit("knowledge").alias("type"), F.posexplode(sp.splitter(sp.token_chunks)(F.col("part"))).alias("chunk_no", "chunk"))
+
+
 @query()
 def fixed_chunks(spark, d):
     return _chunk_rows(spark, d, sp.fixed_chunks, 300, 20)
@@ -714,23 +799,41 @@ def html_documents(spark, d):
 
 
 def _dsl(spark, d):
-    """A document per order, made from its lines; every rule that is broken is broken by a stated share of them."""
+    """A document per part; every rule that is broken is broken by a stated share of them."""
+    k, text = F.col("k"), lambda x: F.lit(x).cast("string")
     p = v.table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name")
-    target = F.when(F.col("k") % 5 != 0, F.struct(F.lit("TESTID").alias("strategy"), F.concat(F.lit("b"), F.col("k").cast("string")).alias("testId")))
-    step1 = F.struct(F.lit(1).alias("order"), F.lit("NAVIGATE").alias("action"), F.lit(None).cast("struct<strategy: string, testId: string>").alias("target"), F.when(F.col("k") % 7 != 0, "https://x").alias("url"), F.lit(None).cast("string").alias("value"))
-    step2 = F.struct(F.when(F.col("k") % 11 == 0, 3).otherwise(2).alias("order"), F.lit("INPUT").alias("action"), target.alias("target"), F.lit(None).cast("string").alias("url"), F.when(F.col("k") % 3 != 0, "v").alias("value"))
-    case = F.struct(F.concat(F.when(F.col("k") % 13 == 0, "X-").otherwise("TC_"), F.col("k").cast("string")).alias("caseId"), F.concat(F.lit("Case "), "p_name").alias("title"), F.lit("WEB_FUNCTIONAL").alias("caseType"), F.array(step1, step2).alias("steps"), F.lit("shown").alias("expectedOutcome"))
-    doc = F.struct(F.when(F.col("k") % 17 == 0, "9.9.9").otherwise("1.0.0").alias("schemaVersion"), F.struct(F.lit("shop").alias("app")).alias("summary"), F.array(case).alias("cases"))
-    return p.select(F.col("k").alias("doc_key"), F.to_json(doc).alias("raw"))
+    role = k % 29 == 0
+    target = F.when(k % 5 != 0, F.struct(F.when(role, "ROLE").otherwise("TESTID").alias("strategy"), F.when(role, "button").alias("role"), F.when(~role, F.concat(F.lit("b"), k.cast("string"))).alias("testId")))
+    nowhere = text(None).cast("string")
+    none = F.when(F.lit(False), F.struct(nowhere.alias("strategy"), nowhere.alias("role"), nowhere.alias("testId")))
+    step1 = F.struct(F.lit(1).alias("order"), text("NAVIGATE").alias("action"), none.alias("target"), F.when(k % 7 != 0, "https://x").alias("url"), nowhere.alias("value"))
+    step2 = F.struct(F.when(k % 11 == 0, 3).otherwise(2).alias("order"), text("INPUT").alias("action"), target.alias("target"), nowhere.alias("url"), F.when(k % 3 != 0, "v").alias("value"))
+    check = F.struct(F.when(k % 31 == 0, "ELEMENT_VISIBLE").otherwise("URL_CONTAINS").alias("kind"), F.when(k % 37 != 0, "x").alias("expected"))
+    case = F.struct(
+        F.concat(F.when(k % 13 == 0, "X-").otherwise("TC_"), k.cast("string")).alias("caseId"), F.concat(F.lit("Case "), "p_name").alias("title"), F.lit("FLOW").alias("caseType"),
+        F.when(k % 19 == 0, "NONE").otherwise("LOW").alias("risk"), F.lit("WEB_FUNCTIONAL").alias("automationCandidate"), F.array(step1, step2).alias("steps"), F.lit("shown").alias("expectedOutcome"), F.array(check).alias("assertions"),
+    )
+    summary = F.struct(F.lit("shop").alias("app"), F.lit("start").alias("page"), F.when(k % 23 != 0, 1).alias("totalCases"))
+    doc = F.struct(F.when(k % 17 == 0, "9.9.9").otherwise("1.0.0").alias("schemaVersion"), summary.alias("summary"), F.array(case).alias("cases"), F.when(k % 41 == 0, "x").alias("extra"))
+    return p.select(k.alias("doc_key"), F.when(k % 43 == 0, "{").otherwise(F.to_json(doc)).alias("raw"))
+
 
+def _dsl_rules() -> str:
+    read = "p_partkey % 17 <> 0 AND p_partkey % 43 <> 0"
+    known = f"{read} AND p_partkey % 19 <> 0"
+    rules = [
+        ("$", "PARSE_ERROR", "p_partkey % 43 = 0"), ("$.schemaVersion", "UNKNOWN_VERSION", "p_partkey % 17 = 0 AND p_partkey % 43 <> 0"),
+        ("$/cases/0/caseId", "SCHEMA_pattern", f"p_partkey % 13 = 0 AND {read}"), ("$/cases/0/risk", "SCHEMA_enum", f"p_partkey % 19 = 0 AND {read}"), ("$", "SEMANTIC_PARSE", f"p_partkey % 19 = 0 AND {read}"),
+        ("$/summary", "SCHEMA_required", f"p_partkey % 23 = 0 AND {read}"), ("$.summary.totalCases", "SEM_FIELD_REQUIRED", f"p_partkey % 23 = 0 AND {known}"), ("$", "SCHEMA_additionalProperties", f"p_partkey % 41 = 0 AND {read}"),
+        ("$.cases[0].steps[1].order", "SEM_ORDER_SEQUENTIAL", f"p_partkey % 11 = 0 AND {known}"), ("$.cases[0].steps[0].url", "SEM_URL_REQUIRED_NAVIGATE", f"p_partkey % 7 = 0 AND {known}"),
+        ("$.cases[0].steps[1].target", "SEM_TARGET_REQUIRED", f"p_partkey % 5 = 0 AND {known}"), ("$.cases[0].steps[1].target.name", "SEM_LOCATOR_FIELD_REQUIRED", f"p_partkey % 29 = 0 AND p_partkey % 5 <> 0 AND {known}"),
+        ("$.cases[0].steps[1].value", "SEM_VALUE_REQUIRED", f"p_partkey % 3 = 0 AND {known}"), ("$.cases[0].assertions[0].target", "SEM_TARGET_REQUIRED_ASSERTION", f"p_partkey % 31 = 0 AND {known}"),
+        ("$.cases[0].assertions[0].expected", "SEM_EXPECTED_REQUIRED", f"p_partkey % 37 = 0 AND p_partkey % 31 <> 0 AND {known}"),
+    ]
+    return "rules AS (" + " UNION ALL ".join(f"SELECT p_partkey AS doc_key, '{path}' AS path, '{code}' AS code FROM part WHERE {where}" for path, code, where in rules) + ")"
 
-DSL_RULES = """rules AS (
-  SELECT p_partkey AS doc_key, '$.schemaVersion' AS path, 'UNKNOWN_VERSION' AS code FROM part WHERE p_partkey % 17 = 0
-  UNION ALL SELECT p_partkey, '$.cases[0].caseId', 'SCHEMA_PATTERN' FROM part WHERE p_partkey % 13 = 0 AND p_partkey % 17 <> 0
-  UNION ALL SELECT p_partkey, '$.cases[0].steps', 'SEM_ORDER_SEQUENTIAL' FROM part WHERE p_partkey % 11 = 0 AND p_partkey % 17 <> 0
-  UNION ALL SELECT p_partkey, '$.cases[0].steps[0]', 'SEM_URL_REQUIRED_NAVIGATE' FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 17 <> 0
-  UNION ALL SELECT p_partkey, '$.cases[0].steps[1]', 'SEM_TARGET_REQUIRED' FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 17 <> 0
-  UNION ALL SELECT p_partkey, '$.cases[0].steps[1]', 'SEM_VALUE_REQUIRED' FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 17 <> 0)"""
+
+DSL_RULES = _dsl_rules()
 
 
 @query(f"WITH {DSL_RULES} SELECT * FROM rules")
@@ -738,7 +841,7 @@ def dsl_violations(spark, d):
     return cases.violations(_dsl(spark, d)).select("doc_key", "path", "code")
 
 
-@query(f"""WITH {DSL_RULES} SELECT p_partkey AS doc_key, 'TC_' || p_partkey AS original_case_id, 'Case ' || p_name AS title, 'UNSUPPORTED' AS automation_candidate, 'ADOPTED' AS status
+@query(f"""WITH {DSL_RULES} SELECT p_partkey AS doc_key, 'TC_' || p_partkey AS original_case_id, 'Case ' || p_name AS title, 'WEB_FUNCTIONAL' AS automation_candidate, 'ADOPTED' AS status
 FROM part WHERE p_partkey NOT IN (SELECT doc_key FROM rules)""")
 def dsl_adopt(spark, d):
     return cases.adopt(_dsl(spark, d)).select("doc_key", "original_case_id", "title", "automation_candidate", "status")
@@ -749,6 +852,27 @@ def dsl_adoption_summary(spark, d):
     return cases.adoption_summary(_dsl(spark, d))
 
 
+ONE_CASE = """'{"caseId": "TC_' || p_partkey || '", "title": "' || CASE WHEN p_partkey % 3 = 0 THEN 'abc' ELSE 'A case' END || '", "automationCandidate": "API", "expectedOutcome": "ok", "steps": [{"order": 1, "action": "WAIT"}]' || CASE WHEN p_partkey % 4 = 0 THEN ', "adoptionStatus": "ADOPTED"' ELSE '' END || '}'"""
+
+
+@query("""SELECT p_partkey AS case_key, 'TC_' || p_partkey AS "caseId", p_partkey % 3 <> 0 AND p_partkey % 4 <> 0 AS valid FROM part""")
+def dsl_check_batch(spark, d):
+    one = v.table(spark, d, "part").select(F.col("p_partkey").alias("case_key"), F.expr(ONE_CASE).alias("case_raw"))
+    return cases.check_batch(one).select("case_key", "caseId", "valid")
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '{cases.WRAPPED}' || replace(replace({ONE_CASE}, ': ', ':'), ', ', ',') || ']}}' ELSE '[]' END AS wrapped FROM part""")
+def dsl_auto_wrap(spark, d):
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"cases":['), F.replace(F.expr(ONE_CASE), F.lit(": "), F.lit(":")), F.lit("]}"))).otherwise("[]")
+    return v.table(spark, d, "part").select("p_partkey", F.replace(cases.auto_wrap(raw), F.lit(", "), F.lit(",")).alias("wrapped"))
+
+
+@query(f"""SELECT p_partkey, {ONE_CASE} AS content, p_brand AS knowledge, 'test_case' AS type, CASE WHEN p_partkey % 4 = 0 THEN 'ADOPTED' ELSE 'PENDING' END AS "adoptionStatus", 'TC_' || p_partkey AS "caseId" FROM part""")
+def case_save(spark, d):
+    one = v.table(spark, d, "part").select("p_partkey", "p_brand", F.expr(ONE_CASE).alias("case_raw"))
+    return cases.saved_cases(one, F.col("p_brand")).select("p_partkey", "content", "knowledge", "type", "adoptionStatus", "caseId")
+
+
 def _nodes(spark, d):
     return v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("preorder"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ref"), F.when(F.col("l_linestatus") == "O", "button").otherwise("textbox").alias("role"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("name"), F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("test_id"))
 
@@ -758,7 +882,7 @@ def _nodes(spark, d):
 def locator_resolve(spark, d):
     k = F.col("o_orderkey") % 3
     none = F.lit(None).cast("string")
-    locators = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("locator_id"), F.col("o_orderkey").alias("page"), F.when(k == 0, "ROLE").when(k == 1, "TEXT").otherwise("CSS").alias("strategy"), F.when(k == 0, "Button").alias("role"), none.alias("name"), F.when(k == 1, "1").alias("text"), none.alias("label"), none.alias("test_id"), F.lit(False).alias("exact"))
+    locators = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("locator_id"), F.col("o_orderkey").alias("page"), F.when(k == 0, "ROLE").when(k == 1, "TEXT").otherwise("CSS").alias("strategy"), F.when(k == 0, "button").alias("role"), none.alias("name"), F.when(k == 1, "1").alias("text"), none.alias("label"), none.alias("test_id"), F.lit(False).alias("exact"))
     return cases.resolve(_nodes(spark, d), locators)
 
 
