@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10)
 RELEVANT, HIGHLY = 2, 3
+MOST_GROUPS = 1_000
 
 
 def graded(rankings: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -36,9 +37,15 @@ def metrics(rankings: DataFrame, qrels: DataFrame, ks: Sequence[int] = KS, group
     """
     group = list(group)
     g = graded(rankings, qrels)
-    groups = rankings.select(*group).distinct() if group else None
     base = label_totals(qrels, ks)
-    base = base.join(F.broadcast(groups)) if groups is not None else base
+    if group:
+        # the groups are the compared systems, so few that they are listed
+        groups = rankings.select(*group).distinct().limit(MOST_GROUPS + 1).collect()
+        if len(groups) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups")
+        kinds = dict(rankings.select(*group).dtypes)
+        listed = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in group]) for r in groups]) if groups else F.array().cast(f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in group)}>>")
+        base = base.select("*", F.inline(listed))
     hit, top = F.col("grade") >= RELEVANT, lambda k: F.col("rank") <= k
     aggs = [F.count(F.lit(1)).alias("length")]
     for k in ks:
