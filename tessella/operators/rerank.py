@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.text import case_text
 
 EXTERNAL_MOST, OVERFETCH, LAMBDA = 20, 3, 0.5
+# Fixed value: the version of the judge's prompt, a part of its cache's keys.
+PROMPT_VERSION = "v1"
 
 
 def by_order(candidates: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
@@ -100,3 +102,32 @@ def two_stage(candidates: DataFrame, external: DataFrame | None, n: int, lam: fl
     any_ = F.max("relevance").over(Window.partitionBy("query_id"))
     ranked = by_order(both, [F.desc(F.coalesce("relevance", F.lit(-1.0))), F.col("mmr_rank")], n)
     return ranked.withColumn("reranker", F.when(any_.isNull(), "mmr").otherwise("external")).select("query_id", "candidate_id", "score", "new_rank", "reranker")
+
+
+def cache_key(query: Column, candidate_id: Column, model: Column, version: str = PROMPT_VERSION) -> Column:
+    """The key of a judgement in the cache: a hash of all that it depends on; nulls count as empty."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (query, candidate_id, model)]
+    return F.sha2(F.concat_ws("|", *parts, F.lit(version)), 256)
+
+
+def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """``requests`` (query, candidate_id, model, ...) with ``body`` and ``hit``; a body that is no JSON object is a miss.
+
+    ``cache``: key, body, written_at. Of several bodies with a key the last written counts.
+    """
+    last = cache.groupBy("key").agg(F.max_by("body", F.struct("written_at", "body")).alias("body"))
+    keyed = requests.withColumn("key", cache_key(F.col("query"), F.col("candidate_id"), F.col("model")))
+    hit = F.json_object_keys("body").isNotNull()
+    return keyed.join(last, "key", "left").withColumn("hit", hit).withColumn("body", F.when(hit, F.col("body")))
+
+
+def cache_rows(judged: DataFrame) -> DataFrame:
+    """What is appended to the cache for new judgements (query, candidate_id, model, body, written_at)."""
+    return judged.select(cache_key(F.col("query"), F.col("candidate_id"), F.col("model")).alias("key"), "body", "written_at")
+
+
+def cache_rate(looked_up: DataFrame) -> DataFrame:
+    """One row: hits, misses and their rate, 0 without requests."""
+    counts = looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    total = F.col("hits") + F.col("misses")
+    return counts.withColumn("hit_rate", F.when(total > 0, F.col("hits") / total).otherwise(0.0))

@@ -54,6 +54,11 @@ def fill_first(existing: Column, now: Column) -> Column:
     return F.coalesce(existing, now)
 
 
+def without_mirror(cases: DataFrame, mirror: DataFrame, key: str = "case_id") -> DataFrame:
+    """Cases that have no row in the mirror, whatever its tag."""
+    return cases.join(mirror.select(key).distinct(), key, "left_anti")
+
+
 def exact_duplicates(chunks: DataFrame) -> DataFrame:
     """Hashes that several chunks share, with the least id; only hashes and ids are shuffled."""
     return chunks.select("id", content_hash(F.col("content")).alias("content_hash")).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")

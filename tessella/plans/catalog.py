@@ -128,6 +128,18 @@ def case_search_ilike(spark, d):
     return cases.search(v.table(spark, d, "part"), "A", ("p_name", "p_brand")).select("p_partkey", "p_name")
 
 
+@query(r"""WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '_50%' WHEN 1 THEN p_name || '50' WHEN 2 THEN p_name || 'x50%' ELSE p_name || '\50%_' END AS title FROM part)
+SELECT p_partkey, title ILIKE '%\_50\%%' ESCAPE '\' AS found, title ILIKE '%\\50%' ESCAPE '\' AS slash FROM p""")
+def case_search_wildcards(spark, d):
+    """Words that hold the wildcards themselves."""
+    k = F.col("p_partkey") % 4
+    title = F.when(k == 0, F.concat("p_name", F.lit("_50%"))).when(k == 1, F.concat("p_name", F.lit("50"))).when(k == 2, F.concat("p_name", F.lit("x50%"))).otherwise(F.concat("p_name", F.lit("\\50%_")))
+    p = v.table(spark, d, "part").select("p_partkey", title.alias("title"))
+    ids = lambda word: cases.search(p, word, ("title",)).select("p_partkey", F.lit(True).alias("hit"))
+    both = p.join(ids("_50%").withColumnRenamed("hit", "found"), "p_partkey", "left").join(ids("\\50").withColumnRenamed("hit", "slash"), "p_partkey", "left")
+    return both.select("p_partkey", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("slash", F.lit(False)).alias("slash"))
+
+
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3")
 def case_search_recent(spark, d):
     return store.newest(v.table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
@@ -203,6 +215,20 @@ def upsert_latest(spark, d):
     return out.select("user_id", "event_type", "value", "created_at")
 
 
+@query("SELECT o_orderkey AS case_id, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2)")
+def mirror_missing(spark, d):
+    cases_ = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), "o_custkey")
+    return store.without_mirror(cases_, v.table(spark, d, "lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("case_id")))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS made FROM documents WHERE doc_id % 3 <> 1""")
+def document_reingest(spark, d):
+    """Stored chunks of most documents; those of changed ones are replaced, those of new ones come in."""
+    docs = v.table(spark, d, "documents").select("doc_id").where("doc_id % 3 <> 1")
+    stored = docs.where("doc_id % 8 <> 0").withColumn("made", F.lit("old"))
+    return ingest.reingest(stored, docs.where("doc_id % 4 = 0"), lambda new: new.withColumn("made", F.lit("new")))
+
+
 @query("SELECT user_id AS task_id, count(*) AS events, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id")
 def task_state(spark, d):
     e = v.table(spark, d, "events").select(F.col("user_id").alias("task_id"), "ts", "event_id", F.col("event_type").alias("state"))
@@ -468,6 +494,19 @@ def two_stage_rerank(spark, d):
     return rerank.two_stage(c, external, 5)
 
 
+CACHED = """CASE WHEN event_id % 15 = 0 THEN '{broken' ELSE '{"k": ' || event_id || '}' END"""
+
+
+@query(f"""WITH r AS (SELECT event_id, sha256(user_id || '|' || event_type || '|m|v1') AS key FROM events),
+c AS (SELECT sha256(user_id || '|' || event_type || '|m|v1') AS key, arg_max({CACHED}, event_id) AS body FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+SELECT count(*) FILTER (body NOT LIKE '{{broken%') AS hits, count(*) FILTER (body IS NULL OR body LIKE '{{broken%') AS misses, count(*) FILTER (body NOT LIKE '{{broken%') / count(*) AS hit_rate FROM r LEFT JOIN c USING (key)""")
+def judge_cache(spark, d):
+    """A request per event, against the judgements of every third one, some of which can't be read."""
+    e = v.table(spark, d, "events").select("event_id", F.col("user_id").alias("query"), F.col("event_type").alias("candidate_id"), F.lit("m").alias("model"))
+    cache = rerank.cache_rows(e.where("event_id % 3 = 0").select("query", "candidate_id", "model", F.expr(CACHED).alias("body"), F.col("event_id").alias("written_at")))
+    return rerank.cache_rate(rerank.cached(e, cache))
+
+
 # --- text ----------------------------------------------------------------------------------------------------------
 
 
@@ -496,6 +535,33 @@ def split_clause(spark, d):
     return _count_and_digest(spark, d, t.clauses)
 
 
+@query(_split_sql("(?s)[^。！？.!?]*[。！？.!?]|[^。！？.!?]+$"))
+def split_parser_sentence(spark, d):
+    return _count_and_digest(spark, d, t.parser_sentences)
+
+
+@query("""WITH p AS (SELECT doc_id AS id, list_filter(regexp_extract_all(text || '。x' || chr(10) || doc_id, '(?s)[^\n。]*[\n。]|[^\n。]+$'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS p FROM documents)
+SELECT id, CAST(len(p) AS BIGINT) AS parts, sha256(array_to_string(p, chr(1))) AS digest FROM p""")
+def split_etl(spark, d):
+    p = t.etl_pieces(F.concat("text", F.lit("。x\n"), F.col("id").cast("string")))
+    return _docs(spark, d).select("id", F.size(p).cast("long").alias("parts"), F.sha2(F.array_join(p, "\x01"), 256).alias("digest"))
+
+
+@query("""WITH p AS (SELECT doc_id AS id, list_filter(list_transform(regexp_split_to_array(text || ';' || doc_id || '。end of it', '[。\n;]'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) > 5) AS p FROM documents)
+SELECT id, CAST(len(p) AS BIGINT) AS parts, sha256(array_to_string(p, chr(1))) AS digest FROM p""")
+def split_short(spark, d):
+    p = t.short_text_parts(F.concat("text", F.lit(";"), F.col("id").cast("string"), F.lit("。end of it")))
+    return _docs(spark, d).select("id", F.size(p).cast("long").alias("parts"), F.sha2(F.array_join(p, "\x01"), 256).alias("digest"))
+
+
+BLOCKS = "CASE p_partkey % 5 WHEN 0 THEN '| a | b |' || chr(10) || '| --- | :-: |' || chr(10) || '| 1 | ' || p_name || ' |' WHEN 1 THEN '| a |' WHEN 2 THEN '| a |' || chr(10) || 'no row' WHEN 3 THEN '| a |' || chr(10) || '| b |' ELSE 'a |' || chr(10) || '|--|' END"
+
+
+@query("SELECT p_partkey, p_partkey % 5 IN (0, 4) AS is_table FROM part")
+def table_blocks(spark, d):
+    return v.table(spark, d, "part").select("p_partkey", t.is_table_block(F.expr(BLOCKS.replace("chr(10)", "char(10)"))).alias("is_table"))
+
+
 BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 PARAGRAPHS = f"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x, {BLANKS})), lambda x: x <> '')"
 
@@ -904,6 +970,8 @@ def assertion_evaluation(spark, d):
 
 def _work_dir(spark) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="stream-") if not base else f"{base.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
 
 

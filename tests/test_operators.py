@@ -121,6 +121,27 @@ def plain_diverse(texts, scores, n, weight):
     return chosen
 
 
+def test_diversity_against_a_plain_version():
+    rng = random.Random(5)
+    for _ in range(60):
+        n = rng.randrange(2, 9)
+        texts = ["".join(rng.choices("abcdefg ", k=rng.randrange(1, 9))) for _ in range(n)]
+        scores = [round(rng.random(), 1) for _ in range(n)]
+        k = rng.randrange(1, n)
+        assert rerank.mmr_order(texts, scores, k) == plain_diverse(texts, scores, k, rerank.LAMBDA)
+        assert rerank.mmr_order(texts, scores, k, first="input")[0] == 0
+
+
+def test_dead_letters_and_best_chunks(spark):
+    dead = spark.createDataFrame([(f"t{i}", i % 4) for i in range(9)], "task_id string, failed_at int")
+    n, last = ingest.dead_letter_stats(dead, 3)
+    assert n == 9 and [r.task_id for r in last.collect()] == ["t3", "t7", "t2"]
+    hits = spark.createDataFrame([("r", i, f"d{i % 3}", 1.0 - i / 10) for i in range(8)], "request string, id int, doc string, score double")
+    assert [(r.id, r.place) for r in retrieval.best_chunk_per_document(hits, "doc", 2).orderBy("place").collect()] == [(0, 1), (1, 2)]
+    bad = spark.createDataFrame([("", [], [])], readers.EVAL_QUERY.replace("query_id string,", "query_id string,").split(", query string")[0] + ", candidates array<struct<rag_rank: int>>, ground_truth array<struct<relevance: int>>")
+    assert readers.invalid_queries(bad).count() == 1
+
+
 def test_two_stage_falls_back(spark):
     rows = [(1, i, i, 1 - i / 10, f"note {i} {'pqrstuvw'[i]}") for i in range(1, 8)]
     c = spark.createDataFrame(rows, "query_id long, candidate_id long, rag_rank int, score double, text string")
