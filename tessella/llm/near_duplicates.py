@@ -9,9 +9,9 @@ them are at most a fifth of the longer one's words.
 Equal texts are one node from the start. First each text is aligned with one leader per bucket. Components of what was linked
 then leave open those buckets whose texts are in several components. In these all pairs of different components are compared:
 a task takes the texts of a bucket, finds by the numbers of common words which pairs can be near at all, and aligns them.
-Buckets of more than BLOCK texts go through an exact join on the rarest two-word runs of each text first, of which near
-texts have one in common, and what is still large is compared block against block. No pair that shares a number is left out,
-and no pairs are emitted but the linked ones. The classes are the connected components.
+A bucket of more than BLOCK texts, most of which are one component, is taken apart: its other texts meet that whole component once,
+whatever the number of buckets they share, and each other; what is still large is compared block against block. No pair that
+shares a number is left out, and no pairs are emitted but the linked ones. The classes are the connected components.
 """
 
 from __future__ import annotations
@@ -22,19 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
 from .common import fresh, save_table, small
 
-K, L, M = 5, 2, 24
+K, L, M = 5, 3, 32
 SIMILARITY = 0.8
-#: Buckets of more texts, or of more words in all, are divided by rare runs of RUN words and then into blocks.
-BLOCK, BLOCK_WORDS, RUN = 256, 400_000, 2
-#: Runs in more texts than this are joined apart, against a list that is broadcast if it is small.
-HOT = 256
+#: Buckets of more texts, or of more words in all, are taken apart and then compared in blocks.
+BLOCK, BLOCK_WORDS = 256, 400_000
 
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20_240_517)
@@ -213,20 +211,26 @@ def verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFram
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``label``, the least node of its connected component, for every node of ``edges`` (a, b).
+    """``node`` and ``label``, a node of its connected component that all its nodes agree on, for every node of ``edges`` (a, b).
 
-    Least labels spread along edges, and labels jump to their label's label; each round is written to the shared folder.
+    Level by level each node takes the least of itself and its neighbours as its label, and labels are the nodes of the next,
+    smaller graph, until no edge is left; the levels are then put together from the last to the first.
     """
-    both = save_table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = save_table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "near-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").join(jump, "label", "left")
-        step = save_table(step.select("node", F.col("label").alias("old"), F.least("label", "m", F.coalesce("next", "label")).alias("label")), "near-labels")
-        labels = step.select("node", "label")
-        if step.where(F.col("old") != F.col("label")).limit(1).count() == 0:
-            return labels
+    edges, levels = save_table(edges.select("a", "b").where("a <> b").distinct(), "near-edges"), []
+    while edges.limit(1).count():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        level = save_table(ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "near-level")
+        levels.append(level)
+        first, second = (level.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
+        moved = edges.join(first, "a").join(second, "b").where("label_a <> label_b")
+        edges = save_table(moved.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct(), "near-edges")
+    if not levels:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = levels.pop()
+    for level in reversed(levels):
+        above = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = save_table(level.join(above, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "near-labels")
+    return labels
 
 
 def joined_up(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -299,6 +303,8 @@ def block_links(rows: pa.Table, similarity: float, low: int, high: int) -> list[
     maybe &= (blocks[:, None] == low) & (blocks[None, :] == high)
     if low == high:
         maybe = np.triu(maybe, 1)
+    of = np.array(root)
+    maybe &= of[:, None] != of[None, :]
     left, right = np.nonzero(maybe)
     out = []
     for i in np.argsort(-(common[left, right] / longest[left, right]), kind="stable").tolist():
@@ -310,51 +316,67 @@ def block_links(rows: pa.Table, similarity: float, low: int, high: int) -> list[
     return out
 
 
-def compared(rows: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) among the texts of each open group (g, key, label, size, total): a task has a group, or two blocks of it."""
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_WORDS)).cast("int")
-    dealt = rows.select("g", "key", "label", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
-    dealt = dealt.select("g", "key", "label", "b", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high")).join(bodies.select("key", "words"), "key")
+def _block_tasks(dealt: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the rows (g, key, label, b, low, high): a task has two blocks, low and high, of a group g, or one twice."""
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
         found = block_links(table, similarity, group[1].as_py(), group[2].as_py())
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
-    return dealt.groupBy("g", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
+    return dealt.join(bodies.select("key", "words"), "key").groupBy("g", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def rarest_runs(bodies: DataFrame, similarity: float) -> DataFrame:
-    """``g`` (a run), ``key`` and ``n``: of each text of ``bodies`` (key, n, words) the rarest labelled runs of RUN words.
+def compared(rows: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Links among the texts of each open group (g, key, label, size, total), all of whose blocks meet each other."""
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_WORDS)).cast("int")
+    dealt = rows.select("g", "key", "label", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    return _block_tasks(dealt.select("g", "key", "label", "b", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high")), bodies, similarity)
 
-    An edit takes RUN runs at most. So near texts of which the longer has n words have at least n - RUN + 1 - RUN * edits runs in
-    common, which grows with n. Ordered by the number of texts that hold them, one of these is among so many of the
-    first that the rest of either text is too small. Runs of one text only are left out, but count.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                runs = [labelled_runs(np.frombuffer(x.as_buffer(), "<u4"), RUN)[1].view(np.int64) for x in batch.column("words")]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(runs, pa.list_(pa.int64()))], names=["key", "n", "runs"])
-
-    sets = save_table(bodies.select("key", "n", "words").mapInArrow(run, "key binary, n int, runs array<bigint>"), "near-run-sets")
-    tokens = sets.select("key", "n", F.size("runs").alias("r"), F.explode("runs").alias("g"))
-    counts = save_table(tokens.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-run-counts")
-    held = tokens.join(counts.where(F.col("df") <= HOT), "g").unionByName(tokens.join(small(counts.where(F.col("df") > HOT)), "g"))
-    own = Window.partitionBy("key")
-    ranked = held.select("g", "key", "n", "r", F.row_number().over(own.orderBy("df", "g")).alias("at"), F.count(F.lit(1)).over(own).alias("held"))
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(1 - RUN * (1 - similarity)) - F.lit(1e-9)) - (RUN - 1))
-    return ranked.where(F.col("at") + F.col("r") - F.col("held") <= F.col("r") - need + 1).select("g", "key", "n")
-
-
-def links_of(members: DataFrame, bodies: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
-    """``labels`` after each of ``members`` (g, key, n, leader) met its group's leader."""
+def taken_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of large open groups: (``label``, ``key``, ``n``) of texts that must meet a whole component, and the groups without it."""
+    counts = rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"))
+    top = counts.groupBy("g").agg(F.max_by("label", "c").alias("top"), F.max("c").alias("c"), F.first("size").alias("size")).where(2 * F.col("c") > F.col("size"))
+    split = save_table(rows.join(small(save_table(top.select("g", "top"), "near-top")), "g", "left"), "near-split").where("top IS NULL OR top <> label")
+    outside = save_table(split.where("top IS NOT NULL").select(F.col("top").alias("label"), "key", "n").distinct(), "near-outside")
+    left = split.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    left = save_table(left.select("g", "size", "total"), "near-left")
+    return outside, save_table(split.select("g", "key", "n", "label").join(small(left), "g"), "near-inside")
+
+
+def met_components(outside: DataFrame, labels: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Links between each text of ``outside`` (label, key, n) and the texts of the component ``label``, block by block."""
+    wanted = save_table(outside.select("label").distinct(), "near-wanted")
+    members = save_table(labels.withColumnRenamed("node", "key").join(small(wanted), "label").join(bodies.select("key", "n"), "key"), "near-component")
+    about = lambda df: df.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_WORDS)).cast("int")
+    inside = save_table(about(members).select("label", "least", "most", blocks.alias("p")), "near-sizes")
+    # by the numbers of words
+    can = (F.col("n") >= F.floor(F.col("least") * F.lit(similarity))) & (F.col("n") * F.lit(similarity) <= F.col("most") + 1)
+    outside = save_table(outside.join(small(inside), "label").where(can).select("label", "key", "n"), "near-able")
+    sizes = save_table(inside.join(about(outside).select("label", blocks.alias("q")), "label").select("label", "p", "q"), "near-blocks")
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    own = members.join(small(sizes), "label").select("label", "key", place("p").alias("b"), F.explode(F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)).alias("o"))
+    others = outside.join(small(sizes), "label").select("label", "key", (F.col("p") + place("q")).alias("b"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("o"))
+    # in these tasks the component is one label and each other text its own
+    dealt = own.select("label", "key", F.col("label").alias("l"), "b", F.col("b").alias("low"), F.col("o").alias("high")).union(others.select("label", "key", F.col("key").alias("l"), "b", F.col("o").alias("low"), F.col("b").alias("high")))
+    return _block_tasks(dealt.select(F.col("label").alias("g"), "key", F.col("l").alias("label"), "b", "low", "high"), bodies, similarity)
+
+
+def settled(rows: DataFrame, bodies: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """``labels`` after all pairs of different components in the open groups ``rows`` were compared."""
+    large = (F.col("size") > BLOCK) | (F.col("total") > BLOCK_WORDS)
+    found = compared(rows.where(~large), bodies, similarity)
+    if rows.where(large).limit(1).count():
+        outside, inside = taken_apart(rows.where(large))
+        found = found.union(met_components(outside, labels, bodies, similarity)).union(compared(inside, bodies, similarity))
+    return joined_up(labels, save_table(found, "near-links"))
+
+
+def led(members: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """The components after each of ``members`` (key, n, leader) met its group's leader."""
     pairs = members.where((F.col("key") != F.col("leader.key")) & sizes_allow(similarity, "n", "leader.n")).select(F.col("leader.key").alias("a"), F.col("key").alias("b")).distinct()
-    if labels is not None:
-        pairs = with_labels(with_labels(pairs.withColumnRenamed("a", "key"), labels).withColumnRenamed("key", "a").withColumnRenamed("label", "label_a").withColumnRenamed("b", "key"), labels).where("label <> label_a").select("a", F.col("key").alias("b"))
-    found = save_table(verified(save_table(pairs, "near-pairs"), bodies, similarity), "near-links")
-    return components(found) if labels is None else joined_up(labels, found)
+    return components(save_table(verified(save_table(pairs, "near-pairs"), bodies, similarity), "near-links"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -362,8 +384,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
     ``class_id`` and ``rep_key`` name the document that stays: the least id, nulls last, then the least key.
     """
-    if not 1 - 1 / RUN < similarity <= 1:
-        raise ValueError(f"similarity must be above {1 - 1 / RUN} and at most 1")
     rep = F.struct(F.col("id").isNull().alias("none"), "id")
     # copies become one node; the partial sums leave one row of a hot text per task
     texts = sketches(docs, doc_id, text).groupBy("key").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("same"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("words").alias("words"))
@@ -371,15 +391,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     members = met(texts.select("key", "n", F.explode("sketch").alias("g")))
     keys = save_table(members.select("key").distinct(), "near-keys")
     bodies = save_table(texts.join(small(keys), "key", "left_semi").select("key", "n", "words"), "near-bodies")
-    labels = links_of(members, bodies, None, similarity)
-    still = open_groups(members, labels)
-    large = (F.col("size") > BLOCK) | (F.col("total") > BLOCK_WORDS)
-    labels = joined_up(labels, save_table(compared(still.where(~large), bodies, similarity), "near-links"))
-    crowd = save_table(still.where(large).select("key").distinct(), "near-crowd")
-    if crowd.limit(1).count():
-        parts = met(rarest_runs(bodies.join(small(crowd), "key", "left_semi"), similarity))
-        labels = links_of(parts, bodies, labels, similarity)
-        labels = joined_up(labels, save_table(compared(open_groups(parts, labels), bodies, similarity), "near-links"))
+    labels = led(members, bodies, similarity)
+    labels = settled(open_groups(members, labels), bodies, labels, similarity)
     named = with_labels(texts.select("key", "rep", "same"), labels)
     groups = named.groupBy("label").agg(F.min(F.struct("rep.none", "rep.id", "key")).alias("r"), F.sum("same").alias("class_size")).where("class_size > 1")
     return save_table(named.join(groups, "label").select("key", F.col("r.id").alias("class_id"), "class_size", F.col("r.key").alias("rep_key")), "near-classes")

@@ -57,3 +57,16 @@ def test_odd_tables(spark, sf_dir):
             out = stage(spark, table, sf_dir)
             assert name == "encode" or out.columns == docs.columns
             out.collect()
+
+
+def test_columns_of_any_name_keep_their_values(spark, sf_dir):
+    names = ("copies", "kept", "score", "pii", "Rejected", "clean_text", "class_id", "mix_source", "near_key", "pii_key", "size", "taken")
+    rows = [(i, f"the quick brown fox number {i} and the lazy dog write to a{i}@mail.example.com", "en", f"s{i % 3}", 70, *(f"{n}{i}" for n in names)) for i in range(12)]
+    rows += [(20, "der schnelle braune fuchs und der faule hund", "de", "s0", 40, *(f"{n}20" for n in names))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names), name
+    assert {r.n_chars for r in stage(spark, docs, sf_dir).collect()} == {70, 40}
