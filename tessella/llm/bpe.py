@@ -27,32 +27,24 @@ NONE = np.int32(2**31 - 1)
 #: Pieces of at most so many bytes are encoded together.
 SHORT = 64
 _SHIFT = 17
-_TABLE_BITS = 21
 
 
 class Ranks:
-    """A rank file's tables: tokens' bytes, and the rank of each pair of tokens whose joined bytes are a token."""
+    """A rank file's tables: the rank of each pair of tokens whose joined bytes are a token, and the tokens' bytes.
+
+    The tables for encoding are made at once; those for long pieces and for decoding only where they are needed.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        size = max(ranks.values()) + 1
-        if size >= 1 << _SHIFT:
+        if max(ranks.values()) >= 1 << _SHIFT:
             raise ValueError("too many tokens")
-        self.tokens = [b""] * size
-        for t, r in ranks.items():
-            self.tokens[r] = t
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.flat = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
-        decimal = [str(i).encode() + b" " for i in range(size)]
-        width = max(map(len, decimal))
-        self.decimal = np.array([list(d.ljust(width, b"\0")) for d in decimal], dtype=np.uint8)
-        pairs = {(ranks[t[:i]] << _SHIFT) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.pairs = pairs
-        self.keys = np.full(1 << _TABLE_BITS, -1, dtype=np.int64)
-        self.values = np.full(1 << _TABLE_BITS, NONE, dtype=np.int32)
-        keys, values = np.fromiter(pairs, dtype=np.int64, count=len(pairs)), np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))
+        found = [((ranks[t[:i]] << _SHIFT) | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        keys, values = (np.array(x, dtype=kind) for x, kind in zip(zip(*found, strict=True), (np.int64, np.int32), strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int32))
+        self.bits = max(8, (2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.full(1 << self.bits, NONE, dtype=np.int32)
         at, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):  # linear probing, all keys at once
             free = self.keys[at[todo]] < 0
@@ -61,11 +53,30 @@ class Ranks:
             won = self.keys[at[todo]] == keys[todo]
             self.values[at[todo[won]]] = values[todo[won]]
             todo = todo[~won]
-            at[todo] = (at[todo] + 1) & ((1 << _TABLE_BITS) - 1)
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        used = self.keys >= 0
+        return dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+
+    @functools.cached_property
+    def bytes_of(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length and start of each token's bytes in one array of them all."""
+        tokens = [b""] * (max(self.ranks.values()) + 1)
+        for t, r in self.ranks.items():
+            tokens[r] = t
+        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        return lengths, np.concatenate([[0], np.cumsum(lengths)])[:-1], np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    @functools.cached_property
+    def decimal(self) -> np.ndarray:
+        decimal = [str(i).encode() + b" " for i in range(max(self.ranks.values()) + 1)]
+        width = max(map(len, decimal))
+        return np.array([list(d.ljust(width, b"\0")) for d in decimal], dtype=np.uint8)
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = (left.astype(np.int64) << _SHIFT) | right
@@ -74,7 +85,7 @@ class Ranks:
         out = np.where(found == keys, self.values[at], NONE)
         todo = np.flatnonzero((found != keys) & (found >= 0))
         while len(todo):
-            at[todo] = (at[todo] + 1) & ((1 << _TABLE_BITS) - 1)
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
             found = self.keys[at[todo]]
             hit = found == keys[todo]
             out[todo[hit]] = self.values[at[todo[hit]]]
@@ -194,12 +205,13 @@ class Ranks:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The ids' bytes, one after the other."""
-        sizes = self.lengths[ids]
+        lengths, starts, flat = self.bytes_of
+        sizes = lengths[ids]
         ends = np.cumsum(sizes)
         if not len(ends) or not ends[-1]:
             return b""
-        shift = np.repeat(self.starts[ids] - (ends - sizes), sizes)
-        return self.flat[shift + np.arange(ends[-1])].tobytes()
+        shift = np.repeat(starts[ids] - (ends - sizes), sizes)
+        return flat[shift + np.arange(ends[-1])].tobytes()
 
     def decimals(self, ids: np.ndarray) -> bytes:
         """Decimal ids joined by one space."""
@@ -267,31 +279,52 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.mapInArrow(run, schema)
 
 
+def digest_of(ranks: Ranks, ids: np.ndarray) -> tuple[int, str, str]:
+    """Number of ids, SHA-256 of the decimal ids, and of the bytes decoded from them."""
+    return len(ids), hashlib.sha256(ranks.decimals(ids)).hexdigest(), hashlib.sha256(ranks.decode(ids)).hexdigest()
+
+
+def _digest_schema(docs: DataFrame, key: str) -> StructType:
+    n, a, b = fresh(docs.select(key), "n_tokens", "ids_sha256", "decoded_sha256")
+    return StructType([docs.schema[key], StructField(n, LongType()), StructField(a, StringType()), StructField(b, StringType())])
+
+
+def _digest_batch(schema: StructType, keys: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
+
+
 def digest(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Per row of an encoded table: number of ids, SHA-256 of the decimal ids, and of the bytes decoded from them."""
-    (n, a, b) = fresh(df.select(key), "n_tokens", "ids_sha256", "decoded_sha256")
-    schema = StructType([df.schema[key], StructField(n, LongType()), StructField(a, StringType()), StructField(b, StringType())])
+    """Per row of an encoded table: ``key``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, of which one that is
+    also ``key``'s name gets an underscore."""
+    schema = _digest_schema(df, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
         for batch in batches:
             column = batch.column(ids)
             ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            rows = [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            cols = [
-                batch.column(key),
-                pa.array([len(r) for r in rows], type=pa.int64()),
-                pa.array([hashlib.sha256(ranks.decimals(r)).hexdigest() for r in rows]),
-                pa.array([hashlib.sha256(ranks.decode(r)).hexdigest() for r in rows]),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=[key, n, a, b])
+            yield _digest_batch(schema, batch.column(key), [digest_of(ranks, flat[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
 
     return df.select(key, ids).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``digest(encode(docs))`` in one pass: the ids stay in the task that made them, which also decodes them."""
+    schema = _digest_schema(docs, key)
+    (t,) = fresh(docs.select(key), "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(path)
+        for batch in batches:
+            rows = [digest_of(ranks, ids) for part in chunks_of(batch.column(t).to_pylist()) for ids in encode_texts(part, path, pattern)]
+            yield _digest_batch(schema, batch.column(key), rows)
+
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias(t)).mapInArrow(run, schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digest(encode(docs, path, public_tokenizers.PATTERN), path)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

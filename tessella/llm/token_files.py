@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,10 +32,12 @@ from .tokens import PieceCache, chunks_of
 
 MAGIC = b"TESSIDS1"
 END_ID = 2
-#: The dictionary is trained on so many documents, the least by a hash, and so many characters of each.
+#: The dictionary is trained on so many different documents, the least by a hash, and so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 1_000, 4_096
 DICT_BYTES = 112_640
 LEVEL = 3
+#: Texts of about so many characters are encoded together.
+CHUNK_CHARS = 4_000_000
 MANIFEST = "path string, part int, n_docs long, n_ids long, bytes long, dict_sha256 string"
 
 
@@ -60,42 +63,93 @@ def _tokenizer(path: str, special: bool):
     return t
 
 
-def _encode_words(path: str, special: bool, words: list[str]) -> list[bytes]:
+#: Fixed by the tokenizer: its split of a lower-case word, and the printable characters that stand for bytes.
+_PARTS = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Words of printable ASCII and of letters that have one spelling in Unicode and one lower case letter each.
+_PLAIN = r"^[!-~À-ÖØ-öø-ÿ]*$"
+
+
+def _encode_parts(path: str, special: bool, parts: list[str]) -> list[bytes]:
+    """Each part of a plain word by the library's model."""
+    tokenize, out = _tokenizer(path, special).model.tokenize, []
+    for p in parts:
+        t = [x.id for x in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        out.append(struct.pack(f"<{len(t)}I", *t))
+    return out
+
+
+def _encode_odd(path: str, special: bool, words: list[str]) -> list[bytes]:
+    """Each word by the whole library."""
     out: list[bytes] = []
     for k in range(0, len(words), 20_000):
         part = words[k : k + 20_000]
         e = _tokenizer(path, special).encode(part, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, dtype="<u4")
         at = np.array(e.word_ids, dtype=np.int64)
         ends = (np.searchsorted(at, np.arange(len(part)), side="right") * 4).tolist()
-        flat = ids.tobytes()
+        flat = np.array(e.ids, dtype="<u4").tobytes()
         out += [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     return out
 
 
-@functools.lru_cache(maxsize=2)
-def _cache(path: str, special: bool) -> PieceCache:
-    return PieceCache(functools.partial(_encode_words, path, special))
+@functools.lru_cache(maxsize=4)
+def _cache(path: str, special: bool, plain: bool) -> PieceCache:
+    return PieceCache(functools.partial(_encode_parts if plain else _encode_odd, path, special), (40 if plain else 8) << 20)
+
 
+def _runs_of(cache: PieceCache, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces' ids one after the other, and how many each has."""
+    known = cache.load(pieces)
+    ids = [known[p] for p in pieces]
+    return np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) >> 2
 
-def encode_texts(texts: list[str], path: str, drops_white_space: bool = True, special: bool = False) -> list[np.ndarray]:
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flat`` holds runs of ``sizes``: those at ``at`` one after the other, and where they begin and end."""
+    n = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    starts = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
+def _split(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """At spaces: where each string's pieces begin and end, each piece's number, and the different pieces."""
+    lists = pc.split_pattern(strings, " ")
+    coded = lists.flatten().dictionary_encode()
+    return lists.offsets.to_numpy() - lists.offsets[0].as_py(), coded.indices.to_numpy(), coded.dictionary
+
+
+def encode_texts(texts: list[str], path: str, drops_white_space: bool = True, special: bool = True) -> list[np.ndarray]:
     """The library's ids of each text. A tokenizer that splits at white space and drops it is asked once per word.
 
     With ``special``, the library's default, the strings of special tokens in a text give their ids; else they are
-    ordinary text.
+    ordinary text. Arrow splits texts and words and numbers the different ones, of which only those that are not known yet
+    go to the library; numpy puts the texts' ids together.
     """
     if not drops_white_space:
         return [np.array(e.ids, dtype="<u4") for e in _tokenizer(path, special).encode_batch(texts, add_special_tokens=False)]
-    words = [t.replace("\n", " ").split(" ") for t in texts]
-    known = _cache(path, special).load(w for ws in words for w in ws)
-    return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in words]
-
-
-def train_dictionary(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, size: int = DICT_BYTES) -> bytes:
+    if not texts:
+        return []
+    text_ends, word_at, words = _split(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "))
+    is_plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
+    plain = pc.replace_substring_regex(pc.utf8_lower(words.filter(is_plain)), _PARTS, r"\1 ")
+    word_ends, part_at, parts = _split(plain)
+    flat, ends = _gather(*_runs_of(_cache(path, special, True), parts.to_pylist()), part_at)
+    odd_flat, odd_sizes = _runs_of(_cache(path, special, False), words.filter(pc.invert(is_plain)).to_pylist())
+    sizes = np.concatenate([np.diff(ends[word_ends]), odd_sizes])
+    mask = is_plain.to_numpy(zero_copy_only=False)
+    place = np.where(mask, np.cumsum(mask) - 1, mask.sum() + np.cumsum(~mask) - 1)
+    ids, ends = _gather(np.concatenate([flat, odd_flat]), sizes, place[word_at])
+    cuts = ends[text_ends].tolist()
+    return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def train_dictionary(docs: DataFrame, path: str, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, size: int = DICT_BYTES) -> bytes:
     """A dictionary from at most ``sample_docs`` documents; raw content where there is too little to train on."""
-    order = F.xxhash64(F.lit(17), F.col(doc_id), F.col(text))
+    order = F.xxhash64(F.lit(17), F.col(text))
     sample = hash_sample(docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, sample_chars).alias("t"), order.alias("h")), sample_docs)
-    arrays = [serialize(ids) for ids in encode_texts([r["t"] for r in sample], path, special=True)] if sample else []
+    arrays = [serialize(ids) for ids in encode_texts([r["t"] for r in sample], path)] if sample else []
     try:
         return zstandard.train_dictionary(size, arrays, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -110,10 +164,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, text: str = "text
     """Encodes each whole text (null: empty), appends ``end_id``, and writes the ids by ascending doc_id.
 
     Returns the manifest, a row per file. Null ids come first; documents with the same id are in the order of their
-    texts' hashes, so a hot id is spread over files. An empty table gives an empty manifest.
+    texts' hashes, so a hot id is spread over files. Repeated rows stay. An empty table gives an empty manifest. Other
+    columns of ``docs``, whatever their names, are left out.
     """
     spark = docs.sparkSession
-    raw = train_dictionary(docs, path, text, doc_id)
+    raw = train_dictionary(docs, path, text)
     shared = spark.sparkContext.broadcast(raw)  # bounded by DICT_BYTES
     sha = hashlib.sha256(raw).hexdigest()
 
@@ -125,13 +180,13 @@ def write_token_files(docs: DataFrame, folder: str, path: str, text: str = "text
         for batch in batches:
             ids_at = 0
             keys_of = batch.column("k").to_pylist()
-            for texts in chunks_of(batch.column("t").to_pylist()):
+            for texts in chunks_of(batch.column("t").to_pylist(), CHUNK_CHARS):
                 if out is None:
                     name, out = open_output(folder, f"ids-{part:06d}", ".tid")
                     head = MAGIC + bytes.fromhex(sha) + struct.pack("<I", len(shared.value)) + shared.value
                     out.write(head)
                     size = len(head)
-                encoded = encode_texts(texts, path, special=True)
+                encoded = encode_texts(texts, path)
                 frames = [compress(serialize(np.concatenate([ids, end]))) for ids in encoded]
                 out.write(b"".join(frames))
                 for ids, frame in zip(encoded, frames, strict=True):

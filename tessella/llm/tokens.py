@@ -11,29 +11,36 @@ import pyarrow as pa
 BATCH_IDS = 2_000_000
 
 
+#: What an entry of a cache takes besides its piece and ids: two objects' heads and a place in a dictionary.
+ENTRY_BYTES = 200
+
+
 class PieceCache:
-    """Ids of pieces of text as little-endian uint32 bytes; at most ``2 * entries`` pieces are held.
+    """Ids of pieces of text as little-endian uint32 bytes, in two generations of about ``generation`` bytes each.
 
-    When the young generation is full it becomes the old one, so common pieces stay.
+    When the young generation is full it becomes the old one, so common pieces stay. Both are bounded by bytes, however
+    long or short the pieces are, but for the pieces of a single call.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 300_000):
-        self.encode, self.entries = encode, entries
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], generation: int = 24 << 20):
+        self.encode, self.generation = encode, generation
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
 
     def load(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """A mapping that has all ``pieces``."""
         wanted = set(pieces)
+        if self.size > self.generation:
+            self.old, self.young, self.size = self.young, {}, 0
         missing = wanted - self.young.keys()
         if missing:
-            if len(self.young) + len(missing) > self.entries and self.young:
-                self.old, self.young = self.young, {}
-                missing = wanted
             known = missing & self.old.keys()
-            self.young.update((p, self.old[p]) for p in known)
+            new = {p: self.old[p] for p in known}
             rest = list(missing - known)
-            self.young.update(zip(rest, self.encode(rest), strict=True))
+            new.update(zip(rest, self.encode(rest), strict=True))
+            self.young.update(new)
+            self.size += sum(map(len, new)) + sum(map(len, new.values())) + ENTRY_BYTES * len(new)
         return self.young
 
 

@@ -53,6 +53,9 @@ def test_query_form(spark, library):
         ids = library.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
+    assert sorted(map(tuple, bpe.round_trip(docs, PATH, PATTERN).collect()), key=str) == got
+    clash = docs.withColumnRenamed("doc_id", "t")
+    assert sorted(map(tuple, bpe.round_trip(clash, PATH, PATTERN, "t").collect()), key=str) == got
     back = bpe.decode(encoded, PATH).select("decoded").collect()
     assert sorted(bytes(r[0]) for r in back) == sorted((t or "").encode() for _, t, _ in rows)
     assert bpe.encode(docs.limit(0), PATH, PATTERN).collect() == []

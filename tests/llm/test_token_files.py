@@ -10,14 +10,12 @@ from tessella.llm import token_files as tf  # noqa: E402
 from tessella.llm.common import scratch_path  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", " ", "\n", "Hello  World\nit's we'll 123 <|endoftext|>", "a\x1cb\u0085c d　e", "ÀÉ" * 100, "中文" * 50, "x" * 3000, " ́x İ Σας", "😀" * 9]
+ODD = ["", " ", "\n", "Hello  World\nit's we'll 123 <|endoftext|>", "a\x1cb\u0085c d　e", "ÀÉ" * 100, "中文" * 50, "x" * 3000, " ́x İ Σας", "😀" * 9, "It's WE'LL don't, (foo)bar_baz--x9y10 ÄÖÜ ß ÿ × ÷ a×b ª º µm e\u0301 n\u0303o ﬁn Ǆ K", "".join(map(chr, range(0x21, 0x180))), "long " * 40_000 + "end"]
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(PATH)
 
 
 def test_words_equal_whole_texts(library):
@@ -52,7 +50,7 @@ def test_special_tokens_as_in_a_plain_call(spark):
     plain = tokenizers.Tokenizer.from_file(PATH)
     texts = [*ODD, "<|endoftext|>", "a<|endoftext|>b <|startoftext|>c", "x <|endoftext|> y", "<|endoftext|><|endoftext|>\n\n<|startoftext|> it's", "<|ENDOFTEXT|> <|endoftext", "İ<|endoftext|>'s"]
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for x in tf.encode_texts(texts, PATH, special=True)] == want and 49407 in want[-2] + want[-5]
+    assert [x.tolist() for x in tf.encode_texts(texts, PATH)] == want and 49407 in want[-2] + want[-5]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = tf.read_token_files(tf.write_token_files(docs, scratch_path(spark, "t"), PATH)).collect()
     assert {r.doc_id: r.ids_crc32 for r in got} == {i: zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes()) for i, ids in enumerate(want)}
