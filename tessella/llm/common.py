@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A table of at most so many rows is broadcast after its rows were counted; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
@@ -63,6 +64,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_columns(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``df.mapInArrow``, for columns of any name: ``run`` sees them as c0, c1, ..., and its own by place too."""
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
+
+
 def running_totals(df: DataFrame, by: list[Column], value: str, start: str) -> DataFrame:
     """Adds ``start``: the sum of ``value`` over the rows before, in the order of ``by``.
 

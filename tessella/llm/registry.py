@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_search, language, mixing, near_duplicates, privacy, sharding, token_files, warc
+from . import ann, bpe, exact_search, language, mixing, near_duplicates, periodic, privacy, sharding, token_files, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_duplicates": near_duplicates.query,
     "op9_token_files": token_files.query,
     "op10_exact_top_k": exact_search.query,
+    "op13_periodic_runs": periodic.query,
 }
 
 ORACLE_SQL = {
