@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_search, language, mixing, near_duplicates, periodic, privacy, sharding, token_files, warc
+from . import ann, bpe, divergence, exact_search, language, mixing, near_duplicates, periodic, privacy, sharding, token_files, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_near_duplicates": near_duplicates.query,
     "op9_token_files": token_files.query,
     "op10_exact_top_k": exact_search.query,
+    "op11_divergence_audit": divergence.query,
     "op13_periodic_runs": periodic.query,
 }
 
 ORACLE_SQL = {
     "op10_exact_top_k": exact_search.ORACLE_SQL,
+    "op11_divergence_audit": divergence.ORACLE_SQL,
     "op1_warc_archives": warc.ORACLE_SQL,
     "op4_mix_sources": mixing.ORACLE_SQL,
 }
