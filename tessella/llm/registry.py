@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, divergence, exact_search, language, mixing, near_duplicates, periodic, privacy, sharding, token_files, warc
+from . import ann, bpe, divergence, exact_search, language, mixing, near_duplicates, periodic, privacy, repeats, sharding, token_files, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_files.query,
     "op10_exact_top_k": exact_search.query,
     "op11_divergence_audit": divergence.query,
+    "op12_repeated_passages": repeats.query,
     "op13_periodic_runs": periodic.query,
 }
 
