@@ -1,6 +1,6 @@
 """Near-duplicate documents by order MinHash.
 
-A document's k-mers are runs of five words, labelled with their occurrence number. For each of M hash functions the L
+A document's k-mers are runs of five words, labelled with their occurrence number. For each of M orders the L
 least labelled k-mers are taken and kept in text order; one 64-bit number stands for them. This is sensitive to edit
 similarity: moved text changes the order, repeated text the labels. Documents that share such a number are in a bucket,
 are candidates of each other, and a banded alignment of their words decides: two texts are near if the word edits between
@@ -8,14 +8,16 @@ them are at most a fifth of the longer one's words.
 
 Equal texts are one node from the start. First each text is aligned with one leader per bucket. Components of what was linked
 then leave open those buckets whose texts are in several components. In these all pairs of different components are compared:
-a task takes the texts of a bucket, finds by the numbers of common words which pairs can be near at all, and aligns them.
+a task takes the texts of a bucket, finds by counts of words which pairs can be near at all, and aligns them.
 A bucket of more than BLOCK texts, most of which are one component, is taken apart: its other texts meet that whole component once,
-whatever the number of buckets they share, and each other; what is still large is compared block against block. No pair that
+whatever the number of buckets they share, and each other. What is still large is parted by length: texts of more than a quarter
+more words can't be near, so a class of lengths meets itself and the next one only, block against block. No pair that
 shares a number is left out, and no pairs are emitted but the linked ones. The classes are the connected components.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,16 +31,20 @@ from xxhash import xxh3_64_intdigest
 
 from .common import fresh, save_table, small
 
-K, L, M = 5, 3, 32
+K, L, M = 5, 2, 76
 SIMILARITY = 0.8
 #: Buckets of more texts, or of more words in all, are taken apart and then compared in blocks.
 BLOCK, BLOCK_WORDS = 256, 400_000
+#: Words are counted in so many places for a bound on what two texts have in common.
+PLACES = 256
+#: Texts of more words are aligned with masks of the band only.
+DENSE = 4_096
 
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20_240_517)
-_SEEDS = _rng.integers(1, 2**63, size=M, dtype=np.uint64)
+_SEEDS = _rng.integers(1, 2**63, size=M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_LARGEST = np.uint64(2**64 - 1)
+_LARGEST = np.uint32(2**32 - 1)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -88,25 +94,53 @@ def sketch(words: np.ndarray, k: int = K, least: int = L) -> np.ndarray:
     h, label = labelled_runs(words, k)
     with np.errstate(over="ignore"):
         take = min(least, len(h))
-        step = max(1, 2_000_000 // len(h))
+        step = max(1, 40_000 // len(h))  # so that an order's numbers stay in a core's cache
         out = np.zeros(M, dtype=np.uint64)
         for a in range(0, M, step):
-            seeds = _SEEDS[a : a + step, None]
-            x = (label[None, :] ^ seeds) * _MIX1
-            x ^= x >> np.uint64(29)
-            x *= _MIX2
-            rows, at = np.arange(len(x)), np.empty((len(x), take), dtype=np.int64)
+            x = label[None, :] * _SEEDS[a : a + step, None]
+            x >>= np.uint64(32)
+            order = x.astype(np.uint32)
+            rows, at = np.arange(len(order)), np.empty((len(order), take), dtype=np.int64)
             for i in range(take):
-                at[:, i] = x.argmin(axis=1)
-                x[rows, at[:, i]] = _LARGEST
+                at[:, i] = order.argmin(axis=1)
+                order[rows, at[:, i]] = _LARGEST
             at.sort(axis=1)  # text order
-            v = np.zeros(len(x), dtype=np.uint64)
+            v = np.zeros(len(rows), dtype=np.uint64)
             for i in range(take):
                 v = _mix(v + h[at[:, i]] + _ODD)
             out[a : a + step] = v
     return out
 
 
+class _Masks:
+    """For a word, a mask of its places among the ``width`` places from ``shift`` on."""
+
+    def __init__(self, a: np.ndarray, width: int):
+        self.width, self.dense = width, len(a) <= DENSE
+        if self.dense:
+            self.at: dict[int, int] = {}
+            for i, x in enumerate(a.tolist()):
+                self.at[x] = self.at.get(x, 0) | 1 << i
+            return
+        self.order = np.argsort(a, kind="stable")
+        ordered = a[self.order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        self.range = dict(zip(ordered[first].tolist(), zip(first.tolist(), np.append(first[1:], len(a)).tolist(), strict=True), strict=True))
+
+    def of(self, word: int, shift: int) -> int:
+        if self.dense:
+            bits = self.at.get(word, 0)
+            return (bits >> shift if shift >= 0 else bits << -shift) & ((1 << self.width) - 1)
+        i, j = self.range.get(word, (0, 0))
+        places = self.order[i:j]
+        places = places[np.searchsorted(places, shift) : np.searchsorted(places, shift + self.width)] - shift
+        if len(places) <= 4:
+            return sum(1 << p for p in places.tolist())
+        bits = np.zeros(self.width, dtype=bool)
+        bits[places] = True
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences if it is at most ``most``, else None.
 
@@ -118,17 +152,14 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         return None
     if not n or not m:
         return max(n, m)
-    at: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        at[x] = at.get(x, 0) | 1 << i
     width = 2 * most + 1
+    masks = _Masks(a, width)
     full, edge = (1 << width) - 1, 1 << (2 * most)
     more, less = full & ~((1 << most) - 1), 0
     distance, down = min(most, n), max(0, n - most)  # so many columns until the band reaches the last row
     for j, y in enumerate(b.tolist()):
         shift = j - most
-        bits = at.get(y, 0)
-        equal = (bits >> shift if shift >= 0 else bits << -shift) & full
+        equal = masks.of(y, shift)
         diagonal = ((((equal & more) + more) ^ more) | equal | less) & full
         right_more = (less | ~(diagonal | more)) & full
         right_less = diagonal & more
@@ -169,8 +200,8 @@ def are_near(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bo
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, ``key`` (MD5 of the text), ``n`` (words), ``sketch`` (its different numbers) and ``words`` (32-bit hashes)."""
-    schema = StructType([StructField("id", LongType()), StructField("key", BinaryType()), StructField("n", IntegerType()), StructField("sketch", ArrayType(LongType())), StructField("words", BinaryType())])
+    """Per row: id, ``md5`` of the text, ``n`` (words), ``sketch`` (its different numbers) and ``words`` (32-bit hashes)."""
+    schema = StructType([StructField("id", LongType()), StructField("md5", BinaryType()), StructField("n", IntegerType()), StructField("sketch", ArrayType(LongType())), StructField("words", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,10 +213,10 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                     counts.append(len(hashes))
                     found.append(np.unique(sketch(hashes)).view(np.int64))
                     words.append(hashes.astype("<u4").tobytes())
-                cols = [batch.column("id"), batch.column("key"), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(words, pa.binary())]
+                cols = [batch.column("id"), batch.column("md5"), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.unhex(F.md5(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("t"))
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.unhex(F.md5(f"`{text}`")).alias("md5"), F.col(f"`{text}`").alias("t"))
     return rows.mapInArrow(run, schema)
 
 
@@ -207,7 +238,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFram
                 keep = [are_near(x, y, similarity) for x, y in zip(left, right, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,15 +283,18 @@ def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(small(own), "key", "left").withColumn("label", F.coalesce("known", "key")).drop("known")
 
 
-def met(members: DataFrame) -> DataFrame:
-    """``members`` (g, key, n) of groups of two texts and more, with the group's ``leader``, ``size`` and ``total`` words.
+def met(texts: DataFrame) -> DataFrame:
+    """Rows (g, key, n) of the groups of two texts and more of ``texts`` (key, n, sketch), with the group's ``leader``, ``size`` and ``total`` words.
 
     The leader is the text with the least key, so a text leads nearly all groups of its near texts.
     """
-    groups = members.groupBy("g").agg(F.min(F.struct("key", "n")).alias("leader"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    members = texts.select("key", F.explode("sketch").alias("g"))
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # written before the join: Spark can then split the members of a large group
-    groups = save_table(groups.where("size > 1"), "near-groups")
-    return save_table(members.join(small(groups), "g"), "near-members")
+    members = members.join(small(save_table(sizes, "near-sizes")), "g")
+    members = save_table(members.join(small(texts.select("key", "n")), "key"), "near-members")
+    about = save_table(members.groupBy("g").agg(F.min("key").alias("leader"), F.sum("n").alias("total")), "near-groups")
+    return members.join(small(about), "g")
 
 
 def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,29 +319,24 @@ def block_links(rows: pa.Table, similarity: float, low: int, high: int) -> list[
 
     words = [np.frombuffer(x, "<u4") for x in rows.column("words").to_pylist()]
     n = np.array(list(map(len, words)))
-    labelled = np.concatenate([w + (occurrences(w) << np.uint64(32)) if len(w) else w.astype(np.uint64) for w in words])
-    _, column, times = np.unique(labelled, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(n)), n)
-    shared = times[column] > 1
-    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common, step = np.zeros((len(n), len(n)), dtype=np.float64), 4_096
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        i, j = np.searchsorted(column, [a, a + step])
-        m = np.zeros((len(n), min(step, int(column[-1]) + 1 - a)), dtype=np.float32)
-        m[row[i:j], column[i:j] - a] = 1
-        common += m @ m.T
-    longest = np.maximum(n[:, None], n[None, :])
-    maybe = longest - common <= np.floor(longest * (1 - similarity) + 1e-9)
-    maybe &= (blocks[:, None] == low) & (blocks[None, :] == high)
+    # words in common are at most as many as their counts by place allow
+    counts = np.bincount(np.repeat(np.arange(len(n)) * PLACES, n) + (np.concatenate(words) % PLACES), minlength=len(n) * PLACES).reshape(-1, PLACES)
+    counts = counts.astype(np.int16 if n.max() < 2**14 else np.int32)
+    maybe = np.zeros((len(n), len(n)), dtype=bool)
+    of, first, second = np.array(root), np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+    score = np.zeros((len(n), len(n)), dtype=np.float32)
+    for i in first.tolist():
+        j = second[(of[second] != of[i]) & (np.abs(n[second] - n[i]) <= np.floor(np.maximum(n[second], n[i]) * (1 - similarity) + 1e-9))]
+        longest = np.maximum(n[j], n[i])
+        common = (n[j] + n[i] - np.abs(counts[j] - counts[i]).sum(axis=1)) // 2
+        good = longest - common <= np.floor(longest * (1 - similarity) + 1e-9)
+        maybe[i, j[good]] = True
+        score[i, j[good]] = common[good] / np.maximum(longest[good], 1)
     if low == high:
         maybe = np.triu(maybe, 1)
-    of = np.array(root)
-    maybe &= of[:, None] != of[None, :]
     left, right = np.nonzero(maybe)
     out = []
-    for i in np.argsort(-(common[left, right] / longest[left, right]), kind="stable").tolist():
+    for i in np.argsort(-score[left, right], kind="stable").tolist():
         x, y = int(left[i]), int(right[i])
         r, q = find(root[x]), find(root[y])
         if r != q and are_near(words[x], words[y], similarity):
@@ -321,16 +350,42 @@ def _block_tasks(dealt: DataFrame, bodies: DataFrame, similarity: float) -> Data
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
         found = block_links(table, similarity, group[1].as_py(), group[2].as_py())
-        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return dealt.join(bodies.select("key", "words"), "key").groupBy("g", "low", "high").applyInArrow(run, "a long, b long").distinct()
+
 
-    return dealt.join(bodies.select("key", "words"), "key").groupBy("g", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
+def _blocks():
+    """In how many blocks a group of ``size`` texts of ``total`` words is compared."""
+    return F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_WORDS)).cast("long")
 
 
 def compared(rows: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """Links among the texts of each open group (g, key, label, size, total), all of whose blocks meet each other."""
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_WORDS)).cast("int")
-    dealt = rows.select("g", "key", "label", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
-    return _block_tasks(dealt.select("g", "key", "label", "b", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high")), bodies, similarity)
+    """Links among the texts of each open group (g, key, label, n, size, total), all of which meet each other."""
+    one = (F.col("size") <= BLOCK) & (F.col("total") <= BLOCK_WORDS)
+    zero = F.lit(0).cast("long")
+    whole = rows.where(one).select("g", "key", "label", zero.alias("b"), zero.alias("low"), zero.alias("high"))
+    large = rows.where(~one)
+    if not large.limit(1).count():
+        return _block_tasks(whole, bodies, similarity)
+    # near texts are in the same class of lengths or in neighbouring ones
+    large = large.select("g", "key", "label", "n", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1.01 / similarity)).cast("long").alias("c"))
+    classes_ = save_table(large.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).select("g", "c", _blocks().alias("p")), "near-lengths")
+    about = lambda by, name: small(classes_.select("g", (F.col("c") + by).alias("c"), F.col("p").alias(name)))
+    # a hash of the key, not of the group, so that equal blocks meet alike
+    large = large.join(about(0, "p"), ["g", "c"]).join(about(-1, "above"), ["g", "c"], "left").join(about(1, "below"), ["g", "c"], "left")
+    large = large.withColumn("own", F.pmod(F.xxhash64("key"), F.col("p")))
+    wide = 1 << 32
+    number = lambda c, b: c * wide + b  # noqa: E731  of a block among all classes
+    c, b = F.col("c"), F.col("own")
+    upto = lambda p: F.sequence(zero, F.col(p) - 1)
+    meets = F.concat(
+        F.transform(upto("p"), lambda o: F.struct(number(c, F.least(b, o)).alias("low"), number(c, F.greatest(b, o)).alias("high"))),
+        F.when(F.col("above").isNull(), F.array()).otherwise(F.transform(upto("above"), lambda o: F.struct(number(c, b).alias("low"), number(c + 1, o).alias("high")))),
+        F.when(F.col("below").isNull(), F.array()).otherwise(F.transform(upto("below"), lambda o: F.struct(number(c - 1, o).alias("low"), number(c, b).alias("high")))),
+    )
+    dealt = large.select("g", "key", "label", number(c, b).alias("b"), F.explode(meets).alias("m")).select("g", "key", "label", "b", "m.low", "m.high")
+    return _block_tasks(whole.union(dealt), bodies, similarity)
 
 
 def taken_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -349,15 +404,14 @@ def met_components(outside: DataFrame, labels: DataFrame, bodies: DataFrame, sim
     wanted = save_table(outside.select("label").distinct(), "near-wanted")
     members = save_table(labels.withColumnRenamed("node", "key").join(small(wanted), "label").join(bodies.select("key", "n"), "key"), "near-component")
     about = lambda df: df.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_WORDS)).cast("int")
-    inside = save_table(about(members).select("label", "least", "most", blocks.alias("p")), "near-sizes")
+    inside = save_table(about(members).select("label", "least", "most", _blocks().alias("p")), "near-inside-sizes")
     # by the numbers of words
     can = (F.col("n") >= F.floor(F.col("least") * F.lit(similarity))) & (F.col("n") * F.lit(similarity) <= F.col("most") + 1)
     outside = save_table(outside.join(small(inside), "label").where(can).select("label", "key", "n"), "near-able")
-    sizes = save_table(inside.join(about(outside).select("label", blocks.alias("q")), "label").select("label", "p", "q"), "near-blocks")
-    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    sizes = save_table(inside.join(about(outside).select("label", _blocks().alias("q")), "label").select("label", "p", "q"), "near-blocks")
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
     own = members.join(small(sizes), "label").select("label", "key", place("p").alias("b"), F.explode(F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)).alias("o"))
-    others = outside.join(small(sizes), "label").select("label", "key", (F.col("p") + place("q")).alias("b"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("o"))
+    others = outside.join(small(sizes), "label").select("label", "key", (F.col("p") + place("q")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)).alias("o"))
     # in these tasks the component is one label and each other text its own
     dealt = own.select("label", "key", F.col("label").alias("l"), "b", F.col("b").alias("low"), F.col("o").alias("high")).union(others.select("label", "key", F.col("key").alias("l"), "b", F.col("o").alias("low"), F.col("b").alias("high")))
     return _block_tasks(dealt.select(F.col("label").alias("g"), "key", F.col("l").alias("label"), "b", "low", "high"), bodies, similarity)
@@ -375,27 +429,29 @@ def settled(rows: DataFrame, bodies: DataFrame, labels: DataFrame, similarity: f
 
 def led(members: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     """The components after each of ``members`` (key, n, leader) met its group's leader."""
-    pairs = members.where((F.col("key") != F.col("leader.key")) & sizes_allow(similarity, "n", "leader.n")).select(F.col("leader.key").alias("a"), F.col("key").alias("b")).distinct()
+    pairs = save_table(members.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b"), "n").distinct(), "near-led")
+    pairs = pairs.join(small(bodies.select(F.col("key").alias("a"), F.col("n").alias("n_a"))), "a").where(sizes_allow(similarity, "n", "n_a")).select("a", "b")
     return components(save_table(verified(save_table(pairs, "near-pairs"), bodies, similarity), "near-links"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row per distinct text that is in a class with another row: key, class_id, class_size and rep_key.
+    """A row per distinct text that is in a class with another row: key (its MD5), class_id, class_size and rep_key.
 
     ``class_id`` and ``rep_key`` name the document that stays: the least id, nulls last, then the least key.
     """
     rep = F.struct(F.col("id").isNull().alias("none"), "id")
     # copies become one node; the partial sums leave one row of a hot text per task
-    texts = sketches(docs, doc_id, text).groupBy("key").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("same"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("words").alias("words"))
-    texts = save_table(texts, "near-texts")
-    members = met(texts.select("key", "n", F.explode("sketch").alias("g")))
+    texts = sketches(docs, doc_id, text).groupBy("md5").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("same"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("words").alias("words"))
+    # numbered as they are written
+    texts = save_table(texts.withColumn("key", F.monotonically_increasing_id()), "near-texts")
+    members = met(texts)
     keys = save_table(members.select("key").distinct(), "near-keys")
     bodies = save_table(texts.join(small(keys), "key", "left_semi").select("key", "n", "words"), "near-bodies")
     labels = led(members, bodies, similarity)
     labels = settled(open_groups(members, labels), bodies, labels, similarity)
-    named = with_labels(texts.select("key", "rep", "same"), labels)
-    groups = named.groupBy("label").agg(F.min(F.struct("rep.none", "rep.id", "key")).alias("r"), F.sum("same").alias("class_size")).where("class_size > 1")
-    return save_table(named.join(groups, "label").select("key", F.col("r.id").alias("class_id"), "class_size", F.col("r.key").alias("rep_key")), "near-classes")
+    named = with_labels(texts.select("key", "md5", "rep", "same"), labels)
+    groups = named.groupBy("label").agg(F.min(F.struct("rep.none", "rep.id", "md5")).alias("r"), F.sum("same").alias("class_size")).where("class_size > 1")
+    return save_table(named.join(groups, "label").select(F.col("md5").alias("key"), F.col("r.id").alias("class_id"), "class_size", F.col("r.md5").alias("rep_key")), "near-classes")
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str, similarity: float) -> tuple[DataFrame, list[str]]:

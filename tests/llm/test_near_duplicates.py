@@ -202,3 +202,63 @@ def test_recall_on_the_documents(spark, sf_dir):
     assert len(together) > 5 and sum(got[a] == got[b] for a, b in together) >= 0.9 * len(together)
     place = {r.doc_id: want[i] for i, r in enumerate(rows)}
     assert all(place[a] == place[b] for a, b in got.items())
+
+
+def edited(rng, words, share):
+    """``words`` with a share of them replaced, dropped or followed by a new one."""
+    out, at = [], set(rng.sample(range(len(words)), int(share * len(words))))
+    for i, w in enumerate(words):
+        kind = rng.randrange(3) if i in at else None
+        new = "".join(rng.choices("abcdefgh", k=6))
+        out += {None: [w], 0: [new], 1: [], 2: [w, new]}[kind]
+    return out
+
+
+def test_recall_by_share_of_edits():
+    rng = random.Random(12)
+    for share in (0.1, 0.15, 0.2):
+        near = found = 0
+        for _ in range(150):
+            base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+            a, b = nd.word_hashes(base), nd.word_hashes(edited(rng, base, share))
+            if nd.are_near(a, b):
+                near += 1
+                found += bool(set(nd.sketch(a).tolist()) & set(nd.sketch(b).tolist()))
+        assert near > 20 and found >= 0.9 * near
+
+
+def test_masks_of_the_band_equal_dense_ones(monkeypatch):
+    rng = random.Random(4)
+    cases = [([rng.randrange(5) for _ in range(60)], rng.randrange(1, 20)) for _ in range(40)]
+    pairs = [(np.array(a), np.array(edited_numbers(rng, a)), most) for a, most in cases]
+    dense = [nd.banded_distance(*p) for p in pairs]
+    monkeypatch.setattr(nd, "DENSE", 0)
+    assert [nd.banded_distance(*p) for p in pairs] == dense and any(d is not None for d in dense)
+
+
+def edited_numbers(rng, a):
+    return [x for x in (rng.choice([y, y, y, y, rng.randrange(5)]) for y in a) if rng.random() < 0.95]
+
+
+def test_a_pair_of_very_long_texts():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    a = (rng.zipf(1.3, 60_000) % 15_000).astype(np.uint32)
+    b = a.copy()
+    b[rng.choice(len(b), 3_000, replace=False)] = 2**31
+    tracemalloc.start()
+    assert nd.are_near(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20  # a mask per word as long as the text would take 100 MB
+
+
+def test_length_classes_lose_nothing(spark, monkeypatch):
+    """Large buckets of texts of many lengths on one template: only pairs of neighbouring classes can be near."""
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    template, texts = [word() for _ in range(30)], []
+    for n in list(range(5, 60, 3)) * 2:
+        own = [word() for _ in range(n)]
+        texts += [" ".join(template + own), " ".join(template + own + [word() for _ in range((30 + n) // 6)])]
+    assert_brute(spark, texts)
