@@ -128,7 +128,7 @@ def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
     and an empty table none. The expected recall is at least CONFIDENCE. How many vectors are verified depends on the data: a
     few per cent where near neighbours are much nearer than the rest, most of them where all are about as far away.
     """
-    return best_of_blocks(usable(vectors, False, vec_id, embedding), indexed, search, k, "double")
+    return best_of_blocks(usable(vectors, False, vec_id, embedding), indexed, search, k, "double", 12 * LINES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

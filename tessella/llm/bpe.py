@@ -26,7 +26,7 @@ from .tokens import BATCH_IDS, PieceCache, chunks_of, list_array
 NONE = np.int32(2**31 - 1)
 #: Pieces of at most so many bytes are encoded together.
 SHORT = 64
-_SHIFT = 17
+_SHIFT = 31
 
 
 class Ranks:
@@ -37,8 +37,8 @@ class Ranks:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        if max(ranks.values()) >= 1 << _SHIFT:
-            raise ValueError("too many tokens")
+        if max(ranks.values()) >= 1 << 24:  # with a place of SHORT in 32 bits
+            raise ValueError("more than 16,777,216 tokens")
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         found = [((ranks[t[:i]] << _SHIFT) | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         keys, values = (np.array(x, dtype=kind) for x, kind in zip(zip(*found, strict=True), (np.int64, np.int32), strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int32))

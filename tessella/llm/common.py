@@ -92,6 +92,12 @@ def hash_sample(df: DataFrame, rows: int, h: str = "h") -> list:
     return df.groupBy(h).agg(*first).select(h, "_.*").orderBy(h).limit(rows).collect()
 
 
+def passage(text: str, chars: int, seed: int) -> Column:
+    """So many characters of a text, from a place that a hash of it gives; a shorter text is taken whole."""
+    last = F.greatest(F.char_length(text) - chars, F.lit(0)) + 1
+    return F.substr(F.col(text), (F.pmod(F.xxhash64(F.lit(seed), F.col(text)), last) + 1).cast("int"), F.lit(chars))
+
+
 def memory_share(spark: SparkSession, part: int, least: int, most: int) -> int:
     """Bytes: one of ``part`` parts of the heap that a task slot has, within limits."""
     def size(value: str) -> int:

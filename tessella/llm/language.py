@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import fresh
+from .common import fresh, passage
 
-#: The dictionaries are built from so many different labelled texts of each language, the least by a hash, and the
-#: beginning of each, so many characters. This bounds the model; predictions read whole texts.
+#: The dictionaries are built from so many different labelled texts of each language, the least by a hash, and a
+#: passage of each, so many characters from a place that a hash gives. This bounds the model; predictions read whole texts.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1_000
 #: A text is compressed in blocks, so that the dictionary and not the text's own beginning predicts all of it.
 BLOCK_BYTES = 4_096
@@ -63,7 +63,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     distinct = {r["lang"]: r["n"] for r in labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names, shares = list(distinct), [min(1.0, 3 * SAMPLE_DOCS / n) for n in distinct.values()]
     last = F.element_at(F.array(*[F.lit(min(2**63 - 1, -(2**63) + int(2**64 * s))) for s in shares]), F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int")) if counts else F.lit(0)
-    few = labelled.where(F.col("h") <= last).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    few = labelled.where(F.col("h") <= last).groupBy("lang", "h").agg(F.min(passage("text", SAMPLE_CHARS, 5)).alias("text"))
     least = few.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= SAMPLE_DOCS)
     parts: dict[str, list[bytes]] = {}
     for r in least.orderBy("lang", "i").toLocalIterator():

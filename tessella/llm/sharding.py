@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import batches_of, fresh, memory_share, running_totals, save_table, small
+from .common import batches_of, fresh, map_columns, memory_share, running_totals, save_table, small
 
 SEED = 7_919
 #: A bucket is one task's memory in the second pass: it takes a SHARE-th of the heap of a task slot on average, within limits.
@@ -31,7 +31,7 @@ def text_bytes(text):
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def _shuffle_bucket(hash_column: str, bucket_column: str, place_column: str, seed: int, rows: int):
+def _shuffle_bucket(hash_column: str, bucket_column: str, seed: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -53,7 +53,8 @@ def _shuffle_bucket(hash_column: str, bucket_column: str, place_column: str, see
             part = part.drop_columns([hash_column]).cast(pa.schema([f for f in narrow if f.name != hash_column]))
             place = pa.array(np.arange(start, start + part.num_rows, dtype=np.int64))
             start += part.num_rows
-            yield from batches_of(part.append_column(place_column, place), rows)
+            part = part.append_column("place", place)
+            yield from batches_of(part.rename_columns([f"c{i}" for i in range(part.num_columns)]), rows)
 
     return run
 
@@ -70,19 +71,20 @@ def shuffle_into_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", te
     spark = docs.sparkSession
     h, b, b2, place, begin, shard, slot = fresh(docs, "scatter", "bucket", "bucket_key", "place", "bucket_start", "shard", "slot")
     bucket_bytes = bucket_bytes or memory_share(spark, SHARE, LEAST_BYTES, MOST_BYTES)
-    total = docs.agg(F.coalesce(F.sum(text_bytes(F.col(text)) + ROW_BYTES), F.lit(0)).alias("b")).first()["b"]
+    total = docs.agg(F.coalesce(F.sum(text_bytes(F.col(f"`{text}`")) + ROW_BYTES), F.lit(0)).alias("b")).first()["b"]
     buckets = max(1, -(-total // bucket_bytes))
     # pass 1: the exchange spills to the executors' disks; each partition is one bucket
-    hashed = docs.withColumn(h, F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
+    hashed = docs.withColumn(h, F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
     often = save_table(hashed.groupBy(h).count().where(F.col("count") > REPEATS).select(h), "shard-repeats")
     if often.limit(1).count():
         # written first, so that a task that runs again gives each row the number it had
         same = save_table(hashed.join(small(often), h, "left_semi"), "shard-same").withColumn(h, F.xxhash64(F.lit(seed), F.col(h), F.monotonically_increasing_id()))
-        hashed = hashed.join(small(often), h, "left_anti").unionByName(same.select(hashed.columns))
+        order = [F.col(f"`{c}`") for c in hashed.columns]
+        hashed = hashed.join(small(often), h, "left_anti").select(*order).union(same.select(*order))
     scattered = hashed.withColumn(b, F.pmod(F.col(h), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col(b))
     schema = StructType([*docs.schema.fields, StructField(b, IntegerType()), StructField(place, LongType())])
     # pass 2: one bucket in memory per task
-    shuffled = save_table(scattered.mapInArrow(_shuffle_bucket(h, b, place, seed, 2_000), schema), "shards")
+    shuffled = save_table(map_columns(scattered, _shuffle_bucket(*(f"c{scattered.columns.index(x)}" for x in (h, b)), seed, 2_000), schema), "shards")
     counts = save_table(shuffled.groupBy(b).agg(F.count(F.lit(1)).alias("in_bucket")), "shard-counts")
     n = counts.agg(F.coalesce(F.sum("in_bucket"), F.lit(0)).alias("n")).first()["n"]
     # one row per bucket
@@ -91,7 +93,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", te
     p = f"(`{begin}` + `{place}`)"
     joined = joined.withColumn(shard, F.expr(f"CAST({p} * {shards} DIV {max(n, 1)} AS INT)"))
     first = f"(CAST(`{shard}` AS BIGINT) * {n} + {shards - 1}) DIV {shards}"
-    return joined.withColumn(slot, F.expr(f"CAST({p} - {first} AS BIGINT)")).select(*[f"`{c}`" for c in docs.columns], shard, slot)
+    return joined.withColumn(slot, F.expr(f"CAST({p} - {first} AS BIGINT)")).select(*[F.col(f"`{c}`") for c in docs.columns], shard, slot)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import struct
 import zlib
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import hash_sample, running_totals, save_table, scratch_path
+from .common import hash_sample, passage, running_totals, save_table, scratch_path
 from .files import open_input, open_output
 from .tokens import PieceCache, chunks_of
 
 MAGIC = b"TESSIDS1"
 END_ID = 2
-#: The dictionary is trained on so many different documents, the least by a hash, and so many characters of each.
+#: The dictionary is trained on so many different documents, the least by a hash, and a passage of so many
+#: characters of each, from a place that a hash gives.
 SAMPLE_DOCS, SAMPLE_CHARS = 1_000, 4_096
 DICT_BYTES = 112_640
 LEVEL = 3
@@ -69,6 +71,23 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Words of printable ASCII and of letters that have one spelling in Unicode and one lower case letter each.
 _PLAIN = r"^[!-~À-ÖØ-öø-ÿ]*$"
+#: Fixed by the tokenizer file: the normalizer and pre-tokenizer for which the split above is right.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+@functools.lru_cache(maxsize=4)
+def splits_here(path: str) -> bool:
+    """Whether the file's tokenizer splits and lowers words as is done here; any other is asked for whole texts."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    parts = [(found.get(k) or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    added = all(t["special"] and not t["normalized"] and t["content"].startswith("<|") and " " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in found.get("added_tokens") or [])
+    whole = not (found.get("truncation") or found.get("padding")) and (found.get("model") or {}).get("type") == "BPE"
+    return parts == [_NORMALIZER, _PRE_TOKENIZER] and added and whole
 
 
 def _encode_parts(path: str, special: bool, parts: list[str]) -> list[bytes]:
@@ -120,14 +139,14 @@ def _split(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return lists.offsets.to_numpy() - lists.offsets[0].as_py(), coded.indices.to_numpy(), coded.dictionary
 
 
-def encode_texts(texts: list[str], path: str, drops_white_space: bool = True, special: bool = True) -> list[np.ndarray]:
-    """The library's ids of each text. A tokenizer that splits at white space and drops it is asked once per word.
+def encode_texts(texts: list[str], path: str, special: bool = True) -> list[np.ndarray]:
+    """The library's ids of each text. A tokenizer that ``splits_here`` is asked once per word, any other for whole texts.
 
     With ``special``, the library's default, the strings of special tokens in a text give their ids; else they are
     ordinary text. Arrow splits texts and words and numbers the different ones, of which only those that are not known yet
     go to the library; numpy puts the texts' ids together.
     """
-    if not drops_white_space:
+    if not splits_here(path):
         return [np.array(e.ids, dtype="<u4") for e in _tokenizer(path, special).encode_batch(texts, add_special_tokens=False)]
     if not texts:
         return []
@@ -148,7 +167,7 @@ def encode_texts(texts: list[str], path: str, drops_white_space: bool = True, sp
 def train_dictionary(docs: DataFrame, path: str, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, size: int = DICT_BYTES) -> bytes:
     """A dictionary from at most ``sample_docs`` documents; raw content where there is too little to train on."""
     order = F.xxhash64(F.lit(17), F.col(text))
-    sample = hash_sample(docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, sample_chars).alias("t"), order.alias("h")), sample_docs)
+    sample = hash_sample(docs.where(F.col(text).isNotNull()).select(passage(text, sample_chars, 19).alias("t"), order.alias("h")), sample_docs)
     arrays = [serialize(ids) for ids in encode_texts([r["t"] for r in sample], path)] if sample else []
     try:
         return zstandard.train_dictionary(size, arrays, level=LEVEL).as_bytes()

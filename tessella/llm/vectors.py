@@ -17,7 +17,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import memory_share, save_table, scratch_path
+from .common import memory_share, running_totals, save_table, scratch_path, small
 
 #: Rows in a block of queries, and in a block of candidates at least.
 QUERIES, LEAST = 4_096, 1_024
@@ -36,9 +36,8 @@ def usable(vectors: DataFrame, zero_too: bool, vec_id: str = "vec_id", embedding
     """``row`` (a number of its own), ``id`` and ``vector`` of the rows that take part.
 
     Rows without an id, without a vector or with an empty one, or with a null or non-finite component are left out; zero
-    vectors stay if ``zero_too``. Vectors of another length than the most common one (the shorter if two are as common) have no
-    inner product with the others and are left out too. Rows with equal ids all stay: each is a row of its own. Other
-    columns, whatever their names, are not read.
+    vectors stay if ``zero_too``. Vectors of different lengths have no inner product: each length is searched by itself.
+    Rows with equal ids all stay: each is a row of its own. Other columns, whatever their names, are not read.
     """
     x = F.col("vector")
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
@@ -47,13 +46,13 @@ def usable(vectors: DataFrame, zero_too: bool, vec_id: str = "vec_id", embedding
     if not zero_too:
         rows = rows.where(F.exists(x, lambda v: v != 0))
     # numbered as they are written: from then on each row has its number
-    rows = save_table(rows.select(F.monotonically_increasing_id().alias("row"), "id", "vector"), "vectors")
-    common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vector") == (common["d"] if common else 0))
+    return save_table(rows.select(F.monotonically_increasing_id().alias("row"), "id", "vector"), "vectors")
 
 
-def pack(rows: DataFrame, blocks: int, index: Index, path: str) -> DataFrame:
-    """Writes one row per block: its number and its arrays as bytes. Rows go to blocks by a hash of their number."""
+def pack(rows: DataFrame, blocks: DataFrame, index: Index, path: str) -> DataFrame:
+    """Writes one row per block: its number and its arrays as bytes. ``blocks`` (d, first, blocks) gives the blocks of each
+    length of vectors; rows go to them by a hash of their number."""
+    total = blocks.agg(F.coalesce(F.sum("blocks"), F.lit(1)).cast("int")).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -65,7 +64,8 @@ def pack(rows: DataFrame, blocks: int, index: Index, path: str) -> DataFrame:
             np.savez(out, **index({"ids": ids, "rows": t.column("row").to_numpy(), "vectors": vectors}))
             yield pa.RecordBatch.from_arrays([pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([out.getvalue()], pa.large_binary()).cast(pa.binary())], names=["block", "data"])
 
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))
+    placed = rows.withColumn("d", F.size("vector")).join(small(blocks), "d")
+    placed = placed.select("row", "id", "vector", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("blocks"))).cast("int").alias("block")).repartitionById(total, F.col("block"))
     placed.mapInArrow(run, "block int, data binary").write.option("compression", "none").parquet(path)
     return rows.sparkSession.read.schema("block int, data binary").parquet(path)
 
@@ -85,29 +85,39 @@ def blocks_at(path: str) -> Iterator[dict[str, np.ndarray]]:
                     yield arrays(data.as_buffer())
 
 
-def best_of_blocks(rows: DataFrame, index: Index, search: Search, k: int, kind: str) -> DataFrame:
+def best_of_blocks(rows: DataFrame, index: Index, search: Search, k: int, kind: str, index_bytes: int = 0) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's k best; ties go to the smaller id.
 
+    ``index_bytes``: what a row takes in a block besides its vector, ids and number.
+
     Candidates of a query are all rows but its own. Query rows with equal ids have a ranking each.
     """
     spark = rows.sparkSession
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d"), F.count_if(F.col("id") % EVERY == 0).alias("q")).first()
-    room = memory_share(spark, SHARE, LEAST_BYTES, MOST_BYTES) // (ROOM * 8 * max(1, size["d"]))
-    blocks = max(-(-size["n"] // max(LEAST, room)), min(2 * spark.sparkContext.defaultParallelism, size["n"] // LEAST), 1)
-    candidates = pack(rows, blocks, index, scratch_path(spark, "candidate-blocks"))
+    room = memory_share(spark, SHARE, LEAST_BYTES, MOST_BYTES)
+    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % EVERY == 0).alias("q"))
+    fits = F.greatest(F.lit(LEAST), F.floor(F.lit(room) / (ROOM * (8 * F.col("d") + 16 + index_bytes))))
+    blocks = F.greatest(F.ceil(F.col("n") / fits), F.least(F.lit(2 * spark.sparkContext.defaultParallelism), F.floor(F.col("n") / LEAST)), F.lit(1))
+    sizes = save_table(sizes.select("d", blocks.cast("long").alias("blocks"), F.when(F.col("q") > 0, F.ceil(F.col("q") / QUERIES)).otherwise(0).cast("long").alias("q")), "vector-sizes")
+    # one row per length of vectors
+    dealt = lambda n: save_table(running_totals(sizes.select("d", F.col(n).alias("blocks")).where("blocks > 0"), [F.col("d")], "blocks", "first"), "vector-blocks")
+    own = dealt("blocks")
+    candidates = pack(rows, own, index, scratch_path(spark, "candidate-blocks"))
     path = scratch_path(spark, "query-blocks")
-    pack(rows.where(F.col("id") % EVERY == 0), max(1, -(-size["q"] // QUERIES)), lambda block: block, path)
+    pack(rows.where(F.col("id") % EVERY == 0), dealt("q"), lambda block: block, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("data"):
                 base = arrays(data.as_buffer())
                 for query in blocks_at(path):
+                    if query["vectors"].shape[1] != base["vectors"].shape[1]:
+                        continue
                     for q, at, scores in search(base, query["rows"], query["vectors"], k):
                         columns = (query["ids"][q], query["rows"][q], base["ids"][at], base["rows"][at], scores)
                         yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["query_id", "query_row", "vec_id", "vec_row", "score"])
 
-    found = candidates.repartitionById(blocks, F.col("block")).mapInArrow(run, f"query_id long, query_row long, vec_id long, vec_row long, score {kind}")
+    total = own.agg(F.coalesce(F.sum("blocks"), F.lit(1)).cast("int")).first()[0]
+    found = candidates.repartitionById(total, F.col("block")).mapInArrow(run, f"query_id long, query_row long, vec_id long, vec_row long, score {kind}")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     # the rank limit is applied before the exchange as well
     merged = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import hash_sample, save_table, scratch_path, small
+from .common import hash_sample, passage, save_table, scratch_path, small
 from .files import open_input, open_output
 
 #: Fixed by the format: the magic number of the frame with the dictionary, and the profile of identical payloads.
@@ -30,7 +30,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: Smaller payloads are always kept in full.
 MIN_REVISIT = 1_000
-#: The dictionary is trained on so many records with different payloads, the least by a hash, and so many characters of each.
+#: The dictionary is trained on so many records with different payloads, the least by a hash, and a passage of so many
+#: characters of each, from a place that a hash gives.
 SAMPLE_RECORDS, SAMPLE_CHARS = 500, 16_384
 DICT_BYTES = 112_640
 LEVEL = 3
@@ -89,7 +90,7 @@ def parse_record(raw: bytes) -> dict:
 def train_dictionary(pages: DataFrame, html: str = "html", sample: int = SAMPLE_RECORDS, sample_chars: int = SAMPLE_CHARS, size: int = DICT_BYTES) -> bytes:
     """From at most ``sample`` records; raw content where there is too little to train on."""
     h = F.xxhash64(F.lit(29), F.col(html))
-    rows = pages.where(F.length(html) > 0).select("page_id", "url", F.substring(html, 1, sample_chars).alias("t"), h.alias("h"))
+    rows = pages.where(F.length(html) > 0).select("page_id", "url", passage(html, sample_chars, 31).alias("t"), h.alias("h"))
     rows = hash_sample(rows, sample)
     records = [build_record(r["page_id"], r["url"], p := r["t"].encode(), hashlib.sha1(p).hexdigest(), None) for r in rows]
     try:

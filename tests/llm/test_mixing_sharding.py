@@ -117,3 +117,14 @@ def test_many_equal_rows_scatter(spark):
     assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
     # the equal rows are in every shard, about as often as elsewhere
     assert all(0.4 <= sum(r.doc_id is None for r in x) / len(x) <= 0.8 for x in by.values())
+
+
+def test_repeats_beside_columns_of_any_name(spark):
+    docs = spark.range(400).selectExpr("CASE WHEN id < 250 THEN 7 ELSE id END AS `my.id`", "CASE WHEN id < 250 THEN 'x' ELSE repeat('y', 3) END AS `the text`", "1 AS `a.b`", "id AS Bucket")
+    docs = docs.unionByName(spark.createDataFrame([(1_000, "long " * 200_000, 1, 5)], "`my.id` long, `the text` string, `a.b` int, Bucket long"))
+    got = sharding.shuffle_into_shards(docs, 4, "my.id", "the text", bucket_bytes=4_000)
+    assert got.columns == ["my.id", "the text", "a.b", "Bucket", "shard", "slot"]
+    rows = got.collect()
+    assert len(rows) == 401 and sum(r["my.id"] == 7 for r in rows) == 250 and max(len(r["the text"]) for r in rows) == 1_000_000
+    sizes = [sum(r.shard == s for r in rows) for s in range(4)]
+    assert max(sizes) - min(sizes) <= 1

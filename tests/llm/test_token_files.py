@@ -54,3 +54,13 @@ def test_special_tokens_as_in_a_plain_call(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = tf.read_token_files(tf.write_token_files(docs, scratch_path(spark, "t"), PATH)).collect()
     assert {r.doc_id: r.ids_crc32 for r in got} == {i: zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes()) for i, ids in enumerate(want)}
+
+
+def test_another_tokenizer_is_asked_for_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tf.splits_here(PATH) and not tf.splits_here(path)
+    library = tokenizers.Tokenizer.from_file(path)
+    assert [x.tolist() for x in tf.encode_texts(ODD, path)] == [library.encode(t, add_special_tokens=False).ids for t in ODD]
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    got = tf.read_token_files(tf.write_token_files(docs, scratch_path(spark, "t"), path, end_id=50256)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in got} == {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 50256], dtype="<u4").tobytes()) for i, t in enumerate(ODD)}

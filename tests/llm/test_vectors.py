@@ -95,3 +95,21 @@ def test_few_rows_give_all(spark):
     few = spark.createDataFrame([(i, [1.0 * (i % 3 + 1), 0.0, 2.0]) for i in (0, 1, 2, 3, 4, 5)], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in exact_search.top_k(few).orderBy("rank").collect()] == [(0, 2), (0, 5), (0, 1), (0, 4), (0, 3)]
     assert [r.vec_id for r in ann.nearest(few).orderBy("rank").collect()] == [2, 5, 1, 4, 3]
+
+
+def test_each_length_is_searched_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(vectors_of, "LEAST", 16)
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randrange(1, 9)) for _ in range(3 if i % 3 else 5)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            best = sorted((-sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:4]
+            want[q] = [i for _, i in best]
+    got = {}
+    for r in exact_search.top_k(df, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == want
+    near = ann.nearest(df, 4).collect()
+    assert {r.query_id for r in near} == set(want) and all(len(rows[r.vec_id][1]) == len(rows[r.query_id][1]) for r in near)
