@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import BROADCAST_ROWS, fresh, map_columns, save_table, small
+from .common import fresh, map_columns, save_table, small
 
 LENGTH, ANCHOR = 400, 128
 #: Texts are hashed together from so many bytes on; longer ones in parts of as many windows. Places take PLACE_BITS bits.
@@ -187,10 +187,10 @@ def cut_strings(docs: DataFrame, text: str, wanted: DataFrame, length: int) -> D
                 columns = [[r[c] for r in rows] for c in ("number", "d1", "d2", "lead")] + [[raw[r["first"] : r["first"] + r["windows"] + length - 1] for r in rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["number", "d1", "d2", "lead", "string"])
 
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # these grow with the corpus, so they are joined by a shuffle at any size
     cuts = wanted.groupBy("key").agg(F.collect_list(F.struct("first", "windows", "lead", "number", "d1", "d2")).alias("cuts"))
     texts = docs.select(F.col(f"`{text}`").alias("t")).where(F.octet_length("t") >= length).withColumn("key", F.unhex(F.md5("t")))
-    found = texts.join(F.broadcast(cuts) if few else cuts, "key").select("t", "cuts").mapInArrow(run, "number long, d1 long, d2 long, lead long, string binary")
+    found = texts.join(cuts, "key").select("t", "cuts").mapInArrow(run, "number long, d1 long, d2 long, lead long, string binary")
     return found.groupBy("number", "d1", "d2").agg(F.first("lead").alias("lead"), F.first("string").alias("string"))  # copies of a text cut the same
 
 
@@ -235,7 +235,7 @@ def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor:
     several = (F.col("least_d1") != F.col("most_d1")) | (F.col("least_d2") != F.col("most_d2"))
     by_number = save_table(by_number.where("c > 1").select("number", several.alias("several")), "repeat-numbers")
     # copies of a text have the same pieces: one row is kept of each, with their number
-    hit = found.join(small(by_number), "number").groupBy("key", "first", "windows", "lead", "number", "d1", "d2", "several").agg(F.count(F.lit(1)).alias("c"))
+    hit = found.join(by_number, "number").groupBy("key", "first", "windows", "lead", "number", "d1", "d2", "several").agg(F.count(F.lit(1)).alias("c"))
     hit = save_table(hit, "repeat-hits")
     strings = hit.where("several").groupBy("number", "d1", "d2").agg(F.sum("c").alias("c"), F.min(F.struct("key", "first", "windows", "lead")).alias("p"))
     strings = save_table(strings.select("number", "d1", "d2", "c", "p.*"), "repeat-strings")

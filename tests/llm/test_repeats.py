@@ -72,7 +72,6 @@ def test_parts_of_long_texts_and_shuffle_joins(spark, monkeypatch):
     import tessella.llm.common as common
 
     monkeypatch.setattr(repeats, "PART", 64)
-    monkeypatch.setattr(repeats, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common.small, "__defaults__", (0,))
     rng = random.Random(9)
     texts = passages(rng, 25, longest=200) + ["".join(rng.choice("abcd") for _ in range(700))]
