@@ -290,11 +290,12 @@ def met(texts: DataFrame) -> DataFrame:
     """
     members = texts.select("key", F.explode("sketch").alias("g"))
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    # written before the join: Spark can then split the members of a large group
-    members = members.join(small(save_table(sizes, "near-sizes")), "g")
-    members = save_table(members.join(small(texts.select("key", "n")), "key"), "near-members")
+    # written before the join: Spark can then split the members of a large group. These tables grow with the corpus, so
+    # they are shuffled at any size
+    members = members.join(save_table(sizes, "near-sizes"), "g")
+    members = save_table(members.join(texts.select("key", "n"), "key"), "near-members")
     about = save_table(members.groupBy("g").agg(F.min("key").alias("leader"), F.sum("n").alias("total")), "near-groups")
-    return members.join(small(about), "g")
+    return members.join(about, "g")
 
 
 def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -430,7 +431,7 @@ def settled(rows: DataFrame, bodies: DataFrame, labels: DataFrame, similarity: f
 def led(members: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     """The components after each of ``members`` (key, n, leader) met its group's leader."""
     pairs = save_table(members.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b"), "n").distinct(), "near-led")
-    pairs = pairs.join(small(bodies.select(F.col("key").alias("a"), F.col("n").alias("n_a"))), "a").where(sizes_allow(similarity, "n", "n_a")).select("a", "b")
+    pairs = pairs.join(bodies.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").where(sizes_allow(similarity, "n", "n_a")).select("a", "b")
     return components(save_table(verified(save_table(pairs, "near-pairs"), bodies, similarity), "near-links"))
 
 
