@@ -1,48 +1,129 @@
 """Test case documents: validation to violation rows, adoption, search, locators, page facts.
 
-A document is parsed step by step, each object once, and objects are kept as text as well, so that unknown keys are seen. All
-that is wrong with a document is one array of violations, made in one pass over it.
+A document is parsed once, to a VARIANT, and read once more as typed records. What its schema refuses comes from the schema of its
+version, compiled to expressions; what does not make sense from rules on the records. All that is wrong with a document is
+one array of violations, made in one pass over it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_schema import UNREADABLE, VIOLATIONS, Schema, compile_schema
+from ..functions.json_schema import literal
+from ..functions.json_schema import violation as _violation
+
 # Fixed values of version 1.0.0 of the document.
 VERSION = "1.0.0"
 SCHEMAS = ("1", "1.0", "1.0.0")
 ACTIONS = ("NAVIGATE", "CLICK", "INPUT", "SELECT", "WAIT", "ASSERT", "SCREENSHOT")
 STRATEGIES = ("ROLE", "TEXT", "LABEL", "TESTID", "CSS", "XPATH")
 KINDS = ("URL_EQUALS", "URL_CONTAINS", "ELEMENT_VISIBLE", "ELEMENT_NOT_PRESENT", "TEXT_EQUALS", "TEXT_CONTAINS", "VALUE_EQUALS")
-CASE_ENUMS = (
-    ("caseType", ("FUNCTIONAL", "FLOW", "EXCEPTION", "BOUNDARY", "UI", "COMPATIBILITY")),
-    ("designMethod", ("EQUIVALENCE", "BOUNDARY", "SCENARIO", "CAUSE_EFFECT", "ERROR_GUESSING", "ORTHOGONAL")),
-    ("priority", ("P0", "P1", "P2", "P3")),
-    ("risk", ("HIGH", "MEDIUM", "LOW")),
-    ("automationCandidate", ("WEB_FUNCTIONAL", "MANUAL_VISUAL", "API", "UNSUPPORTED")),
-)
 LOCATOR_FIELDS = (("ROLE", ("role", "name")), ("TEXT", ("text",)), ("TESTID", ("testId",)), ("CSS", ("selector",)), ("XPATH", ("xpath",)))
 NEED_TARGET = ("CLICK", "INPUT", "SELECT", "ASSERT")
 NEED_VALUE = ("INPUT", "SELECT")
 NEED_EXPECTED = ("URL_EQUALS", "URL_CONTAINS", "TEXT_EQUALS", "TEXT_CONTAINS", "VALUE_EQUALS")
 NEED_ASSERTION_TARGET = ("ELEMENT_VISIBLE", "ELEMENT_NOT_PRESENT", "TEXT_CONTAINS")
-TOP_KEYS = ("schemaVersion", "generatedAt", "sourceRequirementRef", "summary", "cases")
-SUMMARY_KEYS = ("app", "page", "totalCases", "testScope")
-CASE_KEYS = ("caseId", "title", "caseType", "designMethod", "priority", "risk", "automationCandidate", "precondition", "testData", "steps", "expectedOutcome", "assertions")
-STEP_KEYS = ("order", "action", "target", "url", "value", "expectedResult", "timeoutMs")
-LOCATOR_KEYS = ("strategy", "role", "name", "text", "label", "testId", "selector", "xpath", "exact")
-ASSERTION_KEYS = ("kind", "target", "expected", "negate")
 INPUT_ROLES = ("textbox", "searchbox", "combobox", "spinbutton")
 WRAPPED = '{"schemaVersion":"1.0.0","summary":{"app":"validation","page":"validation","totalCases":1},"cases":['
 
-DOCUMENT = "schemaVersion string, summary string, cases array<string>"
-SUMMARY = "app string, page string, totalCases int, testScope string"
-CASE = "caseId string, title string, caseType string, designMethod string, priority string, risk string, automationCandidate string, testData map<string,variant>, steps array<string>, expectedOutcome string, assertions array<string>"
-STEP = "`order` int, action string, target string, url string, value string, expectedResult string, timeoutMs int"
-LOCATOR = "strategy string, role string, name string, text string, label string, testId string, selector string, xpath string, exact boolean"
-ASSERTION = "kind string, target string, expected string, negate boolean"
-VIOLATIONS = "array<struct<path: string, code: string, message: string>>"
+# The schema of version 1.0.0.
+V1 = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["schemaVersion", "summary", "cases"],
+    "properties": {
+        "schemaVersion": {"const": "1.0.0"},
+        "generatedAt": {"type": "string", "format": "date-time"},
+        "sourceRequirementRef": {"type": "string"},
+        "summary": {
+            "type": "object",
+            "additionalProperties": False,
+            "required": ["app", "page", "totalCases"],
+            "properties": {
+                "app": {"type": "string", "minLength": 1},
+                "page": {"type": "string", "minLength": 1},
+                "totalCases": {"type": "integer", "minimum": 0},
+                "testScope": {"type": "string"},
+            },
+        },
+        "cases": {"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/TestCase"}},
+    },
+    "$defs": {
+        "TestCase": {
+            "type": "object",
+            "additionalProperties": False,
+            "required": ["caseId", "title", "automationCandidate", "steps", "expectedOutcome"],
+            "properties": {
+                "caseId": {"type": "string", "pattern": "^TC_[A-Za-z0-9_]+$"},
+                "title": {"type": "string", "minLength": 4, "maxLength": 200},
+                "caseType": {"enum": ["FUNCTIONAL", "FLOW", "EXCEPTION", "BOUNDARY", "UI", "COMPATIBILITY"]},
+                "designMethod": {"enum": ["EQUIVALENCE", "BOUNDARY", "SCENARIO", "CAUSE_EFFECT", "ERROR_GUESSING", "ORTHOGONAL"]},
+                "priority": {"enum": ["P0", "P1", "P2", "P3"]},
+                "risk": {"enum": ["HIGH", "MEDIUM", "LOW"]},
+                "automationCandidate": {"enum": ["WEB_FUNCTIONAL", "MANUAL_VISUAL", "API", "UNSUPPORTED"]},
+                "precondition": {"type": "array", "items": {"type": "string"}},
+                "testData": {"type": "object", "additionalProperties": {"anyOf": [{"type": "string"}, {"type": "number"}, {"type": "boolean"}, {"type": "array", "items": {"type": "string"}}]}},
+                "steps": {"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/TestStep"}},
+                "expectedOutcome": {"type": "string", "minLength": 1},
+                "assertions": {"type": "array", "items": {"$ref": "#/$defs/Assertion"}},
+            },
+        },
+        "TestStep": {
+            "type": "object",
+            "additionalProperties": False,
+            "required": ["order", "action"],
+            "properties": {
+                "order": {"type": "integer", "minimum": 1},
+                "action": {"type": "string", "enum": list(ACTIONS)},
+                "target": {"$ref": "#/$defs/TargetLocator"},
+                "url": {"type": "string"},
+                "value": {"type": "string"},
+                "expectedResult": {"type": "string"},
+                "timeoutMs": {"type": "integer", "minimum": 100, "maximum": 60000, "default": 5000},
+            },
+        },
+        "TargetLocator": {
+            "type": "object",
+            "additionalProperties": False,
+            "required": ["strategy"],
+            "properties": {
+                "strategy": {"type": "string", "enum": list(STRATEGIES)},
+                "role": {"type": "string"},
+                "name": {"type": "string"},
+                "text": {"type": "string"},
+                "label": {"type": "string"},
+                "testId": {"type": "string"},
+                "selector": {"type": "string"},
+                "xpath": {"type": "string"},
+                "exact": {"type": "boolean", "default": False},
+            },
+        },
+        "Assertion": {
+            "type": "object",
+            "additionalProperties": False,
+            "required": ["kind"],
+            "properties": {
+                "kind": {"type": "string", "enum": list(KINDS)},
+                "target": {"$ref": "#/$defs/TargetLocator"},
+                "expected": {"type": "string"},
+                "negate": {"type": "boolean", "default": False},
+            },
+        },
+    },
+}
+#: The schema of each version that a document may name.
+VERSIONS: Mapping[str, Schema] = dict.fromkeys(SCHEMAS, V1)
+
+WHOLE = "schemaVersion string, summary string, cases array<string>"
+LOCATOR = "struct<strategy: string, role: string, name: string, text: string, label: string, testId: string, selector: string, xpath: string>"
+STEP = f"struct<`order`: int, action: string, target: {LOCATOR}, url: string, value: string>"
+ASSERTION = f"struct<kind: string, target: {LOCATOR}, expected: string>"
+CASE = f"struct<caseId: string, title: string, caseType: string, automationCandidate: string, steps: array<{STEP}>, expectedOutcome: string, assertions: array<{ASSERTION}>>"
+DOCUMENT = f"struct<schemaVersion: string, summary: struct<totalCases: int>, cases: array<{CASE}>>"
 
 Rule = tuple[Column, Column, str, str]
 
@@ -51,30 +132,12 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
-def _violation(path: Column, code: str, message: Column) -> Column:
-    return F.struct(path.alias("path"), F.lit(code).alias("code"), message.alias("message"))
-
-
 def _rows(*rules: Rule) -> Column:
     """An array of violations from (condition, path, code, message); a condition that is null does not hold."""
     made = [F.when(cond, _violation(path, code, F.lit(message))) for cond, path, code, message in rules]
     return F.array_compact(F.array(*made))
 
 
-def _unknown(raw: Column, known: tuple[str, ...], path: Column) -> Column:
-    """A violation for each key of an object that is not known."""
-    keys = F.coalesce(F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, known))), F.array().cast("array<string>"))
-    return F.transform(keys, lambda k: _violation(path, "SCHEMA_additionalProperties", F.concat(k, F.lit(" is not known"))))
-
-
-def _required(obj: Column, names: tuple[str, ...], path: Column) -> list[Rule]:
-    return [(obj[n].isNull(), path, "SCHEMA_required", f"{n} is required") for n in names]
-
-
-def _enum(value: Column, known: tuple[str, ...], path: Column) -> Rule:
-    return (value.isNotNull() & ~value.isin(*known), path, "SCHEMA_enum", f"one of {', '.join(known)}")
-
-
 def _sub(path: Column, name: str) -> Column:
     return F.concat(path, F.lit(name))
 
@@ -84,93 +147,31 @@ def _each(items: Column, f) -> Column:
     return F.coalesce(F.flatten(F.transform(items, f)), F.array().cast(VIOLATIONS))
 
 
-def _locator_schema(raw: Column, t: Column, path: Column) -> Column:
-    rules = _rows(*[(raw.isNotNull() & cond, p, code, m) for cond, p, code, m in [*_required(t, ("strategy",), path), _enum(t["strategy"], STRATEGIES, _sub(path, "/strategy"))]])
-    return F.concat(rules, _unknown(raw, LOCATOR_KEYS, path))
-
-
-def _locator_rules(raw: Column, t: Column, path: Column) -> list[Rule]:
-    out = [(raw.isNotNull() & t["strategy"].isNull(), _sub(path, ".strategy"), "SEM_FIELD_REQUIRED", "target.strategy is required")]
+def _locator_rules(t: Column, path: Column) -> list[Rule]:
+    out = [(t.isNotNull() & t["strategy"].isNull(), _sub(path, ".strategy"), "SEM_FIELD_REQUIRED", "a target has a strategy")]
     for strategy, fields in LOCATOR_FIELDS:
-        out += [((t["strategy"] == strategy) & _blank(t[f]), _sub(path, f".{f}"), "SEM_LOCATOR_FIELD_REQUIRED", f"target.{f} is required for strategy {strategy}") for f in fields]
+        out += [((t["strategy"] == strategy) & _blank(t[f]), _sub(path, f".{f}"), "SEM_LOCATOR_FIELD_REQUIRED", f"strategy {strategy} asks for {f}") for f in fields]
     missing = t["label"].isNull() & t["text"].isNull()
-    return [*out, ((t["strategy"] == "LABEL") & missing, _sub(path, ".label"), "SEM_LOCATOR_FIELD_REQUIRED", "target.label or target.text is required for strategy LABEL")]
+    return [*out, ((t["strategy"] == "LABEL") & missing, _sub(path, ".label"), "SEM_LOCATOR_FIELD_REQUIRED", "strategy LABEL asks for label or text")]
 
 
 def parse(documents: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds ``doc`` (null if the text is no JSON object), ``summary`` and ``cases`` with their steps and assertions."""
-    ok = F.json_object_keys(raw).isNotNull()
-    out = documents.withColumn("doc", F.when(ok, F.from_json(raw, DOCUMENT)))
-    out = out.withColumn("summary", F.from_json("doc.summary", SUMMARY))
-    out = out.withColumn("cases", F.transform("doc.cases", lambda r: F.struct(r.alias("raw"), F.from_json(r, CASE).alias("c"))))
-    step = lambda r: F.struct(r.alias("raw"), F.from_json(r, STEP).alias("s"))
-    check = lambda r: F.struct(r.alias("raw"), F.from_json(r, ASSERTION).alias("a"))
-    out = out.withColumn("cases", F.transform("cases", lambda x: F.struct(x["raw"].alias("raw"), x["c"].alias("c"), F.transform(x["c"]["steps"], step).alias("steps"), F.transform(x["c"]["assertions"], check).alias("checks"))))
-    aimed = lambda kind: lambda x: F.struct(x["raw"].alias("raw"), x[kind].alias(kind), F.from_json(x[kind]["target"], LOCATOR).alias("t"))
-    return out.withColumn("cases", F.transform("cases", lambda x: F.struct(x["raw"].alias("raw"), x["c"].alias("c"), F.transform(x["steps"], aimed("s")).alias("steps"), F.transform(x["checks"], aimed("a")).alias("checks"))))
-
-
-def _schema_rules(raw: Column) -> Column:
-    """What the schema refuses; paths are $ and a JSON pointer."""
-    doc, summary, top = F.col("doc"), F.col("summary"), F.lit("$")
-    given = doc["summary"].isNotNull()
+    """Adds ``json`` (a VARIANT, null if the text is no JSON, or names a key of an object twice) and ``doc``, the same as records.
 
-    def step(path: Column):
-        def of(x: Column, j: Column) -> Column:
-            at, s = F.concat(path, F.lit("/steps/"), j.cast("string")), x["s"]
-            rules = _rows(
-                *_required(s, ("order", "action"), at),
-                (s["order"] < 1, _sub(at, "/order"), "SCHEMA_minimum", "at least 1"),
-                _enum(s["action"], ACTIONS, _sub(at, "/action")),
-                (s["timeoutMs"] < 100, _sub(at, "/timeoutMs"), "SCHEMA_minimum", "at least 100"),
-                (s["timeoutMs"] > 60_000, _sub(at, "/timeoutMs"), "SCHEMA_maximum", "at most 60000"),
-            )
-            return F.concat(rules, _unknown(x["raw"], STEP_KEYS, at), _locator_schema(s["target"], x["t"], _sub(at, "/target")))
-
-        return of
-
-    def check(path: Column):
-        def of(x: Column, j: Column) -> Column:
-            at, a = F.concat(path, F.lit("/assertions/"), j.cast("string")), x["a"]
-            rules = _rows(*_required(a, ("kind",), at), _enum(a["kind"], KINDS, _sub(at, "/kind")))
-            return F.concat(rules, _unknown(x["raw"], ASSERTION_KEYS, at), _locator_schema(a["target"], x["t"], _sub(at, "/target")))
-
-        return of
-
-    def case(x: Column, i: Column) -> Column:
-        at, c = F.concat(F.lit("$/cases/"), i.cast("string")), x["c"]
-        simple = r"^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN|ARRAY<(STRING|VOID)>)$"
-        data = F.coalesce(F.map_keys(F.map_filter(c["testData"], lambda _, v: ~F.schema_of_variant(v).rlike(simple))), F.array().cast("array<string>"))
-        rules = _rows(
-            *_required(c, ("caseId", "title", "automationCandidate", "steps", "expectedOutcome"), at),
-            (~c["caseId"].rlike(r"^TC_[A-Za-z0-9_]+$"), _sub(at, "/caseId"), "SCHEMA_pattern", "TC_ and letters, digits and underscores"),
-            (F.char_length(c["title"]) < 4, _sub(at, "/title"), "SCHEMA_minLength", "at least 4 characters"),
-            (F.char_length(c["title"]) > 200, _sub(at, "/title"), "SCHEMA_maxLength", "at most 200 characters"),
-            *[_enum(c[name], known, _sub(at, f"/{name}")) for name, known in CASE_ENUMS],
-            (F.size(c["steps"]) == 0, _sub(at, "/steps"), "SCHEMA_minItems", "at least one step"),
-            (c["expectedOutcome"] == "", _sub(at, "/expectedOutcome"), "SCHEMA_minLength", "at least 1 character"),
-        )
-        typed = F.transform(data, lambda k: _violation(F.concat(at, F.lit("/testData/"), k), "SCHEMA_anyOf", F.lit("a string, number, boolean or array of strings")))
-        return F.concat(rules, typed, _unknown(x["raw"], CASE_KEYS, at), _each(x["steps"], step(at)), _each(x["checks"], check(at)))
-
-    rules = _rows(
-        *_required(doc, ("schemaVersion", "summary", "cases"), top),
-        (doc["schemaVersion"] != VERSION, F.lit("$/schemaVersion"), "SCHEMA_const", f"must be {VERSION}"),
-        *[(given & cond, path, code, message) for cond, path, code, message in _required(summary, ("app", "page", "totalCases"), F.lit("$/summary"))],
-        *[(summary[n] == "", F.lit(f"$/summary/{n}"), "SCHEMA_minLength", "at least 1 character") for n in ("app", "page")],
-        (summary["totalCases"] < 0, F.lit("$/summary/totalCases"), "SCHEMA_minimum", "at least 0"),
-        (F.size(doc["cases"]) == 0, F.lit("$/cases"), "SCHEMA_minItems", "at least one case"),
-    )
-    return F.concat(rules, _unknown(raw, TOP_KEYS, top), _unknown(doc["summary"], SUMMARY_KEYS, F.lit("$/summary")), _each(F.col("cases"), case))
+    The generator keeps later filters and uses from repeating the parse.
+    """
+    json = documents.select("*", F.inline(F.array(F.struct(F.try_parse_json(F.col(raw)).alias("json")))))
+    return json.select("*", F.inline(F.array(F.struct(F.try_variant_get("json", "$", DOCUMENT).alias("doc")))))
 
 
 def _meaning_rules() -> Column:
     """What does not make sense; paths are dotted, arrays in brackets."""
-    doc, summary = F.col("doc"), F.col("summary")
+    doc = F.col("doc")
+    summary = doc["summary"]
 
     def step(path: Column):
-        def of(x: Column, j: Column) -> Column:
-            at, s = F.concat(path, F.lit(".steps["), j.cast("string"), F.lit("]")), x["s"]
+        def of(s: Column, j: Column) -> Column:
+            at = F.concat(path, F.lit(".steps["), j.cast("string"), F.lit("]"))
             return _rows(
                 (s["order"].isNull(), _sub(at, ".order"), "SEM_FIELD_REQUIRED", "order is required"),
                 (s["order"] != j + 1, _sub(at, ".order"), "SEM_ORDER_SEQUENTIAL", "orders are 1, 2, 3 and so on"),
@@ -178,15 +179,15 @@ def _meaning_rules() -> Column:
                 ((s["action"] == "NAVIGATE") & _blank(s["url"]), _sub(at, ".url"), "SEM_URL_REQUIRED_NAVIGATE", "url is required for action NAVIGATE"),
                 ((s["action"] == "NAVIGATE") & s["target"].isNotNull(), _sub(at, ".target"), "SEM_TARGET_FORBIDDEN_NAVIGATE", "NAVIGATE has no target"),
                 (s["action"].isin(*NEED_TARGET) & s["target"].isNull(), _sub(at, ".target"), "SEM_TARGET_REQUIRED", "the action needs a target"),
-                *_locator_rules(s["target"], x["t"], _sub(at, ".target")),
+                *_locator_rules(s["target"], _sub(at, ".target")),
                 (s["action"].isin(*NEED_VALUE) & _blank(s["value"]), _sub(at, ".value"), "SEM_VALUE_REQUIRED", "the action needs a value"),
             )
 
         return of
 
     def check(path: Column):
-        def of(x: Column, j: Column) -> Column:
-            at, a = F.concat(path, F.lit(".assertions["), j.cast("string"), F.lit("]")), x["a"]
+        def of(a: Column, j: Column) -> Column:
+            at = F.concat(path, F.lit(".assertions["), j.cast("string"), F.lit("]"))
             return _rows(
                 (a["kind"].isNull(), _sub(at, ".kind"), "SEM_FIELD_REQUIRED", "kind is required"),
                 (a["kind"].isin(*NEED_EXPECTED) & _blank(a["expected"]), _sub(at, ".expected"), "SEM_EXPECTED_REQUIRED", "the kind needs an expected value"),
@@ -195,14 +196,14 @@ def _meaning_rules() -> Column:
 
         return of
 
-    def case(x: Column, i: Column) -> Column:
-        at, c = F.concat(F.lit("$.cases["), i.cast("string"), F.lit("]")), x["c"]
+    def case(c: Column, i: Column) -> Column:
+        at = F.concat(F.lit("$.cases["), i.cast("string"), F.lit("]"))
         rules = _rows(
             (_blank(c["title"]), _sub(at, ".title"), "SEM_FIELD_REQUIRED", "title is required"),
             (c["automationCandidate"].isNull(), _sub(at, ".automationCandidate"), "SEM_FIELD_REQUIRED", "automationCandidate is required"),
             (c["steps"].isNull() | (F.size(c["steps"]) == 0), _sub(at, ".steps"), "SEM_STEPS_EMPTY", "at least one step"),
         )
-        return F.concat(rules, _each(x["steps"], step(at)), _each(x["checks"], check(at)))
+        return F.concat(rules, _each(c["steps"], step(at)), _each(c["assertions"], check(at)))
 
     rules = _rows(
         (~doc["schemaVersion"].eqNullSafe(F.lit(VERSION)), F.lit("$.schemaVersion"), "SEM_SCHEMA_VERSION", f"schemaVersion must be {VERSION}"),
@@ -210,26 +211,35 @@ def _meaning_rules() -> Column:
         (doc["summary"].isNotNull() & summary["totalCases"].isNull(), F.lit("$.summary.totalCases"), "SEM_FIELD_REQUIRED", "summary.totalCases is required"),
         (doc["cases"].isNull() | (F.size(doc["cases"]) == 0), F.lit("$.cases"), "SEM_CASES_EMPTY", "at least one case"),
     )
-    return F.concat(rules, _each(F.col("cases"), case))
+    return F.concat(rules, _each(doc["cases"], case))
 
 
-def checked(documents: DataFrame, raw: str = "raw") -> DataFrame:
-    """``documents`` parsed, with ``found``, the array of a document's violations: of the schema first, then of the meaning.
+def checked(documents: DataFrame, raw: str = "raw", versions: Mapping[str, Schema] = VERSIONS) -> DataFrame:
+    """``documents`` parsed, with ``found``, the array of a document's violations: of its version's schema first, then of the meaning.
 
-    Of an unknown version nothing else is checked. A value that is not in its list can't be read, so the meaning is not
-    checked then either.
+    A document without a version counts as 1.0.0. Of an unknown version nothing else is checked. A document with a value that its
+    records can't hold is not checked for its meaning. Other columns stay; a null text is no JSON.
     """
-    top = F.lit("$")
-    parsed = parse(documents, raw).withColumn("refused", _schema_rules(F.col(raw))).withColumn("odd", _meaning_rules())
-    unread = F.array(_violation(top, "SEMANTIC_PARSE", F.lit("a value is not in its list")))
-    version = F.coalesce(F.col("doc.schemaVersion"), F.lit(VERSION))
+    top, json = F.lit("$"), F.col("json")
+    said = F.try_variant_get(json, "$.schemaVersion", "variant")
+    version = F.when(said.isNull() | F.is_variant_null(said), VERSION).otherwise(F.try_variant_get(said, "$", "string"))
+    # each different schema is compiled once, whatever the number of names it goes by
+    schemas: list[tuple[Schema, list[str]]] = []
+    for name, schema in versions.items():
+        next((names for s, names in schemas if s is schema), schemas.append((schema, [])) or schemas[-1][1]).append(name)
+    schemas = [(s, names) for s, names in schemas if names]
+    refused = "CASE " + " ".join(f"WHEN version IN ({', '.join(map(literal, names))}) THEN {compile_schema(schema, 'json', reads=True)}" for schema, names in schemas) + " END"
+    parsed = parse(documents, raw).select("*", F.inline(F.array(F.struct(version.alias("version")))))
+    parsed = parsed.select("*", F.inline(F.array(F.struct(F.expr(refused).alias("all")))))
+    is_unread = lambda x: x["code"] == UNREADABLE
+    refused = F.filter("all", lambda x: ~is_unread(x))
     found = (
-        F.when(F.col("doc").isNull(), F.array(_violation(top, "PARSE_ERROR", F.lit("no JSON object"))))
-        .when(~version.isin(*SCHEMAS), F.array(_violation(F.lit("$.schemaVersion"), "UNKNOWN_VERSION", F.lit("unknown schema version"))))
-        .when(F.exists("refused", lambda x: x["code"] == "SCHEMA_enum"), F.concat("refused", unread))
-        .otherwise(F.concat("refused", "odd"))
+        F.when(json.isNull(), F.array(_violation(top, "PARSE_ERROR", F.lit("no JSON"))))
+        .when(F.col("all").isNull(), F.array(_violation(F.lit("$.schemaVersion"), "UNKNOWN_VERSION", F.lit("unknown schema version"))))
+        .when(F.exists("all", is_unread), F.concat(refused, F.array(_violation(top, "SEMANTIC_PARSE", F.lit("a value is not of its record's type")))))
+        .otherwise(F.concat(refused, _meaning_rules()))
     )
-    return parsed.withColumn("found", found).drop("refused", "odd")
+    return parsed.select("*", F.inline(F.array(F.struct(found.alias("found"))))).drop("json", "version", "all")
 
 
 def violations(documents: DataFrame, key: str = "doc_key", raw: str = "raw") -> DataFrame:
@@ -244,7 +254,7 @@ def wrap_case(case_raw: Column) -> Column:
 
 def auto_wrap(raw: Column) -> Column:
     """A document without version and summary that has one case with a caseId is wrapped again; any other stays."""
-    doc = F.from_json(raw, DOCUMENT)
+    doc = F.from_json(raw, WHOLE)
     alone = doc["schemaVersion"].isNull() & doc["summary"].isNull() & (F.size(doc["cases"]) == 1)
     named = F.get_json_object(doc["cases"][0], "$.caseId").isNotNull()
     return F.when(alone & named, wrap_case(doc["cases"][0])).otherwise(raw)
@@ -268,7 +278,10 @@ def adopt(documents: DataFrame, key: str = "doc_key", raw: str = "raw") -> DataF
     Ids follow from the content, so a retried write adopts nothing twice.
     """
     c = F.col("x.c")
-    made = checked(documents, raw).where(F.size("found") == 0).select(key, F.posexplode("cases").alias("case_no", "x"))
+    valid = checked(documents, raw).where(F.size("found") == 0)
+    # the records, and each case's own text
+    both = F.arrays_zip(F.col("doc.cases").alias("c"), F.from_json(raw, WHOLE)["cases"].alias("raw"))
+    made = valid.select(key, F.posexplode(both).alias("case_no", "x"))
     case_id = F.concat_ws("_", F.coalesce(c["caseId"], F.lit("TC_AUTO")), F.substring(F.sha2("x.raw", 256), 1, 12))
     return made.select(key, "case_no", case_id.alias("case_id"), c["caseId"].alias("original_case_id"), F.coalesce(c["title"], F.lit("")).alias("title"), c["caseType"].alias("case_type"), F.coalesce(c["automationCandidate"], F.lit("UNSUPPORTED")).alias("automation_candidate"), F.lit("ADOPTED").alias("status"), F.col("x.raw").alias("raw_dsl"))
 
