@@ -918,6 +918,31 @@ def dsl_adoption_summary(spark, d):
     return cases.adoption_summary(_dsl(spark, d))
 
 
+TYPED = [  # field, a value of a wrong type, path of the violation, whether records can't hold it
+    ("generatedAt", "5", "$/generatedAt", False), ("summary", '{"app":"a","page":"p","totalCases":"one"}', "$/summary/totalCases", True), ("summary", '{"app":"a","page":"p","totalCases":1.5}', "$/summary/totalCases", False),
+    ("summary", '{"app":"a","page":7,"totalCases":1}', "$/summary/page", False), ("cases", '{"a":1}', "$/cases", True), ("sourceRequirementRef", "[1]", "$/sourceRequirementRef", True), ("cases", "[5]", "$/cases/0", True),
+]
+
+
+@query("WITH t AS (SELECT p_partkey AS k, p_partkey % 9 AS i FROM part) SELECT k AS doc_key, CASE i " + " ".join(f"WHEN {i} THEN '{path}'" for i, (_, _, path, _) in enumerate(TYPED)) + f""" END AS path, 'SCHEMA_type' AS code FROM t WHERE i < {len(TYPED)}
+UNION ALL SELECT k, '$', 'SEMANTIC_PARSE' FROM t WHERE i IN ({', '.join(str(i) for i, x in enumerate(TYPED) if x[3])})
+UNION ALL SELECT k, '$', 'SCHEMA_required' FROM t WHERE i = 7 UNION ALL SELECT k, '$.schemaVersion', 'SEM_SCHEMA_VERSION' FROM t WHERE i = 7""")
+def dsl_types(spark, d):
+    """A document per part, seven of nine with a value of a wrong type, one of a second version that asks for a date."""
+    k = F.col("p_partkey")
+    step = F.concat(F.lit('{"order":1,"action":"NAVIGATE","url":"https://x/'), k.cast("string"), F.lit('"}'))
+    case = F.concat(F.lit('[{"caseId":"TC_'), k.cast("string"), F.lit('","title":"Case '), "p_name", F.lit('","automationCandidate":"API","steps":['), step, F.lit('],"expectedOutcome":"shown"}]'))
+    fields = {"summary": F.lit('{"app":"a","page":"p","totalCases":1}'), "cases": case, "generatedAt": F.lit('"2024-01-01T00:00:00Z"'), "sourceRequirementRef": F.lit('"r"')}
+    for i, (name, value, _, _) in enumerate(TYPED):
+        fields[name] = F.when(k % 9 == i, value).otherwise(fields[name])
+    dated = F.when(k % 9 != 7, F.concat(F.lit(',"generatedAt":'), fields.pop("generatedAt"))).otherwise("")
+    parts = [F.concat(F.lit(f',"{n}":'), x) for n, x in fields.items()]
+    raw = F.concat(F.lit('{"schemaVersion":"'), F.when(k % 9 == 7, "2.0.0").otherwise("1.0.0"), F.lit('"'), *parts, dated, F.lit("}"))
+    second = {**cases.V1, "required": [*cases.V1["required"], "generatedAt"], "properties": {**cases.V1["properties"], "schemaVersion": {"const": "2.0.0"}}}
+    docs = v.table(spark, d, "part").select(k.alias("doc_key"), raw.alias("raw"))
+    return cases.checked(docs, versions={**cases.VERSIONS, "2.0.0": second}).select("doc_key", F.inline("found")).select("doc_key", "path", "code")
+
+
 ONE_CASE = """'{"caseId": "TC_' || p_partkey || '", "title": "' || CASE WHEN p_partkey % 3 = 0 THEN 'abc' ELSE 'A case' END || '", "automationCandidate": "API", "expectedOutcome": "ok", "steps": [{"order": 1, "action": "WAIT"}]' || CASE WHEN p_partkey % 4 = 0 THEN ', "adoptionStatus": "ADOPTED"' ELSE '' END || '}'"""
 
 

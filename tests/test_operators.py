@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import generated as g
 from tessella.functions import splitters as sp
 from tessella.functions import text as t
+from tessella.functions.json_schema import compile_schema
 from tessella.operators import cases, evaluation as ev, rerank, retrieval, runs, store
 from tessella.sources import readers
 from tessella.streaming import ingest
@@ -291,6 +292,71 @@ BROKEN = [
     (broken(("cases", 0, "assertions", 1, "expected"), ...), {(f"{AT}.assertions[1].expected", "SEM_EXPECTED_REQUIRED")}),
 ]
 
+UNREAD = ("$", "SEMANTIC_PARSE")
+TYPES = [
+    # a scalar of another type is read all the same, an object or array where a scalar belongs is not
+    *[(broken(path, value), {(at, "SCHEMA_type"), *more}) for path, at, values in (
+        (("generatedAt",), "$/generatedAt", ((5, ()), ([], (UNREAD,)))),
+        (("sourceRequirementRef",), "$/sourceRequirementRef", ((True, ()), ({}, (UNREAD,)))),
+        (("summary", "app"), "$/summary/app", ((5, ()), (None, ()), ({"a": 1}, (UNREAD,)))),
+        (("summary", "page"), "$/summary/page", ((1.5, ()),)),
+        (("summary", "testScope"), "$/summary/testScope", ((0, ()),)),
+        (("summary", "totalCases"), "$/summary/totalCases", (("one", (UNREAD,)), (1.5, ()), ("1", ()), (True, (UNREAD,)), (None, (("$.summary.totalCases", "SEM_FIELD_REQUIRED"),)))),
+        ((*CASE, "caseId"), f"{J}/caseId", ((7, ()),)),
+        ((*CASE, "title"), f"{J}/title", ((12345, ()), ([], (UNREAD,)))),
+        ((*CASE, "precondition"), f"{J}/precondition", (("x", (UNREAD,)),)),
+        ((*CASE, "precondition"), f"{J}/precondition/1", ((["a", 1], ()),)),
+        ((*CASE, "testData"), f"{J}/testData", (([], (UNREAD,)),)),
+        ((*CASE, "expectedOutcome"), f"{J}/expectedOutcome", ((False, ()),)),
+        ((*STEP, "order"), f"{J}/steps/1/order", (("2", ()), ("x", (UNREAD,)))),
+        ((*STEP, "target"), f"{J}/steps/1/target", (("x", (UNREAD,)),)),
+        ((*STEP, "target", "exact"), f"{J}/steps/1/target/exact", (("true", ()), ("yes", (UNREAD,)), (1, ()))),
+        *(((*STEP, "target", n), f"{J}/steps/1/target/{n}", ((5, ()),)) for n in ("role", "name", "text", "label", "testId", "selector", "xpath")),
+        *(((*STEP, n), f"{J}/steps/1/{n}", ((5, ()),)) for n in ("url", "value", "expectedResult")),
+        ((*STEP, "timeoutMs"), f"{J}/steps/1/timeoutMs", (("x", (UNREAD,)), (100.5, ()))),
+        ((*CHECK, "expected"), f"{J}/assertions/0/expected", ((5, ()),)),
+        ((*CHECK, "negate"), f"{J}/assertions/0/negate", (("no", (UNREAD,)),)),
+    ) for value, more in values],
+    (broken(("summary", "totalCases"), 1.0), set()),
+    (broken((*CASE, "title"), None), {(f"{J}/title", "SCHEMA_type"), (f"{AT}.title", "SEM_FIELD_REQUIRED")}),
+    (broken((*STEP, "action"), 5), {(f"{J}/steps/1/action", "SCHEMA_type"), (f"{J}/steps/1/action", "SCHEMA_enum"), UNREAD}),
+    (broken((*CASE, "testData"), {"a": "x", "b": 1, "c": True, "d": ["y"], "e": [1], "f/g": None}), {(f"{J}/testData/e", "SCHEMA_anyOf"), (f"{J}/testData/f/g", "SCHEMA_anyOf")}),
+    (broken(("cases",), {}), {("$/cases", "SCHEMA_type"), UNREAD}),
+    (broken(("cases", 0), "x"), {(J, "SCHEMA_type"), UNREAD}),
+    (broken(("summary",), []), {("$/summary", "SCHEMA_type"), UNREAD}),
+    ("[]", {("$", "SCHEMA_type"), UNREAD}),
+    ("5", {("$", "SCHEMA_type"), UNREAD}),
+    ("", {("$", "PARSE_ERROR")}),
+    (None, {("$", "PARSE_ERROR")}),
+]
+
+
+def test_types_of_every_field(spark):
+    docs = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(TYPES)], "doc_key long, raw string")
+    found = {i: set() for i in range(len(TYPES))}
+    for r in cases.violations(docs).collect():
+        found[r.doc_key].add((r.path, r.code))
+    for i, (raw, want) in enumerate(TYPES):
+        assert found[i] == want, raw
+    assert {r.doc_key for r in cases.adopt(docs).collect()} == {i for i, (_, want) in enumerate(TYPES) if not want}
+
+
+def test_schemas_of_several_versions(spark):
+    two = {"type": "object", "required": ["schemaVersion", "tags"], "properties": {"tags": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"$ref": "#/$defs/Tag"}}, "n": {"type": ["integer", "null"], "maximum": 3}, "m": {"enum": [1, True, None, "x"]}, "o": {"const": 2.5}},
+           "additionalProperties": {"type": "string"}, "$defs": {"Tag": {"anyOf": [{"type": "string", "maxLength": 2}, {"type": "object", "properties": {"id": {"type": "integer"}}, "required": ["id"]}]}}}
+    doc = lambda **more: json.dumps({"schemaVersion": "2.0", "tags": ["a"], **more})
+    rows = [(doc(), set()), (doc(n=None, m=None, o=2.5, schemaVersion="2.0"), set()), (doc(n=4), {("$/n", "SCHEMA_maximum")}), (doc(n="x"), {("$/n", "SCHEMA_type")}), (doc(m=2), {("$/m", "SCHEMA_enum")}), (doc(m=True), set()), (doc(o=2), {("$/o", "SCHEMA_const")}),
+            (doc(tags=[]), {("$/tags", "SCHEMA_minItems")}), (doc(tags=["a", "b", "c"]), {("$/tags", "SCHEMA_maxItems")}), (doc(tags=["abc", {"id": 1}]), {("$/tags/0", "SCHEMA_anyOf")}), (doc(tags=[{"id": "x"}]), {("$/tags/0", "SCHEMA_anyOf")}), (doc(more=1), {("$/more", "SCHEMA_type")}), (json.dumps(VALID), set())]
+    docs = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "doc_key long, raw string")
+    found = {i: set() for i in range(len(rows))}
+    for r in cases.checked(docs, versions={**cases.VERSIONS, "2.0": two}).select("doc_key", F.inline("found")).collect():
+        if not r.code.startswith("SEM"):
+            found[r.doc_key].add((r.path, r.code))
+    assert [found[i] for i in range(len(rows))] == [want for _, want in rows]
+    for bad in ({"oneOf": []}, {"$ref": "#/$defs/a", "$defs": {"a": {"properties": {"x": {"$ref": "#/$defs/a"}}}}}, {"$ref": "#/$defs/a", "$defs": {"a": {"$ref": "#/$defs/a"}}}):
+        with pytest.raises(ValueError):
+            compile_schema(bad, "v")
+
 
 def test_violations(spark):
     docs = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(BROKEN)], "doc_key long, raw string")
