@@ -55,13 +55,14 @@ def clean_query(text: Column) -> Column:
     return F.nullif(strip(F.regexp_replace(strip(text), r"^\d+\.\s*", "")), F.lit(""))
 
 
-# Fixed value: what is taken from the beginning of a line as its number or mark.
-NUMBERING = r"^[0-9a-zA-Z\[\]()。,、]+[.、]?"
+#: The number or letter of a line: in brackets, or with a mark after it. A word, or a number with decimals, is none. The group is
+#: the first character after a number with a point.
+NUMBERING = r"^(?:[\[(（][0-9a-zA-Z]{1,3}[\])）][.、]?\s*|[0-9]{1,3}[、。)）]\s*|[0-9]{1,3}[.,]\s*([^0-9\s])|[a-zA-Z][.、)）]\s+)"
 
 
 def query_variants(query: Column, response: Column, most: int = 5) -> Column:
     """The query, then a response's lines without their numbers that are longer than three characters; different, five at most."""
-    lines = F.transform(F.split(F.coalesce(response, F.lit("")), "\n"), lambda x: F.regexp_replace(strip(x), NUMBERING, ""))
+    lines = F.transform(F.split(F.coalesce(response, F.lit("")), "\n"), lambda x: F.regexp_replace(strip(x), NUMBERING, "$1"))
     return F.slice(F.array_distinct(F.concat(F.array(query), F.filter(lines, lambda x: F.char_length(x) > 3))), 1, most)
 
 

@@ -13,10 +13,13 @@ PIECE = r"(?<=\n\n)|(?<=\n)|(?<=。)"
 PARSER_SENTENCE = r"(?<=[。！？.?!])\s*"
 CJK = r"[㐀-䶿一-鿿豈-﫿]"
 
+#: What ``strip`` takes off.
+BLANKS = " \t\r\n"
+
 
 def strip(text: Column) -> Column:
     """Without blanks, tabs and line ends at both ends."""
-    return F.btrim(text, F.lit(" \t\r\n"))
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def _pieces(text: Column, pattern: str) -> Column:

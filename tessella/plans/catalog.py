@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from ..functions import splitters as sp
 from ..functions import text as t
 from ..operators import cases, evaluation, rerank, retrieval, runs, store
 from ..sources import readers
-from ..streaming import ingest
+from ..streaming import ingest, records, retry
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -724,7 +725,7 @@ ANSWER = "CASE s_suppkey % 3 WHEN 0 THEN '1. 查看' || s_name || chr(10) || '2
 
 
 @query(f"""WITH s AS (SELECT s_suppkey, s_name, {ANSWER} AS said FROM supplier),
-l AS (SELECT *, list_concat([s_name], list_filter(list_transform(string_split(coalesce(said, ''), chr(10)), lambda x: regexp_replace(trim(x), '{g.NUMBERING}', '')), lambda x: length(x) > 3)) AS l FROM s)
+l AS (SELECT *, list_concat([s_name], list_filter(list_transform(string_split(coalesce(said, ''), chr(10)), lambda x: regexp_replace(trim(x), '{g.NUMBERING}', '\\1')), lambda x: length(x) > 3)) AS l FROM s)
 SELECT s_suppkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:5], '|') AS variants FROM l""")
 def query_variants(spark, d):
     said = v.table(spark, d, "supplier").select("s_suppkey", "s_name", F.expr(ANSWER.replace("chr(10)", "char(10)")).alias("said"))
@@ -1012,26 +1013,78 @@ def stream_dedup_ingest(spark, d):
     return spark.read.parquet(f"{work}/out").select("task_id")
 
 
-RETRY_SQL = """WITH m AS (SELECT event_id AS task_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
-s AS (SELECT task_id, CASE WHEN event_type <> 'error' THEN 0 WHEN k % 6 <= 3 THEN k % 6 END AS ok_at FROM m)"""
+def _in_order(table: DataFrame, by: str, path: str, parts: int) -> None:
+    """Writes a table as ``parts`` batches of files, one after the other by ``by``, as a source would have delivered them."""
+    cuts = [x for x in table.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)])).first()[0] or []]
+    part = F.lit(0)
+    for c in cuts:
+        part = part + F.coalesce((F.col(by) > F.lit(c)).cast("int"), F.lit(0))
+    for i in range(parts):
+        table.where(part == i).write.mode("append").parquet(path)
+
+
+RETRY_SQL = """WITH m AS (SELECT event_id AS task_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+s AS (SELECT task_id, ts, CASE WHEN event_type <> 'error' THEN 0 WHEN k % 6 <= 3 THEN k % 6 END AS ok_at FROM m)"""
+
+
+def _answer(message: str, retry_no: int) -> str | None:
+    return None if retry_no >= json.loads(message)["ok_at"] else "no answer"
+
+
+def _tries(spark, d) -> DataFrame:
+    """Every event as a message of a stream; an error event is answered at try k mod 6, if that many are allowed.
+
+    The last row tells the stream that time went on, as a later message would.
+    """
+    work = _work_dir(spark)
+    e = v.table(spark, d, "events")
+    ok_at = F.when(F.col("event_type") == "error", F.get_json_object("props", "$.k").cast("int") % 6).otherwise(0)
+    messages = e.select(F.col("event_id").cast("string").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), F.to_json(F.struct(ok_at.alias("ok_at"))).alias("message"))
+    _in_order(messages, "ts", f"{work}/messages", 3)
+    clock = messages.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    clock.select(F.lit("clock").alias("task_id"), "ts", F.lit('{"ok_at": 0}').alias("message")).write.mode("append").parquet(f"{work}/messages")
+    stream = ingest.read_stream(spark, f"{work}/messages", "task_id string, ts timestamp, message string")
+    first = F.when(F.get_json_object("message", "$.ok_at").cast("int") > 0, "no answer")
+    with retry.keyed_state(spark):
+        ingest.run_available(retry.with_retries(stream, _answer, first), ingest.append_batch(f"{work}/tries"), f"{work}/check")
+    return spark.read.schema(retry.TRIES).parquet(f"{work}/tries").where("task_id <> 'clock'")
+
+
+@query(f"""{RETRY_SQL}, t AS (SELECT *, unnest(range(0, coalesce(ok_at, 3) + 1)) AS r FROM s)
+SELECT task_id, CAST(r AS INTEGER) AS retry, ts + to_milliseconds(500 * r * (r + 1)) AS at, r IS NOT DISTINCT FROM ok_at AS ok, ok_at IS NULL AND r = 3 AS dead FROM t""")
+def stream_retry_tries(spark, d):
+    """Every try of every message, at the time it was due."""
+    return _tries(spark, d).select(F.col("task_id").cast("long").alias("task_id"), "retry", F.col("at").cast("timestamp_ntz").alias("at"), "ok", "dead")
 
 
 @query(f"""{RETRY_SQL} SELECT task_id, CAST(coalesce(ok_at, 3) + 1 AS INTEGER) AS tries, CASE WHEN ok_at IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS status, ok_at IS NULL AS dead FROM s""")
 def stream_retry_dlq(spark, d):
-    """Every attempt of every message as a log; the state is its aggregate. An error succeeds at try k mod 6, if that is allowed."""
-    e = v.table(spark, d, "events").select(F.col("event_id").alias("task_id"), "event_type", (F.get_json_object("props", "$.k").cast("int") % 6).alias("k"))
-    tries = e.withColumn("retry", F.explode(F.sequence(F.lit(0), F.lit(ingest.MAX_RETRIES))))
-    ok = (F.col("event_type") != "error") | (F.col("retry") >= F.col("k"))
-    log = tries.select("task_id", "retry", ok.alias("ok"), F.when(~ok, "no answer").alias("error"))
-    return ingest.terminal_state(log).select("task_id", "tries", "status", "dead")
+    """What became of each message of the stream."""
+    return retry.outcomes(_tries(spark, d)).select(F.col("task_id").cast("long").alias("task_id"), F.col("tries").cast("int").alias("tries"), "status", (F.col("status") == "FAILED").alias("dead"))
 
 
 @query(f"""{RETRY_SQL} SELECT task_id, 0 AS retry_count FROM s WHERE ok_at IS NULL""")
 def dlq_replay(spark, d):
-    state = stream_retry_dlq(spark, d)
-    dead = state.where("dead").select("task_id", F.lit("no answer").alias("error"), F.lit(3).alias("retry_count"))
+    """The dead letters of the stream, sent again."""
+    state = retry.outcomes(_tries(spark, d))
+    dead = state.where("status = 'FAILED'").select("task_id", "error", (F.col("tries") - 1).alias("retry_count"))
     again, _ = ingest.replay(dead, state.select("task_id", "status"))
-    return again.select("task_id", "retry_count")
+    return again.select(F.col("task_id").cast("long").alias("task_id"), "retry_count")
+
+
+@query("""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, '{"turn": ' || turn || ', "size": ' || length(text) || '}' AS record FROM conversations""")
+def stream_records(spark, d):
+    """A record per turn, cut inside its end mark: the last six characters come with the next turn's batch."""
+    work = _work_dir(spark)
+    body = F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit(', "size": '), F.char_length("text").cast("string"), F.lit("},\n__CASE_END__\n"))
+    turns = v.table(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
+    head = turns.select("conv_id", (2 * F.col("turn")).alias("seq"), F.col("turn").alias("batch"), F.expr("left(body, length(body) - 6)").alias("text"))
+    rest = turns.select("conv_id", (2 * F.col("turn") + 1).alias("seq"), (F.col("turn") + 1).alias("batch"), F.expr("right(body, 6)").alias("text"))
+    _in_order(head.union(rest), "batch", f"{work}/pieces", 4)
+    stream = ingest.read_stream(spark, f"{work}/pieces", "conv_id long, seq long, text string", 1)
+    with retry.keyed_state(spark):
+        ingest.run_available(records.new_records(stream), ingest.append_batch(f"{work}/records"), f"{work}/check")
+    return spark.read.schema("conv_id long, place long, record string").parquet(f"{work}/records")
 
 
 @query("SELECT event_id, ts + to_milliseconds(1000 * (event_id % 4 + 1)) AS next_ts FROM events")

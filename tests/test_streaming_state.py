@@ -1,0 +1,131 @@
+"""Streams with state: retries by timers, and records from pieces, against plain versions and over restarts."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.functions import generated as g
+from tessella.streaming import ingest, records, retry
+
+
+def answer(message, retry_no):
+    return None if retry_no >= json.loads(message)["ok_at"] else "busy " * 1_000
+
+
+def written(spark, rows, kind, path):
+    spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+
+
+KIND = "task_id string, ts timestamp, message string"
+
+
+def tries_of(spark, work, retries=3):
+    stream = ingest.read_stream(spark, f"{work}/in", KIND, 1)
+    first = F.when(F.get_json_object("message", "$.ok_at").cast("int") > 0, "busy")
+    with retry.keyed_state(spark):
+        ingest.run_available(retry.with_retries(stream, answer, first, retries), ingest.append_batch(f"{work}/out"), f"{work}/check")
+    return sorted((r.task_id, r.retry, r.at.timestamp(), r.ok, r.dead, len(r.error or "")) for r in spark.read.schema(retry.TRIES).parquet(f"{work}/out").collect())
+
+
+def message_rows(spark):
+    """Three batches of messages a second apart and one much later; some come twice while they wait."""
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    first = [(f"t{i}", at(i / 10), json.dumps({"ok_at": i % 6})) for i in range(24)]
+    second = [(f"u{i}", at(3 + i / 10), json.dumps({"ok_at": i % 5})) for i in range(10)] + [("t5", at(3), json.dumps({"ok_at": 9})), (None, at(3), "{}")]
+    return [first, second, [("late", at(100), json.dumps({"ok_at": 0}))], [("end", at(200), json.dumps({"ok_at": 0}))]]
+
+
+def wanted(batches, retries=3):
+    out, waiting = [], {}
+    for task, ts, message in (m for b in batches for m in b):
+        if task is None:
+            continue
+        start, ok_at = ts.timestamp(), json.loads(message)["ok_at"]
+        out.append((task, 0, start, ok_at == 0, ok_at > 0 and not retries, 4 if ok_at else 0))
+        if ok_at and task not in waiting:
+            waiting[task] = 1
+            for r in range(1, min(ok_at, retries) + 1):
+                dead = r == retries and ok_at > r
+                out.append((task, r, start + r * (r + 1) / 2, ok_at == r, dead, 0 if ok_at == r else 2_000 if dead else 5_000))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("retries", [3, 1, 0])
+def test_tries_come_when_they_are_due(spark, tmp_path, retries):
+    batches = message_rows(spark)
+    for b in batches:
+        written(spark, b, KIND, f"{tmp_path}/in")
+    assert tries_of(spark, tmp_path, retries) == wanted(batches, retries)
+
+
+def test_a_restart_in_the_middle_gives_the_same(spark, tmp_path):
+    batches = message_rows(spark)
+    for b in batches:
+        written(spark, b, KIND, f"{tmp_path}/in")
+        got = tries_of(spark, tmp_path)  # stops, and goes on from the checkpoint
+    assert got == wanted(batches)
+    assert tries_of(spark, tmp_path) == got
+    ends = {r.task_id: (r.tries, r.status) for r in retry.outcomes(spark.read.schema(retry.TRIES).parquet(f"{tmp_path}/out").where("task_id <> 't5'")).collect()}
+    assert ends["t0"] == (1, "COMPLETED") and ends["t3"] == (4, "COMPLETED") and ends["t4"] == (4, "FAILED")
+
+
+def plain_records(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", g.delimited_records(F.col("t")).alias("r")).collect()
+    return [r.r for r in sorted(rows)]
+
+
+def pieces_of(rng, text):
+    cuts = sorted(rng.sample(range(len(text) + 1), min(len(text), rng.randrange(1, 12))))
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+
+
+def texts_with_records(rng, n):
+    parts = ['{"a": 1}', '{"b": "x_"},', " \n", "junk", "_", "__CASE", "{", '{"c": "' + "y" * 30 + '"} , ', "__CASE_END_", ""]
+    return ["".join(rng.choice(parts) + rng.choice(["__CASE_END__", "__CASE_END__\n", ""]) for _ in range(rng.randrange(9))) for _ in range(n)]
+
+
+def test_the_scanner_gives_each_record_once_however_a_text_is_cut(spark):
+    rng = random.Random(3)
+    texts = texts_with_records(rng, 300)
+    for text, want in zip(texts, plain_records(spark, [t.rsplit(g.RECORD_END, 1)[0] + g.RECORD_END if g.RECORD_END in t else "" for t in texts]), strict=True):
+        for cut in (pieces_of(rng, text), list(text), [text]):
+            scanner = records.Scanner()
+            assert [r for piece in cut for r in scanner.feed(piece)] == want, (text, cut)
+
+
+def test_the_scanner_keeps_one_record_at_most():
+    scanner = records.Scanner()
+    longest = 0
+    for i in range(2_000):
+        scanner.feed(f'no record {i} ' if i % 50 else '__CASE_END__{"n": 1}__CASE_END__')
+        longest = max(longest, len(scanner.tail))
+    assert longest < 20
+
+
+def test_records_of_a_stream_over_restarts(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [t + '{"z": 1}__CASE_END__' for t in texts_with_records(rng, 12)]
+    cut = [(i, n, p) for i, t in enumerate(texts) for n, p in enumerate(pieces_of(rng, t))]
+    for batch in range(4):
+        # every piece of the batch, and one that was there before
+        rows = [r for r in cut if min(3, r[1] // 3) == batch] + [r for r in cut if r[1] == 0 and batch]
+        written(spark, rows + [(None, 0, "x"), (99, None, "y")], "conv_id long, seq long, text string", f"{tmp_path}/in")
+        stream = ingest.read_stream(spark, f"{tmp_path}/in", "conv_id long, seq long, text string", 1)
+        with retry.keyed_state(spark):
+            ingest.run_available(records.new_records(stream), ingest.append_batch(f"{tmp_path}/out"), f"{tmp_path}/check")
+    got = {}
+    for r in sorted(spark.read.parquet(f"{tmp_path}/out").collect()):
+        got.setdefault(r.conv_id, []).append(r.record)
+    assert got == {i: want for i, want in enumerate(plain_records(spark, texts)) if want}
+
+
+def test_numbers_of_lines():
+    import re
+
+    strip = lambda s: re.sub(g.NUMBERING, lambda m: m.group(1) or "", s)
+    said = {"reset password steps": "reset password steps", "1. reset": "reset", "2、重置": "重置", "(3) open": "open", "[a] open": "open", "b) open": "open", "e.g. this": "e.g. this", "3.5 inch": "3.5 inch", "10,x": "x", "（4）、开": "开", "2024 report": "2024 report"}
+    assert {s: strip(s) for s in said} == said
