@@ -1013,14 +1013,15 @@ def stream_dedup_ingest(spark, d):
     return spark.read.parquet(f"{work}/out").select("task_id")
 
 
-def _in_order(table: DataFrame, by: str, path: str, parts: int) -> None:
-    """Writes a table as ``parts`` batches of files, one after the other by ``by``, as a source would have delivered them."""
+def _in_order(table: DataFrame, by: str, path: str, parts: int, key: str) -> None:
+    """Writes a table as ``parts`` batches of files, one after the other by ``by``, as a source would have delivered them; what
+    one batch has of a key is in one file."""
     cuts = [x for x in table.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)])).first()[0] or []]
     part = F.lit(0)
     for c in cuts:
         part = part + F.coalesce((F.col(by) > F.lit(c)).cast("int"), F.lit(0))
     for i in range(parts):
-        table.where(part == i).write.mode("append").parquet(path)
+        table.where(part == i).repartition(key).write.mode("append").parquet(path)
 
 
 RETRY_SQL = """WITH m AS (SELECT event_id AS task_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
@@ -1040,7 +1041,7 @@ def _tries(spark, d) -> DataFrame:
     e = v.table(spark, d, "events")
     ok_at = F.when(F.col("event_type") == "error", F.get_json_object("props", "$.k").cast("int") % 6).otherwise(0)
     messages = e.select(F.col("event_id").cast("string").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), F.to_json(F.struct(ok_at.alias("ok_at"))).alias("message"))
-    _in_order(messages, "ts", f"{work}/messages", 3)
+    _in_order(messages, "ts", f"{work}/messages", 3, "task_id")
     clock = messages.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
     clock.select(F.lit("clock").alias("task_id"), "ts", F.lit('{"ok_at": 0}').alias("message")).write.mode("append").parquet(f"{work}/messages")
     stream = ingest.read_stream(spark, f"{work}/messages", "task_id string, ts timestamp, message string")
@@ -1080,11 +1081,11 @@ def stream_records(spark, d):
     turns = v.table(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
     head = turns.select("conv_id", (2 * F.col("turn")).alias("seq"), F.col("turn").alias("batch"), F.expr("left(body, length(body) - 6)").alias("text"))
     rest = turns.select("conv_id", (2 * F.col("turn") + 1).alias("seq"), (F.col("turn") + 1).alias("batch"), F.expr("right(body, 6)").alias("text"))
-    _in_order(head.union(rest), "batch", f"{work}/pieces", 4)
+    _in_order(head.union(rest), "batch", f"{work}/pieces", 4, "conv_id")
     stream = ingest.read_stream(spark, f"{work}/pieces", "conv_id long, seq long, text string", 1)
     with retry.keyed_state(spark):
         ingest.run_available(records.new_records(stream), ingest.append_batch(f"{work}/records"), f"{work}/check")
-    return spark.read.schema("conv_id long, place long, record string").parquet(f"{work}/records")
+    return spark.read.parquet(f"{work}/records").select("conv_id", "place", "record")
 
 
 @query("SELECT event_id, ts + to_milliseconds(1000 * (event_id % 4 + 1)) AS next_ts FROM events")

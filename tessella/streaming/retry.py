@@ -48,9 +48,9 @@ class Retries(StatefulProcessor):
         self.waiting = handle.getValueState("waiting", _WAITING)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802
-        first = min(rows, key=lambda r: (r.at_ms, r.message))
+        first = min(rows, key=lambda r: (r.at_us, r.message))
         if not self.waiting.exists():
-            yield from self._tries(key[0], 1, first.at_ms + self.step_ms, first.message, timerValues.getCurrentWatermarkInMs())
+            yield from self._tries(key[0], 1, first.at_us + 1_000 * self.step_ms, first.message, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802
         if self.waiting.exists():
@@ -58,17 +58,17 @@ class Retries(StatefulProcessor):
             yield from self._tries(key[0], retry, due, message, timerValues.getCurrentWatermarkInMs())
 
     def _tries(self, task: str, retry: int, due: int, message: str, now: int) -> Iterator[Row]:
-        """All tries that are due by now; a later one waits for its timer."""
-        while due <= now:
+        """All tries that are due (in microseconds) by now (in milliseconds); a later one waits for its timer."""
+        while -(-due // 1_000) <= now:
             error = self.work(message, retry)
             last = error is not None and retry >= self.retries
-            yield Row(task_id=task, retry=retry, at_ms=due, ok=error is None, error=error[:ERROR_CHARS] if last else error, dead=last)
+            yield Row(task_id=task, retry=retry, at_us=due, ok=error is None, error=error[:ERROR_CHARS] if last else error, dead=last)
             if error is None or last:
                 self.waiting.clear()
                 return
-            retry, due = retry + 1, due + self.step_ms * (retry + 1)
+            retry, due = retry + 1, due + 1_000 * self.step_ms * (retry + 1)
         self.waiting.update((retry, due, message))
-        self.handle.registerTimer(due)
+        self.handle.registerTimer(-(-due // 1_000))
 
     def close(self) -> None:
         pass
@@ -86,9 +86,9 @@ def with_retries(messages: DataFrame, work: Work, first_error: Column, retries:
     own = tried.select("task_id", F.lit(0).alias("retry"), F.col("ts").alias("at"), F.col("error").isNull().alias("ok"), F.when(F.lit(retries) > 0, F.col("error")).otherwise(F.substring("error", 1, ERROR_CHARS)).alias("error"), (F.col("error").isNotNull() & F.lit(retries <= 0)).alias("dead"))
     if retries <= 0:
         return own
-    failed = tried.where(F.col("error").isNotNull()).select("task_id", "ts", F.unix_millis("ts").alias("at_ms"), "message")
-    later = failed.groupBy("task_id").transformWithState(Retries(work, retries, step_ms), "task_id string, retry int, at_ms long, ok boolean, error string, dead boolean", "Append", "EventTime")
-    return own.union(later.select("task_id", "retry", F.timestamp_millis("at_ms").alias("at"), "ok", "error", "dead"))
+    failed = tried.where(F.col("error").isNotNull()).select("task_id", "ts", F.unix_micros("ts").alias("at_us"), "message")
+    later = failed.groupBy("task_id").transformWithState(Retries(work, retries, step_ms), "task_id string, retry int, at_us long, ok boolean, error string, dead boolean", "Append", "EventTime")
+    return own.union(later.select("task_id", "retry", F.timestamp_micros("at_us").alias("at"), "ok", "error", "dead"))
 
 
 def outcomes(tries: DataFrame) -> DataFrame:
