@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import generated as g
 from ..functions import splitters as sp
 from ..functions import text as t
-from ..operators import cases, evaluation, rerank, retrieval, runs, store
+from ..operators import cases, evaluation, rerank, retrieval, runs, store, stored
 from ..sources import readers
 from ..streaming import ingest, records, retry
 from . import views as v
@@ -1088,6 +1088,44 @@ def stream_records(spark, d):
     return spark.read.parquet(f"{work}/records").select("conv_id", "place", "record")
 
 
+@query("""SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, min(ts) AS created_at FROM events GROUP BY ALL""")
+def stored_upsert(spark, d):
+    """The events as a stream of upserts into a stored table, in four batches; the second is delivered twice."""
+    work = _work_dir(spark)
+    table = stored.StoredTable(spark, f"{work}/table", "user_id long, event_type string, value double, created_at timestamp_ntz, version struct<ts: timestamp_ntz, event_id: long>", ["user_id", "event_type"], 16)
+    _in_order(v.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"), "event_id", f"{work}/events", 4, "user_id")
+    stream = ingest.read_stream(spark, f"{work}/events", MESSAGES, 1_000).select("user_id", "event_type", "value", F.col("ts").alias("created_at"), F.struct("ts", "event_id").alias("version"))
+
+    def upsert(t, rows, batch):
+        for _ in range(2 if batch["batch"] == 1 else 1):
+            t.upsert(rows, "version", ["created_at"], **batch)
+
+    ingest.run_available(stream, stored.sink(table, "events", upsert), f"{work}/check")
+    return table.read().select("user_id", "event_type", "value", "created_at")
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(range(0, 1 + length(text) // 500)) AS chunk_no, doc_id % 5 = 0 AS again, source FROM documents),
+n AS (SELECT doc_id, unnest(range(0, 1 + length(text) // 800)) AS chunk_no, source FROM documents WHERE doc_id % 5 = 0)
+SELECT doc_id, chunk_no, CASE WHEN doc_id % 3 = 0 AND chunk_no = 0 THEN 'ADOPTED' ELSE 'PENDING' END AS status, made FROM
+  (SELECT doc_id, chunk_no, source, 'old' AS made FROM c WHERE NOT again UNION ALL SELECT doc_id, chunk_no, source, 'new' FROM n)
+WHERE doc_id % 11 <> 0 AND source <> 'src7'""")
+def stored_documents(spark, d):
+    """Chunks appended, of a fifth of the documents ingested again with other sizes, then deletes by document and by source, and
+    status updates, all in one stored table."""
+    work = _work_dir(spark)
+    docs = v.table(spark, d, "documents").select("doc_id", "source", F.char_length("text").alias("n"))
+    chunks = lambda rows, size, made: rows.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / size))).alias("chunk_no"), "source", F.lit("PENDING").alias("status"), F.lit(made).alias("made"))
+    table = stored.StoredTable(spark, f"{work}/chunks", "doc_id long, chunk_no long, source string, status string, made string", ["doc_id"], 16)
+    table.append(chunks(docs, 500, "old"))
+    table.replace(chunks(docs.where("doc_id % 5 = 0"), 800, "new"))
+    table.delete(docs.where("doc_id % 11 = 0"))
+    table.delete(spark.createDataFrame([("src7",)], "source string"), ["source"])
+    adopted = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).cast("long").alias("chunk_no"), F.lit("ADOPTED").alias("new_status"))
+    update = lambda old, new: old.join(new, ["doc_id", "chunk_no"], "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
+    table.change(adopted, update)
+    return table.read().select("doc_id", "chunk_no", "status", "made")
+
+
 @query("SELECT event_id, ts + to_milliseconds(1000 * (event_id % 4 + 1)) AS next_ts FROM events")
 def retry_backoff(spark, d):
     at = ingest.next_attempt(F.col("ts").cast("timestamp"), F.col("event_id") % 4)
