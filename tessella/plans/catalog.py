@@ -14,7 +14,7 @@ from ..functions import splitters as sp
 from ..functions import text as t
 from ..operators import cases, evaluation, rerank, retrieval, runs, store, stored
 from ..sources import readers
-from ..streaming import ingest, records, retry
+from ..streaming import ingest, message_log, records, retry
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1126,6 +1126,87 @@ def stored_documents(spark, d):
     return table.read().select("doc_id", "chunk_no", "status", "made")
 
 
+LOGGED = "event_id long, at timestamp_ntz, event_type string, value double, retry_count int"
+
+
+def _event_log(spark, d, where: str = "true") -> message_log.MessageLog:
+    """Events in a log, appended in four batches by their ids."""
+    log = message_log.MessageLog(spark, f"{_work_dir(spark)}/log", LOGGED)
+    e = v.table(spark, d, "events").where(where).select("event_id", F.col("ts").alias("at"), "event_type", "value", F.lit(3).alias("retry_count"))
+    cuts = e.agg(F.percentile_approx("event_id", [0.25, 0.5, 0.75])).first()[0] or [0, 0, 0]
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = e.where((F.lit(True) if low is None else F.col("event_id") > low) & (F.lit(True) if high is None else F.col("event_id") <= high))
+        log.append(part, "events", i)
+    return log
+
+
+@query("SELECT event_id, ts AS at FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 100")
+def log_oldest(spark, d):
+    """The hundred oldest dead letters of a log; only the files that can hold them are planned."""
+    return _event_log(spark, d, "event_type = 'error'").oldest(100).select("event_id", "at")
+
+
+@query("""WITH b AS (SELECT min(ts) + (max(ts) - min(ts)) / 3 AS low, min(ts) + (max(ts) - min(ts)) / 2 AS high FROM events)
+SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events, b WHERE ts >= low AND ts < high GROUP BY event_type""")
+def log_window(spark, d):
+    """Messages of a sixth of the time, by a filter that the source's planning uses."""
+    log = _event_log(spark, d)
+    b = v.table(spark, d, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+    low, high = b.a + (b.z - b.a) / 3, b.a + (b.z - b.a) / 2
+    at = F.col("at")
+    return log.read().where((at >= F.lit(low)) & (at < F.lit(high))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("SELECT event_id, 0 AS retry_count FROM events WHERE event_type = 'error'")
+def fallback_drain(spark, d):
+    """What a fallback holds goes to the main log, sent afresh, by two calls and a message that came between; a third call moves nothing."""
+    late = v.table(spark, d, "events").where("event_type = 'error'").agg(F.max("event_id")).first()[0]
+    fallback = _event_log(spark, d, f"event_type = 'error' AND event_id <> {late or 0}")
+    main = message_log.MessageLog(spark, f"{_work_dir(spark)}/main", LOGGED)
+    again = lambda rows: rows.withColumn("retry_count", F.lit(0))
+    message_log.drain(fallback, main, again)
+    fallback.append(v.table(spark, d, "events").where(f"event_id = {late or 0} AND event_type = 'error'").select("event_id", F.col("ts").alias("at"), "event_type", "value", F.lit(3).alias("retry_count")))
+    message_log.drain(fallback, main, again)
+    message_log.drain(fallback, main, again)
+    return main.read().select("event_id", "retry_count")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'dead' WHEN event_id % 4 = 1 THEN 'fallback' WHEN event_id % 4 = 2 THEN 'dead' ELSE 'main' END AS place FROM events""")
+def dispatch_cascade(spark, d):
+    """A stream sent to a main log that fails for two kinds of batches, once more after it took the batch, and a fallback that
+    fails for one; every batch is delivered twice. Some rows are no messages."""
+    work = _work_dir(spark)
+    logs = {n: message_log.MessageLog(spark, f"{work}/{n}", LOGGED) for n in ("main", "fallback", "dead")}
+    e = v.table(spark, d, "events").select("event_id", F.col("ts").alias("at"), "event_type", "value", F.lit(0).alias("retry_count"), (F.col("event_id") % 4).alias("kind"))
+    for k in range(4):
+        e.where(F.col("kind") == k).write.mode("append").parquet(f"{work}/in")
+
+    def failing(name: str, before: tuple[int, ...], after: tuple[int, ...]) -> message_log.Target:
+        def append(rows, stream, batch):
+            kind = rows.select("kind").first()
+            if kind and kind.kind in before:
+                raise OSError(f"{name} is not there")
+            logs[name].append(rows, stream, batch)
+            if kind and kind.kind in after:
+                raise OSError(f"{name} did not answer")
+
+        return message_log.Target(name, append, logs[name].has)
+
+    targets = [failing("main", (1, 2), (3,)), failing("fallback", (2,), (1,))]
+    bad = F.when(F.col("event_id") % 97 == 0, "no body")
+
+    def send(rows, batch):
+        for _ in range(2):
+            message_log.dispatch(rows, targets, lambda r, why, stream, b: logs["dead"].append(r, stream, b), "events", batch, bad)
+
+    ingest.run_available(ingest.read_stream(spark, f"{work}/in", f"{LOGGED}, kind long", 1), send, f"{work}/check")
+    out = None
+    for name, log in logs.items():
+        part = log.read().select("event_id", F.lit(name).alias("place"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query("SELECT event_id, ts + to_milliseconds(1000 * (event_id % 4 + 1)) AS next_ts FROM events")
 def retry_backoff(spark, d):
     at = ingest.next_attempt(F.col("ts").cast("timestamp"), F.col("event_id") % 4)
