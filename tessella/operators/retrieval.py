@@ -47,15 +47,23 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, on: Sequence[str] = ()) -
     """Each query's k best rows: ``query_id``, ``id``, ``score`` (cosine, 9 decimals) and ``rank`` (from 1, ties by id).
 
     ``queries`` has query_id, q and the columns ``on``, ``corpus`` id, vector and ``on``; a row is compared with the
-    queries of equal ``on``, itself left out. Both sides are packed into blocks, blocks of a large tag like those of a small one,
-    and each pair of blocks is one matrix product that keeps k rows per query; a window merges them.
+    queries of equal ``on``, itself left out. Both sides are packed into blocks, and the blocks of a large tag are many. A block of the
+    corpus is made once and stays where it is; the queries, of which there are fewer, go to every block of their tag. Each pair of
+    blocks is one matrix product that keeps k rows per query; a window merges them.
     """
     on = list(on)
-    blocks = max(1, -(-corpus.count() // BLOCK))
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    packed = corpus.where(F.col("vector").isNotNull()).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy(*on, "block").agg(F.collect_list("id").alias("ids"), F.collect_list("vector").alias("vectors"))
-    packed = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = queries.where(F.col("q").isNotNull()).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).groupBy(*on, "qb").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("q").alias("qs"))
+    rows, asked = corpus.where(F.col("vector").isNotNull()), queries.where(F.col("q").isNotNull())
+    if on:
+        sizes = rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+        rows, asked = rows.join(sizes, on), asked.join(sizes, on)
+    else:
+        blocks = F.lit(max(1, -(-rows.count() // BLOCK))).cast("long")
+        rows, asked = rows.withColumn("blocks", blocks), asked.withColumn("blocks", blocks)
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).groupBy(*on, "block").agg(F.collect_list("id").alias("ids"), F.collect_list("vector").alias("vectors"))
+    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
+    asked = asked.groupBy(*on, "qb", "blocks").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("q").alias("qs"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("qb", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +80,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, on: Sequence[str] = ()) -
                     out.append((np.full(len(at), q), ids[at], s[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], names=["query_id", "id", "score"])
 
-    joined = packed.join(asked, [*on, "qb"]).select("ids", "vectors", "query_ids", "qs")
+    joined = packed.join(asked, [*on, "block"]).select("ids", "vectors", "query_ids", "qs")
     found = joined.mapInArrow(run, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -55,10 +55,11 @@ def vector_filtered_topk(spark, d):
 
 
 def _request_hits(spark, d, k, where=None):
-    """Hits with request, place of the query in it, and content."""
-    x = v.vectors(spark, d)
-    q = v.queries_of(x).select("query_id", "request", "pos")
-    return v.hits(spark, d, k, where).join(q, "query_id").join(x.select("id", F.coalesce("content", F.lit("")).alias("content")), "id")
+    """Hits with request, place of the query in it, and content; texts are joined to the hits only."""
+    found = v.hits(spark, d, k, where)
+    content = v.chunks(spark, d).select("id", "content")
+    found = found.join(content, "id", "left").withColumn("content", F.coalesce("content", F.lit("")))
+    return found.withColumns({"request": F.floor(F.col("query_id") / 100).cast("long"), "pos": (F.col("query_id") % 100 / v.EVERY).cast("int")})
 
 
 @query(f"""WITH {v.VECTORS}, {v.hits_sql(5)}, f AS (
@@ -377,8 +378,10 @@ m AS (SELECT p.grp, p.query_id, p.k, CASE WHEN t.relevant > 0 THEN p.hits / t.re
 
 
 def _evaluation(spark, d):
-    """Frozen candidates, labels and rankings of two groups; computed once and kept for the query."""
-    frozen = v.frozen(spark, d).persist()
+    """Frozen candidates, labels and rankings of two groups; the candidates are found once and written."""
+    path = f"{_work_dir(spark)}/frozen"
+    v.frozen(spark, d).write.parquet(path)
+    frozen = spark.read.parquet(path)
     qrels = frozen.select("query_id", "candidate_id", "grade")
     noop = frozen.where("rag_rank <= 10").select(F.lit("noop").alias("grp"), "query_id", "candidate_id", F.col("rag_rank").alias("rank"), "score")
     h = F.col("grade") * 500 + (F.col("query_id") * 7919 + F.col("candidate_id") * 104729) % 1000
@@ -603,16 +606,17 @@ SET = "list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^\\p{{
 SELECT a, b, round(CASE WHEN same THEN 1.0::DOUBLE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 9) AS jaccard FROM s""")
 def jaccard_pairs(spark, d):
     """Each document against the next one of its source."""
-    docs = v.table(spark, d, "documents")
-    # ids alone are sorted, in ranges of them; the last of a range is followed by the first of the source's next range
-    ids = docs.select(F.col("doc_id").alias("a"), "source", F.floor(F.col("doc_id") / 10_000).alias("part")).where("source IS NOT NULL")
-    heads = ids.groupBy("source", "part").agg(F.min("a").alias("head"))
+    docs = v.table(spark, d, "documents").where("source IS NOT NULL")
+    # of each text only its characters and its hash are sorted, in ranges of ids; the last of a range is followed by the first
+    # of the source's next range
+    one = F.struct(F.col("doc_id").alias("id"), t.char_set(F.col("text")).alias("chars"), F.sha2("text", 256).alias("same"))
+    rows = docs.select(F.col("doc_id").alias("a"), "source", F.floor(F.col("doc_id") / 10_000).alias("part"), one.alias("own"))
+    nxt = rows.withColumn("next", F.lead("own").over(Window.partitionBy("source", "part").orderBy("a")))
+    heads = rows.groupBy("source", "part").agg(F.min_by("own", "a").alias("head"))
     heads = heads.select("source", "part", F.lead("head").over(Window.partitionBy("source").orderBy("part")).alias("then"))
-    own = ids.withColumn("b", F.lead("a").over(Window.partitionBy("source", "part").orderBy("a")))
-    nxt = own.join(heads, ["source", "part"]).select("a", F.coalesce("b", "then").alias("b")).where("b IS NOT NULL")
-    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    nxt = nxt.join(text("a"), "a").join(text("b"), "b")
-    return nxt.select("a", "b", F.round(t.char_jaccard(F.col("ta"), F.col("tb")), 9).alias("jaccard"))
+    nxt = nxt.join(heads, ["source", "part"]).withColumn("next", F.coalesce("next", "then")).where("next IS NOT NULL")
+    near = t.set_jaccard(F.col("own.chars"), F.col("next.chars"))
+    return nxt.select("a", F.col("next.id").alias("b"), F.round(F.when(F.col("own.same") == F.col("next.same"), 1.0).otherwise(near), 9).alias("jaccard"))
 
 
 @query(f"""WITH p AS (SELECT doc_id AS id, {PARAGRAPHS} AS p, list_transform(regexp_extract_all(text, '(?s)[^。！？.!?]*[。！？.!?]|[^。！？.!?]+$'), lambda x: trim(x, {BLANKS})) AS s FROM documents)

@@ -32,10 +32,9 @@ CHUNKS = """chunks AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings with the chunk of the same id; the label is the tag that a search filters by."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").alias("tag"))
-    return v.join(chunks(spark, sf_dir).select("id", "content", "type", "status"), "id", "left")
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by id; the label is the tag that a search filters by."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").alias("tag"))
 
 
 VECTORS = f"""{CHUNKS}, vectors AS (
@@ -60,15 +59,15 @@ def hits_sql(k: int, where: str = "TRUE", name: str = "hits") -> str:
 
 
 def hits(spark: SparkSession, sf_dir: str, k: int, where=None) -> DataFrame:
-    """``query_id``, ``id``, ``score`` and ``rank`` of the k best of the query's tag."""
-    v = vectors(spark, sf_dir)
-    corpus = v if where is None else v.where(where)
+    """``query_id``, ``id``, ``score`` and ``rank`` of the k best of the query's tag. Chunks are met only to filter by them."""
+    v = embeddings(spark, sf_dir)
+    corpus = v if where is None else v.join(chunks(spark, sf_dir).select("id", "type", "status"), "id", "left").where(where)
     return knn(queries_of(v).select("query_id", "q", "tag"), corpus.select("id", "vector", "tag"), k, on=["tag"])
 
 
 def frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frozen candidates of every query over all tags, with a grade by the labels' distance (0 to 3)."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").alias("tag"))
+    v = embeddings(spark, sf_dir)
     top = knn(v.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("q")), v.select("id", "vector"), CANDIDATE_K)
     tags = v.select("id", "tag")
     graded = top.join(tags, "id").join(tags.select(F.col("id").alias("query_id"), F.col("tag").alias("q_tag")), "query_id")
