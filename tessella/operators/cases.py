@@ -7,9 +7,10 @@ one array of violations, made in one pass over it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json_schema import UNREADABLE, VIOLATIONS, Schema, compile_schema
@@ -27,6 +28,8 @@ NEED_TARGET = ("CLICK", "INPUT", "SELECT", "ASSERT")
 NEED_VALUE = ("INPUT", "SELECT")
 NEED_EXPECTED = ("URL_EQUALS", "URL_CONTAINS", "TEXT_EQUALS", "TEXT_CONTAINS", "VALUE_EQUALS")
 NEED_ASSERTION_TARGET = ("ELEMENT_VISIBLE", "ELEMENT_NOT_PRESENT", "TEXT_CONTAINS")
+#: Trees may be so deep.
+MOST_LEVELS = 10_000
 INPUT_ROLES = ("textbox", "searchbox", "combobox", "spinbutton")
 WRAPPED = '{"schemaVersion":"1.0.0","summary":{"app":"validation","page":"validation","totalCases":1},"cases":['
 
@@ -300,6 +303,29 @@ def search(cases: DataFrame, word: str, columns: tuple[str, ...] = ("title", "ca
     return cases.where(found)
 
 
+def flatten_trees(snapshots: DataFrame, page: str = "page", raw: str = "raw") -> DataFrame:
+    """The nodes of nested snapshots (JSON objects with ``children``) in pre-order: page, preorder (from 1), depth, ref, role, name
+    and test_id (the attribute data-testid).
+
+    A recursive query goes down one level of all trees at a time; a node's path of child numbers is its place. Children that are no
+    objects are left out, as are texts that are no JSON object; other keys are not looked at.
+    """
+    spark = snapshots.sparkSession
+    view = f"snapshots_{uuid.uuid4().hex}"
+    start = snapshots.select(F.col(page).alias("page"), F.try_parse_json(raw).alias("node")).where(F.startswith(F.schema_of_variant("node"), F.lit("OBJECT")))
+    start.createOrReplaceTempView(view)
+    # read when the query runs, so it stays: a corpus of trees has more nodes than the bound on a query by mistake
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    nodes = spark.sql(f"""WITH RECURSIVE n(page, path, node) MAX RECURSION LEVEL {MOST_LEVELS} AS (
+        SELECT page, CAST(array() AS array<int>), node FROM {view}
+        UNION ALL SELECT n.page, array_append(n.path, c.pos), c.value FROM n, LATERAL variant_explode(try_variant_get(n.node, '$.children', 'variant')) c
+        WHERE startswith(schema_of_variant(c.value), 'OBJECT'))
+        SELECT page, path, try_variant_get(node, '$.ref', 'string') AS ref, try_variant_get(node, '$.role', 'string') AS role, try_variant_get(node, '$.name', 'string') AS name,
+          try_variant_get(node, "$.attributes['data-testid']", 'string') AS test_id FROM n""")
+    order = Window.partitionBy("page").orderBy("path")
+    return nodes.select("page", F.row_number().over(order).alias("preorder"), F.size("path").alias("depth"), "ref", "role", "name", "test_id")
+
+
 def resolve(nodes: DataFrame, locators: DataFrame) -> DataFrame:
     """The first node (by ``preorder``) of its page that each locator names; null for CSS, XPATH and no match.
 

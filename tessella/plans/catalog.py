@@ -125,6 +125,21 @@ def chunks_by_source(spark, d):
     return v.chunks(spark, d).groupBy("knowledge").agg(F.count(F.lit(1)).alias("chunks"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+@query(f"""WITH {v.CHUNKS} SELECT knowledge, id FROM chunks WHERE knowledge IN (SELECT knowledge FROM chunks GROUP BY knowledge HAVING max(id) % 2 = 0)""")
+def chunk_ids(spark, d):
+    """The ids of the chunks of some sources."""
+    c = v.chunks(spark, d).select("knowledge", "id")
+    wanted = c.groupBy("knowledge").agg(F.max("id").alias("m")).where("m % 2 = 0").select("knowledge")
+    return c.join(wanted, "knowledge", "left_semi")
+
+
+@query(f"""WITH {v.CHUNKS} SELECT id, knowledge FROM chunks WHERE type = 'test_case' AND status <> 'REJECTED' ORDER BY knowledge, id DESC LIMIT 40""")
+def filter_search(spark, d):
+    """A search by filters alone, in a stated order."""
+    found = v.chunks(spark, d).where((F.col("type") == "test_case") & (F.col("status") != "REJECTED"))
+    return found.orderBy("knowledge", F.desc("id")).limit(40).select("id", "knowledge")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%_%' AND (contains(lower(p_name), 'a') OR contains(lower(p_brand), 'a'))")
 def case_search_ilike(spark, d):
     return cases.search(v.table(spark, d, "part"), "A", ("p_name", "p_brand")).select("p_partkey", "p_name")
@@ -324,6 +339,15 @@ def case_outcome(spark, d):
     return steps.select("run_id", runs.case_outcome(F.col("steps"), none).alias("outcome"), runs.first_failure(F.col("steps")).alias("first_failed"))
 
 
+@query(f"""WITH {v.CASE_LINES}, a AS (SELECT l_orderkey AS run_id, bool_and(l_quantity < 45) AS held FROM lineitem GROUP BY 1)
+SELECT c.run_id, CASE WHEN bool_and(outcome <> 'BLOCKED') AND any_value(a.held) THEN 'PASSED' ELSE 'FAILED' END AS outcome FROM case_lines c JOIN a ON a.run_id = c.run_id GROUP BY c.run_id""")
+def case_outcome_asserted(spark, d):
+    """Steps by the lines' states, and an assertion on each line's quantity."""
+    steps = v.case_lines(spark, d).groupBy("run_id").agg(F.collect_list(F.struct((F.col("outcome") != "BLOCKED").alias("passed"))).alias("steps"))
+    checks = v.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.collect_list(F.struct((F.col("l_quantity") < 45).alias("passed"))).alias("checks"))
+    return steps.join(checks, "run_id").select("run_id", runs.case_outcome(F.col("steps"), F.col("checks")).alias("outcome"))
+
+
 KINDS_SQL = "CASE event_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpg' WHEN 2 THEN 'application/zip' WHEN 3 THEN 'text/plain' WHEN 4 THEN NULL ELSE 'IMAGE/PNG' END"
 TYPES_SQL = "CASE event_id % 5 WHEN 0 THEN 'dom' WHEN 1 THEN 'A11Y' WHEN 2 THEN 'video' WHEN 3 THEN NULL ELSE 'Trace' END"
 
@@ -863,7 +887,39 @@ def table_chunks(spark, d):
 
 @query()
 def html_documents(spark, d):
-    return v.table(spark, d, "pages").select("page_id", readers.content_type(F.lit("a.html")).alias("content_type"), readers.extract_html(F.col("html")).alias("text"))
+    """The pages' texts, and their content types by what they begin with."""
+    kind = readers.sniffed_type(F.col("html").cast("binary"), F.lit(""))
+    return v.table(spark, d, "pages").select("page_id", kind.alias("content_type"), readers.extract_html(F.col("html")).alias("text"))
+
+
+SNIFFED = [  # first bytes, ending, type
+    ("255044462D312E", "txt", "application/pdf"), ("89504E470D0A1A0A", "", "image/png"), ("504B030414", "docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ("504B030414", "pdf", "application/zip"),
+    ("504B030414776F72642F", "zip", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ("D0CF11E0A1B11AE1", "md", "application/msword"), ("EFBBBF20203C21444F43545950452068746D6C3E", "pdf", "text/html"), ("3C3F786D6C", "html", "application/xml"),
+    ("23207469746C65", "md", "text/markdown"), ("7B7D", "json", "application/json"), ("706C61696E", "exe", "text/plain"), ("00FF00FF", "txt", "application/octet-stream"), ("C3", "txt", "application/octet-stream"), ("7B5C72746631", "json", "application/rtf"),
+]
+
+
+@query(f"SELECT doc_id, CASE doc_id % {len(SNIFFED)} " + " ".join(f"WHEN {i} THEN '{kind}'" for i, (_, _, kind) in enumerate(SNIFFED)) + " END AS content_type FROM documents")
+def content_types(spark, d):
+    """Documents behind the first bytes of other formats, under names that tell nothing or something wrong."""
+    k = F.col("doc_id") % len(SNIFFED)
+    marks, endings = (F.element_at(F.array(*[F.lit(s[i]) for s in SNIFFED]), (k + 1).cast("int")) for i in (0, 1))
+    docs = v.table(spark, d, "documents")
+    return docs.select("doc_id", readers.sniffed_type(F.concat(F.unhex(marks), F.lit(" ").cast("binary"), F.col("text").cast("binary")), F.concat(F.lit("file."), endings)).alias("content_type"))
+
+
+@query("""SELECT 'q' || o_orderkey AS query_id, CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE 'late' END AS reranker, CAST(l_linenumber AS INTEGER) AS new_rank, CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber + 1 ELSE 0 END AS INTEGER) AS original_rank,
+  'c' || l_partkey AS candidate_id, CASE WHEN l_linenumber % 2 = 1 THEN l_quantity ELSE 0 END AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def rerank_results(spark, d):
+    """A result of each order in JSON lines, behind an earlier one of the same query and a blank line; the later one counts."""
+    path = f"{_work_dir(spark)}/results"
+    entry = F.struct(F.col("l_linenumber").alias("new_rank"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") + 1).alias("original_rank"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("candidate_id"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity").cast("double")).alias("score"))
+    ranking = v.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(entry).alias("ranking"))
+    one = v.table(spark, d, "orders").join(ranking, "o_orderkey").select(F.concat(F.lit("q"), F.col("o_orderkey").cast("string")).alias("query_id"), F.when(F.col("o_orderkey") % 3 != 0, "late").alias("reranker_runtime_name"), "ranking")
+    early = F.struct("query_id", F.lit("early").alias("reranker_runtime_name"), F.slice("ranking", 1, 1).alias("ranking"))
+    lines = one.select(F.concat(F.to_json(early), F.lit("\n\n"), F.to_json(F.struct("query_id", "reranker_runtime_name", "ranking")), F.lit("\n{\"ranking\":[]}")).alias("value"))
+    lines.write.text(path)
+    return readers.rerank_results(spark, path).select("query_id", "reranker", "new_rank", "original_rank", "candidate_id", "score")
 
 
 # --- test case documents -------------------------------------------------------------------------------------------
@@ -969,6 +1025,36 @@ def case_save(spark, d):
     return cases.saved_cases(one, F.col("p_brand")).select("p_partkey", "content", "knowledge", "type", "adoptionStatus", "caseId")
 
 
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'button' ELSE 'textbox' END, 'Part ' || l_partkey, 't' || l_suppkey) AS i FROM lineitem),
+n AS (SELECT l_orderkey AS page, 1 AS preorder, 0 AS depth, 'r' || l_orderkey AS ref, 'document' AS role, NULL AS name, NULL AS test_id FROM l GROUP BY l_orderkey
+  UNION ALL SELECT l_orderkey, 2 * i, 1, l_orderkey || '-' || l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'button' ELSE 'textbox' END, 'Part ' || l_partkey, 't' || l_suppkey FROM l
+  UNION ALL SELECT l_orderkey, 2 * i + 1, 2, 'x' || l_orderkey || '-' || l_linenumber, 'text', 'Line ' || l_linenumber, NULL FROM l)
+SELECT page, CAST(preorder AS INTEGER) AS preorder, CAST(depth AS INTEGER) AS depth, ref, role, name, test_id FROM n""")
+def tree_nodes(spark, d):
+    """A nested snapshot per order: its lines, and a text in each line; other children are no nodes."""
+    return cases.flatten_trees(_snapshots(spark, d))
+
+
+def _snapshots(spark, d):
+    text = lambda c: F.col(c).cast("string")
+    key = F.concat_ws("-", text("l_orderkey"), text("l_linenumber"))
+    inner = F.struct(F.concat(F.lit("x"), key).alias("ref"), F.lit("text").alias("role"), F.concat(F.lit("Line "), text("l_linenumber")).alias("name"), F.array(F.lit("no node")).alias("children"))
+    node = F.struct(key.alias("ref"), F.when(F.col("l_linestatus") == "O", "button").otherwise("textbox").alias("role"), F.concat(F.lit("Part "), text("l_partkey")).alias("name"), F.struct(F.concat(F.lit("t"), text("l_suppkey")).alias("data-testid")).alias("attributes"), F.array(inner).alias("children"))
+    lines = v.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", node.alias("node"))))["node"].alias("children"))
+    root = F.struct(F.concat(F.lit("r"), text("l_orderkey")).alias("ref"), F.lit("document").alias("role"), "children")
+    return lines.select(F.col("l_orderkey").alias("page"), F.to_json(root).alias("raw"))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'button' ELSE 'textbox' END, 'Part ' || l_partkey, 't' || l_suppkey) AS i FROM lineitem)
+SELECT o_orderkey AS locator_id, CASE o_orderkey % 2 WHEN 0 THEN min_by(l_orderkey || '-' || l_linenumber, i) FILTER (l_linestatus = 'O') ELSE 'x' || min_by(l_orderkey || '-' || l_linenumber, i) FILTER (l_linenumber = 2) END AS ref
+FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def tree_locators(spark, d):
+    """The first button of a page's tree, or the first node whose name is the second line's."""
+    even, none = F.col("o_orderkey") % 2 == 0, F.lit(None).cast("string")
+    locators = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("locator_id"), F.col("o_orderkey").alias("page"), F.when(even, "ROLE").otherwise("TEXT").alias("strategy"), F.when(even, "button").alias("role"), none.alias("name"), F.when(~even, "Line 2").alias("text"), none.alias("label"), none.alias("test_id"), F.lit(True).alias("exact"))
+    return cases.resolve(cases.flatten_trees(_snapshots(spark, d)), locators)
+
+
 def _nodes(spark, d):
     return v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("preorder"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ref"), F.when(F.col("l_linestatus") == "O", "button").otherwise("textbox").alias("role"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("name"), F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("test_id"))
 

@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -16,6 +16,17 @@ FROZEN = f"query_id string, query string, rag_tag string, experiment_id string,
 RERANK_RESULT = "experiment_id string, dataset_version string, retrieval_version string, candidate_pipeline string, mmr_lambda double, candidate_k int, top_n int, reranker string, jev_model string, jev_prompt_version string, score_strategy string, query_id string, reranker_runtime_name string, ranking array<struct<new_rank: int, original_rank: int, candidate_id: string, score: double>>, scores_by_candidate_id map<string,double>"
 # Endings and content types.
 TYPES = (("pdf", "application/pdf"), ("doc", "application/msword"), ("docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ("md", "text/markdown"), ("txt", "text/plain"), ("html", "text/html"), ("json", "application/json"))
+# Content types by the first bytes of a file, in hexadecimal.
+SIGNATURES = (
+    ("application/pdf", "255044462D"), ("application/msword", "D0CF11E0A1B11AE1"), ("application/rtf", "7B5C727466"), ("image/png", "89504E470D0A1A0A"), ("image/jpeg", "FFD8FF"),
+    ("image/gif", "474946383761"), ("image/gif", "474946383961"), ("application/gzip", "1F8B"), ("application/x-7z-compressed", "377ABCAF271C"), ("application/postscript", "25215053"),
+)
+ZIP = "504B0304"
+#: Beginnings of text formats, in lower case, after white space.
+TEXT_SIGNATURES = (("text/html", ("<!doctype html", "<html", "<head", "<body")), ("application/xml", ("<?xml",)))
+TEXT_ENDINGS = ("md", "txt", "html", "json")
+#: So many bytes are looked at.
+HEAD = 4_096
 SUPPORTED = ("md", "txt", "html")
 
 
@@ -24,6 +35,50 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files with ``file`` and ``line`` (from 1): file, line, value.
+
+    Each task numbers the lines of the splits that it reads; where a split begins is the sum of the lines in the splits before. Lines are
+    sorted within a split, never within a file.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    counts = raw.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("file", "split", before.alias("before"))
+    within = raw.withColumn("i", F.row_number().over(Window.partitionBy("file", "split").orderBy("place")))
+    return within.join(starts, ["file", "split"]).select("file", (F.col("before") + F.col("i")).alias("line"), "value")
+
+
+def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One object per line with ``file`` and ``line``; blank lines are skipped, a line that is no such object fails the job and
+    is named by its file and number."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    read = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select("file", "line", F.inline(F.array(F.struct(read.alias("r")))))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    said = F.concat(F.lit("bad line "), F.col("file"), F.lit(":"), F.col("line").cast("string"))
+    checked = rows.select("file", "line", F.when(bad, F.raise_error(said)).otherwise(F.col("r")).alias("r"))
+    return checked.select("file", "line", "r.*").drop("_bad")
+
+
+def last_lines(rows: DataFrame, by: str) -> DataFrame:
+    """Of rows with the same ``by`` the last line, files in the order of their names; rows without it are left out."""
+    rest = [c for c in rows.columns if c != by]
+    last = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.max_by(F.struct(*rest), F.struct("file", "line")).alias("r"))
+    return last.select(by, "r.*")
+
+
+def rerank_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results of rerankers in long form: query_id, reranker, new_rank, original_rank, candidate_id, score.
+
+    Of a repeated query the last line counts; a missing name is ``unknown``, missing ranks and scores are 0.
+    """
+    one = last_lines(strict_jsonl(spark, path, RERANK_RESULT), "query_id")
+    x = one.select("query_id", F.coalesce("reranker_runtime_name", F.lit("unknown")).alias("reranker"), F.explode("ranking").alias("r"))
+    or0 = lambda c: F.coalesce(f"r.{c}", F.lit(0))
+    return x.select("query_id", "reranker", or0("new_rank").alias("new_rank"), or0("original_rank").alias("original_rank"), "r.candidate_id", or0("score").cast("double").alias("score"))
+
+
 def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """``by`` keeps the strategies apart in folders of their own."""
     writer = df.write.mode("overwrite")
@@ -61,6 +116,38 @@ def invalid_queries(queries: DataFrame) -> DataFrame:
     return x.select("query_id", F.explode("rules").alias("rule"))
 
 
+def sniffed_type(content: Column, name: Column) -> Column:
+    """The content type by a file's first bytes, whatever its ending says; of several signatures the longest counts.
+
+    Archives are documents if they hold a word processor's part, else what their ending says of them. Text that no
+    signature matches is what its ending says if that is a text format, else plain text; other bytes are octet-stream. Null bytes have no
+    type, empty ones are plain text.
+    """
+    ending = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    head = F.substring(content, 1, HEAD)
+    size = F.octet_length(head)
+    # the last character of the head may be cut
+    valid = F.is_valid_utf8(head.cast("string"))
+    for cut in (1, 2, 3):
+        valid = valid | ((size == HEAD) & F.is_valid_utf8(F.substring(head, 1, HEAD - cut).cast("string")))
+    is_text = valid & ~F.contains(head, F.unhex(F.lit("00")))
+    bare = F.when(F.startswith(head, F.unhex(F.lit("EFBBBF"))), F.substring(head, 4, HEAD)).otherwise(head)
+    begins = F.when(is_text, F.lower(F.regexp_replace(F.substring(bare, 1, 1_024).cast("string"), r"^\s+", "")))
+    by_ending = F.lit("text/plain")
+    for e, t in TYPES:
+        if e in TEXT_ENDINGS:
+            by_ending = F.when(ending == e, t).otherwise(by_ending)
+    out = F.when(is_text, by_ending).otherwise("application/octet-stream")
+    for t, beginnings in TEXT_SIGNATURES:
+        for b in beginnings:
+            out = F.when(F.coalesce(F.startswith(begins, F.lit(b)), F.lit(False)), t).otherwise(out)
+    zipped = F.when(F.contains(head, F.lit("word/").cast("binary")) | (ending == "docx"), dict(TYPES)["docx"]).otherwise("application/zip")
+    out = F.when(F.startswith(head, F.unhex(F.lit(ZIP))), zipped).otherwise(out)
+    for t, mark in sorted(SIGNATURES, key=lambda x: len(x[1])):
+        out = F.when(F.startswith(head, F.unhex(F.lit(mark))), t).otherwise(out)
+    return F.when(content.isNotNull(), out)
+
+
 def content_type(name: Column) -> Column:
     ending = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     out = F.lit("application/octet-stream")

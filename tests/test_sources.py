@@ -1,0 +1,96 @@
+"""Files, lines, signatures and trees."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.operators import cases
+from tessella.sources import readers
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for c, value in before.items():
+        spark.conf.set(c, value)
+
+
+def test_line_numbers_over_splits(spark, tmp_path, small_splits):
+    rng = random.Random(4)
+    texts = {f"f{i}.txt": [f"{i}:{n} " + "x" * rng.randrange(60) if rng.random() > 0.1 else "" for n in range(1, rng.randrange(2, 120))] for i in range(5)}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    lines = readers.numbered_lines(spark, str(tmp_path))
+    assert lines.select(F.spark_partition_id()).distinct().count() > 1 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+    got = {}
+    for r in lines.collect():
+        got.setdefault(r.file.rsplit("/", 1)[-1], {})[r.line] = r.value
+    assert got == {name: dict(enumerate(x, 1)) for name, x in texts.items()}
+
+
+def test_a_bad_line_is_named(spark, tmp_path, small_splits):
+    good = [json.dumps({"a": i, "b": "y" * 30}) for i in range(100)]
+    (tmp_path / "ok.jsonl").write_text("\n".join(good))
+    assert sorted(r.a for r in readers.strict_jsonl(spark, str(tmp_path), "a long, b string").collect()) == list(range(100))
+    for bad in ('{"a": ', '{"a": "text"}', "[1]x"):
+        (tmp_path / "bad.jsonl").write_text("\n".join([*good[:73], "", bad, *good]))
+        with pytest.raises(Exception, match=r"bad line file:\S*bad.jsonl:75"):
+            readers.strict_jsonl(spark, str(tmp_path), "a long, b string").collect()
+
+
+def test_the_last_line_of_an_id_counts(spark, tmp_path, small_splits):
+    rows = [{"query_id": f"q{i % 7}", "reranker_runtime_name": f"n{i}", "ranking": [{"candidate_id": f"c{i}"}]} for i in range(60)]
+    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps(r) for r in rows) + "\n\n" + json.dumps({"ranking": [{"candidate_id": "none"}]}))
+    got = {r.query_id: tuple(r)[1:] for r in readers.rerank_results(spark, str(tmp_path)).collect()}
+    assert got == {f"q{i % 7}": (f"n{i}", 0, 0, f"c{i}", 0.0) for i in range(53, 60)}
+
+
+def test_signatures(spark):
+    rows = [(None, "a.pdf", None), (b"", "a.md", "text/markdown"), (b"", "", "text/plain"), (b"%PDF-1", "x.html", "application/pdf"), (b"%PDF", "x", "text/plain"), (b"\x1f\x8b\x00", "a.txt", "application/gzip"), (b"GIF89a..", None, "image/gif"),
+            ("é".encode() * 3_000, "a.txt", "text/plain"), (b"x" + "é".encode() * 3_000, "a.json", "application/json"), (b"ok\x00", "a.txt", "application/octet-stream"), (b"\xff\xfe", "a", "application/octet-stream"), (b"\n\t <HTML>", "a.txt", "text/html"), (b"PK\x03\x04xx word/document.xml", "a.bin", dict(readers.TYPES)["docx"])]
+    df = spark.createDataFrame([(i, c, n) for i, (c, n, _) in enumerate(rows)], "i int, c binary, n string")
+    got = {r.i: r.t for r in df.select("i", readers.sniffed_type(F.col("c"), F.col("n")).alias("t")).collect()}
+    assert [got[i] for i in range(len(rows))] == [t for _, _, t in rows]
+
+
+def random_tree(rng, n):
+    nodes = [{"ref": "r0", "role": "document"}]
+    for i in range(1, n):
+        node = {"ref": f"r{i}", "role": rng.choice(["button", "textbox", "text"]), "name": rng.choice(["Save", "save all", "Mail", None]), "attributes": {"data-testid": f"t{i % 9}"} if i % 3 else {}}
+        nodes[rng.randrange(max(0, len(nodes) - 60), len(nodes))].setdefault("children", []).append(node)
+        nodes.append(node)
+        if rng.random() < 0.1:
+            nodes[-2].setdefault("children", []).append(rng.choice(["text", 5, None, ["x"]]))
+    return nodes[0]
+
+
+def flat(node, depth=0):
+    yield node, depth
+    for c in node.get("children", []):
+        if isinstance(c, dict):
+            yield from flat(c, depth + 1)
+
+
+def test_trees_in_pre_order(spark):
+    rng = random.Random(2)
+    deep = {"ref": "d50"}
+    for i in range(50):
+        deep = {"ref": f"d{49 - i}", "children": [deep]}
+    trees = [random_tree(rng, 1_000), random_tree(rng, 40), deep, {"children": "none"}, {}]
+    rows = [(i, json.dumps(t)) for i, t in enumerate(trees)] + [(90, None), (91, "[1]"), (92, "{")]
+    nodes = cases.flatten_trees(spark.createDataFrame(rows, "page long, raw string")).cache()
+    got = {}
+    for r in sorted(nodes.collect(), key=lambda r: (r.page, r.preorder)):
+        got.setdefault(r.page, []).append((r.depth, r.ref, r.role, r.name, r.test_id))
+    assert got == {i: [(d, n.get("ref"), n.get("role"), n.get("name"), n.get("attributes", {}).get("data-testid")) for n, d in flat(t)] for i, t in enumerate(trees)}
+    kind = "locator_id int, page long, strategy string, role string, name string, text string, label string, test_id string, exact boolean"
+    asked = [(1, 0, "ROLE", "button", "SAVE", None, None, None, False), (2, 0, "TESTID", None, None, None, None, "t5", None), (3, 0, "TEXT", None, None, "save all", None, None, True), (4, 2, "TESTID", None, None, None, None, "t5", None)]
+    found = {r.locator_id: r.ref for r in cases.resolve(nodes, spark.createDataFrame(asked, kind)).collect()}
+    first = lambda ok: next((n["ref"] for n, _ in flat(trees[0]) if ok(n)), None)
+    assert found == {1: first(lambda n: n["role"] == "button" and "save" in (n.get("name") or "").lower()), 2: first(lambda n: n.get("attributes", {}).get("data-testid") == "t5"), 3: first(lambda n: n.get("name") == "save all"), 4: None}
+    nodes.unpersist()
