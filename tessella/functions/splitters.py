@@ -1,4 +1,5 @@
-"""Splitters that need a running buffer, as small functions on one text, and as Arrow UDFs to an array of chunks.
+"""Splitters that need a running buffer, as small functions on one text, as Arrow UDFs to an array of chunks, as rows of chunks that
+leave a task as they are made, and as table functions for SQL.
 
 Every splitter goes forward and ends: the next chunk starts after the last one's start.
 """
@@ -6,12 +7,15 @@ Every splitter goes forward and ends: the next chunk starts after the last one's
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 _CJK = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 _PARAGRAPH, _SENTENCE, _CLAUSE = (re.compile(p) for p in (r"(?<=\n\n)", r"(?<=[。！？.!?])", r"(?<=[，,；;])"))
@@ -96,17 +100,20 @@ def end_of(text: str, start: int, most: int) -> int:
     return len(text)
 
 
-def fixed_chunks(text: str, most: int, overlap: int = 0) -> list[str]:
+def each_fixed(text: str, most: int, overlap: int = 0) -> Iterator[str]:
     """The longest pieces of at most ``most`` tokens, each starting ``2 * overlap`` characters before the last one's end."""
-    out, start = [], 0
+    start = 0
     while start < len(text):
         end = max(start + 1, end_of(text, start, most))
         if text[start:end].strip():
-            out.append(text[start:end])
+            yield text[start:end]
         if end >= len(text):
             break
         start = max(start + 1, end - 2 * overlap)
-    return out
+
+
+def fixed_chunks(text: str, most: int, overlap: int = 0) -> list[str]:
+    return list(each_fixed(text, most, overlap))
 
 
 def pack(parts: list[str], most: int, overlap: int = 0, joiner: str = "") -> list[str]:
@@ -137,10 +144,10 @@ _SENTENCE_END = re.compile(r"[.?!。！？\n]")
 _BLANK = re.compile(r"\s*")
 
 
-def token_chunks(text: str, c: SplitConfig = SplitConfig()) -> list[str]:
+def each_token_chunk(text: str, c: SplitConfig = SplitConfig()) -> Iterator[str]:
     """Whole words up to ``chunk_tokens``; a chunk ends at the last sentence's end after ``min_length`` characters if it has one."""
     text = text.strip()
-    out, start = [], 0
+    start = 0
     while start < len(text):
         end = max(start + 1, end_of(text, start, c.chunk_tokens))
         if end < len(text):
@@ -149,22 +156,39 @@ def token_chunks(text: str, c: SplitConfig = SplitConfig()) -> list[str]:
             end = ends[-1] if ends else blank if blank > start else end
         piece = text[start:end].strip()
         if len(piece) >= c.min_to_embed:
-            out.append(piece)
+            yield piece
         start = _BLANK.match(text, end).end()
-    return out
 
 
-def etl_chunks(text: str, c: SplitConfig = SplitConfig()) -> list[str]:
+def token_chunks(text: str, c: SplitConfig = SplitConfig()) -> list[str]:
+    return list(each_token_chunk(text, c))
+
+
+def _after(text: str, marks: str) -> Iterator[str]:
+    """The pieces of a text that end after one of the marks, one at a time."""
+    start = 0
+    for m in re.finditer(f"[{marks}]", text):
+        yield text[start : m.end()]
+        start = m.end()
+    yield text[start:]
+
+
+def each_etl_chunk(text: str, c: SplitConfig = SplitConfig()) -> Iterator[str]:
     """Pieces after line ends and full stops are gathered to blocks of five times ``chunk_tokens`` characters, then cut by tokens."""
-    out, block, size = [], [], 0
-    for piece in (p.strip() for p in re.split(r"(?<=\n)|(?<=。)", text)):
+    block, size = [], 0
+    for piece in (p.strip() for p in _after(text, "\n。")):
         if piece:
             block.append(piece)
             size += len(piece) + 2
             if size >= 5 * c.chunk_tokens:
-                out += token_chunks("\n\n".join(block), c)
+                yield from each_token_chunk("\n\n".join(block), c)
                 block, size = [], 0
-    return out + (token_chunks("\n\n".join(block), c) if block else [])
+    if block:
+        yield from each_token_chunk("\n\n".join(block), c)
+
+
+def etl_chunks(text: str, c: SplitConfig = SplitConfig()) -> list[str]:
+    return list(each_etl_chunk(text, c))
 
 
 def is_row(line: str) -> bool:
@@ -217,3 +241,63 @@ def splitter(f: Callable[..., list[str]], *args) -> Callable[[Column], Column]:
         return texts.map(lambda t: f(t, *args) if isinstance(t, str) else [])
 
     return run
+
+
+#: Chunks are handed on when they hold so many characters, or so many of them are there.
+HAND_ON, HAND_ON_ROWS = 1 << 20, 4_096
+
+
+def chunk_rows(texts: DataFrame, key: str, text: str, each: Callable[..., Iterable[str]], *args) -> DataFrame:
+    """A row per chunk: ``key``, ``chunk_no`` (from 0) and ``chunk``, in the order of the text.
+
+    Chunks leave the task as they are made: a text of any length takes its own size and one batch of chunks. A null text has
+    none; rows with equal keys have chunks each.
+    """
+    kind = texts.select(F.col(f"`{key}`").alias("key")).schema["key"].dataType
+    schema = StructType([StructField("key", kind), StructField("chunk_no", LongType()), StructField("chunk", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            at: list[int] = []
+            numbers: list[int] = []
+            chunks: list[str] = []
+            size = 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(numbers, pa.int64()), pa.array(chunks, pa.string())], names=schema.names)  # noqa: B023
+
+            for i, t in enumerate(batch.column(1)):
+                for n, chunk in enumerate(each(t.as_py(), *args) if t.is_valid else ()):
+                    at.append(i)
+                    numbers.append(n)
+                    chunks.append(chunk)
+                    size += len(chunk)
+                    if size >= HAND_ON or len(at) >= HAND_ON_ROWS:
+                        yield out()
+                        at, numbers, chunks, size = [], [], [], 0
+            if at:
+                yield out()
+
+    return texts.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def _table_function(each: Callable[..., Iterable[str]]):
+    """A table function of a text and some whole numbers; null gives no rows."""
+
+    class Chunks:
+        def eval(self, text: str, *numbers: int):
+            if text is not None:
+                for n, chunk in enumerate(each(text, *numbers)):
+                    yield n, chunk
+
+    return udtf(Chunks, returnType="chunk_no int, chunk string")
+
+
+def register(spark: SparkSession) -> None:
+    """The splitters for SQL: ``SELECT t.id, c.* FROM t, LATERAL fixed_chunks(t.text, 256, 0) c``, and likewise token_chunks(text, tokens),
+    etl_chunks(text, tokens) and semantic_chunks(text, longest, shortest, overlap)."""
+    spark.udtf.register("fixed_chunks", _table_function(each_fixed))
+    spark.udtf.register("token_chunks", _table_function(lambda t, n: each_token_chunk(t, SplitConfig(chunk_tokens=n))))
+    spark.udtf.register("etl_chunks", _table_function(lambda t, n: each_etl_chunk(t, SplitConfig(chunk_tokens=n))))
+    spark.udtf.register("semantic_chunks", _table_function(lambda t, most, least, over: semantic_chunks(t, SplitConfig(max_length=most, min_length=least, overlap=over))))

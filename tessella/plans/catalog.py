@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import generated as g
 from ..functions import splitters as sp
 from ..functions import text as t
-from ..operators import cases, evaluation, rerank, retrieval, runs, store, stored
+from ..operators import cases, embedding, evaluation, rerank, retrieval, runs, store, stored
 from ..sources import readers
 from ..streaming import ingest, message_log, records, retry
 from . import views as v
@@ -92,6 +92,31 @@ def multiquery_keep_best(spark, d):
     return retrieval.keep_best(_request_hits(spark, d, 10), 50).select("request", "id", F.round("score", 6).alias("score"), "place")
 
 
+DIMS = 64
+HASHED = f"""w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM w),
+weights AS (SELECT gram, CAST(100 + round(100 * ln((SELECT count(*) + 1 FROM documents) / (count(DISTINCT doc_id) + 1))) AS BIGINT) AS weight FROM g GROUP BY gram),
+sums AS (SELECT doc_id, CAST('0x' || substr(md5(g.gram), 1, 6) AS BIGINT) % {DIMS} AS place, sum(CASE WHEN substr(md5(g.gram), 7, 1) < '8' THEN weight ELSE -weight END) AS x FROM g JOIN weights ON g.gram = weights.gram GROUP BY ALL),
+text_vectors AS (SELECT d.doc_id AS id, list(CAST(coalesce(x, 0) AS DOUBLE) ORDER BY p.place) AS vector FROM documents d CROSS JOIN (SELECT unnest(range(0, {DIMS})) AS place) p
+  LEFT JOIN sums s ON s.doc_id = d.doc_id AND s.place = p.place GROUP BY d.doc_id)"""
+
+
+@query(f"WITH {HASHED} SELECT id AS doc_id, vector FROM text_vectors")
+def text_embeddings(spark, d):
+    """Every document's vector of hashed runs of words, weighted by how few documents hold them."""
+    docs = v.table(spark, d, "documents")
+    return embedding.HashedGrams.fitted(docs, "text", DIMS).embed(docs, "doc_id", "text")
+
+
+@query(f"""WITH {HASHED} SELECT q.id AS query_id, d.id, round({v.COSINE}, 9) AS score, CAST(row_number() OVER (PARTITION BY q.id ORDER BY round({v.COSINE}, 9) DESC, d.id) AS INTEGER) AS rank
+FROM text_vectors q JOIN text_vectors d ON q.id <> d.id WHERE q.id % 20 = 0 QUALIFY rank <= 5""")
+def text_knn(spark, d):
+    """From query texts to the nearest texts."""
+    docs = v.table(spark, d, "documents")
+    corpus = docs.select(F.col("doc_id").alias("id"), "text")
+    return embedding.search(docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), corpus, embedding.HashedGrams.fitted(docs, "text", DIMS), 5)
+
+
 @query("""SELECT vec_id AS id, len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings""")
 def zero_vector_guard(spark, d):
     return v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), retrieval.is_usable(F.col("embedding")).alias("usable"))
@@ -872,6 +897,24 @@ def fixed_chunks(spark, d):
     return _chunk_rows(spark, d, sp.fixed_chunks, 300, 20)
 
 
+@query("SELECT doc_id, sha256(text) AS joined, TRUE AS within FROM documents WHERE regexp_matches(text, '\\S')")
+def chunk_lateral(spark, d):
+    """Chunks of at most 64 tokens by a table function in SQL: together they are the text."""
+    sp.register(spark)
+    v.table(spark, d, "documents").createOrReplaceTempView("chunked_documents")
+    chunks = spark.sql("SELECT d.doc_id, c.chunk_no, c.chunk FROM chunked_documents d, LATERAL fixed_chunks(d.text, 64, 0) c")
+    one = F.array_join(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))["chunk"], "")
+    return chunks.groupBy("doc_id").agg(F.sha2(one, 256).alias("joined"), F.bool_and(t.token_count(F.col("chunk")) <= 64).alias("within"))
+
+
+@query("SELECT doc_id, sha256(text) AS joined, TRUE AS within FROM documents WHERE regexp_matches(text, '\\S')")
+def chunk_stream(spark, d):
+    """The same as rows that leave the task as they are made, at 256 tokens."""
+    chunks = sp.chunk_rows(v.table(spark, d, "documents"), "doc_id", "text", sp.each_fixed, 256)
+    one = F.array_join(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))["chunk"], "")
+    return chunks.groupBy("doc_id").agg(F.sha2(one, 256).alias("joined"), F.bool_and(t.token_count(F.col("chunk")) <= 256).alias("within"))
+
+
 @query()
 def paragraph_pipeline(spark, d):
     return _chunk_rows(spark, d, sp.paragraph_chunks)
