@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10)
 RELEVANT, HIGHLY = 2, 3
-MOST_GROUPS = 1_000
+#: Compared groups that a row holds.
+GROUPS = 1_000
 
 
 def graded(rankings: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -39,13 +40,12 @@ def metrics(rankings: DataFrame, qrels: DataFrame, ks: Sequence[int] = KS, group
     g = graded(rankings, qrels)
     base = label_totals(qrels, ks)
     if group:
-        # the groups are the compared systems, so few that they are listed
-        groups = rankings.select(*group).distinct().limit(MOST_GROUPS + 1).collect()
-        if len(groups) > MOST_GROUPS:
-            raise ValueError(f"more than {MOST_GROUPS} groups")
-        kinds = dict(rankings.select(*group).dtypes)
-        listed = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in group]) for r in groups]) if groups else F.array().cast(f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in group)}>>")
-        base = base.select("*", F.inline(listed))
+        # each query meets every group; groups are dealt to rows of about GROUPS of them, whatever their number
+        groups = rankings.select(*group).distinct()
+        blocks = max(1, -(-groups.count() // GROUPS))
+        packed = groups.select(F.pmod(F.xxhash64(*group), F.lit(blocks)).alias("group_block"), F.struct(*group).alias("group")).groupBy("group_block").agg(F.collect_list("group").alias("groups"))
+        dealt = base.withColumn("group_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        base = dealt.join(packed, "group_block").select(*base.columns, F.inline("groups"))
     hit, top = F.col("grade") >= RELEVANT, lambda k: F.col("rank") <= k
     aggs = [F.count(F.lit(1)).alias("length")]
     for k in ks:

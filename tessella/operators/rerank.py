@@ -45,6 +45,16 @@ def index_mapped(candidates: DataFrame, results: DataFrame, n: int) -> DataFrame
     return by_order(out, [F.col("padded"), F.desc("new_score"), F.col("rag_rank")], n).drop("index", "relevance")
 
 
+def by_text(candidates: DataFrame, results: DataFrame) -> DataFrame:
+    """Results that name a document by its text instead of its index (query_id, text, relevance) as results by index.
+
+    A text is its query's first candidate with just this text; results of other texts, and null texts, drop.
+    """
+    first = candidates.where(F.col("text").isNotNull()).groupBy("query_id", F.sha2("text", 256).alias("said")).agg((F.min("rag_rank") - 1).alias("index"))
+    asked = results.where(F.col("text").isNotNull()).select("query_id", F.sha2("text", 256).alias("said"), "relevance")
+    return asked.join(first, ["query_id", "said"]).select("query_id", "index", "relevance")
+
+
 def _letters(text: str | None) -> frozenset[str]:
     return frozenset(c for c in (text or "").lower() if c.isalpha() or c.isdecimal())
 
@@ -90,7 +100,8 @@ def mmr(candidates: DataFrame, k: int, lam: float = LAMBDA, first: str = "best",
 
 
 def two_stage(candidates: DataFrame, external: DataFrame | None, n: int, lam: float = LAMBDA) -> DataFrame:
-    """3n candidates by score, n of them by MMR, then an external scorer's order of those (none for a query: MMR's).
+    """3n candidates by score, n of them by MMR, then an external scorer's order of those (none for a query: MMR's). The scorer is
+    given the first EXTERNAL_MOST of them; what it says of others doesn't count.
 
     ``external``: query_id, candidate_id, relevance.
     """
@@ -99,6 +110,7 @@ def two_stage(candidates: DataFrame, external: DataFrame | None, n: int, lam: fl
     if external is None:
         return diverse.withColumn("reranker", F.lit("mmr"))
     both = diverse.withColumnRenamed("new_rank", "mmr_rank").join(external.select("query_id", "candidate_id", "relevance"), ["query_id", "candidate_id"], "left")
+    both = both.withColumn("relevance", F.when(F.col("mmr_rank") <= EXTERNAL_MOST, F.col("relevance")))
     any_ = F.max("relevance").over(Window.partitionBy("query_id"))
     ranked = by_order(both, [F.desc(F.coalesce("relevance", F.lit(-1.0))), F.col("mmr_rank")], n)
     return ranked.withColumn("reranker", F.when(any_.isNull(), "mmr").otherwise("external")).select("query_id", "candidate_id", "score", "new_rank", "reranker")

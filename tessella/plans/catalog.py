@@ -526,6 +526,20 @@ def rerank_index_mapped_padded(spark, d):
     return rerank.index_mapped(f, results, 15).select("query_id", "candidate_id", "new_score", "new_rank")
 
 
+@query(f"""WITH {v.FROZEN}, {v.CHUNKS}, t AS (SELECT f.*, c.content AS text FROM frozen f LEFT JOIN chunks c ON c.id = f.candidate_id),
+r AS (SELECT query_id, text, max({JUDGE_H.replace('q.', '')} / 1000.0::DOUBLE) AS s FROM t WHERE rag_rank % 3 = 0 AND text IS NOT NULL GROUP BY ALL),
+i AS (SELECT query_id, text, min(rag_rank) AS rag_rank FROM t WHERE text IS NOT NULL GROUP BY ALL),
+q AS (SELECT t.*, r.s FROM t LEFT JOIN i ON i.query_id = t.query_id AND i.rag_rank = t.rag_rank LEFT JOIN r ON r.query_id = i.query_id AND r.text = i.text)
+SELECT query_id, candidate_id, coalesce(s, 0) AS new_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s IS NULL, s DESC, rag_rank) AS INTEGER) AS new_rank FROM q QUALIFY new_rank <= 15""")
+def rerank_text_mapped(spark, d):
+    """Results that name documents by their texts."""
+    path = f"{_work_dir(spark)}/frozen"
+    _with_text(spark, d).write.parquet(path)
+    f = spark.read.parquet(path)
+    results = f.where("rag_rank % 3 = 0").select("query_id", "text", (((F.col("query_id") * 7919 + F.col("candidate_id") * 104729) % 1000) / 1000.0).alias("relevance"))
+    return rerank.index_mapped(f, rerank.by_text(f, results), 15).select("query_id", "candidate_id", "new_score", "new_rank")
+
+
 def _with_text(spark, d):
     return v.frozen(spark, d).join(v.chunks(spark, d).select(F.col("id").alias("candidate_id"), F.col("content").alias("text")), "candidate_id", "left")
 

@@ -481,3 +481,20 @@ def test_table_chunks_repeat_the_header():
 def test_markdown_chunks_have_their_path():
     got = sp.markdown_chunks("# A\nbody one\n### C\nbody two\n## B\nbody three")
     assert got == ["A\nbody one", "A > C\nbody two", "A > B\nbody three"]
+
+
+def test_any_number_of_groups(spark, monkeypatch):
+    rankings = spark.createDataFrame([(1, i % 3, 1, f"g{i}") for i in range(25)] + [(2, 0, 1, None)], "query_id long, candidate_id long, rank int, grp string")
+    qrels = spark.createDataFrame([(1, 0, 3), (1, 1, 2), (2, 0, 2), (3, 5, 3)], "query_id long, candidate_id long, grade int")
+    whole = sorted(map(str, ev.metrics(rankings, qrels, group=["grp"]).collect()))
+    assert len(whole) == 3 * 26 * len(ev.KS)
+    monkeypatch.setattr(ev, "GROUPS", 4)
+    assert sorted(map(str, ev.metrics(rankings, qrels, group=["grp"]).collect())) == whole
+
+
+def test_results_by_text(spark):
+    f = spark.createDataFrame([(1, 10, 1, "a", 0.9), (1, 11, 2, "b", 0.8), (1, 12, 3, "a", 0.7), (1, 13, 4, None, 0.6)], "query_id long, candidate_id long, rag_rank int, text string, score double")
+    r = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.4), (1, "b", 0.1), (1, "zz", 1.0), (1, None, 1.0), (2, "a", 1.0)], "query_id long, text string, relevance double")
+    assert sorted(tuple(x) for x in rerank.by_text(f, r).collect()) == [(1, 0, 0.4), (1, 1, 0.1), (1, 1, 0.5)]
+    got = [(x.candidate_id, x.new_score) for x in rerank.index_mapped(f, rerank.by_text(f, r), 4).orderBy("new_rank").collect()]
+    assert got == [(11, 0.5), (10, 0.4), (12, 0.0), (13, 0.0)]
