@@ -32,6 +32,8 @@ from .common import fresh, map_columns, save_table, small
 LENGTH, ANCHOR = 400, 128
 #: Texts are hashed together from so many bytes on; longer ones in parts of as many windows. Places take PLACE_BITS bits.
 PART, PLACE_BITS = 1 << 19, 21
+#: Texts that a task remembers, so as not to cut many copies of them; beyond, it cuts them all.
+REMEMBERED = 200_000
 #: Bytes of the strings of a collection, about, and of one number's strings at most.
 COLLECTION, HOT = 4 << 20, 16 << 20
 
@@ -140,7 +142,10 @@ PIECES = "key binary, first long, windows int, lead int, number long, d1 long, d
 
 
 def pieces(docs: DataFrame, text: str, length: int, anchor: int) -> DataFrame:
-    """The pieces of each text of at least ``length`` bytes; ``key`` is its MD5, ``d1`` and ``d2`` are the piece's digest."""
+    """The pieces of each text of at least ``length`` bytes; ``key`` is its MD5, ``d1`` and ``d2`` are the piece's digest.
+
+    What matters of a piece's copies is whether there are several: a task cuts the same text twice at most.
+    """
     kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = [c.split()[0] for c in PIECES.split(", ")]
 
@@ -159,12 +164,20 @@ def pieces(docs: DataFrame, text: str, length: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        once: set[bytes] = set()
+        twice: set[bytes] = set()
         for batch in batches:
             for t in batch.column(0):
                 raw = (t.as_py() or "").encode()
                 if len(raw) < length:
                     continue
                 key = hashlib.md5(raw).digest()
+                if key in twice:
+                    continue
+                if key in once:
+                    twice.add(key)
+                elif len(once) < REMEMBERED:
+                    once.add(key)
                 for at in range(0, len(raw) - length + 1, PART):
                     held.append((key, at, raw[at : at + PART + length - 1]))
                     size += len(held[-1][2])

@@ -64,10 +64,18 @@ def test_removed_bytes(spark, monkeypatch, length, anchor, hot):
     monkeypatch.setattr(repeats, "COLLECTION", 300)
     if hot:  # numbers with many strings take the other way
         monkeypatch.setattr(repeats, "HOT", hot)
-    texts = passages(rng, 60) + ["ab" * 50, "ab" * 20 + "c", "a" * 90, None, "", "é" * 30, "xyz", "xyz"]
+    texts = passages(rng, 60) + ["many copies " * 4] * 30 + ["ab" * 50, "ab" * 20 + "c", "a" * 90, None, "", "é" * 30, "xyz", "xyz"]
     assert removed(spark, texts, length, anchor) == brute(texts, length)
 
 
+def test_a_task_cuts_many_copies_twice(spark, monkeypatch):
+    copies = ["one text of many " * 3] * 50 + ["another " * 9]
+    df = spark.createDataFrame([(t,) for t in copies], "text string").coalesce(1)
+    assert repeats.pieces(df, "text", 20, 5).groupBy("key", "first").count().agg({"count": "max"}).first()[0] == 2
+    monkeypatch.setattr(repeats, "REMEMBERED", 0)
+    assert repeats.pieces(df, "text", 20, 5).groupBy("key", "first").count().agg({"count": "max"}).first()[0] == 50
+
+
 def test_parts_of_long_texts_and_shuffle_joins(spark, monkeypatch):
     import tessella.llm.common as common
 
