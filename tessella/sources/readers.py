@@ -88,10 +88,12 @@ def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 def frozen_candidates(sets: DataFrame) -> DataFrame:
     """Long form of frozen sets: queries without id or candidates are skipped, missing scores are 0 and ranks their place.
 
-    Of repeated queries one set counts, the largest by its text.
+    Of repeated queries the last line counts, where the sets have a ``file`` and ``line`` (``strict_jsonl``); else the set that is the
+    largest by its text.
     """
+    latest = F.struct("file", "line") if {"file", "line"} <= set(sets.columns) else F.to_json("candidates")
     ok = sets.where(F.col("query_id").isNotNull() & (F.coalesce(F.size("candidates"), F.lit(0)) > 0))
-    one = ok.groupBy("query_id").agg(F.max_by("candidates", F.to_json("candidates")).alias("candidates"))
+    one = ok.groupBy("query_id").agg(F.max_by("candidates", latest).alias("candidates"))
     x = one.select("query_id", F.posexplode("candidates").alias("i", "c"))
     return x.select("query_id", F.coalesce("c.candidate_id", F.sha2(F.coalesce("c.text", F.lit("")), 256)).alias("candidate_id"), "c.text", F.coalesce("c.retrieval_score", F.lit(0.0)).alias("score"), F.coalesce("c.rag_rank", F.col("i") + 1).alias("rag_rank"))
 

@@ -94,3 +94,10 @@ def test_trees_in_pre_order(spark):
     first = lambda ok: next((n["ref"] for n, _ in flat(trees[0]) if ok(n)), None)
     assert found == {1: first(lambda n: n["role"] == "button" and "save" in (n.get("name") or "").lower()), 2: first(lambda n: n.get("attributes", {}).get("data-testid") == "t5"), 3: first(lambda n: n.get("name") == "save all"), 4: None}
     nodes.unpersist()
+
+
+def test_the_last_frozen_set_counts(spark, tmp_path):
+    rows = [{"query_id": f"q{i % 3}", "candidates": [{"candidate_id": f"c{i}", "text": "t"}] if i != 8 else []} for i in range(9)] + [{"candidates": [{"candidate_id": "none"}]}]
+    (tmp_path / "f.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    sets = readers.strict_jsonl(spark, str(tmp_path), readers.FROZEN)
+    assert sorted(tuple(r)[:2] + tuple(r)[3:] for r in readers.frozen_candidates(sets).collect()) == [("q0", "c6", 0.0, 1), ("q1", "c7", 0.0, 1), ("q2", "c5", 0.0, 1)]
