@@ -248,7 +248,10 @@ def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor:
     several = (F.col("least_d1") != F.col("most_d1")) | (F.col("least_d2") != F.col("most_d2"))
     by_number = save_table(by_number.where("c > 1").select("number", several.alias("several")), "repeat-numbers")
     # copies of a text have the same pieces: one row is kept of each, with their number
-    hit = found.join(by_number, "number").groupBy("key", "first", "windows", "lead", "number", "d1", "d2", "several").agg(F.count(F.lit(1)).alias("c"))
+    # a text's place tells its piece, so these are grouped by place alone: Spark then deals them out anew, and can split the
+    # join where a number is in very many texts
+    same = [F.first(c).alias(c) for c in ("windows", "lead", "number", "d1", "d2", "several")]
+    hit = found.join(by_number, "number").groupBy("key", "first").agg(*same, F.count(F.lit(1)).alias("c"))
     hit = save_table(hit, "repeat-hits")
     strings = hit.where("several").groupBy("number", "d1", "d2").agg(F.sum("c").alias("c"), F.min(F.struct("key", "first", "windows", "lead")).alias("p"))
     strings = save_table(strings.select("number", "d1", "d2", "c", "p.*"), "repeat-strings")
