@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessella.operators import retrieval
+from tessella.operators import embedding, retrieval
 
 
 def test_knn_holds_a_block_and_lets_queries_pass(spark):
@@ -33,3 +33,13 @@ def test_knn_holds_a_block_and_lets_queries_pass(spark):
         s = np.round(unit[q] @ unit.T, 9)
         want = [(-s[i], i) for i in np.lexsort((ids, -s)) if i != q][:7]
         assert [i for _, i in got[q]] == [i for _, i in want] and [x for x, _ in got[q]] == pytest.approx([x for x, _ in want])
+
+
+def test_runs_of_a_text_are_not_shuffled_one_by_one(spark, monkeypatch):
+    texts = spark.createDataFrame([(i % 60, "the same few words again and again " * 50 + f"own{i} word") for i in range(80)], "id long, text string")
+    want = {r.id: r.vector for r in embedding.HashedGrams.fitted(texts, "text", 16).embed(texts, "id", "text").collect()}
+    assert embedding._held(embedding._in_blocks(texts, "id", "text", 16)[0], 2).count() <= 80 * 3 + 40  # a row per text and run before
+    for size in (1 << 20, 2_000):  # equal keys in several blocks
+        monkeypatch.setattr(embedding, "BLOCK_BYTES", size)
+        got = {r.id: r.vector for r in embedding.HashedGrams.embed_corpus(texts, "id", "text", 16).collect()}
+        assert got == want
