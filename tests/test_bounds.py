@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 
 from tessella.operators import embedding, retrieval
+from tessella.plans import catalog
+from tessella.sources import readers
 
 
 def test_knn_holds_a_block_and_lets_queries_pass(spark):
@@ -43,3 +45,23 @@ def test_runs_of_a_text_are_not_shuffled_one_by_one(spark, monkeypatch):
         monkeypatch.setattr(embedding, "BLOCK_BYTES", size)
         got = {r.id: r.vector for r in embedding.HashedGrams.embed_corpus(texts, "id", "text", 16).collect()}
         assert got == want
+
+
+def test_documents_of_a_small_table_are_checked_by_all_slots(spark, sf_dir):
+    for name in ("dsl_violations", "dsl_adopt", "dsl_types", "dsl_check_batch"):
+        assert catalog.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4, name
+
+
+def test_lines_are_numbered_without_a_sort_of_them(spark, tmp_path):
+    for name, n in (("a", 3_000), ("b", 1), ("c", 700)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits of a file
+    try:
+        lines = readers.numbered_lines(spark, str(tmp_path))
+        got = [(r.file[-5], r.line, r.value) for r in lines.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 3_701 and all(value == f"{name}{line}" for name, line, value in got)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "value" not in plan[plan.index("Window") :].split("Relation")[0]
