@@ -38,15 +38,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of text files with ``file`` and ``line`` (from 1): file, line, value.
 
-    Each task numbers the lines of the splits that it reads; where a split begins is the sum of the lines in the splits before. Lines are
-    sorted within a split, never within a file.
+    Each task numbers its lines as it reads them; where a split begins in that order, and in its file, comes from one row per
+    split. Lines are neither sorted nor shuffled.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
-    counts = raw.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
+    counts = raw.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("file", "split", before.alias("before"))
-    within = raw.withColumn("i", F.row_number().over(Window.partitionBy("file", "split").orderBy("place")))
-    return within.join(starts, ["file", "split"]).select("file", (F.col("before") + F.col("i")).alias("line"), "value")
+    starts = counts.select("file", "split", (before - F.col("first") + 1).alias("offset"))
+    return raw.join(F.broadcast(starts), ["file", "split"]).select("file", (F.col("offset") + F.col("place")).alias("line"), "value")
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
