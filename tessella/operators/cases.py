@@ -7,11 +7,14 @@ one array of violations, made in one pass over it.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Mapping
+import json
+from collections.abc import Iterator, Mapping
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.json_schema import UNREADABLE, VIOLATIONS, Schema, compile_schema
 from ..functions.json_schema import literal
@@ -28,8 +31,8 @@ NEED_TARGET = ("CLICK", "INPUT", "SELECT", "ASSERT")
 NEED_VALUE = ("INPUT", "SELECT")
 NEED_EXPECTED = ("URL_EQUALS", "URL_CONTAINS", "TEXT_EQUALS", "TEXT_CONTAINS", "VALUE_EQUALS")
 NEED_ASSERTION_TARGET = ("ELEMENT_VISIBLE", "ELEMENT_NOT_PRESENT", "TEXT_CONTAINS")
-#: Trees may be so deep.
-MOST_LEVELS = 10_000
+#: Texts of a tree's node, and nodes that are passed on at once.
+NODE, NODES_AT_ONCE = ("ref", "role", "name", "test_id"), 10_000
 INPUT_ROLES = ("textbox", "searchbox", "combobox", "spinbutton")
 WRAPPED = '{"schemaVersion":"1.0.0","summary":{"app":"validation","page":"validation","totalCases":1},"cases":['
 
@@ -303,27 +306,62 @@ def search(cases: DataFrame, word: str, columns: tuple[str, ...] = ("title", "ca
     return cases.where(found)
 
 
+class _Number(str):
+    """A number of a JSON text as it is written."""
+
+
+def _json_text(x: object) -> str:
+    if isinstance(x, _Number):
+        return str(x)
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_json_text(v)}" for k, v in x.items()) + "}"
+    return "[" + ",".join(map(_json_text, x)) + "]" if isinstance(x, list) else json.dumps(x)
+
+
+def _nodes(raw: str) -> Iterator[tuple]:
+    """The nodes of a tree in pre-order: place, depth, the values of NODE that are texts, and others as JSON by their names."""
+    stack, i = [(json.loads(raw, parse_int=_Number, parse_float=_Number), 0)], 0
+    while stack:
+        node, depth = stack.pop()
+        i += 1
+        attributes, odd = node.get("attributes"), None
+        said = [node.get("ref"), node.get("role"), node.get("name"), attributes.get("data-testid") if isinstance(attributes, dict) else None]
+        for j, x in enumerate(said):
+            if x is not None and type(x) is not str:
+                odd, said[j] = (odd or []) + [(NODE[j], _json_text(x))], None
+            elif x is not None and not x.isascii():  # half a surrogate pair, written as an escape, is no text
+                said[j] = x.encode("utf-8", "replace").decode()
+        yield i, depth, *said, odd
+        children = node.get("children")
+        if isinstance(children, dict):
+            children = [children[k] for k in sorted(children)]
+        if isinstance(children, list):
+            stack.extend((c, depth + 1) for c in reversed(children) if isinstance(c, dict))
+
+
 def flatten_trees(snapshots: DataFrame, page: str = "page", raw: str = "raw") -> DataFrame:
     """The nodes of nested snapshots (JSON objects with ``children``) in pre-order: page, preorder (from 1), depth, ref, role, name
     and test_id (the attribute data-testid).
 
-    A recursive query goes down one level of all trees at a time; a node's path of child numbers is its place. Children that are no
-    objects are left out, as are texts that are no JSON object; other keys are not looked at.
+    A page has one snapshot, which is read by one task and not shuffled. Children that are no objects are left out, as are texts that are
+    no JSON object; other keys are not looked at.
     """
-    spark = snapshots.sparkSession
-    view = f"snapshots_{uuid.uuid4().hex}"
-    start = snapshots.select(F.col(page).alias("page"), F.try_parse_json(raw).alias("node")).where(F.startswith(F.schema_of_variant("node"), F.lit("OBJECT")))
-    start.createOrReplaceTempView(view)
-    # read when the query runs, so it stays: a corpus of trees has more nodes than the bound on a query by mistake
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    nodes = spark.sql(f"""WITH RECURSIVE n(page, path, node) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-        SELECT page, CAST(array() AS array<int>), node FROM {view}
-        UNION ALL SELECT n.page, array_append(n.path, c.pos), c.value FROM n, LATERAL variant_explode(try_variant_get(n.node, '$.children', 'variant')) c
-        WHERE startswith(schema_of_variant(c.value), 'OBJECT'))
-        SELECT page, path, try_variant_get(node, '$.ref', 'string') AS ref, try_variant_get(node, '$.role', 'string') AS role, try_variant_get(node, '$.name', 'string') AS name,
-          try_variant_get(node, "$.attributes['data-testid']", 'string') AS test_id FROM n""")
-    order = Window.partitionBy("page").orderBy("path")
-    return nodes.select("page", F.row_number().over(order).alias("preorder"), F.size("path").alias("depth"), "ref", "role", "name", "test_id")
+    parsed = F.try_parse_json(raw)
+    trees = snapshots.select(F.col(page).alias("page"), F.col(raw).alias("raw")).where(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")))
+    kind = StructType([StructField("page", trees.schema["page"].dataType), *StructType.fromDDL("preorder int, depth int, ref string, role string, name string, test_id string, odd map<string,string>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int32(), *[pa.string()] * 4, pa.map_(pa.string(), pa.string())]
+        for batch in batches:
+            # a part of a tree at a time: the places of its snapshot and its nodes
+            nodes = ((at, *n) for at, text in enumerate(batch.column("raw")) for n in _nodes(text.as_py()))
+            while some := list(islice(nodes, NODES_AT_ONCE)):
+                at, *columns = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array(at)), *map(pa.array, columns, types)], names=kind.names)
+
+    # other values than texts are cast as Spark casts them
+    text = lambda c: F.coalesce(F.col(c), F.try_variant_get(F.try_parse_json(F.col("odd")[c]), "$", "string")).alias(c)
+    return trees.mapInArrow(run, kind).select("page", "preorder", "depth", *map(text, NODE))
 
 
 def resolve(nodes: DataFrame, locators: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Memory and plans that stay bounded as tables grow."""
 
+import json
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessella.operators import embedding, retrieval
+from tessella.operators import cases, embedding, retrieval
 from tessella.plans import catalog
 from tessella.sources import readers
 
@@ -65,3 +66,20 @@ def test_lines_are_numbered_without_a_sort_of_them(spark, tmp_path):
     assert len(got) == 3_701 and all(value == f"{name}{line}" for name, line, value in got)
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 1 and "value" not in plan[plan.index("Window") :].split("Relation")[0]
+
+
+def test_a_tree_is_not_shuffled(spark):
+    deep = {"ref": "leaf"}
+    for _ in range(450):
+        deep = {"children": [deep]}
+    odd = '{"ref": 5, "role": 1.50, "name": true, "attributes": {"data-testid": {"b": 1, "a": [2.0, "x"]}}, "children": {"b": {"ref": "2"}, "a": {"ref": "1"}, "c": 4}}'
+    rows = [("p", json.dumps(deep)), ("q", odd), ("r", '{"ref": 1, "ref": 2}'), ("s", '{"name": "\\u00e9\\ud83d\\ude00"}')]
+    nodes = cases.flatten_trees(spark.createDataFrame(rows, "page string, raw string"))
+    assert "Exchange" not in nodes._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in nodes.orderBy("page", "preorder").collect():
+        got.setdefault(r.page, []).append(r)
+    assert len(got["p"]) == 451 and got["p"][-1].depth == 450 and got["p"][-1].ref == "leaf"
+    first = spark.sql("""SELECT try_variant_get(v, '$.ref', 'string') ref, try_variant_get(v, '$.role', 'string') role, try_variant_get(v, '$.name', 'string') name, try_variant_get(v, "$.attributes['data-testid']", 'string') test_id FROM (SELECT parse_json('%s') v)""" % odd).first()
+    assert tuple(got["q"][0])[3:] == tuple(first) and [r.ref for r in got["q"]] == ["5", "1", "2"]
+    assert "r" not in got and got["s"][0].name == "\u00e9\U0001f600"
