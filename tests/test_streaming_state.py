@@ -73,6 +73,58 @@ def test_a_restart_in_the_middle_gives_the_same(spark, tmp_path):
     assert ends["t0"] == (1, "COMPLETED") and ends["t3"] == (4, "COMPLETED") and ends["t4"] == (4, "FAILED")
 
 
+class Store:
+    """A state store that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.rows, self.timers = 0, [], set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("get", "exists"):
+                return iter(list(self.rows)) if name == "get" else bool(self.rows)
+            if name == "registerTimer":
+                self.timers.add(*args)
+            elif name in ("put", "appendList", "clear"):
+                self.rows = (self.rows if name == "appendList" else []) + list(*args)
+            return self
+
+        return call
+
+
+def test_calls_of_the_store_do_not_grow_with_the_messages():
+    from types import SimpleNamespace as Made
+
+    def run(n):
+        store, retries, seen = Store(), retry.Retries(answer), []
+        retries.init(store)
+        at = lambda ms: Made(getCurrentWatermarkInMs=lambda: ms)
+        for times in (1, 2):  # what comes again while it waits is not taken twice
+            rows = [Made(task_id=f"t{i}", at_us=i * times, message=json.dumps({"ok_at": i % 5})) for i in range(n) if i % 5]
+            seen += retries.handleInputRows((0,), iter(rows), at(0))
+        for now in (1_500, 3_500, 100_000):
+            seen += retries.handleExpiredTimer((0,), at(now), None)
+        assert not store.rows and sorted((r.task_id, r.retry, r.at_us, r.ok, r.dead) for r in seen) == sorted((f"t{i}", r, i + 500_000 * r * (r + 1), i % 5 == r, r == 3 and i % 5 == 4) for i in range(n) if i % 5 for r in range(1, min(i % 5, 3) + 1))
+        return store.calls
+
+    assert run(1_000) == run(50)
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_tasks_of_a_bucket_do_not_meet(spark, tmp_path, buckets):
+    batches = message_rows(spark)
+    for b in batches:
+        written(spark, b, KIND, f"{tmp_path}/in")
+        stream = ingest.read_stream(spark, f"{tmp_path}/in", KIND, 1)
+        first = F.when(F.get_json_object("message", "$.ok_at").cast("int") > 0, "busy")
+        with retry.keyed_state(spark):
+            q = ingest.run_available(retry.with_retries(stream, answer, first, buckets=buckets), ingest.append_batch(f"{tmp_path}/out"), f"{tmp_path}/check")
+        assert q.exception() is None
+    got = sorted((r.task_id, r.retry, r.at.timestamp(), r.ok, r.dead, len(r.error or "")) for r in spark.read.schema(retry.TRIES).parquet(f"{tmp_path}/out").collect())
+    assert got == wanted(batches)
+
+
 def plain_records(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", g.delimited_records(F.col("t")).alias("r")).collect()
     return [r.r for r in sorted(rows)]
