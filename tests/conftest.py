@@ -1,5 +1,6 @@
 import os
 import sys
+import tracemalloc
 from pathlib import Path
 
 import pytest
@@ -27,6 +28,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def traced():
+    """Tracing of memory ends with its test: a peak of one test does not count in another."""
+    yield
+    tracemalloc.stop()
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"

@@ -83,3 +83,9 @@ def test_a_tree_is_not_shuffled(spark):
     first = spark.sql("""SELECT try_variant_get(v, '$.ref', 'string') ref, try_variant_get(v, '$.role', 'string') role, try_variant_get(v, '$.name', 'string') name, try_variant_get(v, "$.attributes['data-testid']", 'string') test_id FROM (SELECT parse_json('%s') v)""" % odd).first()
     assert tuple(got["q"][0])[3:] == tuple(first) and [r.ref for r in got["q"]] == ["5", "1", "2"]
     assert "r" not in got and got["s"][0].name == "\u00e9\U0001f600"
+
+
+@pytest.mark.parametrize("turn", (1, 2))
+def test_memory_is_traced_for_one_test_alone(turn):
+    assert not tracemalloc.is_tracing()
+    tracemalloc.start()  # left on
