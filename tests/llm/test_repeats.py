@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import repeats
 
@@ -76,6 +77,25 @@ def test_a_task_cuts_many_copies_twice(spark, monkeypatch):
     assert repeats.pieces(df, "text", 20, 5).groupBy("key", "first").count().agg({"count": "max"}).first()[0] == 50
 
 
+def test_copies_of_a_text_do_not_meet_in_a_task(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan shows no counts
+    try:
+        df = spark.createDataFrame([("one text of many " * 3,)] * 90 + [("another " * 9,)] * 3 + [("short",)], "text string").repartition(3)
+        found = repeats.pieces(df, "text", 20, 5).groupBy("number", "d1", "d2").agg(F.min(F.struct("key", "first", "windows", "lead")).alias("p"))
+        wanted = found.select("number", "d1", "d2", "p.*").localCheckpoint()
+        cut = repeats.cut_strings(df.localCheckpoint(), "text", wanted, 20)
+        assert sorted((r.number, r.d1, r.d2) for r in cut.collect()) == sorted((r.number, r.d1, r.d2) for r in wanted.collect())
+        dealt, plans = [], [cut._jdf.queryExecution().executedPlan()]
+        for plan in plans:
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+            if plan.metrics().contains("shuffleRecordsWritten"):
+                dealt.append(plan.metrics().apply("shuffleRecordsWritten").value())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(dealt) >= 2 and max(dealt) <= max(3 * 2, wanted.count()) < 90, dealt  # two texts in three tasks, or the pieces
+
+
 def test_parts_of_long_texts_and_shuffle_joins(spark, monkeypatch):
     import tessella.llm.common as common
 
